@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lines, mixing, secrets
+from . import decontaminate, licenses, lines, mixing, ngram_join, secrets
 from ._spark import table
 
 
@@ -30,6 +30,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op4_line_dedup, op5_source_mix, op8_decontamination)
+    f.__name__: f for f in (op1_secret_scan, op2_license_scan, op4_line_dedup, op5_source_mix, op8_decontamination, op9_ngram_jaccard_join)
 }

@@ -81,4 +81,26 @@ SELECT doc.doc_id, len(w) AS n_words, coalesce(word.n, 0) AS n_hit, coalesce(fou
 FROM doc LEFT JOIN word ON doc.doc_id = word.doc_id LEFT JOIN found ON doc.doc_id = found.doc_id
 """
 
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4, "op5_source_mix": OP5, "op8_decontamination": OP8}
+_LINKED = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({_AZ}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM doc
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), both_of AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM both_of m JOIN size p ON m.x = p.doc_id JOIN size q ON m.y = q.doc_id WHERE 100 * m.n >= 80 * (p.n + q.n - m.n)
+), pair AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM doc UNION SELECT pair.y, reach.r FROM reach JOIN pair ON pair.x = reach.v
+), least_of AS (
+  SELECT v, min(r) AS component_id FROM reach GROUP BY v
+)
+"""
+
+OP9 = _LINKED + "SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, component_id FROM doc LEFT JOIN size ON doc.doc_id = size.doc_id JOIN least_of ON doc.doc_id = least_of.v"
+
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4, "op5_source_mix": OP5, "op8_decontamination": OP8, "op9_ngram_jaccard_join": OP9}
