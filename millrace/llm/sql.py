@@ -103,4 +103,17 @@ WITH RECURSIVE doc AS (
 
 OP9 = _LINKED + "SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, component_id FROM doc LEFT JOIN size ON doc.doc_id = size.doc_id JOIN least_of ON doc.doc_id = least_of.v"
 
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4, "op5_source_mix": OP5, "op8_decontamination": OP8, "op9_ngram_jaccard_join": OP9}
+OP3 = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)])::BIGINT AS score
+  FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op3_exact_top_k": OP3, "op4_line_dedup": OP4, "op5_source_mix": OP5, "op8_decontamination": OP8, "op9_ngram_jaccard_join": OP9}
