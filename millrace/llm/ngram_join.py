@@ -47,6 +47,8 @@ HOT = 1024
 BLOCK = 1 << 20
 #: Share of long lists in DivideSkip: T / (MU * log2(longest) + 1).
 MU = 0.0085
+#: Entries of short lists up to which a heap merges them; beyond, they are counted.
+MERGED = 512
 _SALT = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -148,8 +150,12 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterato
         yield bucket, (p for _, p in group)
 
 
+#: Buckets for each shuffle partition; more of them are worked on with less memory, and make more packed rows.
+BUCKETS = 1
+
+
 def _gathered(pieces: DataFrame, buckets: int) -> DataFrame:
-    return pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return pieces.repartition(buckets // BUCKETS, "bucket").sortWithinPartitions("bucket")
 
 
 _SHARED = np.dtype([("cid", "<i8"), ("tok", "<u8"), ("df", "<u4"), ("room", "<i4")])
@@ -266,70 +272,53 @@ class Index:
         self.ptr = np.concatenate([[0], np.cumsum(self.size)])
         self.root = np.arange(len(self.sets))
 
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = int(self.root[i])
-        return i
-
-    def _flat(self) -> None:
-        while not np.array_equal(up := self.root[self.root], self.root):
-            self.root = up
+    def _lists(self, numbers: np.ndarray) -> list[np.ndarray]:
+        return [self.owner[s:e] for s, e in zip(self.starts[numbers].tolist(), (self.starts[numbers] + self.n[numbers]).tolist())]
 
-    def occurrences(self, x: int) -> Iterator[tuple[int, int]]:
-        """(y, shared) for larger sets y of another group that hold enough of x's shingles."""
+    def occurrences(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """Larger sets of other groups that hold enough of x's shingles, and how many they share."""
+        none = np.zeros(0, np.int64)
         n = int(self.size[x])
         lists = self.run[self.ptr[x] : self.ptr[x + 1]]
         lists = lists[self.n[lists] > 1]
-        need = _least(n, self.percent)
-        if len(lists) < need:
-            return
+        need, top = _least(n, self.percent), int(np.searchsorted(self.size, n * 100 // self.percent, "right"))
+        if len(lists) < need or top <= x + 1 or (self.root[x + 1 : top] == self.root[x]).all():
+            return none, none
         lists = lists[np.argsort(self.n[lists], kind="stable")]
         long = min(need - 1, int(need / (MU * math.log2(int(self.n[lists[-1]])) + 1)))
-        short, rest = lists[: len(lists) - long], lists[len(lists) - long :]
-        top = int(np.searchsorted(self.size, n * 100 // self.percent, "right"))
-        own = self.root[x]
-        heads = []
-        for s, e in zip(self.starts[short].tolist(), (self.starts[short] + self.n[short]).tolist()):
-            part = self.owner[s:e]
-            part = part[(part > x) & (part < top)]
-            part = part[self.root[part] != own]
-            if len(part):
-                heads.append(part)
-        if len(heads) < need - long:
-            return
-        if sum(map(len, heads)) <= 4096:
-            found: list[tuple[int, int]] = []
-            last, seen = -1, 0
-            for y in heapq.merge(*(p.tolist() for p in heads)):
-                if y != last:
-                    if seen >= need - long:
-                        found.append((last, seen))
-                    last, seen = y, 0
-                seen += 1
-            if seen >= need - long:
-                found.append((last, seen))
-        else:  # the same merge, of many entries, by numpy's sort of the runs
-            ys, c = np.unique(np.concatenate(heads), return_counts=True)
-            found = list(zip(ys[c >= need - long].tolist(), c[c >= need - long].tolist()))
-        for y, seen in found:
-            a, b = self.starts[rest], self.starts[rest] + self.n[rest]
-            while (wide := a < b).any():  # binary search for y in every long list at once
-                mid = (a + b) >> 1
-                less = wide & (self.owner[np.minimum(mid, len(self.owner) - 1)] < y)
-                a, b = np.where(less, mid + 1, a), np.where(wide & ~less, mid, b)
-            hit = (a < self.starts[rest] + self.n[rest]) & (self.owner[np.minimum(a, len(self.owner) - 1)] == y)
-            yield y, seen + int(hit.sum())
+        short, rest = self._lists(lists[: len(lists) - long]), lists[len(lists) - long :]
+        if sum(map(len, short)) <= MERGED:
+            found = [(y, len(list(group))) for y, group in itertools.groupby(heapq.merge(*(p.tolist() for p in short)))]
+            found = [(y, c) for y, c in found if c >= need - long and x < y < top]
+            ys, shared = np.array([y for y, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+        else:  # the merge of many entries, by counting
+            count = np.bincount(np.concatenate(short), minlength=top)
+            ys = np.flatnonzero(count[x + 1 : top] >= need - long) + x + 1
+            shared = count[ys]
+        # 100 shared >= percent (n + size - shared)
+        enough = shared + long >= -(-self.percent * (n + self.size[ys]) // (100 + self.percent))
+        ys, shared = ys[enough & (self.root[ys] != self.root[x])], shared[enough & (self.root[ys] != self.root[x])]
+        if not len(ys) or not long:
+            return ys, shared
+        parts = self._lists(rest)
+        if len(ys) * 16 < len(parts[0]):
+            for part in parts:
+                at = np.minimum(part.searchsorted(ys), len(part) - 1)
+                shared = shared + (part[at] == ys)
+        else:  # as many sets to probe for as the lists have: the lists are read through
+            shared = shared + np.bincount(np.concatenate(parts), minlength=top)[ys]
+        return ys, shared
 
     def join(self) -> Iterator[tuple]:
         """(id, smallest id of its group) for each set that links with another."""
         for x in range(len(self.sets)):
             if not self.size[x]:
                 continue
-            for y, shared in list(self.occurrences(x)):
-                if 100 * shared >= self.percent * (int(self.size[x]) + int(self.size[y]) - shared) and (p := self.find(x)) != (q := self.find(y)):
-                    self.root[max(p, q)] = min(p, q)
-            self._flat()
+            ys, shared = self.occurrences(x)
+            ys = ys[100 * shared >= self.percent * (self.size[x] + self.size[ys] - shared)]
+            for q in np.unique(self.root[ys]).tolist():
+                p = int(self.root[x])
+                self.root[self.root == max(p, q)] = min(p, q)
         least: dict[int, object] = {}
         for i, r in enumerate(self.root.tolist()):
             least[r] = min(least.get(r, self.ids[i]), self.ids[i])
@@ -356,7 +345,7 @@ def _search(members: DataFrame, kind: str, k: int, percent: int) -> DataFrame:
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: its id, n_shingles, and component_id, the smallest id that links reach."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
     named = written(digests(docs, id_col, text_col, k))
 
