@@ -11,7 +11,7 @@ _WHITE = r"[\s\x1c-\x1f]"
 
 def approx_tokens(text: Column) -> Column:
     """A token for every four code points, one at least; null is null."""
-    return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int")
+    return F.when(text.isNotNull(), F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("int")
 
 
 def lines(text: Column) -> Column:

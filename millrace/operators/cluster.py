@@ -39,9 +39,9 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _paired(points: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
     """The points for each pair of blocks, on either side."""
-    own = points.withColumn("block", F.floor(F.col("pos") / BLOCK_ROWS).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    return own.withColumn("other", every).withColumnRenamed("block", "i").withColumnRenamed("other", "j"), own.withColumn("other", every).withColumnRenamed("block", "j").withColumnRenamed("other", "i")
+    every, block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.floor(F.col("pos") / BLOCK_ROWS).cast("int")
+    columns = [F.col(c).alias(c) for c in points.columns]  # named anew, so that either side is its own
+    return points.select(*columns, block.alias("i"), every.alias("j")), points.select(*columns, block.alias("j"), every.alias("i"))
 
 
 def _core(points: DataFrame, blocks: int, k: int) -> DataFrame:

@@ -32,7 +32,7 @@ def shallow_clone(url: str, folder: str) -> tuple[str, str]:
 
 def _text(content: Column) -> Column:
     """UTF-8 without what isn't; line ends as \\n."""
-    return universal_newlines(F.replace(content.cast("string"), F.lit("�"), F.lit("")))
+    return universal_newlines(F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit("")))
 
 
 def _scanned(spark: SparkSession, root: str, glob: str) -> DataFrame:
