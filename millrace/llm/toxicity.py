@@ -31,10 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import scan
-from ._text import BLANK, Words, chunks
+from ._text import BLANK, Words, chunks, strings
 
 FOLDS = 5
-ROWS_EACH = 4000
+ROWS_EACH = 3000
+#: Bits of the numbers that runs of characters are counted under.
+GRAM_BITS = 21
 LANDMARKS, CONTRASTS = 72, 24
 NEAR, DECAY, MOST_GAP, LENGTH, GRAM = 0.45, 0.6, 2, 4, 5
 _DROP = 255
@@ -72,7 +74,7 @@ def _sequences(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 
 
 def _grams(seq: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, code) of each run of GRAM characters."""
+    """(word, number) of each run of GRAM characters."""
     n = len(seq) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -80,7 +82,8 @@ def _grams(seq: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for j in range(GRAM):
         code = code << 5 | seq[j : j + n]
     same = word[:n] == word[GRAM - 1 :]
-    return word[:n][same], code[same]
+    mixed = code[same].astype(np.uint32) * np.uint32(2654435761)
+    return word[:n][same], (mixed >> np.uint32(32 - GRAM_BITS)).astype(np.int64)
 
 
 def _norms(size: np.ndarray) -> np.ndarray:
@@ -236,13 +239,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def _telling(chunk_words: list[Words], toxic: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character sequences that far more toxic than clean documents hold, and how sure that is."""
-    seen = [np.zeros(1 << (5 * GRAM), np.uint16) for _ in range(2)]
+    seen = [np.zeros(1 << GRAM_BITS, np.uint16) for _ in range(2)]
     for w, y in zip(chunk_words, toxic):
         seq, word, _ = _sequences(w.buf, w.starts, w.ends)
         g, code = _grams(seq, word)
         doc = np.searchsorted(w.ptr, g, "right") - 1
-        key = np.unique(doc << (5 * GRAM) | code)
-        doc, code = key >> (5 * GRAM), key & ((1 << (5 * GRAM)) - 1)
+        key = np.unique(doc << GRAM_BITS | code)
+        doc, code = key >> GRAM_BITS, key & ((1 << GRAM_BITS) - 1)
         for label in (0, 1):
             c, k = np.unique(code[y[doc] == label], return_counts=True)
             seen[label][c] += k.astype(np.uint16)
@@ -258,7 +261,7 @@ def _telling(chunk_words: list[Words], toxic: list[np.ndarray], n: np.ndarray) -
 
 def _picked(chunk_words: list[Words], toxic: list[np.ndarray], codes: np.ndarray, z: np.ndarray) -> list[bytes]:
     """Words of toxic documents that hold most of the telling sequences, none held by many before."""
-    sure = np.zeros(1 << (5 * GRAM), np.float32)
+    sure = np.zeros(1 << GRAM_BITS, np.float32)
     sure[codes] = z
     found: dict[bytes, int] = {}
     for w, y in zip(chunk_words, toxic):
@@ -309,7 +312,7 @@ def _contrasts(kernel: Kernel, chunk_words: list[Words], toxic: list[np.ndarray]
     return sorted(found, key=lambda t: (-found[t], t))[:CONTRASTS]
 
 
-def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Model:
+def fit(texts: list[str] | pa.ChunkedArray, labels: list[int], prior: float | None = None) -> Model:
     """A model of texts and their labels; prior: share of toxic documents where the sample's isn't it."""
     y = np.array(labels, np.int64)
     n = np.array([(y == 0).sum(), (y == 1).sum()])
@@ -317,7 +320,7 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None) -> Mode
     if not n.all():
         return empty
     chunk_words, toxic = [], []
-    for i, j, raw, offs in chunks(pa.array(texts, pa.large_string())):
+    for i, j, raw, offs in chunks(strings(texts) if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.large_string())):
         chunk_words.append(Words(raw, offs, BLANK))
         toxic.append(y[i:j])
     codes, z = _telling(chunk_words, toxic, n)
@@ -375,9 +378,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = known.filter(F.col("y") == label).orderBy(F.xxhash64(id_col), id_col).limit(rows_each)
         drawn = part if drawn is None else drawn.unionByName(part)
     ids = drawn.withColumnRenamed(id_col, "__id")
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "__id").select("__id", "t", "y").dropDuplicates(["__id"]).collect()
-    rows.sort(key=lambda r: r["__id"])
-    return fit([r["t"] or "" for r in rows], [r["y"] for r in rows], n[1] / (n[0] + n[1]))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "__id").select("__id", "t", "y").dropDuplicates(["__id"]).toArrow()
+    rows = rows.sort_by("__id")
+    return fit(rows.column("t"), rows.column("y").to_pylist(), n[1] / (n[0] + n[1]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
