@@ -91,13 +91,12 @@ def _queries(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndar
     return out
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a b^T, exact: in doubles while every sum fits them, else in whole numbers held to 64 bits."""
+def _partial(a: np.ndarray, b: np.ndarray, m: int) -> list[np.ndarray]:
+    """a b^T by slices of the dimensions, exact: in doubles while all sums fit them, else in whole numbers of any size."""
     most = (np.abs(a).max() if a.size else 0) * (np.abs(b).max() if b.size else 0) * a.shape[1]
-    if most < 2.0**53:
-        return a @ b.T
-    whole = np.array([[int(x) for x in r] for r in a], object).reshape(a.shape) @ np.array([[int(x) for x in r] for r in b], object).reshape(b.shape).T
-    return np.clip(whole, -(2**63), 2**63 - 1) if whole.size else whole
+    if most >= 2.0**53:
+        a, b = (np.array([[int(v) for v in r] for r in x], object).reshape(x.shape) for x in (a, b))
+    return [a[:, x] @ b[:, x].T for x in _slices(a.shape[1], m)]
 
 
 def _slices(dim: int, m: int) -> list[slice]:
@@ -118,7 +117,7 @@ def _gather(queries: pa.Table, vectors: pa.Table, k: int, m: int) -> Iterator[tu
         cid, c = held[dim]
         for s in range(0, len(ids), _BATCH):
             part, own = q[s : s + _BATCH], ids[s : s + _BATCH, None] == cid[None, :]
-            lists = [_products(part[:, x], c[:, x]) for x in _slices(dim, m)]
+            lists = _partial(part, c, m)
             first = np.zeros(own.shape, bool)
             for p in lists:
                 p = np.where(own, -math.inf, p) if p.dtype != object else p
@@ -141,9 +140,9 @@ def _resolve(queries: pa.Table, vectors: pa.Table, cutoffs: dict[tuple[int, int]
         cid, c = held[dim]
         for s in range(0, len(ids), _BATCH):
             part, own = q[s : s + _BATCH], ids[s : s + _BATCH, None] == cid[None, :]
-            lists = [_products(part[:, x], c[:, x]) for x in _slices(dim, m)]
+            lists = _partial(part, c, m)
             cut = np.array([cutoffs.get(key, -(2**63)) for key in zip(ids[s : s + _BATCH].tolist(), names[s : s + _BATCH].tolist())], object if lists[0].dtype == object else np.float64)
-            share = cut / len(lists) - 1  # one less: a double may stand a little above the share
+            share = cut // len(lists) - 1  # whole scores; one less, as a double may stand a little above its value
             collected = np.zeros(own.shape, bool)
             for p in lists:
                 collected |= (p >= share[:, None]).astype(bool)

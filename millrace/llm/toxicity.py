@@ -142,7 +142,7 @@ class Kernel:
                 a = w[s : s + 50_000]
                 first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
                 k[a[first]] += np.add.reduceat(self.value[row[s : s + 50_000]] * np.float32(x), first, axis=0)
-        k /= norm[words, None].astype(np.float32)
+        k = np.minimum(k / norm[words, None].astype(np.float32), 1)  # norms count every subsequence by itself, also equal ones
         k[k < NEAR] = 0
         some = k.any(axis=1)
         return words[some], k[some]
