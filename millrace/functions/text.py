@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 _WHITE = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is worked out once; what a lambda uses from outside is otherwise worked out for each element."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def approx_tokens(text: Column) -> Column:
     """A token for every four code points, one at least; null is null."""
     return F.when(text.isNotNull(), F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("int")
@@ -16,8 +23,8 @@ def approx_tokens(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """str.splitlines()."""
-    parts = F.split(text, r"\R|[\x1c-\x1e]", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    split = F.split(text, r"\R|[\x1c-\x1e]", -1)
+    return let(split, lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def strip(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ChatConfig
-from ..functions.text import contains_any, is_upper, lines, starts_alpha, strip
+from ..functions.text import contains_any, is_upper, let, lines, starts_alpha, strip
 from .extract import with_js_items, with_python_items
 from .sections import markdown_sections
 from .windows import blank_line_chunks, windowed
@@ -72,15 +72,17 @@ def js_jsdoc(jsdoc: Column, code: Column) -> Column:
 
 def md_section(title: Column, content: Column, max_questions: int = 4, window: int = 800, overlap: int = 120) -> Column:
     """An array: every question about every window of a section."""
-    named = F.coalesce(F.nullif(strip(title), F.lit("")), F.lit("Section"))
-    said = strip(content)
+    templates, none = MD_QUESTIONS[: max_questions or 1], F.array().cast(RECORDS)
+
+    def of(named: Column, said: Column) -> Column:
+        def about(w: Column) -> Column:
+            asked = [F.concat(F.lit(a), named, F.lit(b + "\n\n"), w) for a, b in templates]
+            return F.array(*(record(chat(q, w, MD_SYSTEM), "md_section_qa", "markdown", title=named) for q in asked))
 
-    def about(w: Column) -> Column:
-        asked = [F.concat(F.lit(a), named, F.lit(b + "\n\n"), w) for a, b in MD_QUESTIONS[: max_questions or 1]]
-        return F.array(*(record(chat(q, w, MD_SYSTEM), "md_section_qa", "markdown", title=named) for q in asked))
+        return F.when(said != "", F.flatten(F.transform(windowed(said, window, overlap), about))).otherwise(none)
 
-    none = F.array().cast(RECORDS)
-    return F.when(said != "", F.flatten(F.transform(windowed(said, window, overlap), about))).otherwise(none) if MD_QUESTIONS[: max_questions or 1] else none
+    named = F.coalesce(F.nullif(strip(title), F.lit("")), F.lit("Section"))
+    return let(named, lambda t: let(strip(content), lambda c: of(t, c))) if templates else none
 
 
 def py_chunk(name: Column, chunk: Column) -> Column:
@@ -89,8 +91,14 @@ def py_chunk(name: Column, chunk: Column) -> Column:
     return F.when(strip(chunk) != "", record(chat(user, chunk, PY_SYSTEM), "py_chunk_explain", "python", name=name))
 
 
-def _summary(found: Column, user: Column, system: str, task: str) -> Column:
-    return F.when(F.size(found) > 0, record(chat(user, F.array_join(found, "\n"), system), task, "python"))
+def _summary(lines_: Column, ask: str, system: str, task: str, about: Column | None = None) -> Column:
+    """A record about the code, or about the lines themselves."""
+
+    def of(found: Column) -> Column:
+        said = F.array_join(found, "\n")
+        return F.when(F.size(found) > 0, record(chat(F.concat(F.lit(ask), said if about is None else about), said, system), task, "python"))
+
+    return let(lines_, of)
 
 
 def validation_lines(code: Column) -> Column:
@@ -116,21 +124,19 @@ def constant_lines(code: Column) -> Column:
 
 
 def py_validation(code: Column) -> Column:
-    return _summary(validation_lines(code), F.concat(F.lit(VALIDATION), code), PRECISE_SYSTEM, "py_validation_summary")
+    return _summary(validation_lines(code), VALIDATION, PRECISE_SYSTEM, "py_validation_summary", code)
 
 
 def py_errors(code: Column) -> Column:
-    return _summary(error_lines(code), F.concat(F.lit(ERRORS), code), PRECISE_SYSTEM, "py_error_handling_summary")
+    return _summary(error_lines(code), ERRORS, PRECISE_SYSTEM, "py_error_handling_summary", code)
 
 
 def py_config(code: Column) -> Column:
-    found = constant_lines(code)
-    return _summary(found, F.concat(F.lit(CONFIG), F.array_join(found, "\n")), CONFIG_SYSTEM, "py_config_constants_summary")
+    return _summary(constant_lines(code), CONFIG, CONFIG_SYSTEM, "py_config_constants_summary")
 
 
 def py_logging(code: Column) -> Column:
-    found = logging_lines(code)
-    return _summary(found, F.concat(F.lit(LOGGING), F.array_join(found, "\n")), LOGGING_SYSTEM, "py_logging_flow_summary")
+    return _summary(logging_lines(code), LOGGING, LOGGING_SYSTEM, "py_logging_flow_summary")
 
 
 def _keyed(records: Column, item: Column, builder: int) -> Column:

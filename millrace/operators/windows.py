@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import approx_tokens, is_blank, lines, strip, words
+from ..functions.text import approx_tokens, is_blank, let, lines, strip, words
 
 #: Windows of a text at most.
 MOST_WINDOWS = 33
@@ -13,11 +13,14 @@ MOST_WINDOWS = 33
 
 def word_windows(text: Column, window: int, overlap: int = 120) -> Column:
     """Windows of `window` words, each `window - overlap` after the last, white space as single spaces."""
-    step = max(1, window - overlap)
-    w = words(text)
-    last = F.least(F.ceil(F.size(w) / step).cast("int") - 1, F.lit(MOST_WINDOWS - 1))
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda p: F.array_join(F.slice(w, p * step + 1, max(window, 0)), " "))
-    return F.when((F.size(w) > 0) & F.lit(window > 0), cut).otherwise(F.array().cast("array<string>"))
+    step, none = max(1, window - overlap), F.array().cast("array<string>")
+
+    def cut(w: Column) -> Column:
+        last = F.least(F.ceil(F.size(w) / step).cast("int") - 1, F.lit(MOST_WINDOWS - 1))
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda p: F.array_join(F.slice(w, p * step + 1, window), " "))
+        return F.when(F.size(w) > 0, parts).otherwise(none)
+
+    return let(words(text), cut) if window > 0 else none
 
 
 def windowed(content: Column, window: int, overlap: int = 120) -> Column:
