@@ -22,6 +22,7 @@ documents of both labels every score is 0. Conflicting labels of an id count as
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -122,6 +123,9 @@ class Kernel:
         np.add.at(self.value, (row, w), (x / np.maximum(_norms(size), 1e-9)[w]).astype(np.float32))
         self.most = self.value.max(axis=1)
 
+    def __reduce__(self) -> tuple:
+        return Kernel, (self.landmarks,)
+
     def near(self, seq: np.ndarray, word: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words that come near a landmark, and their kernel with each; 0 below NEAR."""
         norm, bound, parts = np.maximum(_norms(size), 1e-9), np.zeros(len(size)), []
@@ -378,9 +382,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = known.filter(F.col("y") == label).orderBy(F.xxhash64(id_col), id_col).limit(rows_each)
         drawn = part if drawn is None else drawn.unionByName(part)
     ids = drawn.withColumnRenamed(id_col, "__id")
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(ids), "__id").select("__id", "t", "y").dropDuplicates(["__id"]).toArrow()
-    rows = rows.sort_by("__id")
-    return fit(rows.column("t"), rows.column("y").to_pylist(), n[1] / (n[0] + n[1]))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), F.col("id") == F.col("__id")).select("id", "t", "y").dropDuplicates(["id"])
+    share = n[1] / (n[0] + n[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            sample = pa.Table.from_batches(held).sort_by("id")
+            yield pa.record_batch([pa.array([pickle.dumps(fit(sample.column("t"), sample.column("y").to_pylist(), share))], pa.binary())], names=["model"])
+
+    made = rows.repartition(1).mapInArrow(run, "model binary").collect()  # the sample is bounded: one task fits it
+    return pickle.loads(made[0]["model"]) if made else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
