@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import written
+
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_COPIES = 3
 _COARSE, _FINE = 64.0, float(1 << 20)
@@ -62,6 +64,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), uniform(F.col(id_col), F.col(text_col), seed).alias("__u"),
         F.struct(*keep).alias("__kept") if keep else F.lit(None).cast("int").alias("__kept"),
     )
+    doc = written(doc)  # the texts are read once, the steps below read sizes and ranks
     sums = doc.select("source", "size").groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size").cast("double") * F.col("size")).alias("__squares"))
     plan = targets(sums, weights, most)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
