@@ -17,6 +17,7 @@ Null and empty pages have an empty text. Null urls, and urls without a host, sha
 
 from __future__ import annotations
 
+import hashlib
 import html
 import itertools
 import json
@@ -335,14 +336,18 @@ class Wrapper:
         return root, sorted(p for p, t in self.texts.items() if t is not None and self.seen[p] >= TEMPLATE_PAGES)
 
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def texts_by_place(root: Node) -> Iterator[tuple[str, str]]:
-    """(place, hash-sized start of the text) of each element that holds text itself."""
+    """(place, digest of the whole text) of each element that holds text itself."""
     todo = [(root, "")]
     while todo:
         n, path = todo.pop()
         text = " ".join("".join(k for k in n.kids if type(k) is str).split())
         if text:
-            yield path, f"{len(text)}:{text[:24]}"
+            yield path, _digest(text)
         todo.extend((k, f"{path}/{k.sig}") for k in n.kids if type(k) is not str)
 
 

@@ -228,6 +228,13 @@ def test_hosts(spark, limit):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_texts_that_differ_late_are_no_template(spark):
+    lay = "<html><body><div class=body><p>The report of the harbour master for day {}, in full and at length.</p></div></body></html>"
+    rows = [(i, f"http://h.example/{i}", lay.format(i)) for i in range(6)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(i, f"The report of the harbour master for day {i}, in full and at length.") for i in range(6)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.report(secrets.scan_secrets(none)).count() == licenses.report(licenses.scan_licenses(none)).count() == 0
