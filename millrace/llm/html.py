@@ -7,10 +7,15 @@ becomes optional, and texts that differ become slots; texts that don't are the t
 task folds its own pages, then the tasks' wrappers are aligned with each other in the same way, one at a
 time, so any number of pages of a host takes the memory of one wrapper.
 
-From its wrapper a host gets the place of its main part, for pages that don't mark it as an article, and
-the places of template texts. A page's text is that of its main part, without menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments of readers, and template texts that
-more than one page of the host repeats. Titles in an article's header stay.
+Each page is matched with its host's wrapper by the same alignment, whether it marks its article or not.
+Texts that match a template's are left out; what matches slots stays. A template's text is one that no page
+has otherwise at its place of the wrapper, and that pages of three different main texts share; of a repeated
+element it is all texts in a row. Pages that mark no article take as their main part what matches
+the element that most such pages of the host have theirs in. A page's text is that of its main part, without
+menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers, and
+template texts. Headings stay, also equal ones, and so do titles in an article's header.
+
+Wrappers depend on the order of alignment: pages as they stand in a task's rows, then the tasks' wrappers sorted.
 
 Null and empty pages have an empty text. Null urls, and urls without a host, share the host "".
 """
@@ -22,7 +27,8 @@ import html
 import itertools
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -31,9 +37,9 @@ from pyspark.sql import functions as F
 
 from ._spark import durable, scan
 
-#: Host facts up to this size are broadcast; beyond, pages are joined with them.
+#: Readers of hosts up to this size are broadcast; beyond, pages are joined with them.
 BROADCAST_BYTES = 32 << 20
-#: Pages that must share a text before it counts as the template's.
+#: Pages of different main texts that must share a text before it counts as the template's.
 TEMPLATE_PAGES = 3
 _HOSTS_HELD = 20_000
 
@@ -208,11 +214,13 @@ def likely_root(root: Node) -> Node:
         at = most[1]
 
 
-# --- wrappers: [sig, least, most, children]; least 0: optional, most 2: repeated
+# --- wrappers: [sig, least, most, children, facts]; least 0: optional, most 2: repeated; groups, of sig "(", have no facts.
+# In a page's outline the facts are the elements themselves; in a wrapper {t: its text ("": none, None: a slot), k: up to
+# TEMPLATE_PAGES main texts of pages that have it, v: pages whose main part it is}.
 
 
 def _outline(node: Node) -> list:
-    return _folded([[k.sig, 1, 1, _outline(k)] for k in node.kids if type(k) is not str])
+    return _folded([[k.sig, 1, 1, _outline(k), [k]] for k in node.kids if type(k) is not str])
 
 
 def _sig(node: list) -> str:
@@ -220,7 +228,14 @@ def _sig(node: list) -> str:
 
 
 def _merged(a: list, b: list) -> list:
-    return [a[0], min(a[1], b[1]), max(a[2], b[2]), a[3] if a[3] == b[3] else aligned(a[3], b[3])]
+    return [a[0], min(a[1], b[1]), max(a[2], b[2]), aligned(a[3], b[3]), *map(_both, a[4:], b[4:])]
+
+
+def _both(x: list | dict, y: list | dict) -> list | dict:
+    if type(x) is list:
+        return x + y
+    text = x["t"] if y["t"] in ("", x["t"]) else y["t"] if x["t"] == "" else None
+    return {"t": text, "k": [] if text is None else sorted({*x["k"], *y["k"]})[:TEMPLATE_PAGES], "v": x["v"] + y["v"]}
 
 
 def _folded(nodes: list) -> list:
@@ -233,7 +248,7 @@ def _folded(nodes: list) -> list:
                 pairs = [_merged(x, y) for x, y in zip(out[-2 * period : -period], out[-period:])]
                 del out[-2 * period :]
                 if period == 1:
-                    out.append([pairs[0][0], pairs[0][1], 2, pairs[0][3]])
+                    out.append([pairs[0][0], pairs[0][1], 2, *pairs[0][3:]])
                 else:
                     out.append(["(", 1, 2, pairs])
                     break
@@ -245,141 +260,179 @@ def _folded(nodes: list) -> list:
     return nodes
 
 
-def aligned(a: list, b: list) -> list:
-    """The narrowest sequence over both: longest common subsequence merged, the rest optional."""
-    if a == b:
-        return a
-    sa, sb = [_sig(x) for x in a], [_sig(x) for x in b]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
+def _steps(sa: list[str], sb: list[str]) -> Iterator[tuple[int | None, int | None]]:
+    """Places of both in order, paired along the longest common subsequence."""
+    if sa == sb:
+        yield from ((i, i) for i in range(len(sa)))
+        return
+    best = [[0] * (len(sb) + 1) for _ in range(len(sa) + 1)]
+    for i in range(len(sa) - 1, -1, -1):
+        for j in range(len(sb) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if sa[i] == sb[j] else max(best[i + 1][j], best[i][j + 1])
-    out: list = []
     i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and sa[i] == sb[j]:
-            out.append(_merged(a[i], b[j]))
+    while i < len(sa) or j < len(sb):
+        if i < len(sa) and j < len(sb) and sa[i] == sb[j]:
+            yield i, j
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
-            out.append([sa[i] if a[i][0] != "(" else "(", 0, a[i][2], a[i][3]])
+        elif j == len(sb) or (i < len(sa) and best[i + 1][j] >= best[i][j + 1]):
+            yield i, None
             i += 1
         else:
-            out.append([b[j][0], 0, b[j][2], b[j][3]])
+            yield None, j
             j += 1
+
+
+def aligned(a: list, b: list) -> list:
+    """The narrowest sequence over both: longest common subsequence merged, the rest optional."""
+    sa, sb = [_sig(x) for x in a], [_sig(x) for x in b]
+    if sa == sb:
+        return [_merged(x, y) for x, y in zip(a, b)]
+    out: list = []
+    for i, j in _steps(sa, sb):
+        if i is not None and j is not None:
+            out.append(_merged(a[i], b[j]))
+        else:
+            x = b[j] if i is None else a[i]
+            out.append([x[0], 0, *x[2:]])
     return _folded(out)
 
 
+def matched(wrapper: list, page: list) -> Iterator[tuple[list, list]]:
+    """Pairs of a wrapper's node and the node of a page's outline that it is aligned with."""
+    todo = [(wrapper, page)]
+    while todo:
+        a, b = todo.pop()
+        for i, j in _steps([_sig(x) for x in a], [_sig(x) for x in b]):
+            if i is not None and j is not None:
+                yield a[i], b[j]
+                if a[i][3] and b[j][3]:
+                    todo.append((a[i][3], b[j][3]))
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _said(members: list[Node]) -> str:
+    """Digest of the different texts that the elements hold themselves, in order."""
+    texts = dict.fromkeys(" ".join("".join(k for k in n.kids if type(k) is str).split()) for n in members)
+    texts.pop("", None)
+    return _digest("\n".join(texts)) if texts else ""
+
+
+def _noted(outline: list, key: str, main: Node | None) -> list:
+    """A page's outline as a wrapper; key: its main text's, main: its main part where it has to be inferred."""
+    out = []
+    for sig, least, most, kids, *members in outline:
+        facts = [{"t": t, "k": [key] if t else [], "v": int(any(n is main for n in m))} for m in members for t in (_said(m),)]
+        out.append([sig, least, most, _noted(kids, key, main), *facts])
+    return out
+
+
+def _nodes(tree: list) -> Iterator[list]:
+    for x in tree:
+        yield x
+        yield from _nodes(x[3])
+
+
 class Wrapper:
-    """What is known of a host: its expression, its texts by place, its pages, votes for its main part."""
+    """What is known of a host: its expression with texts and votes for the main part, and its pages."""
 
     def __init__(self) -> None:
         self.tree: list | None = None
-        self.texts: dict[str, str | None] = {}  # None: a slot
-        self.seen: dict[str, int] = {}  # pages that have a text there
-        self.roots: dict[str, int] = {}
+        self.whole = 0  # pages whose main part is all of them
         self.pages = 0
 
     def add(self, root: Node) -> None:
         self.pages += 1
-        tree = _outline(root)
+        main = marked_root(root)
+        inferred = likely_root(root) if main is None else None
+        key = _digest(" ".join(" ".join(k for n in _walk(main or inferred) for k in n.kids if type(k) is str).split()))
+        self._meet(_noted(_outline(root), key, inferred))
+        self.whole += inferred is root
+
+    def _meet(self, tree: list) -> None:
         self.tree = tree if self.tree is None else aligned(self.tree, tree)
-        said: dict[str, str | None] = {}
-        for path, text in texts_by_place(root):
-            said[path] = text if path not in said or said[path] == text else None
-        for path, text in said.items():
-            self.texts[path] = text if path not in self.texts or self.texts[path] == text else None
-            self.seen[path] = self.seen.get(path, 0) + 1
-        if marked_root(root) is None:
-            place = place_of(root, likely_root(root))
-            self.roots[place] = self.roots.get(place, 0) + 1
 
     def merge(self, other: Wrapper) -> None:
         self.pages += other.pages
+        self.whole += other.whole
         if other.tree is not None:
-            self.tree = other.tree if self.tree is None else aligned(self.tree, other.tree)
-        for path, text in other.texts.items():
-            self.texts[path] = text if path not in self.texts or self.texts[path] == text else None
-        for mine, theirs in ((self.seen, other.seen), (self.roots, other.roots)):
-            for k, n in theirs.items():
-                mine[k] = mine.get(k, 0) + n
+            self._meet(other.tree)
 
     def packed(self) -> str:
-        return json.dumps([self.tree, self.texts, self.seen, self.roots, self.pages])
+        return json.dumps([self.tree, self.whole, self.pages])
 
     @staticmethod
     def unpacked(said: str) -> Wrapper:
         w = Wrapper()
-        w.tree, w.texts, w.seen, w.roots, w.pages = json.loads(said)
+        w.tree, w.whole, w.pages = json.loads(said)
         return w
 
     def expression(self) -> str:
         """The wrapper as an expression: (x)? optional, (x)+ repeated, #slot or "text" where an element has text."""
 
-        def show(nodes: list, path: str) -> str:
+        def show(nodes: list) -> str:
             out = []
-            for sig, least, most, kids in nodes:
-                if sig == "(":
-                    inner = show(kids, path)
-                else:
-                    here = f"{path}/{sig}"
-                    text = "" if here not in self.texts else "#slot" if self.texts[here] is None else '"text"'
-                    inner = f"<{sig}>{text}{show(kids, here)}</>"
+            for sig, least, most, kids, *facts in nodes:
+                inner = show(kids)
+                if sig != "(":
+                    text = {"": "", None: "#slot"}.get(facts[0]["t"], '"text"')
+                    inner = f"<{sig}>{text}{inner}</>"
                 mark = {(1, 1): "", (0, 1): "?", (1, 2): "+", (0, 2): "*"}[least, most]
                 out.append(f"({inner}){mark}" if mark else inner)
             return "".join(out)
 
-        return show(self.tree or [], "")
-
-    def facts(self) -> tuple[str | None, list[str]]:
-        """Place of the main part where pages don't mark it, and places of template texts."""
-        root = max(sorted(self.roots), key=self.roots.__getitem__) if self.roots else None
-        return root, sorted(p for p, t in self.texts.items() if t is not None and self.seen[p] >= TEMPLATE_PAGES)
-
-
-def _digest(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-
-
-def texts_by_place(root: Node) -> Iterator[tuple[str, str]]:
-    """(place, digest of the whole text) of each element that holds text itself."""
-    todo = [(root, "")]
-    while todo:
-        n, path = todo.pop()
-        text = " ".join("".join(k for k in n.kids if type(k) is str).split())
-        if text:
-            yield path, _digest(text)
-        todo.extend((k, f"{path}/{k.sig}") for k in n.kids if type(k) is not str)
-
-
-def place_of(root: Node, node: Node) -> str:
-    todo = [(root, "")]
-    while todo:
-        n, path = todo.pop()
-        if n is node:
-            return path
-        todo.extend((k, f"{path}/{k.sig}") for k in n.kids if type(k) is not str)
-    return ""
+        return show(self.tree or [])
+
+    def reader(self) -> str | None:
+        """What pages are read with: the tree as far as it leads to template texts (t) or the main part (main); None without any."""
+        voted = max((x for x in _nodes(self.tree or []) if x[0] != "("), key=lambda x: x[4]["v"], default=None)
+        if voted is not None and voted[4]["v"] < max(1, self.whole):
+            voted = None
+
+        def pruned(nodes: list) -> tuple[list, bool]:
+            out, some = [], False
+            for x in nodes:
+                kids, below = pruned(x[3])
+                facts: dict = {}
+                if x[0] != "(":
+                    if x[4]["t"] and len(x[4]["k"]) >= TEMPLATE_PAGES:
+                        facts["t"] = x[4]["t"]
+                    if x is voted:
+                        facts["main"] = True
+                out.append([x[0], x[1], x[2], kids if below or x[0] == "(" else [], facts])
+                some = some or below or bool(facts)
+            return out, some
+
+        tree, some = pruned(self.tree or [])
+        whole = voted is None and self.whole > 0
+        return json.dumps([tree, whole]) if some or whole else None
+
+
+@lru_cache(256)
+def _unpacked(reader: str) -> tuple[list, bool]:
+    return tuple(json.loads(reader))
+
+
+def read_with(root: Node, reader: str) -> tuple[Node | None, set[int]]:
+    """The main part of a page that matches its host's wrapper there, and the elements (by id()) whose texts are the template's."""
+    tree, whole = _unpacked(reader)
+    mains, fixed = [root] if whole else [], set()
+    for x, y in matched(tree, _outline(root)):
+        if x[0] == "(":
+            continue
+        if "main" in x[4]:
+            mains += y[4]
+        if "t" in x[4] and _said(y[4]) == x[4]["t"]:
+            fixed |= {id(n) for n in y[4]}
+    return max(mains, key=_length, default=None), fixed
 
 
-def _at(root: Node, place: str) -> Node | None:
-    best: Node | None = None
-    todo = [(root, "")]
-    while todo:
-        n, path = todo.pop()
-        if path == place and (best is None or _length(n) > _length(best)):
-            best = n
-        todo.extend((k, p) for k in n.kids if type(k) is not str for p in (f"{path}/{k.sig}",) if place.startswith(p))
-    return best
-
-
-def text_of(root: Node, place: str | None = None, template: Iterable[str] = ()) -> str:
-    """The main text of a parsed page, with the facts of its host."""
-    main, fixed = marked_root(root), frozenset(template)
-    marked = main is not None
-    if main is None and place is not None:
-        main = _at(root, place)
-    if main is None:
-        main = likely_root(root)
+def text_of(root: Node, reader: str | None = None) -> str:
+    """The main text of a parsed page, read with its host's wrapper."""
+    main, fixed = read_with(root, reader) if reader else (None, set())
+    main = marked_root(root) or main or likely_root(root)
     blocks: list[str] = []
     held: list[str] = []
 
@@ -389,14 +442,13 @@ def text_of(root: Node, place: str | None = None, template: Iterable[str] = ())
             blocks.append(text)
         held.clear()
 
-    base = "" if marked or not fixed else place_of(root, main)
-    todo: list[tuple] = [(main, base, False)]
+    todo: list[tuple] = [(main, False)]
     while todo:
         item = todo.pop()
         if type(item) is str:
             held.append(item)
             continue
-        n, path, header = item
+        n, header = item
         if n is None:
             flush()
             continue
@@ -408,11 +460,11 @@ def text_of(root: Node, place: str | None = None, template: Iterable[str] = ())
         block = n.tag in BLOCKS
         if block:
             flush()
-            todo.append((None, "", False))
-        keep = (not header or n.tag in _HEADINGS) and not (not marked and n.tag not in _HEADINGS and path in fixed)
+            todo.append((None, False))
+        keep = n.tag in _HEADINGS or not header and id(n) not in fixed
         for k in reversed(n.kids):
             if type(k) is not str:
-                todo.append((k, f"{path}/{k.sig}" if fixed else "", header and n.tag not in _HEADINGS))
+                todo.append((k, header and n.tag not in _HEADINGS))
             elif keep:
                 todo.append(k)
     flush()
@@ -453,37 +505,36 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             yield out({host: w})
 
     local = pages.select(url_col, html_col).mapInArrow(fold, schema)
-    return local.repartition("host").sortWithinPartitions("host").mapInArrow(meet, schema)
+    return local.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(meet, schema)
 
 
-def host_facts(found: DataFrame) -> DataFrame:
-    """(host, place, template) of each wrapper, where it holds any."""
+def host_readers(found: DataFrame) -> DataFrame:
+    """(host, reader) of each wrapper that changes how a page is read."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        facts = [(h, *Wrapper.unpacked(w).facts()) for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        facts = [f for f in facts if f[1] is not None]  # pages that all mark their article need none
-        yield pa.record_batch([pa.array([f[0] for f in facts], pa.string()), pa.array([f[1] for f in facts], pa.string()), pa.array([f[2] for f in facts], pa.list_(pa.string()))], names=["host", "place", "template"])
+        got = [(h, r) for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in (Wrapper.unpacked(w).reader(),) if r is not None]
+        yield pa.record_batch([pa.array([h for h, _ in got], pa.string()), pa.array([r for _, r in got], pa.string())], names=["host", "reader"])
 
-    return scan(found, ["host", "wrapper"], run, "host string, place string, template array<string>")
+    return scan(found, ["host", "wrapper"], run, "host string, reader string")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, url, text) of every page."""
-    facts = durable(host_facts(wrappers(pages, url_col, html_col)))
-    size = facts.agg(F.sum(F.length("host") + F.length("place") + F.length(F.to_json("template")))).first()[0] or 0
+    readers = durable(host_readers(wrappers(pages, url_col, html_col)))
+    size = readers.agg(F.sum(F.length("host") + F.length("reader"))).first()[0] or 0
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     schema = f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string"
     names = [id_col, url_col, "text"]
 
-    def read(page: pa.Scalar, fact: tuple) -> str:
-        return text_of(parse(page.as_py() or ""), *fact)
+    def read(page: pa.Scalar, reader: str | None) -> str:
+        return text_of(parse(page.as_py() or ""), reader)
 
     if size <= broadcast_bytes:
-        known = {r["host"]: (r["place"], r["template"]) for r in facts.collect()}
+        known = {r["host"]: r["reader"] for r in readers.collect()}
         sent = pages.sparkSession.sparkContext.broadcast(known)
 
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts = [read(p, sent.value.get(host_of(u), ())) for u, p in zip(batch.column(1).to_pylist(), batch.column(2))]
+            texts = [read(p, sent.value.get(host_of(u))) for u, p in zip(batch.column(1).to_pylist(), batch.column(2))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=names)
 
         return scan(pages, [id_col, url_col, html_col], run, schema)
@@ -492,13 +543,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         yield pa.record_batch([*batch.columns, pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string())], names=[id_col, url_col, "html", "host"])
 
     named = scan(pages, [id_col, url_col, html_col], hosts, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, html string, host string")
-    joined = named.join(facts, "host", "left")
+    joined = named.join(readers, "host", "left")
 
     def run_joined(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist())
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([read(p, (place, t or ())) for p, place, t in rows], pa.string())], names=names)
+        rows = zip(batch.column(2), batch.column(3).to_pylist())
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([read(p, reader) for p, reader in rows], pa.string())], names=names)
 
-    return scan(joined, [id_col, url_col, "html", "place", "template"], run_joined, schema)
+    return scan(joined, [id_col, url_col, "html", "reader"], run_joined, schema)
 
 
 def report(texts: DataFrame) -> DataFrame:

@@ -235,6 +235,17 @@ def test_texts_that_differ_late_are_no_template(spark):
     assert sorted((r.page_id, r.text) for r in got) == [(i, f"The report of the harbour master for day {i}, in full and at length.") for i in range(6)]
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_marked_pages_are_read_with_the_wrapper(spark, limit):
+    lay = "<html><body><article><p>Filed by the desk</p><h1>T{0}</h1><p>First {0}.</p>{1}<hr><p>Write to us.</p><ul><li>Back</ul><ul><li>Up<li>Print</ul></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", lay.format(i, "<p>More.</p>" * (i % 3) + "<blockquote>Said</blockquote>" * (i == 4))) for i in range(6)]
+    rows += [(i, f"http://copies.example/{i}", "<article><p>Same in all copies.</p></article>") for i in range(6, 10)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_bytes=limit).collect()}
+    for i in range(6):
+        assert got[i] == "\n".join([f"T{i}", f"First {i}.", *["More."] * (i % 3), *["Said"] * (i == 4)])
+    assert {got[i] for i in range(6, 10)} == {"Same in all copies."}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.report(secrets.scan_secrets(none)).count() == licenses.report(licenses.scan_licenses(none)).count() == 0
