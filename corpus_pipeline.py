@@ -28,7 +28,7 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that the n-gram join links, the document of the smallest id; rows of null id stay."""
-    kept = ngram_join.ngram_join(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = ngram_join.ngram_join(docs, links=False).filter("component_id = doc_id").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left").filter("doc_id is null or __kept is not null").select(*docs.columns)
 
 

@@ -14,9 +14,11 @@ the smallest set of each shingle's list is enough to find cells, whatever the li
 Search. The whole sets of a cell meet in one task, small cells several at once, and cells beyond
 `BLOCK` shingles by pairs of blocks. There each set asks an inverted index for the sets that hold
 enough of its shingles: its longest lists are set aside, the short ones are merged by a heap, and sets that
-occur in them often enough are probed for in the long lists by binary search. Sets already linked by others
-are skipped, so a group of near copies costs a few probes each, not all pairs. A stated exact
-test follows: 100 * shared >= 100 t * union.
+occur in them often enough are probed for in the long lists by binary search. A stated exact
+test follows: 100 * shared >= 100 t * union. Every link between two classes is tested and counted, each pair in one
+place only: the one cell that holds both, and there in the pair of their blocks. Only where the numbers of links
+aren't asked for are sets skipped that others already link, so that a group of near copies costs a few probes
+each, not all pairs; components are the same.
 
 Null and empty texts have the empty set and link with nothing, nor do they have a partner. Rows of
 null id get a null component and link nothing. Rows that share an id are one document for links.
@@ -257,7 +259,8 @@ def _stars(prefixes: DataFrame, buckets: int) -> DataFrame:
 class Index:
     """Inverted lists over sets, numbered by size; finds and joins those that link."""
 
-    def __init__(self, ids: list, sets: list[np.ndarray], percent: int = PERCENT):
+    def __init__(self, ids: list, sets: list[np.ndarray], percent: int = PERCENT, weights: list[int] | None = None, blocks: list[int] | None = None):
+        """weights: documents of each set, by which links are counted; blocks: where given, only links between two of them are."""
         order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
         self.ids, self.sets, self.percent = [ids[i] for i in order], [sets[i] for i in order], percent
         self.size = np.array([len(s) for s in self.sets], np.int64)
@@ -271,18 +274,21 @@ class Index:
         self.run, self.starts, self.n = run, starts, n  # run: number of the list of each shingle, set by set
         self.ptr = np.concatenate([[0], np.cumsum(self.size)])
         self.root = np.arange(len(self.sets))
+        self.weight = np.array([weights[i] for i in order], np.int64) if weights is not None else None
+        self.block = np.array([blocks[i] for i in order], np.int64) if blocks is not None else None
+        self.order, self.links = order, np.zeros(len(self.sets), np.int64)
 
     def _lists(self, numbers: np.ndarray) -> list[np.ndarray]:
         return [self.owner[s:e] for s, e in zip(self.starts[numbers].tolist(), (self.starts[numbers] + self.n[numbers]).tolist())]
 
     def occurrences(self, x: int) -> tuple[np.ndarray, np.ndarray]:
-        """Larger sets of other groups that hold enough of x's shingles, and how many they share."""
+        """Larger sets that hold enough of x's shingles, and how many they share; only those of other groups if links aren't counted."""
         none = np.zeros(0, np.int64)
         n = int(self.size[x])
         lists = self.run[self.ptr[x] : self.ptr[x + 1]]
         lists = lists[self.n[lists] > 1]
         need, top = _least(n, self.percent), int(np.searchsorted(self.size, n * 100 // self.percent, "right"))
-        if len(lists) < need or top <= x + 1 or (self.root[x + 1 : top] == self.root[x]).all():
+        if len(lists) < need or top <= x + 1 or (self.weight is None and (self.root[x + 1 : top] == self.root[x]).all()):
             return none, none
         lists = lists[np.argsort(self.n[lists], kind="stable")]
         long = min(need - 1, int(need / (MU * math.log2(int(self.n[lists[-1]])) + 1)))
@@ -297,7 +303,9 @@ class Index:
             shared = count[ys]
         # 100 shared >= percent (n + size - shared)
         enough = shared + long >= -(-self.percent * (n + self.size[ys]) // (100 + self.percent))
-        ys, shared = ys[enough & (self.root[ys] != self.root[x])], shared[enough & (self.root[ys] != self.root[x])]
+        if self.weight is None:
+            enough &= self.root[ys] != self.root[x]
+        ys, shared = ys[enough], shared[enough]
         if not len(ys) or not long:
             return ys, shared
         parts = self._lists(rest)
@@ -316,6 +324,10 @@ class Index:
                 continue
             ys, shared = self.occurrences(x)
             ys = ys[100 * shared >= self.percent * (self.size[x] + self.size[ys] - shared)]
+            if self.weight is not None:
+                to = ys if self.block is None else ys[self.block[ys] != self.block[x]]
+                self.links[x] += self.weight[to].sum()
+                self.links[to] += self.weight[x]
             for q in np.unique(self.root[ys]).tolist():
                 p = int(self.root[x])
                 self.root[self.root == max(p, q)] = min(p, q)
@@ -327,23 +339,40 @@ class Index:
                 yield self.ids[i], least[r]
 
 
-def _search(members: DataFrame, kind: str, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among the members (grp, id, text) of each group."""
+def _search(members: DataFrame, kind: str, k: int, percent: int, links: bool) -> DataFrame:
+    """Links (a, b) among the members (grp, block, id, cid, docs, text) of each group, and where asked for (cid, links) of each class."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_pylist()
+        ids, cids = table.column("id").to_pylist(), table.column("cid").to_pylist()
+        docs, blocks = table.column("docs").to_pylist(), table.column("block").to_pylist()
         sets: list = [None] * len(ids)
         for row, s in shingle_sets(table.column("text").combine_chunks(), k):
             sets[row] = s
-        got = list(Index(ids, sets, percent).join())
+        weights = None
+        if links:
+            first: dict[int, int] = {}  # rows that share an id and a text, or an id alone, count once or not at all
+            for row, s in enumerate(sets):
+                if _class(s)[0] == cids[row]:
+                    first.setdefault(cids[row], row)
+            weights = [docs[row] if first.get(cids[row]) == row else 0 for row in range(len(ids))]
+        place = table.column("grp")[0].as_py().split(",")
+        index = Index(ids, sets, percent, weights, blocks if len(set(place[1:])) == 2 else None)
+        got = list(index.join())
         of = table.schema.field("id").type
-        return pa.table({"a": pa.array([a for a, _ in got], of), "b": pa.array([b for _, b in got], of)})
+        n = [(cids[row], x) for row, x in zip(index.order, index.links.tolist()) if weights is not None and weights[row] and x]
+        return pa.table({
+            "a": pa.array([a for a, _ in got] + [None] * len(n), of), "b": pa.array([b for _, b in got] + [None] * len(n), of),
+            "cid": pa.array([None] * len(got) + [c for c, _ in n], pa.int64()), "links": pa.array([None] * len(got) + [x for _, x in n], pa.int64()),
+        })
 
-    return members.groupBy("grp").applyInArrow(run, f"a {kind}, b {kind}")
+    return members.groupBy("grp").applyInArrow(run, f"a {kind}, b {kind}, cid bigint, links bigint")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: its id, n_shingles, and component_id, the smallest id that links reach."""
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, links: bool = True) -> DataFrame:
+    """One row per document: its id, n_shingles, component_id, the smallest id that links reach, and n_links, the other documents it links with.
+
+    Without `links` the last column is left out and not worked out.
+    """
     spark = docs.sparkSession
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -353,19 +382,25 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cells = components(_stars(_prefixes(counted, buckets), buckets))
 
     key = ["n", "cid", "a", "b"]
-    classes = named.filter("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"))
-    members = durable(classes.join(cells.select(F.col("v").alias("cid"), F.col("root").alias("cell")), "cid").select("rep", "n", "cell"))
+    classes = named.filter("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("docs"))
+    members = durable(classes.join(cells.select(F.col("v").alias("cid"), F.col("root").alias("cell")), "cid").select("rep", "n", "cid", "docs", "cell"))
     total = members.agg(F.sum("n")).first()[0] or 0
     wide = members.groupBy("cell").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     few = max(1, 2 * total // BLOCK, min(total // 50_000, spark.sparkContext.defaultParallelism * 2))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.concat_ws(",", F.col("cell"), F.least(o, block), F.greatest(o, block)))
-    placed = members.join(wide, "cell").select("rep", F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.pmod(F.xxhash64("cell"), F.lit(few)).cast("string"))).alias("grps"))
+    placed = members.join(wide, "cell").select("rep", "cid", "docs", block.alias("block"), F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.pmod(F.xxhash64("cell"), F.lit(few)).cast("string"))).alias("grps"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = _search(texts.join(placed, texts["id"] == placed["rep"]).select(F.explode("grps").alias("grp"), "id", "text"), kind, k, percent)
+    found = durable(_search(texts.join(placed, texts["id"] == placed["rep"]).select(F.explode("grps").alias("grp"), "block", "id", "cid", "docs", "text"), kind, k, percent, links))
 
-    linked = components(found)
-    groups = classes.join(linked.withColumnRenamed("v", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
+    linked = components(found.select("a", "b"))
+    groups = classes.join(linked.withColumnRenamed("v", "rep"), "rep", "left").select(*key, "docs", F.coalesce("root", "rep").alias("component_id"))
+    if links:
+        groups = groups.join(found.filter("cid is not null").groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
     every = named.join(groups, key, "left")
+    n_links = F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce("docs", F.lit(1)) - 1) if links else None
     # only sets without shingles, and rows without an id, have no class
-    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    return every.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
+        *([n_links.alias("n_links")] if links else []),
+    )

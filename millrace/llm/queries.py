@@ -44,6 +44,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), links=False)
+
+
+def op9_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
@@ -54,6 +58,6 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_license_scan, op3_exact_top_k, op4_line_dedup, op5_source_mix, op6_toxicity, op7_token_counts,
-        op8_decontamination, op9_ngram_jaccard_join, op10_html_extraction,
+        op8_decontamination, op9_ngram_jaccard_join, op9_ngram_jaccard_links, op10_html_extraction,
     )
 }

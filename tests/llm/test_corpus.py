@@ -168,6 +168,24 @@ def test_join(spark, monkeypatch, block, hot, merged):
     assert ngram_join.ngram_join(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block, merged", [(1 << 20, 512), (200, 0)])
+def test_links_are_counted(spark, monkeypatch, block, merged):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "MERGED", merged)
+    rnd = random.Random(8)
+    base = [[f"w{rnd.randrange(10**6)}" for _ in range(60)] for _ in range(3)]
+    rows = []
+    for i in range(90):
+        w = list(rnd.choice(base))
+        w[rnd.choice([0, 59, 30])] = f"x{rnd.randrange(4)}"
+        rows.append((i, " ".join(w), "s"))
+    rows += [(100, "", "s"), (101, "alone", "s"), (None, rows[0][1], "s"), (0, rows[0][1], "s")]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := t.split()) else set() for i, t, _ in rows if i is not None}
+    want = {i: sum(i != j and bool(a & b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    got = ngram_join.ngram_join(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.n_links for r in got} == want | {None: None} and max(want.values()) > 20
+
+
 def test_index_finds_all_links():
     for seed in range(40):
         rnd = random.Random(seed)
