@@ -4,10 +4,9 @@ A window is ten consecutive words of a benchmark item; an item of fewer words, b
 one window. The windows' hashes go to all executors, which look up every window of every text,
 compare the words of what they find, and mark them. A benchmark whose texts exceed
 `block_bytes` is split by item into blocks that don't, each scanned on its own, so that what
-is sent out stays bounded; a document's marks are then put together by its key.
+is sent out stays bounded; a row's marks are then put together by a key of its own, which is written with the rows before.
 
-Null texts have no words. Rows that agree in id and text are one document where blocks are put
-together, and give one row each otherwise. An item whose id is null is listed as "null"; equal
+Null texts have no words. Each row gives one row, also where ids and texts are equal. An item whose id is null is listed as "null"; equal
 ids are listed once. An empty benchmark hits nothing.
 """
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import scan
+from ._spark import scan, written
 from ._text import ALNUM, CHUNK_BYTES, Words, chunks, inside, windows
 
 BLOCK_BYTES = 16 << 20
@@ -122,14 +121,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     if len(blocks) == 1:
         return _scanned(docs, WindowSet(blocks[0], width), [id_col, text_col], f"`{id_col}` {kind}")
-    keyed = docs.select(id_col, F.xxhash64(id_col, text_col).alias("__key"), text_col)
+    keyed = written(docs.select(id_col, F.monotonically_increasing_id().alias("__key"), text_col))
     parts = [_scanned(keyed, WindowSet(b, width), [id_col, "__key", text_col], f"`{id_col}` {kind}, __key bigint") for b in blocks]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     merged = F.udf(lambda spans: _merged([tuple(s) for s in spans]), "array<struct<start:bigint,end:bigint>>")
-    return every.groupBy(id_col, "__key").agg(
-        F.max("n_words").alias("n_words"), merged(F.flatten(F.collect_list("spans"))).alias("spans"),
+    return every.groupBy("__key").agg(
+        F.first(id_col).alias(id_col), F.max("n_words").alias("n_words"), merged(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     ).drop("__key")
 
@@ -150,37 +149,70 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove!r}")
-    for block in _blocks(benchmark, block_bytes):
-        docs = _cut(docs, WindowSet(block, width), remove, text_col)
-    return docs
+    if remove == "documents":
+        for block in _blocks(benchmark, block_bytes):
+            docs = _without(docs, WindowSet(block, width), text_col)
+        return docs
+    columns, marks = docs.columns, docs
+    for n, block in enumerate(_blocks(benchmark, block_bytes)):
+        marks = _marked(marks, WindowSet(block, width), text_col, n > 0)
+    return _cut(marks, text_col).select(*columns)
+
+
+def _without(docs: DataFrame, known: WindowSet, text_col: str) -> DataFrame:
+    """The rows whose text holds no window."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, offs in chunks(batch.column(batch.schema.get_field_index(text_col)), CHUNK_BYTES):
+                w = Words(raw, offs, ALNUM)
+                keep = np.ones(j - i, bool)
+                keep[[int(np.searchsorted(w.ptr, s, "right")) - 1 for s, _, _ in sent.value.scan(w)]] = False
+                yield batch.slice(i, j - i).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+_BYTES = "__bytes"
 
 
-def _cut(docs: DataFrame, known: WindowSet, remove: str, text_col: str) -> DataFrame:
+def _marked(docs: DataFrame, known: WindowSet, text_col: str, marked: bool) -> DataFrame:
+    """The rows, their texts untouched, with the byte spans of windows of this block and those before."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
+    schema = docs.schema if marked else docs.select("*", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))).alias(_BYTES)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = batch.schema.get_field_index(text_col)
-            for i, j, raw, offs in chunks(batch.column(col), CHUNK_BYTES):
+            for i, j, raw, offs in chunks(batch.column(batch.schema.get_field_index(text_col)), CHUNK_BYTES):
                 part = batch.slice(i, j - i)
                 w = Words(raw, offs, ALNUM)
-                hit: dict[int, list[tuple[int, int]]] = {}
+                spans = [[(x["start"], x["end"]) for x in before] for before in part.column(part.num_columns - 1).to_pylist()] if marked else [[] for _ in range(j - i)]
                 for s, e, _ in sent.value.scan(w):
-                    hit.setdefault(int(np.searchsorted(w.ptr, s, "right")) - 1, []).append((int(w.starts[s]), int(w.ends[e - 1])))
-                if remove == "documents":
-                    keep = np.ones(j - i, bool)
-                    keep[list(hit)] = False
-                    part = part.filter(pa.array(keep))
-                elif hit:
-                    texts = part.column(col).to_pylist()
-                    for row, spans in hit.items():
-                        out, at = [], int(offs[row])
-                        for x in _merged(spans):
-                            out.append(raw[at : x["start"]])
-                            at = x["end"]
-                        texts[row] = b"".join([*out, raw[at : int(offs[row + 1])]]).decode()
-                    part = part.set_column(col, batch.schema.field(col), pa.array(texts, batch.schema.field(col).type))
-                yield part
+                    row = int(np.searchsorted(w.ptr, s, "right")) - 1
+                    spans[row].append((int(w.starts[s]) - int(offs[row]), int(w.ends[e - 1]) - int(offs[row])))
+                made = pa.array([_merged(x) for x in spans], _SPANS)
+                own = part.columns[: part.num_columns - marked]
+                yield pa.record_batch([*own, made], names=[*batch.schema.names[: len(own)], _BYTES])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _cut(docs: DataFrame, text_col: str) -> DataFrame:
+    """The rows with the marked bytes of their texts cut out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.schema.get_field_index(text_col)
+            texts, spans = batch.column(col).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            for row, cuts in enumerate(spans):
+                if cuts:
+                    raw, out, at = texts[row].encode(), [], 0
+                    for x in cuts:
+                        out.append(raw[at : x["start"]])
+                        at = x["end"]
+                    texts[row] = b"".join([*out, raw[at:]]).decode()
+            yield batch.set_column(col, batch.schema.field(col), pa.array(texts, batch.schema.field(col).type))
 
     return docs.mapInArrow(run, docs.schema)
 

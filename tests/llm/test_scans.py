@@ -122,6 +122,16 @@ def test_tags(spark):
 # --- benchmark windows
 
 
+def test_blocks_of_the_benchmark_change_nothing(spark):
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "b c", "x y", "p q", "q p"])], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "x p q y z"), (3, None)], "doc_id long, text string")
+    for size in (1 << 20, 120):
+        got = decontaminate.report(decontaminate.find_overlaps(rows, bench, block_bytes=size)).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got) == [(1, 4, 3, 2), (1, 4, 3, 2), (2, 5, 2, 1), (3, 0, 0, 0)]
+        cut = decontaminate.decontaminate(rows, bench, remove="spans", block_bytes=size).collect()
+        assert sorted((r.doc_id, r.text or "") for r in cut) == [(1, " d"), (1, " d"), (2, "x  y z"), (3, "")]
+
+
 def brute_hits(text, items, width=10):
     w, hit, found = words_of(text), set(), set()
     for item, said in items:
