@@ -5,7 +5,7 @@ words stand one after another counts. What follows an identifier tag up to the l
 parsed as an expression of licences with AND, OR, WITH and brackets (WITH binds closest, then
 AND, then OR) and evaluated: OR takes the side that asks least of a user, AND the side that asks
 most, WITH an exception asks one step less. A tag whose expression can't be parsed gives the
-licences that it names and the class `unknown`.
+licences that it names up to where parsing breaks off, and the class `unknown`.
 
 Null texts are empty: no words, no labels, score 0.
 """
@@ -71,8 +71,8 @@ def asks(name: str) -> int:
     return next((n for start, n in ASKS if name.startswith(start)), _UNKNOWN)
 
 
-def parse(expression: str) -> tuple[list[str], int] | None:
-    """Licences named, sorted, and the class of the whole by shunting-yard; None if it isn't an expression.
+def read(expression: str) -> tuple[list[str], int | None]:
+    """Licences named up to where parsing ends, sorted, and the class of the whole by shunting-yard; None if it isn't an expression.
 
     Words that follow a complete expression, such as the end of a comment, end it.
     """
@@ -91,7 +91,7 @@ def parse(expression: str) -> tuple[list[str], int] | None:
             if part == "(":
                 waiting.append(part)
             elif part == ")" or part in _BINDS:
-                return None
+                return sorted(names), None
             else:
                 exception = bool(waiting) and waiting[-1] == "with"
                 values.append((0 if exception else asks(part), part))
@@ -100,7 +100,7 @@ def parse(expression: str) -> tuple[list[str], int] | None:
                 operand = False
         elif part in _BINDS:
             if part == "with" and not values[-1][1]:
-                return None  # an exception goes with one licence
+                return sorted(names), None  # an exception goes with one licence
             while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= _BINDS[part]:
                 apply()
             waiting.append(part)
@@ -116,12 +116,18 @@ def parse(expression: str) -> tuple[list[str], int] | None:
             break
         at = m.end()
     if operand or "(" in waiting:
-        return None
+        return sorted(names), None
     while waiting:
         apply()
     return sorted(names), values[0][0]
 
 
+def parse(expression: str) -> tuple[list[str], int] | None:
+    """As read(), None for what isn't an expression."""
+    names, kind = read(expression)
+    return None if kind is None else (names, kind)
+
+
 @lru_cache(1)
 def _automaton() -> ahocorasick.Automaton:
     made = ahocorasick.Automaton()
@@ -150,9 +156,9 @@ def find(text: bytes) -> dict:
     expressions = []
     for m in _TAGGED.finditer(text) if tagged else ():
         said = m[1].decode("utf-8", "replace")
-        names, kind = parse(said) or (sorted({p.lower() for p in _PART.findall(said)[:1]} - {"(", ")", *_BINDS}), _UNKNOWN)
+        names, kind = read(said)
         labels |= {*names}
-        expressions.append({"expression": said.strip(), "licenses": names, "class": CLASSES[kind]})
+        expressions.append({"expression": said.strip(), "licenses": names, "class": CLASSES[_UNKNOWN if kind is None else kind]})
         doubt *= 0.05
     return {"n_words": len(low), "places": [{"word": w, "label": x} for w, x in places], "labels": sorted(labels), "expressions": expressions, "score": 1 - doubt}
 

@@ -119,6 +119,12 @@ def test_tags(spark):
     assert licenses.find(b"SPDX-License-Identifier: (broken")["expressions"][0]["class"] == "unknown"
 
 
+@pytest.mark.parametrize("said, names", [("(MIT OR Apache-2.0", ["apache-2.0", "mit"]), ("MIT AND (Apache-2.0 OR", ["apache-2.0", "mit"]), ("(MIT OR ISC) WITH x", ["isc", "mit"]), ("AND MIT", [])])
+def test_broken_expressions_name_licenses(said, names):
+    found = licenses.find(f"SPDX-License-Identifier: {said}\n".encode())
+    assert found["labels"] == names and found["expressions"][0]["class"] == "unknown"
+
+
 # --- benchmark windows
 
 
