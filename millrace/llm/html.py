@@ -1,23 +1,24 @@
 """HTML extraction: wrappers inferred host by host, then each page's article read with them.
 
 A page becomes a stream of structural tags and texts, closed as browsers would. Pages of a host are
-aligned one after another with the host's wrapper, a union-free expression over such streams:
-what matches is merged, neighbours of equal structure are merged to a repeated group, what one side lacks
-becomes optional, and texts that differ become slots; texts that don't are the template's. Each
-task folds its own pages, then the tasks' wrappers are aligned with each other in the same way, one at a
-time, so any number of pages of a host takes the memory of one wrapper.
+aligned one after another with the host's wrapper, a union-free expression over such streams (see
+wrapper.py). Each task folds its own pages, then the tasks' wrappers of a host are aligned with each other in
+the same way, in two rounds, so any number of pages of a host takes the memory of one wrapper.
 
 Each page is matched with its host's wrapper by the same alignment, whether it marks its article or not.
 Texts that match a template's are left out; what matches slots stays. A template's text is one that no page
-has otherwise at its place of the wrapper, and that pages of three different main texts share; of a repeated
-element it is all texts in a row. Pages that mark no article take as their main part what matches
+has otherwise at its place of the wrapper, that an eighth of the host's pages have, and three pages among them whose main
+texts are no near copies of each other (by a sketch of word shingles); of a repeated
+element it is all texts in a row, the first, or the last. Pages that mark no article take as their main part what matches
 the element that most such pages of the host have theirs in. A page's text is that of its main part, without
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers, and
 template texts. Headings stay, also equal ones, and so do titles in an article's header.
 
 Wrappers depend on the order of alignment: pages as they stand in a task's rows, then the tasks' wrappers sorted.
 
-Null and empty pages have an empty text. Null urls, and urls without a host, share the host "".
+Null and empty pages have an empty text. Null urls, and urls without a host, have no wrapper: such pages are read on
+their own. Each row gives one row, also where ids, urls and pages are equal; null ids stay null. No step recurses or
+looks at all pairs, so pages of any depth and length are read.
 """
 
 from __future__ import annotations
@@ -25,23 +26,26 @@ from __future__ import annotations
 import hashlib
 import html
 import itertools
-import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import durable, scan
+from ._text import BLANK, Words, mix, windows
+from .wrapper import GROUP, Part, Wrapper, matched, outline, read
 
 #: Readers of hosts up to this size are broadcast; beyond, pages are joined with them.
 BROADCAST_BYTES = 32 << 20
-#: Pages of different main texts that must share a text before it counts as the template's.
-TEMPLATE_PAGES = 3
-_HOSTS_HELD = 20_000
+#: Parts of wrappers that a task holds before it hands them on.
+_PARTS_HELD = 400_000
+#: First-round tasks that a host's wrappers are dealt to.
+_SPREAD = 64
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>|([^<]++|<)", re.S
@@ -70,16 +74,26 @@ _READERS = frozenset(("comment", "comments", "commentlist", "disqus", "reply", "
 _HEADER = frozenset(("header", "masthead", "pageheader", "topbar"))
 _MAIN = ("article", "main", "articlebody", "content", "post", "entry", "story")
 _CLOSED_BY = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_STOPS = frozenset(("ul", "ol", "dl", "table", "article", "main", "section", "body", "html", "div", "td", "select"))
+_PARAGRAPHS = frozenset(("p", "pre", "blockquote"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Node:
-    __slots__ = ("tag", "words", "bad", "kids", "sig")
+    """An element. Of what is below it, measured(): size, characters of text; said, those in paragraphs that are seen; holds, whether an article, a main part or a title is."""
+
+    __slots__ = ("tag", "words", "bad", "kids", "sig", "size", "said", "holds")
 
     def __init__(self, tag: str, words: frozenset[str], bad: bool):
         self.tag, self.words, self.bad, self.kids = tag, words, bad, []
         self.sig = tag + ("." + ".".join(sorted(w for w in words if not w.isdigit())) if words else "")
+        self.size = self.said = 0
+        self.holds = False
+
+    def seen(self) -> bool:
+        """Not dropped: marks of an element that holds the main part, such as a layout named for its sidebar, can't mean all of it."""
+        if not self.bad and self.tag != "header":
+            return True
+        return self.holds and self.tag not in DROPPED and _READERS.isdisjoint(self.words)
 
 
 _NO_WORDS: frozenset[str] = frozenset()
@@ -100,333 +114,191 @@ def _described(tag: str, said: str) -> tuple[frozenset[str], bool]:
     return frozenset(words), bad or (tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(words)) or not _READERS.isdisjoint(words)
 
 
+class _Stack:
+    """Open elements, and where those of each tag and the blocks stand."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.at[self.nodes.pop().tag].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def place(self, tag: str) -> int:
+        """Of the innermost element of this tag; 0 if none is open."""
+        return self.at[tag][-1] if self.at.get(tag) else 0
+
+
 def parse(page: str) -> Node:
-    """The tree of blocks, dropped elements and texts; tags within a line leave no node."""
+    """The tree of blocks, dropped elements and texts, measured; tags within a line leave no node."""
     root = Node("", _NO_WORDS, False)
-    stack, at, end = [root], 0, len(page)
+    stack, at, end, last = _Stack(root), 0, len(page), page.rfind(">")
     while at < end:
+        if at > last:  # no tag ends here
+            stack.nodes[-1].kids.append(page[at:] if page[at] != "<" else "")
+            break
         m = _TOKEN.match(page, at)
         if m is None:
             break
         at = m.end()
+        top = stack.nodes[-1]
         if m[7] is not None:
-            stack[-1].kids.append(m[7])
+            top.kids.append(m[7])
             continue
         tag = m[2] or m[5]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag in BLOCKS or not any(n.tag in BLOCKS for n in stack[i + 1 :]):
-                        del stack[i:]
-                    break
-            else:
-                if tag in BLOCKS:
-                    stack[-1].kids.append(Node("hr", _NO_WORDS, False))
+            place = stack.place(tag)
+            if place and (tag in BLOCKS or place > stack.blocks[-1]):
+                stack.cut(place)
+            elif not place and tag in BLOCKS:
+                top.kids.append(Node("hr", _NO_WORDS, False))
             continue
         if tag == "br":
-            stack[-1].kids.append(" ")
+            top.kids.append(" ")
             continue
         raw = _RAW_END.get(tag)
         if raw:
             close = raw.search(page, at)
             at = close.end() if close else end
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and stack.place(tag):
             continue
         words, bad = _described(tag, m[3] or m[6] or "")
         if tag not in BLOCKS and not bad:
             continue
         if tag in BLOCKS:
-            if stack[-1].tag == "p" or (tag in _HEADINGS and stack[-1].tag in _HEADINGS):
-                stack.pop()
-            closed = _CLOSED_BY.get(tag)
-            if closed:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in closed:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _STOPS and stack[i].tag not in closed:
-                        break
-        if tag in ("body",) and stack[-1].tag == "head":
-            stack.pop()
+            if top.tag == "p" or (tag in _HEADINGS and top.tag in _HEADINGS):
+                stack.cut(len(stack.nodes) - 1)
+            closed = _CLOSED_BY.get(tag, ())
+            while stack.nodes[stack.blocks[-1]].tag in closed:
+                stack.cut(stack.blocks[-1])
+        if tag == "body" and stack.nodes[-1].tag == "head":
+            stack.cut(len(stack.nodes) - 1)
         node = Node(tag, words, bad)
-        stack[-1].kids.append(node)
+        stack.nodes[-1].kids.append(node)
         if tag not in VOID:
-            stack.append(node)
-    return root
-
-
-def _walk(node: Node) -> Iterator[Node]:
-    todo = [node]
-    while todo:
-        n = todo.pop()
-        yield n
-        todo.extend(k for k in reversed(n.kids) if type(k) is not str)
-
+            stack.push(node)
+    return _measured(root)
 
-def _length(node: Node) -> int:
-    return sum(len(k) for n in _walk(node) for k in n.kids if type(k) is str and not k.isspace())
 
-
-def _holds_main(node: Node) -> bool:
-    """Whether the marks of an element can't mean what is in it, such as a page's layout named for its sidebar."""
-    return _READERS.isdisjoint(node.words) and any(n.tag in ("article", "main", "h1") for n in _walk(node) if n is not node)
+def _measured(root: Node) -> Node:
+    order = list(_walk(root))
+    for n in reversed(order):
+        below = [k for k in n.kids if type(k) is not str]
+        n.size = sum(len(k) for k in n.kids if type(k) is str and not k.isspace()) + sum(k.size for k in below)
+        n.holds = any(k.holds or k.tag in ("article", "main", "h1") for k in below)
+        n.said = n.size if n.tag in _PARAGRAPHS else sum(k.said for k in below if k.seen())
+    return root
 
 
-def _visible(node: Node, article: bool = False) -> Iterator[Node]:
-    """Elements outside what is dropped, in page order."""
+def _walk(node: Node, seen: bool = False) -> Iterator[Node]:
+    """The element and those below, in page order; if asked for, only what is seen."""
     todo = [node]
     while todo:
         n = todo.pop()
-        if n.bad and n is not node and not (n.tag not in DROPPED and _holds_main(n)):
-            continue
-        if n.tag == "header" and n is not node and not article and not _holds_main(n):
-            continue
         yield n
-        todo.extend(k for k in reversed(n.kids) if type(k) is not str)
+        todo.extend(k for k in reversed(n.kids) if type(k) is not str and (not seen or k.seen()))
 
 
 def marked_root(root: Node) -> Node | None:
     """The element that the page itself marks as its article."""
-    seen = list(_visible(root))
+    seen = [n for n in _walk(root, True) if n.size]
     for found in ([n for n in seen if n.tag == "article"], [n for n in seen if n.tag == "main" or "main" in n.words and n.tag != "body"], [n for n in seen if "articlebody" in n.words]):
-        outer = [n for n in found if _length(n)]
-        if outer:
-            return max(outer, key=_length)
+        if found:
+            return max(found, key=lambda n: n.size)
     return None
 
 
 def likely_root(root: Node) -> Node:
     """The deepest element that holds most of the text in paragraphs, or one whose name says so."""
-    named = [n for n in _visible(root) if n.tag not in ("", "html", "body") and not n.words.isdisjoint(_MAIN)]
-    if named and _length(best := max(named, key=_length)):
+    best = max((n for n in _walk(root, True) if n.tag not in ("", "html", "body") and not n.words.isdisjoint(_MAIN)), key=lambda n: n.size, default=None)
+    if best is not None and best.size:
         return best
     at = root
     while True:
-        kids = [(sum(_length(p) for p in _visible(k) if p.tag in ("p", "pre", "blockquote")), k) for k in at.kids if type(k) is not str and not (k.bad and not _holds_main(k))]
-        total = sum(n for n, _ in kids)
-        most = max(kids, key=lambda x: x[0], default=(0, at))
-        if not total or most[0] < 0.7 * total or most[1].tag in ("p", "pre", "blockquote"):
+        kids = [k for k in at.kids if type(k) is not str and k.seen()]
+        total, most = sum(k.said for k in kids), max(kids, key=lambda k: k.said, default=at)
+        if not total or most.said < 0.7 * total or most.tag in _PARAGRAPHS:
             return at
-        at = most[1]
-
-
-# --- wrappers: [sig, least, most, children, facts]; least 0: optional, most 2: repeated; groups, of sig "(", have no facts.
-# In a page's outline the facts are the elements themselves; in a wrapper {t: its text ("": none, None: a slot), k: up to
-# TEMPLATE_PAGES main texts of pages that have it, v: pages whose main part it is}.
-
-
-def _outline(node: Node) -> list:
-    return _folded([[k.sig, 1, 1, _outline(k), [k]] for k in node.kids if type(k) is not str])
-
-
-def _sig(node: list) -> str:
-    return node[0] if node[0] != "(" else "(" + " ".join(_sig(k) for k in node[3]) + ")"
-
-
-def _merged(a: list, b: list) -> list:
-    return [a[0], min(a[1], b[1]), max(a[2], b[2]), aligned(a[3], b[3]), *map(_both, a[4:], b[4:])]
-
-
-def _both(x: list | dict, y: list | dict) -> list | dict:
-    if type(x) is list:
-        return x + y
-    text = x["t"] if y["t"] in ("", x["t"]) else y["t"] if x["t"] == "" else None
-    return {"t": text, "k": [] if text is None else sorted({*x["k"], *y["k"]})[:TEMPLATE_PAGES], "v": x["v"] + y["v"]}
-
-
-def _folded(nodes: list) -> list:
-    """Repeats of one to three neighbours become repeated groups."""
-    for period in (1, 2, 3):
-        out: list = []
-        for node in nodes:
-            out.append(node)
-            while len(out) >= 2 * period and [_sig(x) for x in out[-period:]] == [_sig(x) for x in out[-2 * period : -period]]:
-                pairs = [_merged(x, y) for x, y in zip(out[-2 * period : -period], out[-period:])]
-                del out[-2 * period :]
-                if period == 1:
-                    out.append([pairs[0][0], pairs[0][1], 2, *pairs[0][3:]])
-                else:
-                    out.append(["(", 1, 2, pairs])
-                    break
-            if period > 1 and len(out) > period and out[-1 - period][0] == "(" and _sig(out[-1 - period]) == "(" + " ".join(_sig(x) for x in out[-period:]) + ")":
-                group = [_merged(x, y) for x, y in zip(out[-1 - period][3], out[-period:])]
-                del out[-1 - period :]
-                out.append(["(", 1, 2, group])
-        nodes = out
-    return nodes
-
-
-def _steps(sa: list[str], sb: list[str]) -> Iterator[tuple[int | None, int | None]]:
-    """Places of both in order, paired along the longest common subsequence."""
-    if sa == sb:
-        yield from ((i, i) for i in range(len(sa)))
-        return
-    best = [[0] * (len(sb) + 1) for _ in range(len(sa) + 1)]
-    for i in range(len(sa) - 1, -1, -1):
-        for j in range(len(sb) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if sa[i] == sb[j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < len(sa) or j < len(sb):
-        if i < len(sa) and j < len(sb) and sa[i] == sb[j]:
-            yield i, j
-            i, j = i + 1, j + 1
-        elif j == len(sb) or (i < len(sa) and best[i + 1][j] >= best[i][j + 1]):
-            yield i, None
-            i += 1
-        else:
-            yield None, j
-            j += 1
-
-
-def aligned(a: list, b: list) -> list:
-    """The narrowest sequence over both: longest common subsequence merged, the rest optional."""
-    sa, sb = [_sig(x) for x in a], [_sig(x) for x in b]
-    if sa == sb:
-        return [_merged(x, y) for x, y in zip(a, b)]
-    out: list = []
-    for i, j in _steps(sa, sb):
-        if i is not None and j is not None:
-            out.append(_merged(a[i], b[j]))
-        else:
-            x = b[j] if i is None else a[i]
-            out.append([x[0], 0, *x[2:]])
-    return _folded(out)
-
-
-def matched(wrapper: list, page: list) -> Iterator[tuple[list, list]]:
-    """Pairs of a wrapper's node and the node of a page's outline that it is aligned with."""
-    todo = [(wrapper, page)]
-    while todo:
-        a, b = todo.pop()
-        for i, j in _steps([_sig(x) for x in a], [_sig(x) for x in b]):
-            if i is not None and j is not None:
-                yield a[i], b[j]
-                if a[i][3] and b[j][3]:
-                    todo.append((a[i][3], b[j][3]))
+        at = most
+
+
+def _text(node: Node) -> str:
+    return " ".join(" ".join(k for n in _walk(node) for k in n.kids if type(k) is str).split())
 
 
 def _digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def _said(members: list[Node]) -> str:
-    """Digest of the different texts that the elements hold themselves, in order."""
-    texts = dict.fromkeys(" ".join("".join(k for k in n.kids if type(k) is str).split()) for n in members)
-    texts.pop("", None)
-    return _digest("\n".join(texts)) if texts else ""
-
-
-def _noted(outline: list, key: str, main: Node | None) -> list:
-    """A page's outline as a wrapper; key: its main text's, main: its main part where it has to be inferred."""
-    out = []
-    for sig, least, most, kids, *members in outline:
-        facts = [{"t": t, "k": [key] if t else [], "v": int(any(n is main for n in m))} for m in members for t in (_said(m),)]
-        out.append([sig, least, most, _noted(kids, key, main), *facts])
-    return out
-
-
-def _nodes(tree: list) -> Iterator[list]:
-    for x in tree:
-        yield x
-        yield from _nodes(x[3])
-
-
-class Wrapper:
-    """What is known of a host: its expression with texts and votes for the main part, and its pages."""
-
-    def __init__(self) -> None:
-        self.tree: list | None = None
-        self.whole = 0  # pages whose main part is all of them
-        self.pages = 0
-
-    def add(self, root: Node) -> None:
-        self.pages += 1
-        main = marked_root(root)
-        inferred = likely_root(root) if main is None else None
-        key = _digest(" ".join(" ".join(k for n in _walk(main or inferred) for k in n.kids if type(k) is str).split()))
-        self._meet(_noted(_outline(root), key, inferred))
-        self.whole += inferred is root
-
-    def _meet(self, tree: list) -> None:
-        self.tree = tree if self.tree is None else aligned(self.tree, tree)
-
-    def merge(self, other: Wrapper) -> None:
-        self.pages += other.pages
-        self.whole += other.whole
-        if other.tree is not None:
-            self._meet(other.tree)
-
-    def packed(self) -> str:
-        return json.dumps([self.tree, self.whole, self.pages])
-
-    @staticmethod
-    def unpacked(said: str) -> Wrapper:
-        w = Wrapper()
-        w.tree, w.whole, w.pages = json.loads(said)
-        return w
-
-    def expression(self) -> str:
-        """The wrapper as an expression: (x)? optional, (x)+ repeated, #slot or "text" where an element has text."""
-
-        def show(nodes: list) -> str:
-            out = []
-            for sig, least, most, kids, *facts in nodes:
-                inner = show(kids)
-                if sig != "(":
-                    text = {"": "", None: "#slot"}.get(facts[0]["t"], '"text"')
-                    inner = f"<{sig}>{text}{inner}</>"
-                mark = {(1, 1): "", (0, 1): "?", (1, 2): "+", (0, 2): "*"}[least, most]
-                out.append(f"({inner}){mark}" if mark else inner)
-            return "".join(out)
-
-        return show(self.tree or [])
-
-    def reader(self) -> str | None:
-        """What pages are read with: the tree as far as it leads to template texts (t) or the main part (main); None without any."""
-        voted = max((x for x in _nodes(self.tree or []) if x[0] != "("), key=lambda x: x[4]["v"], default=None)
-        if voted is not None and voted[4]["v"] < max(1, self.whole):
-            voted = None
-
-        def pruned(nodes: list) -> tuple[list, bool]:
-            out, some = [], False
-            for x in nodes:
-                kids, below = pruned(x[3])
-                facts: dict = {}
-                if x[0] != "(":
-                    if x[4]["t"] and len(x[4]["k"]) >= TEMPLATE_PAGES:
-                        facts["t"] = x[4]["t"]
-                    if x is voted:
-                        facts["main"] = True
-                out.append([x[0], x[1], x[2], kids if below or x[0] == "(" else [], facts])
-                some = some or below or bool(facts)
-            return out, some
-
-        tree, some = pruned(self.tree or [])
-        whole = voted is None and self.whole > 0
-        return json.dumps([tree, whole]) if some or whole else None
+_ODDS = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
+
+
+def _sketch(text: str) -> str:
+    """Eight numbers of 16 bits, the least of as many hashes of the text's shingles of five words; near copies share most of them."""
+    raw = text.encode("utf-8", "surrogatepass")
+    h = Words(raw, np.array([0, len(raw)]), BLANK).hashes()
+    g = windows(h, min(5, len(h))) if len(h) else np.zeros(1, np.uint64)
+    return "".join(f"{int((g * odd).min()) >> 16 & 0xFFFF:04x}" for odd in _ODDS)
+
+
+def _own(n: Node) -> str:
+    return " ".join("".join(k for k in n.kids if type(k) is str).split())
+
+
+def _said(members: list[Node]) -> list[str]:
+    """Digests of the different texts that the elements hold themselves, in order, and of the first and the last."""
+    texts = [t for t in map(_own, members) if t]
+    return [_digest("\n".join(dict.fromkeys(texts))), _digest(texts[0]), _digest(texts[-1])] if texts else ["", "", ""]
+
+
+def noted(root: Node) -> tuple[list[Part], bool]:
+    """A page's outline with its facts, and whether its main part, where it has to be inferred, is all of it."""
+    main = marked_root(root)
+    inferred = likely_root(root) if main is None else None
+    key = _sketch(_text(main or inferred))
+    tree = outline(root)
+    todo = list(tree)
+    while todo:
+        p = todo.pop()
+        todo += p.kids
+        if p.sig != GROUP:
+            p.texts, p.votes, p.pages = _said(p.nodes), int(any(n is inferred for n in p.nodes)), 1
+            p.keys = [key] if p.texts[0] else []
+        p.nodes = None
+    return tree, inferred is root
 
 
 @lru_cache(256)
-def _unpacked(reader: str) -> tuple[list, bool]:
-    return tuple(json.loads(reader))
+def _unpacked(reader: str) -> tuple[list[Part], bool]:
+    return read(reader)
 
 
 def read_with(root: Node, reader: str) -> tuple[Node | None, set[int]]:
     """The main part of a page that matches its host's wrapper there, and the elements (by id()) whose texts are the template's."""
     tree, whole = _unpacked(reader)
     mains, fixed = [root] if whole else [], set()
-    for x, y in matched(tree, _outline(root)):
-        if x[0] == "(":
+    for x, y in matched(tree, outline(root)):
+        if x.sig == GROUP:
             continue
-        if "main" in x[4]:
-            mains += y[4]
-        if "t" in x[4] and _said(y[4]) == x[4]["t"]:
-            fixed |= {id(n) for n in y[4]}
-    return max(mains, key=_length, default=None), fixed
+        if x.votes:
+            mains += y.nodes
+        if any(x.texts):
+            same, telling = [a == b != "" for a, b in zip(x.texts, _said(y.nodes))], [n for n in y.nodes if _own(n)]
+            for nodes, alike in ((telling, same[0]), (telling[:1], same[1]), (telling[-1:], same[2])):
+                fixed |= {id(n) for n in nodes if alike}
+    return max(mains, key=lambda n: n.size, default=None), fixed
 
 
 def text_of(root: Node, reader: str | None = None) -> str:
@@ -471,11 +343,12 @@ def text_of(root: Node, reader: str | None = None) -> str:
     return "\n".join(blocks)
 
 
-def host_of(url: str | None) -> str:
+def host_of(url: str | None) -> str | None:
+    """The host of a url; None where there is none."""
     try:
-        return urlsplit(url or "").hostname or ""
+        return urlsplit(url or "").hostname or None
     except ValueError:
-        return ""
+        return None
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -487,17 +360,26 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Wrapper] = {}
+        parts = since = 0
         for b in batches:
             for url, page in zip(b.column(0).to_pylist(), b.column(1)):
-                held.setdefault(host_of(url), Wrapper()).add(parse(page.as_py() or ""))
-                if len(held) >= _HOSTS_HELD:
+                host = host_of(url)
+                if host is None:
+                    continue
+                tree, whole = noted(parse(page.as_py() or ""))
+                w = held.setdefault(host, Wrapper())
+                w.add(tree, whole)
+                since += len(tree) + 1
+                if since > _PARTS_HELD // 100:
+                    parts, since = sum(x.size() for x in held.values()), 0
+                if parts > _PARTS_HELD:
                     yield out(held)
-                    held = {}
+                    held, parts = {}, 0
         if held:
             yield out(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((h, w) for b in batches for h, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        rows = ((h, w) for b in batches for h, w in zip(b.column(0).to_pylist(), b.column(b.num_columns - 1).to_pylist()))
         for host, group in itertools.groupby(rows, key=lambda x: x[0]):
             w = Wrapper()
             for _, said in group:
@@ -505,7 +387,9 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             yield out({host: w})
 
     local = pages.select(url_col, html_col).mapInArrow(fold, schema)
-    return local.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(meet, schema)
+    spread = local.withColumn("at", F.pmod(F.xxhash64("wrapper"), F.lit(_SPREAD))).select("host", "at", "wrapper")
+    first = spread.repartition("host", "at").sortWithinPartitions("host", "wrapper").mapInArrow(meet, schema)
+    return first.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(meet, schema)
 
 
 def host_readers(found: DataFrame) -> DataFrame:
@@ -534,7 +418,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         sent = pages.sparkSession.sparkContext.broadcast(known)
 
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts = [read(p, sent.value.get(host_of(u))) for u, p in zip(batch.column(1).to_pylist(), batch.column(2))]
+            texts = [read(p, sent.value.get(host_of(u) or "")) for u, p in zip(batch.column(1).to_pylist(), batch.column(2))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=names)
 
         return scan(pages, [id_col, url_col, html_col], run, schema)

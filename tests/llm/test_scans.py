@@ -7,7 +7,7 @@ import re
 import pytest
 
 
-from millrace.llm import decontaminate, html, licenses, secrets, wordpiece
+from millrace.llm import decontaminate, html, licenses, secrets, wordpiece, wrapper
 
 ODD = [None, "", " ", "\x00", "é" * 40, "a" * 50_000, "\U0001f600 x", "\x85\xa0 "]
 
@@ -225,13 +225,105 @@ def test_page():
     assert [html.text_of(html.parse(t)) for t in ("", "plain", "<p", "</div><p>x", "<a href='>x", "<![CDATA[x]]>y")][:2] == ["", "plain"]
 
 
+def wrapped(pages):
+    w = wrapper.Wrapper()
+    for page in pages:
+        w.add(*html.noted(html.parse(page)))
+    return w
+
+
 def test_wrapper_groups():
-    w = html.Wrapper()
-    for page in ("<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><p>x</p><hr><p>z</p></div>", "<div><p>q</p></div>"):
-        w.add(html.parse(page))
-    assert w.expression().startswith("<div>") and "?" in w.expression() and "+" in w.expression() and w.pages == 3 and "#slot" in w.expression()
-    assert html.Wrapper.unpacked(w.packed()).expression() == w.expression()
-    assert html.aligned([["a", 1, 1, []], ["b", 1, 1, []]], [["b", 1, 1, []]]) == [["a", 0, 1, []], ["b", 1, 1, []]]
+    w = wrapped(("<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><p>x</p><hr><p>z</p></div>", "<div><p>q</p></div>"))
+    assert w.expression() == "<div>(<h1>#slot</>)?(<p>#slot</>)*(<hr></>)?(<p>#slot</>)?</>" and w.pages == 3
+    assert wrapper.Wrapper.unpacked(w.packed()).expression() == w.expression()
+    rows = wrapped(("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "<dl><dt>a<dd>b</dl>"))
+    assert rows.expression() == "<dl>(<dt>#slot</><dd>#slot</>)+</>"
+
+
+def longest(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_alignment_is_close_to_the_longest():
+    rnd = random.Random(5)
+    got = most = 0
+    for _ in range(300):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randrange(12))] for _ in range(2))
+        pairs = wrapper.common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        got, most = got + len(pairs), most + longest(a, b)
+    assert got >= 0.9 * most
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 10_000 + "<p>far down</p>" + "</div>" * 10_000
+    w = wrapped([deep] * 3)
+    assert html.text_of(html.parse(deep), w.reader()) == "far down" and wrapper.Wrapper.unpacked(w.packed()).expression() == w.expression()
+    rnd = random.Random(8)
+    kinds = [[rnd.choice(["p", "pre", "h2", "ul"]) for _ in range(50_000)] for _ in range(2)]
+    pages = ["".join(f"<{t}>{k}</{t}>" for k, t in enumerate(x)) for x in kinds]
+    assert html.text_of(html.parse(pages[0]), wrapped(pages).reader()) == "\n".join(map(str, range(50_000)))
+    assert len(html.text_of(html.parse("<b <b <i" * 100_000))) < 1_000_000
+    assert html.text_of(html.parse("<dl>" + "<dt>" * 50_000 + "</x>" * 50_000 + "end")) == "end"
+
+
+def test_rare_parts_are_let_go():
+    rnd = random.Random(9)
+    word = lambda: " ".join(rnd.choice("abcdefgh") * 3 for _ in range(12))
+    w = wrapped(f"<div class=k{''.join(rnd.choice('abcdefgh') for _ in range(8))}><p>{word()}</p></div><section><p>{word()}</p></section><div class=foot>Always</div>" for _ in range(600))
+    assert w.size() < 600 and "<section>" in w.expression() and "Always" not in html.text_of(html.parse("<p>x y z</p><div class=foot>Always</div>"), w.reader())
+
+
+#: Layouts without an article element and without telling names, each with the texts that are no main text; the same on every page of the host.
+LAYOUTS = {
+    "table": ("<table><tr><td><b>Daily Ledger</b><ul><li>One<li>Two</ul></td><td><h1>{t}</h1><p>{a}</p><p>{b}</p></td></tr><tr><td>Printed in town</td></tr></table>", ["Daily Ledger", "One", "Two", "Printed in town"]),
+    "divs": ("<body><div><div>Ledger of the day</div><div>Go to start</div></div><div><div><h1>{t}</h1><p>By our own staff</p><p>{a}</p><div>See also our other pages</div><p>{b}</p></div></div><div>All pages</div></body>", ["Ledger of the day", "Go to start", "By our own staff", "See also our other pages", "All pages"]),
+    "sections": ("<section><p>You read the weekly</p></section><section><h2>{t}</h2><blockquote>{a}</blockquote><pre>{b}</pre><dl><dt>Printed<dd>in town</dl></section><section><p>Bye for now</p></section>", ["You read the weekly", "Printed", "in town", "Bye for now"]),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts_without_marks(layout):
+    form, template = LAYOUTS[layout]
+    rnd = random.Random(layout)
+    say = lambda n: " ".join("".join(rnd.choice("aeiounrst") for _ in range(5)) for _ in range(n))
+    told = [(say(4), say(40), say(30)) for _ in range(8)]
+    pages = [form.format(t=t, a=a, b=b) for t, a, b in told]
+    reader = wrapped(pages).reader()
+    for page, (t, a, b) in zip(pages, told):
+        assert html.text_of(html.parse(page), reader) == f"{t}\n{a}\n{b}"
+    if layout != "table":  # the table's cell needs no wrapper
+        assert any(x in html.text_of(html.parse(pages[0])) for x in template)
+
+
+def test_alignment_decides(monkeypatch):
+    """With alignment switched off, template texts inside the main part stay."""
+    form, _ = LAYOUTS["divs"]
+    pages = [form.format(t=f"T{i}", a=f"Alpha {i} " * 9 + str(i), b=f"Beta {i} " * 9) for i in range(8)]
+    with_it = html.text_of(html.parse(pages[0]), wrapped(pages).reader())
+    monkeypatch.setattr(wrapper, "common", lambda a, b: [])
+    assert "See also our other pages" not in with_it
+    reader = wrapped(pages).reader()
+    assert "See also our other pages" in html.text_of(html.parse(pages[0]), reader)
+
+
+def test_near_copies_make_no_template():
+    body = "<article><h1>{0}</h1><p>{1} end {2}</p><ul><li>The same list in all editions</ul><p>{1}</p></article>"
+    rnd = random.Random(3)
+    long = " ".join(f"w{rnd.randrange(999)}" for _ in range(200))
+    pages = [body.format("Edition", long, i) for i in range(5)]
+    assert all("The same list in all editions" in html.text_of(html.parse(p), wrapped(pages).reader()) for p in pages)
+
+
+def test_clashing_columns_repeated_rows_and_nulls(spark):
+    rows = [(1, "http://h.example/", PAGE, "t", "h"), (1, "http://h.example/", PAGE, "t", "h"), (None, None, None, None, None), (2, "http://h.example/x", "", None, "x")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string")
+    got = sorted(((r.page_id or 0), r.n_chars) for r in html.report(html.extract(frame)).collect())
+    assert got[0] == (0, 0) and got[1] == got[2] and got[1][1] > 20 and got[3] == (2, 0)
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
