@@ -1,22 +1,25 @@
 """Licence scans: Aho-Corasick finds tags and notices, a shunting-yard parser weighs expressions.
 
 Words are compared lower-cased, whatever stands between them. Every place where a phrase's
-words stand one after another counts. What follows an identifier tag up to the line's end is
-parsed as an expression of licences with AND, OR, WITH and brackets (WITH binds closest, then
-AND, then OR) and evaluated: OR takes the side that asks least of a user, AND the side that asks
+words stand one after another counts. What follows an identifier tag up to the line's end, or to
+the next tag on the line, is parsed as an expression of licences with AND, OR, WITH and brackets (WITH binds closest, then
+AND, then OR; a slash between two names is an OR) and evaluated: OR takes the side that asks least of a user, AND the side that asks
 most, WITH an exception asks one step less. A tag whose expression can't be parsed gives the
-licences that it names up to where parsing breaks off, and the class `unknown`.
+licences that it names up to where parsing breaks off, and the class `unknown`; a tag that nothing follows on its line names none.
 
-Null texts are empty: no words, no labels, score 0.
+Null texts are empty: no words, no labels, score 0. Each row gives one row, also where ids, null ones too, and texts are equal; other
+columns play no part. The work is in proportion to a text's length.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,14 +59,16 @@ _BASE_SURE = 0.6
 
 #: How much a licence asks of a user, by the start of its identifier.
 ASKS = (
-    ("agpl", 4), ("gpl", 3), ("cc-by-sa", 3), ("lgpl", 2), ("mpl", 2), ("epl", 2), ("cddl", 2), ("cc-by-n", 5),
+    ("agpl", 4), ("gpl", 3), ("cc-by-sa", 3), ("lgpl", 2), ("mpl", 2), ("epl", 2), ("cddl", 2), ("cc-by-nc", 6), ("cc-by-nd", 5),
     ("apache", 1), ("mit", 1), ("bsd", 1), ("isc", 1), ("zlib", 1), ("bsl", 1), ("cc-by", 1), ("cc0", 0), ("unlicense", 0), ("0bsd", 0),
 )
-CLASSES = ("public-domain", "permissive", "weak-copyleft", "copyleft", "network-copyleft", "non-commercial", "unknown")
+CLASSES = ("public-domain", "permissive", "weak-copyleft", "copyleft", "network-copyleft", "no-derivatives", "non-commercial", "unknown")
 _UNKNOWN = len(CLASSES) - 1
 
-_TAGGED = re.compile(rb"spdx[^0-9A-Za-z\x80-\xff]+license[^0-9A-Za-z\x80-\xff]+identifier[^0-9A-Za-z\x80-\xff(]*([^\r\n]*)", re.I)
-_PART = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+_GAP = rb"[^0-9A-Za-z\x80-\xff\r\n]"
+_TAGGED = re.compile(rb"spdx%b+license%b+identifier(?:(?![(])%b)*" % (_GAP, _GAP, _GAP), re.I)
+_LINE_END = re.compile(rb"[\r\n]")
+_PART = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)|(?<=[A-Za-z0-9.+)])(/)(?=[A-Za-z0-9(])")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -86,7 +91,7 @@ def read(expression: str) -> tuple[list[str], int | None]:
 
     at, operand = 0, True
     while m := _PART.match(expression, at):
-        part = m[1].lower()
+        part = "or" if m[2] else m[1].lower()
         if operand:
             if part == "(":
                 waiting.append(part)
@@ -137,36 +142,44 @@ def _automaton() -> ahocorasick.Automaton:
     return made
 
 
+def _said(text: bytes) -> Iterator[bytes]:
+    """What follows each tag."""
+    tags = list(_TAGGED.finditer(text))
+    for m, after in zip(tags, [*tags[1:], None]):
+        end = after.start() if after else len(text)
+        stop = _LINE_END.search(text, m.end(), end)
+        yield text[m.end() : stop.start() if stop else end]
+
+
 def find(text: bytes) -> dict:
     """What a text's bytes (UTF-8) hold."""
     low = text.translate(ALNUM).split()
     norm = f" {b' '.join(low).decode('latin-1')} "
-    places, labels, doubt, tagged = [], set(), 1.0, False
+    words, named, labels, doubt, tagged = [], [], set(), 1.0, False
+    upto = counted = 0
     for end, phrase in _automaton().iter(norm):
         if phrase == _TAG:
             tagged = True
             continue
-        at = norm.count(" ", 0, end - len(phrase) - 1)
+        counted, upto = counted + norm.count(" ", upto, end), end  # words before the blank at the phrase's end
         if phrase in BASE:
-            places.append((at, BASE[phrase]))
+            words.append(counted - phrase.count(" ") - 1)
+            named.append(BASE[phrase])
             doubt *= 1 - _BASE_SURE
         if phrase in NOTICES:
             labels.add(NOTICES[phrase][0])
             doubt *= 1 - NOTICES[phrase][1]
     expressions = []
-    for m in _TAGGED.finditer(text) if tagged else ():
-        said = m[1].decode("utf-8", "replace")
+    for part in _said(text) if tagged else ():
+        said = part.decode("utf-8", "replace")
         names, kind = read(said)
         labels |= {*names}
         expressions.append({"expression": said.strip(), "licenses": names, "class": CLASSES[_UNKNOWN if kind is None else kind]})
         doubt *= 0.05
-    return {"n_words": len(low), "places": [{"word": w, "label": x} for w, x in places], "labels": sorted(labels), "expressions": expressions, "score": 1 - doubt}
+    return {"n_words": len(low), "words": words, "named": named, "labels": sorted(labels), "expressions": expressions, "score": 1 - doubt}
 
 
-_TYPE = pa.struct([
-    ("n_words", pa.int64()), ("places", pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))), ("labels", pa.list_(pa.string())),
-    ("expressions", pa.list_(pa.struct([("expression", pa.string()), ("licenses", pa.list_(pa.string())), ("class", pa.string())]))), ("score", pa.float64()),
-])
+_EXPRESSIONS = pa.list_(pa.struct([("expression", pa.string()), ("licenses", pa.list_(pa.string())), ("class", pa.string())]))
 SCHEMA = "n_words bigint, places array<struct<word:bigint,label:string>>, labels array<string>, expressions array<struct<expression:string,licenses:array<string>,class:string>>, score double"
 
 
@@ -177,9 +190,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = strings(batch.column(1)).cast(pa.large_binary())
-        found = pa.array([find(t.as_py()) for t in texts], _TYPE)
-        yield pa.record_batch([batch.column(0), *found.flatten()], names=[id_col, *(f.name for f in _TYPE)])
+        found = [find(t.as_py()) for t in strings(batch.column(1)).cast(pa.large_binary())]
+        of = lambda k, kind: pa.array([f[k] for f in found], kind)
+        starts = pa.array(np.cumsum([0, *(len(f["words"]) for f in found)]), pa.int32())
+        each = pa.StructArray.from_arrays([pa.array(itertools.chain.from_iterable(f[k] for f in found), kind) for k, kind in (("words", pa.int64()), ("named", pa.string()))], ["word", "label"])
+        yield pa.record_batch([
+            batch.column(0), of("n_words", pa.int64()), pa.ListArray.from_arrays(starts, each), of("labels", pa.list_(pa.string())), of("expressions", _EXPRESSIONS), of("score", pa.float64()),
+        ], names=[id_col, "n_words", "places", "labels", "expressions", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return scan(docs, [id_col, text_col], run, f"`{id_col}` {kind}, {SCHEMA}")

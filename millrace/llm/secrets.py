@@ -1,15 +1,19 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for what no pattern names.
 
-Each long token is read in the smallest encoding whose alphabet holds it. Three tests ask
-whether its symbols could be uniform draws from that alphabet: a chi-squared test of the
-symbol counts, a runs test about the alphabet's middle, and lag-one serial correlation.
-A token that they don't reject is weighed against text: the likelihood ratio of uniform
-draws to a model of words and numbers is, by Markov's inequality, a p-value of the
-hypothesis that the token is text. The step-up procedure of Benjamini and Hochberg runs over
-a document's tokens, each p-value divided by a weight in proportion to the token's length,
-so that short tokens, which the tests hardly tell apart, need more evidence.
-
-Null texts are empty and hold nothing; rows with equal or null ids are scanned on their own.
+Each long token is read in the smallest encoding whose alphabet holds it. A battery of three tests
+looks at its symbols, and each test gives two p-values: one of uniform draws from the alphabet, one of text.
+
+    chi-squared  counts of symbols against equal shares; counts of vowels, frequent, middling and rare consonants against text's
+    runs         runs about the alphabet's middle; changes between small letters, capitals, digits and signs against one in five
+    serial       lag-one correlation of symbols; that of vowels, which in text avoid each other
+
+A token is a finding if the battery doesn't reject uniform draws and does reject text. The three p-values of
+text, put together by Fisher's method, go through the step-up procedure of Benjamini and Hochberg over all of
+a document's long tokens, each divided by a weight in proportion to the token's length,
+so that short tokens, which the tests hardly tell apart, need more evidence. A token of digits alone is not told from a number.
+
+Null texts are empty and hold nothing; each row is scanned on its own, also where ids or texts are equal or ids are null; other
+columns play no part. The work is in proportion to a text's length, but for the sorting of its findings.
 """
 
 from __future__ import annotations
@@ -35,30 +39,25 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_LOOKS = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]")
-
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ALPHABETS = [
     (name, {c: i for i, c in enumerate(chars)}, re.compile(f"[{re.escape(chars)}]+"))
     for name, chars in (
-        ("hex", _DIGITS + "abcdef"), ("hex", _DIGITS + "ABCDEF"), ("base32", _UPPER + "234567"),
+        ("hex", _DIGITS + "abcdef"), ("hex", _DIGITS + "ABCDEF"), ("lower", _LOWER), ("upper", _UPPER), ("base32", _UPPER + "234567"),
         ("base36", _DIGITS + _LOWER), ("base36", _DIGITS + _UPPER), ("base62", _UPPER + _LOWER + _DIGITS),
         ("base64", _UPPER + _LOWER + _DIGITS + "+/"), ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
     )
 ]
-#: Letters of text per thousand, a to z.
-_LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
-#: Chances, in text, of going from a class to a class: lower, upper, digit, other.
-_GO = ((0.92, 0.02, 0.02, 0.04), (0.50, 0.42, 0.03, 0.05), (0.04, 0.02, 0.86, 0.08), (0.60, 0.20, 0.19, 0.01))
-
-
-def _class(c: str) -> int:
-    return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
+#: Letters of text per thousand, a to z; rare ones as often as in the language that has most of them.
+_LETTERS = (82, 19, 31, 51, 147, 22, 30, 61, 76, 6, 14, 55, 30, 78, 75, 30, 9, 65, 73, 90, 42, 18, 19, 4, 10, 11)
+#: Cells of letters, either case: vowels, frequent, middling and rare consonants.
+_CELLS = {c: k for k, chars in enumerate(("aeiou", "nrstldh", "cmgpbf", "jkqvwxyz")) for c in chars + chars.upper()}
+#: How often, in text, one symbol's class is not the next one's, and the correlation of vowels with the letter after.
+_CHANGES, _VOWELS = 0.2, -0.25
 
 
-_WITHIN = {c: math.log(n / 1003) for c, n in zip(_LOWER, _LETTERS)} | {c.upper(): math.log(n / 1003) for c, n in zip(_LOWER, _LETTERS)}
-_WITHIN |= {c: math.log(0.1) for c in _DIGITS} | {c: math.log(0.2) for c in "+/-_="}
-_LOG_GO = [[math.log(p) for p in row] for row in _GO]
+#: Text's shares of the cells.
+_SHARES = tuple(sum(n for c, n in zip(_LOWER, _LETTERS) if _CELLS[c] == k) / sum(_LETTERS) for k in range(4))
 
 
 def encoding(token: str) -> tuple[str, dict[str, int]] | None:
@@ -106,28 +105,74 @@ def serial(x: list[int]) -> float:
     return _two_sided((r + 1 / n) * math.sqrt(n))
 
 
-def text_p(token: str, k: int) -> float:
-    """Bound of the chance that text looks this much like uniform draws: exp(-log likelihood ratio)."""
-    ratio, was = 0.0, None
+def _class(c: str) -> int:
+    return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
+
+
+def text_cells(token: str) -> float | None:
+    """Chi-squared p-value of text's shares of the cells; None with too few letters to tell."""
+    seen = [0] * len(_SHARES)
     for c in token:
-        now = _class(c)
-        ratio -= math.log(k) + _WITHIN[c] + (_LOG_GO[was][now] if was is not None else math.log(0.25))
-        was = now
-    return math.exp(-ratio) if ratio > 0 else 1.0
+        if c in _CELLS:
+            seen[_CELLS[c]] += 1
+    n = sum(seen)
+    if n < 5:
+        return None
+    x = sum((s - n * q) ** 2 / (n * q) for s, q in zip(seen, _SHARES))
+    return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)  # three degrees of freedom
+
+
+def text_changes(token: str) -> float:
+    """Chance that text changes its class of symbols as often: an upper tail of the binomial distribution."""
+    kinds = [_class(c) for c in token]
+    n, x = len(kinds) - 1, sum(a != b for a, b in zip(kinds, kinds[1:]))
+    if x <= n * _CHANGES:
+        return 1.0
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(_CHANGES) + (n - x) * math.log1p(-_CHANGES))
+    total, odds = 0.0, _CHANGES / (1 - _CHANGES)
+    while x <= n and term > total * 1e-12:
+        total += term
+        term *= (n - x) / (x + 1) * odds
+        x += 1
+    return min(1.0, total)
+
+
+def text_vowels(token: str) -> float | None:
+    """Chance that vowels of text avoid each other as little, by the lag-one correlation within runs of letters; None with too few pairs."""
+    pairs = [(_CELLS[a] == 0, _CELLS[b] == 0) for a, b in zip(token, token[1:]) if a in _CELLS and b in _CELLS]
+    n = len(pairs)
+    p, q = sum(a for a, _ in pairs), sum(b for _, b in pairs)
+    spread = p * (n - p) * q * (n - q)
+    if n < 8 or not spread:
+        return None
+    r = (n * sum(a and b for a, b in pairs) - p * q) / math.sqrt(spread)
+    return 0.5 * math.erfc((r - _VOWELS) * math.sqrt(n / 2))
+
+
+def fisher(p: list[float | None]) -> float:
+    """One p-value for those that are there: minus twice the sum of their logarithms has two degrees of freedom for each."""
+    there = [max(v, 1e-300) for v in p if v is not None]
+    x = -sum(map(math.log, there))
+    return min(1.0, math.exp(-x) * sum(x**k / math.factorial(k) for k in range(len(there))))
+
+
+def battery(token: str) -> tuple[float, float] | None:
+    """p-values of uniform draws from the token's alphabet, and of text; None without an encoding."""
+    kind = encoding(token)
+    if kind is None:
+        return None
+    x, k = [kind[1][c] for c in token], len(kind[1])
+    return min(1.0, 3 * min(chi_squared(x, k), runs(x, k), serial(x))), fisher([text_cells(token), text_changes(token), text_vowels(token)])
 
 
 def random_tokens(text: str, reject: float = 0.001, fdr: float = 0.01) -> list[tuple[int, int, float]]:
-    """(start, end, p) of tokens that the battery takes for random and the step-up procedure for no text."""
+    """(start, end, p of text) of tokens that the battery finds to be random, under control of false findings."""
     found = []
     for m in _TOKEN.finditer(text):
         token = m[0].strip("=+/_-")
-        if len(token) < 16 or not _LOOKS.search(token) or not (kind := encoding(token)) or token.isdecimal():
-            continue
-        at = m.start() + m[0].index(token)
-        x = [kind[1][c] for c in token]
-        k = len(kind[1])
-        uniform = min(1.0, 3 * min(chi_squared(x, k), runs(x, k), serial(x)))
-        found.append((at, at + len(token), text_p(token, k), uniform))
+        if len(token) >= 16 and (p := battery(token)) is not None:
+            at = m.start() + m[0].index(token)
+            found.append((at, at + len(token), p[1], p[0]))
     if not found:
         return []
     mean = sum(e - s for s, e, _, _ in found) / len(found)
@@ -143,9 +188,19 @@ def find(text: str, reject: float = 0.001, fdr: float = 0.01) -> list[tuple[str,
     out = [("assign", m.start(), m.end(), 0.0) for m in (_ASSIGN.finditer(text) if named else ()) if len(m[2]) >= 6]
     out += [("access", m.start(), m.end(), 0.0) for m in _ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end(), 0.0) for m in _HEX.finditer(text)]
-    taken = [x[1:3] for x in out]
-    out += [("random", s, e, p) for s, e, p in random_tokens(text, reject, fdr) if all(e <= a or b <= s for a, b in taken)]
-    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
+    out.sort(key=lambda x: (x[1], KINDS.index(x[0])))
+    return sorted([*out, *(("random", *x) for x in _free(random_tokens(text, reject, fdr), out))], key=lambda x: (x[1], KINDS.index(x[0])))
+
+
+def _free(spans: list[tuple[int, int, float]], taken: list[tuple[str, int, int, float]]) -> Iterator[tuple[int, int, float]]:
+    """Spans that none of the taken ones overlaps; both sorted by start."""
+    at, upto = 0, -1  # upto: largest end of the taken spans that start before the span's end
+    for s, e, p in spans:
+        while at < len(taken) and taken[at][1] < e:
+            upto = max(upto, taken[at][2])
+            at += 1
+        if upto <= s:
+            yield s, e, p
 
 
 SCHEMA = "array<struct<kind:string,start:bigint,end:bigint,p:double>>"

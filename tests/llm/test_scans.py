@@ -3,10 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
-
 from millrace.llm import decontaminate, html, licenses, secrets, wordpiece, wrapper
 
 ODD = [None, "", " ", "\x00", "é" * 40, "a" * 50_000, "\U0001f600 x", "\x85\xa0 "]
@@ -68,6 +68,33 @@ def test_battery():
     assert secrets.encoding("deadbeef00")[0] == "hex" and secrets.encoding("a-b+") is None
 
 
+@pytest.mark.parametrize("name, token", [("text_cells", "qxkzvwjpfykqbzxwvgjkqzpx"), ("text_changes", "r4n1T7s2E9t5N3h8"), ("text_vowels", "eatrsniolhdeeatrsnoaldhteiuesrn")])
+def test_each_test_counts(monkeypatch, name, token):
+    """Switching one test off, by a p-value of one, changes what the control finds."""
+    p = secrets.battery(token)[1]
+    found = {f: getattr(secrets, f) for f in ("text_cells", "text_changes", "text_vowels")}
+    monkeypatch.setattr(secrets, name, lambda *_: 1.0)
+    assert secrets.battery(token)[1] > 2 * p
+    fdr = 1.5 * p
+    assert not secrets.random_tokens(token, 0, fdr)
+    monkeypatch.setattr(secrets, name, found[name])
+    assert secrets.random_tokens(token, 0, fdr)
+
+
+@pytest.mark.parametrize("name", ["chi_squared", "runs", "serial"])
+def test_each_test_can_veto(monkeypatch, name):
+    token = "Zk3Qw9Lx7Vb2Rt5Yh8Nc4Md6Pf1Gs"
+    assert secrets.random_tokens(token)
+    monkeypatch.setattr(secrets, name, lambda *_: 0.0)
+    assert not secrets.random_tokens(token)
+
+
+def test_keys_of_one_case_are_tested():
+    rnd = random.Random(11)
+    keys = ["".join(rnd.choice(chars) for _ in range(64)) for chars in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(50)]
+    assert sum(bool(secrets.random_tokens(k)) for k in keys) >= 95
+
+
 def test_redaction(spark):
     frame = documents(spark, [TEXTS[0], None, ""])
     rows = secrets.redact(frame).orderBy("doc_id").collect()
@@ -125,6 +152,30 @@ def test_broken_expressions_name_licenses(said, names):
     assert found["labels"] == names and found["expressions"][0]["class"] == "unknown"
 
 
+@pytest.mark.parametrize(
+    "said, names",
+    [
+        ("SPDX-License-Identifier:\nThis module parses rows", []), ("SPDX-License-Identifier: MIT/Apache-2.0", ["apache-2.0", "mit"]),
+        ("SPDX-License-Identifier: MIT // SPDX-License-Identifier: ISC\n", ["isc", "mit"]), ("SPDX-License-\nIdentifier: MIT", []),
+    ],
+)
+def test_tags_end_with_their_line(said, names):
+    assert licenses.find(said.encode())["labels"] == names
+
+
+def test_no_derivatives():
+    assert licenses.CLASSES[licenses.parse("CC-BY-ND-4.0")[1]] == "no-derivatives" and licenses.CLASSES[licenses.parse("CC-BY-NC-ND-4.0")[1]] == "non-commercial"
+
+
+def test_very_long_texts_take_time_in_proportion():
+    began = time.monotonic()
+    found = licenses.find(b"mit license word " * 1_200_000)
+    assert found["words"][-1] == 3 * 1_199_999 and len(found["words"]) == 1_200_000
+    assert len(secrets.find("token=abcdef1 " * 1_400_000)) == 1_400_000
+    assert len(licenses.find(b"SPDX-License-Identifier: MIT " * 100_000)["expressions"]) == 100_000
+    assert time.monotonic() - began < 60
+
+
 # --- benchmark windows
 
 
