@@ -66,16 +66,38 @@ def kept_lines(rows):
     return out
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_lines(spark, monkeypatch, hot):
+    monkeypatch.setattr(lines, "HOT_PLACES", hot)
     rnd = random.Random(2)
     rows = [(i, "\n".join(rnd.choice(["a", " b", "c ", "", "d\t", "e"]) for _ in range(rnd.randrange(14))), "s") for i in range(80)]
     rows += [(100, None, "s"), (101, "", "s"), (102, "x\ny", "s"), (103, "x\ny", "s"), (None, "q1\nq2\nq3", "s"), (104, "q1\nq2\nq3", "s"), rows[3]]
     docs = frame(spark, rows).withColumn("n_lines", F.lit("clash"))
     got = lines.dedup_lines(docs).collect()
     assert len(got) == len(rows) and {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == kept_lines(rows)
+    named = lines.dedup_lines(docs, counts=("n", "m"))
+    assert {r.n_lines for r in named.collect()} == {"clash"} and named.columns[-2:] == ["n", "m"]
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_frequent_windows_are_dealt_over_tasks(spark, monkeypatch):
+    """No salt of a passage that all documents hold has more than the bound's rows, give or take chance."""
+    monkeypatch.setattr(lines, "HOT_PLACES", 50)
+    seen = []
+    join = type(spark.range(0)).join
+    monkeypatch.setattr(type(spark.range(0)), "join", lambda self, other, on=None, how=None: (seen.append(self) if on == ["a", "b", "salt"] else None) or join(self, other, on, how))
+    docs = frame(spark, [(i, f"own {i}\nx\ny\nz", "s") for i in range(2000)])
+    assert lines.dedup_lines(docs).filter("n_removed = 3").count() == 1999
+    most = seen[0].groupBy("a", "b", "salt").count().agg(F.max("count")).first()[0]
+    assert most <= 2 * 50
+
+
+def test_very_long_documents(spark):
+    text = "\n".join(f"line {i} of a very long text, {i} of it" for i in range(200_000))
+    got = {r.doc_id: r for r in lines.dedup_lines(frame(spark, [(1, text, "s"), (2, text + "\nmore", "s")])).collect()}
+    assert got[1].n_removed == 0 and got[1].text == text and (got[2].text, got[2].n_removed) == ("more", 200_000)
+
+
 # --- mixing
 
 
