@@ -17,7 +17,7 @@ from ..operators.split import counts, prefix, train_valid_test
 from ..operators.tags import tags
 from ..sources.cache import embedded
 from ..sources.repository import span_files
-from ..sources.sinks import write_jsonl, write_splits, write_stats
+from ..sources.sinks import write_splits, write_stats
 from ..storage import durable
 
 SPAN_ORDER = ["source_path", "seq"]
@@ -41,10 +41,10 @@ def conversations(spark: SparkSession, root: str, out: str, embed: Callable[[lis
     """Parse, tag, embed, cluster, synthesise and write; the first tenth of the conversations is valid."""
     found = durable(clusters_of(spans_of(span_files(spark, root)), embed, config, cache=cache))
     made = durable(synthesis.conversations(found, writer, critic))
-    parted = durable(prefix(made, ["conversation_id"]))
+    parted = prefix(made, ["conversation_id"])
     row = counts(parted).first()
     stats = {"total": row["total"], "train": row["train"], "valid": row["valid"]}
-    write_splits(parted, out, "semantic", keep_nulls=True)
+    write_splits(parted, out, "semantic.", keep_nulls=True, order=("conversation_id",))
     write_stats(spark, f"{out}/semantic.stats.json", stats)
     return stats
 
@@ -59,11 +59,10 @@ def record_formats(spark: SparkSession, root: str, out: str, model: synthesis.Mo
     kept = answered.filter("status = 'kept'")
     stats: dict = {}
     for i, (kind, rows) in enumerate((("sft", formats.sft(kept, system)), ("dpo", formats.dpo(kept)), ("grpo", formats.grpo(kept)))):
-        parted = durable(train_valid_test(rows, "idx", seed + i))
+        parted = train_valid_test(rows, "idx", seed + i)
         row = counts(parted).first()
         stats[kind] = {"total": row["total"], "train": row["train"], "valid": row["valid"], "test": row["test"]}
-        for split in ("train", "valid", "test"):
-            write_jsonl(parted.filter(F.col("split") == split).orderBy("position").drop("split", "position", "idx"), f"{out}/{name}_{kind}_{split}.jsonl")
+        write_splits(parted, out, f"{name}_{kind}_", ("train", "valid", "test"), order=("rank", "idx"), drop=("idx",))
     n = answered.agg(F.count_if(F.col("status") == "kept").alias("k"), F.count_if(F.col("status") != "kept").alias("s")).first()
     stats |= {"success": n["k"], "skipped": n["s"]}
     write_stats(spark, f"{out}/{name}_stats.json", stats)

@@ -228,7 +228,8 @@ def a9_spans_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o5_split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.train_valid(_docs(spark, sf_dir).select("doc_id"), "doc_id").select("doc_id", "split", "position")
+    parted = split.train_valid(_docs(spark, sf_dir).select("doc_id"), "doc_id")
+    return split.numbered(parted, ["rank", "doc_id"], once=True).select("doc_id", "split", "position")
 
 
 def o5_split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,11 @@ def write_jsonl(rows: DataFrame, path: str, keep_nulls: bool = False, single: bo
     (rows.coalesce(1) if single else rows).write.mode("overwrite").option("ignoreNullFields", not keep_nulls).json(path)
 
 
-def write_splits(rows: DataFrame, folder: str, prefix: str, splits: tuple[str, ...] = ("train", "valid"), keep_nulls: bool = False) -> None:
-    """One folder of JSON lines for each split, all in the order of the split."""
+def write_splits(rows: DataFrame, folder: str, prefix: str, splits: tuple[str, ...] = ("train", "valid"), keep_nulls: bool = False, order: tuple[str, ...] = ("position",), drop: tuple[str, ...] = ()) -> None:
+    """One folder of JSON lines for each split, each in the order of the given columns; without `position` and `rank`."""
     for name in splits:
         part = rows.filter(rows["split"] == name)
-        part = part.orderBy("position") if "position" in rows.columns else part
-        write_jsonl(part.drop("split", "position"), f"{folder}/{prefix}.{name}.jsonl", keep_nulls)
+        write_jsonl(part.orderBy(*order).drop("split", "position", "rank", *drop), f"{folder}/{prefix}{name}.jsonl", keep_nulls)
 
 
 def write_text(spark: SparkSession, path: str, said: str) -> None:

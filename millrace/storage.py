@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The session's checkpoint folder; where none is set, a temporary one in local mode, as in tests, and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return sc.getCheckpointDir()
 
 
@@ -19,3 +28,10 @@ def durable(rows: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there."""
     shared_dir(rows.sparkSession)
     return rows.checkpoint(eager=True)
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """As durable(), as compressed Parquet, of which later steps read the columns that they need."""
+    path = f"{shared_dir(rows.sparkSession)}/millrace-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -54,13 +54,41 @@ def test_cap_then_dedupe(spark):
 def test_splits(spark, n):
     rows = spark.range(n).select(F.col("id"))
     found = split.train_valid(rows, "id")
-    assert sorted(r.position for r in found.collect()) == list(range(n))
+    ranked = sorted((r["rank"], r["split"]) for r in found.collect())
+    assert [s for _, s in ranked] == ["valid"] * split.n_valid(n) + ["train"] * (n - split.n_valid(n))
+    assert sorted(r.position for r in split.numbered(found, ["rank"]).collect()) == list(range(n))
     assert found.filter("split = 'valid'").count() == (max(1, int(n * 0.1)) if n else 0)
     assert split.prefix(rows, ["id"]).filter("split = 'valid'").count() == int(n * 0.1)
     three = {r["split"]: r["count"] for r in split.train_valid_test(rows, "id").groupBy("split").count().collect()}
     assert (three.get("train", 0), three.get("valid", 0)) == (int(n * 0.9), int(n * 0.95) - int(n * 0.9))
 
 
+@pytest.mark.parametrize(
+    "cut",
+    [
+        lambda r: split.train_valid(r, "id"), lambda r: split.train_valid_test(r, "id"), lambda r: split.prefix(r, ["id"]), lambda r: split.train_valid_exact(r, ["id"]),
+        lambda r: split.numbered(r, ["id"]),
+    ],
+)
+def test_splits_work_out_their_input_once(spark, cut):
+    tasks = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        tasks.add(1)
+        yield from batches
+
+    rows = cut(spark.range(100).repartition(3).mapInArrow(seen, "id long"))
+    assert rows.count() == 100 and rows.orderBy("id").count() == 100 and tasks.value == 3
+
+
+def test_ends_within_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(split, "_FEW", 2)
+    monkeypatch.setattr(split, "hash_rank", lambda seed, key: F.concat(F.lit("ab" * 8), F.substring(F.md5(key.cast("string")), 1, 16)))
+    found = split.train_valid(spark.range(500), "id")
+    order = sorted((r["rank"], r["split"]) for r in found.collect())
+    assert [s for _, s in order] == ["valid"] * 50 + ["train"] * 450
+
+
 def test_exact_split(spark):
     found = split.train_valid_exact(spark.range(10).select("id"), ["id"]).orderBy("position").collect()
     assert [r.id for r in found] == [7, 3, 0, 5, 1, 9, 2, 4, 6, 8] and [r["split"] for r in found][:2] == ["valid", "train"]
