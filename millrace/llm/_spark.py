@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import durable, shared_dir, written
+
+__all__ = ["durable", "scan", "shared_dir", "table", "written"]
+
 Scan = Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
 
 
@@ -23,28 +25,5 @@ def scan(frame: DataFrame, columns: list[str], fn: Scan, schema: str) -> DataFra
     return frame.select(*columns).mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set."""
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        own = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(own)
-        own = spark.sparkContext.getCheckpointDir()
-    return own
-
-
-def durable(frame: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows stand in the shared folder and outlive any executor."""
-    shared_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
-def written(frame: DataFrame) -> DataFrame:
-    """As durable(), as compressed Parquet; for large tables."""
-    path = f"{shared_dir(frame.sparkSession)}/millrace-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -33,7 +33,7 @@ WITH doc AS (
     (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents
 ), src AS (
-  SELECT source, sum(size)::BIGINT AS source_size, sum(size::DOUBLE * size) AS squares FROM doc GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size FROM doc GROUP BY source
 ), weighed AS (
   SELECT *, 1.0::DOUBLE + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 AS w, 3.0::DOUBLE * source_size AS cap FROM src
 ), tried AS (
@@ -43,17 +43,26 @@ WITH doc AS (
 ), level AS (
   SELECT ((SELECT sum(source_size) FROM src)::DOUBLE - coalesce(sum(cap) FILTER (WHERE cap / w <= edge), 0)) / sum(w) FILTER (WHERE cap / w > edge) AS v FROM weighed, filled
 ), plan AS (
-  SELECT source, source_size, squares, least(cap, v * w) AS target, CASE WHEN source_size > 0 THEN floor(least(cap, v * w) / source_size) ELSE 0 END AS whole FROM weighed, level
+  SELECT source, source_size, least(cap, v * w) AS target, CASE WHEN source_size > 0 THEN floor(least(cap, v * w) / source_size) ELSE 0 END AS whole FROM weighed, level
+), spared AS (
+  SELECT *, greatest(0.0, target - whole * source_size)::DOUBLE AS spare FROM plan
+), sized AS (
+  SELECT source, size, count(*) AS n FROM doc WHERE size > 0 GROUP BY source, size
+), down AS (
+  SELECT z.source, size, spare - coalesce(sum(size::HUGEINT * n) OVER (PARTITION BY z.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest,
+    (sum(size::HUGEINT * size * n) OVER (PARTITION BY z.source ORDER BY size ROWS UNBOUNDED PRECEDING))::DOUBLE AS squares
+  FROM sized z JOIN spared p ON z.source IS NOT DISTINCT FROM p.source WHERE spare > 0
+), fit AS (
+  SELECT source, max(size) AS tau, arg_max(rest, size) AS rest, arg_max(squares, size) AS squares FROM down WHERE rest * size < squares GROUP BY source
 ), ranked AS (
-  SELECT doc_id, d.source, size, source_size, target, whole, u, greatest(0.0, target - whole * source_size) AS spare,
-    least(1 - 1e-9, greatest(1e-12, greatest(0.0, target - whole * source_size) * size / squares))::DOUBLE AS chance
-  FROM doc d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT doc_id, d.source, size, source_size, target, whole, spare, u, tau, rest, least(1 - 1e-9, greatest(1e-12, rest / squares * size))::DOUBLE AS chance
+  FROM doc d JOIN spared p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN fit f ON d.source IS NOT DISTINCT FROM f.source
 ), ended AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY floor((ln(u / (1 - u)) - ln(chance / (1 - chance))) * 1048576.0), u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM ranked
+  SELECT *, sum(CASE WHEN size <= tau THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY floor((ln(u / (1 - u)) - ln(chance / (1 - chance))) * 1048576.0), u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM ranked
+), taken AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 WHEN spare > 0 AND size > coalesce(tau, 0) THEN whole + 1 WHEN rest > 0 AND size <= tau AND upto - size / 2.0 <= rest THEN whole + 1 ELSE whole END::BIGINT AS copies FROM ended
 )
-SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN whole + (spare > 0 AND upto - size / 2.0 <= spare)::INT ELSE 0 END::BIGINT AS copies,
-  (size * CASE WHEN size > 0 THEN whole + (spare > 0 AND upto - size / 2.0 <= spare)::INT ELSE 0 END)::BIGINT AS taken
-FROM ended
+SELECT doc_id, size, source_size, target, copies, (size * copies)::BIGINT AS taken FROM taken
 """
 
 _HITS = rf"""

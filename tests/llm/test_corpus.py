@@ -134,6 +134,31 @@ def test_mix(spark):
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mix(frame(spark, [(1, None, None)])).first().taken == 0
 
 
+def test_chances_meet_what_is_left(spark):
+    """Certain documents are taken out first; the others' chances are in proportion to their size, below one, and expect what is left."""
+    rnd = random.Random(4)
+    for left in (3.0, 500.0, 2500.0):
+        sizes = {rnd.randrange(1, 40): rnd.randrange(1, 9) for _ in range(20)} | {700: 2, 300: 1}
+        rows = [("s", k, n, left) for k, n in sizes.items()]
+        got = mixing._chances(spark.createDataFrame(rows, "source string, size long, n long, __left double"), True).first()
+        certain = sum(k * n for k, n in sizes.items() if k > got["__tau"])
+        chance = {k: got["__rate"] * k for k in sizes if k <= got["__tau"]}
+        assert all(p < 1 for p in chance.values()) and got["__rest"] == pytest.approx(left - certain)
+        assert certain + sum(sizes[k] * k * p for k, p in chance.items()) == pytest.approx(left)
+        above = sorted(k for k in sizes if k > got["__tau"])
+        rest = {k: n for k, n in sizes.items() if k <= (above[0] if above else 0)}  # the next one up would not fit
+        assert not above or (left - sum(k * sizes[k] for k in above[1:])) * above[0] >= sum(k * k * n for k, n in rest.items())
+
+
+def test_many_sources_and_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 2)
+    rows = [(i, "w " * (i % 7), f"s{i % 5}") for i in range(200)] + [(500, "word " * 1_000_000, "s1")]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and next(r.size for r in got if r.doc_id == 500) == 1_000_000
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 100)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(frame(spark, rows)).collect()))
+
+
 # --- components
 
 
