@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import ast
 import re
-from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.markdown import headings
+from ..functions.text import indent, lines, module_docstring
+
 PY_ITEM = "array<struct<kind:string,name:string,docstring:string,code:string>>"
 JS_ITEM = "array<struct<kind:string,name:string,jsdoc:string,code:string>>"
 SPAN = "array<struct<kind:string,content:string,line_start:int,line_end:int,name:string,title:string>>"
@@ -20,23 +22,42 @@ SPAN = "array<struct<kind:string,content:string,line_start:int,line_end:int,name
 MIN_SPAN = 400
 
 
+class _Definitions(ast.NodeVisitor):
+    """(depth, definition) of a tree, as they stand in the source. Only statements are visited: expressions hold no definitions, and may nest without limit."""
+
+    def __init__(self) -> None:
+        self.depth, self.found = 0, []
+
+    def generic_visit(self, node: ast.AST) -> None:
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            self.found.append((self.depth, node))
+        self.depth += 1
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.stmt, ast.excepthandler, ast.match_case)):
+                self.visit(child)
+        self.depth -= 1
+
+
 def python_items(text: str) -> list[dict]:
-    """The module, if it has a docstring, then all functions and classes, level by level; none if it doesn't parse."""
+    """The module, if it has a docstring, then all functions and classes, level by level; none if it doesn't parse.
+
+    Records are numbered in this order, so it is part of the result: nearer the root first, and as they stand within a depth.
+    """
+    seen = _Definitions()
     try:
         tree = ast.parse(text)
-        documented = ast.get_docstring(tree)
+        seen.visit(tree)
+        about = ast.get_docstring(tree)
     except Exception:  # whatever the parser can't stand is a file without items
         return []
     source = text.splitlines()
-    items = [{"kind": "Module", "name": None, "docstring": documented.strip(), "code": text}] if documented else []
-    level = deque([tree])
-    while level:
-        node = level.popleft()
-        level.extend(ast.iter_child_nodes(node))
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            code = "\n".join(source[node.lineno - 1 : node.end_lineno])
-            items.append({"kind": type(node).__name__, "name": node.name, "docstring": (ast.get_docstring(node) or "").strip(), "code": code})
-    return items
+
+    def described(node: ast.AST, name: str | None, code: str) -> dict:
+        return {"kind": type(node).__name__, "name": name, "docstring": (ast.get_docstring(node) or "").strip(), "code": code}
+
+    module = [described(tree, None, text)] if about else []
+    inside = sorted(seen.found, key=lambda x: x[0])  # stable: order within a depth stays
+    return module + [described(n, n.name, "\n".join(source[n.lineno - 1 : n.end_lineno])) for _, n in inside]
 
 
 #: A documentation comment right before a function, and a function's head up to its brace.
@@ -65,87 +86,57 @@ def js_items(text: str) -> list[dict]:
     return items
 
 
-def _width(line: str) -> int:
-    lead = line[: len(line) - len(line.lstrip(" \t"))]
-    return len(lead) + 3 * lead.count("\t")
+def block_ends(widths: list[int | None]) -> list[int]:
+    """For each line, the last line of its block: those after it that are indented deeper, up to one that isn't. Blank lines, of width None, end none and belong to none at its end.
 
+    One pass: lines wait until one comes that stands no deeper.
+    """
+    ends = list(range(len(widths)))
+    waiting: list[int] = []
+    last = -1  # the line before, blank ones aside
+    for i, width in enumerate(widths):
+        if width is None:
+            continue
+        while waiting and widths[waiting[-1]] >= width:
+            ends[waiting.pop()] = last
+        waiting.append(i)
+        last = i
+    for i in waiting:
+        ends[i] = last
+    return ends
 
-def _block_end(source: list[str], start: int) -> int:
-    """Last line that stands deeper than the first, blank lines aside."""
-    base, end = _width(source[start]), start
-    for j, line in enumerate(source[start + 1 :], start + 1):
-        if line.strip():
-            if _width(line) <= base:
-                break
-            end = j
-    return end
 
+#: How a definition's line starts, and what it has to hold.
+_HEADS = {"function_definition": (re.compile(r"[ \t]*def "), "def ", "("), "class_definition": (re.compile(r"[ \t]*class "), "class ", ":")}
 
-def _opening_string(text: str) -> str:
-    text = text.lstrip()
-    for quotes in ('"""', "\'\'\'"):
-        if text.startswith(quotes) and (end := text.find(quotes, 3)) >= 0:
-            return text[: end + 3].strip()
-    return ""
 
+def _heads(source: list[str]) -> Iterator[tuple[int, str, str]]:
+    """(line, kind, name) of lines that look like definitions."""
+    for i, line in enumerate(source):
+        for kind, (start, word, mark) in _HEADS.items():
+            if start.match(line) and mark in line.strip():
+                name = line.strip().partition("(")[0].replace(word, "")
+                yield i, kind, (name if mark == "(" else name.rstrip(":")).strip()
 
-_PY_HEADS = (
-    (re.compile(r"[ \t]*def "), "(", "function_definition", "def "),
-    (re.compile(r"[ \t]*class "), ":", "class_definition", "class "),
-)
 
+def python_spans(source: list[str], widths: list[int], opening: str, file_name: str) -> list[dict]:
+    """Functions and classes by their indentation, outermost first seen; what is inside one is not looked at again.
 
-def python_spans(text: str, file_name: str) -> list[dict]:
-    """Functions and classes by their indentation, outermost first seen; what is inside one is not looked at again."""
-    source, spans, i = text.splitlines(), [], 0
-    opening = _opening_string(text)
+    source, widths: lines and their indentation; opening: the string that opens the file, of which each span quotes a part.
+    """
+    ends = block_ends([w if s.strip() else None for s, w in zip(source, widths)])
     lead = f"# File: {file_name}\n# Context: {opening[:300]}\n\n" if opening else ""
-    while i < len(source):
-        said = source[i].strip()
-        head = next((h for h in _PY_HEADS if h[0].match(source[i]) and h[1] in said), None)
-        if head is None:
-            i += 1
+    spans, free = [], 0
+    for i, kind, name in _heads(source):
+        if i < free:
             continue
-        end = _block_end(source, i)
-        body = "\n".join(source[i : end + 1])
+        free = ends[i] + 1
+        body = "\n".join(source[i:free])
         if len(body.strip()) >= MIN_SPAN:
-            name = said.split("(")[0].replace(head[3], "")
-            name = name.rstrip(":") if head[2] == "class_definition" else name
-            spans.append({"kind": head[2], "content": lead + body, "line_start": i + 1, "line_end": end + 1, "name": name.strip(), "title": None})
-        i = end + 1
+            spans.append({"kind": kind, "content": lead + body, "line_start": i + 1, "line_end": free, "name": name, "title": None})
     return spans
 
 
-_FENCE, _ATX = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})"), re.compile(r" {0,3}(#{1,6})(?:[ \t]|$)")
-_SETEXT, _OTHER = re.compile(r" {0,3}(=+|-+)[ \t]*$"), re.compile(r" {0,3}(?:>|[-+*][ \t]|\d{1,9}[.)][ \t]|<|(?:[-*_][ \t]*){3,}$)")
-
-
-def markdown_headings(source: list[str]) -> list[tuple[int, int]]:
-    """(line, level) of headings, marked by # or underlined; not in code."""
-    found, fence, para = [], "", None
-    for i, line in enumerate(source):
-        if fence:
-            m = re.match(r" {0,3}([`~]{3,})[ \t]*$", line)
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence):
-                fence = ""
-            continue
-        if m := _FENCE.match(line):
-            fence, para = m[1], None
-        elif m := _ATX.match(line):
-            found.append((i, len(m[1])))
-            para = None
-        elif not line.strip():
-            para = None
-        elif para is not None and (m := _SETEXT.match(line)):
-            found.append((para, 1 if m[1][0] == "=" else 2))
-            para = None
-        elif para is None and (line.startswith(("    ", "\t")) or _OTHER.match(line)):
-            continue
-        elif para is None:
-            para = i
-    return found
-
-
 def markdown_spans(text: str) -> list[dict]:
     """Sections that a heading of the same or a higher rank ends, and always the last.
 
@@ -157,11 +148,11 @@ def markdown_spans(text: str) -> list[dict]:
     def section(end: int) -> None:
         spans.append({"kind": "markdown_section", "content": "\n".join(source[start - 1 : end]).strip(), "line_start": start, "line_end": end, "name": None, "title": title})
 
-    for line, level in markdown_headings(source):
+    for line, level in headings(text):
         if depth and level <= depth:
             section(line)
         depth = min(depth, level - 1) + 1
-        start, title = line + 1, source[line].lstrip("# ")
+        start, title = line + 1, source[line].lstrip("# ") if line < len(source) else ""
     section(len(source))
     return spans
 
@@ -179,7 +170,7 @@ def with_js_items(text: Column) -> Column:
 
 
 def with_python_spans(text: Column, file_name: Column) -> Column:
-    return _called(python_spans, SPAN)(text, file_name)
+    return _called(python_spans, SPAN)(lines(text), F.transform(lines(text), indent), module_docstring(text), file_name)
 
 
 def with_markdown_spans(text: Column) -> Column:

@@ -1,10 +1,12 @@
 """Extraction and chunking: ordinary files, and the odd cases that have to stay."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.markdown import headings
 from millrace.operators import extract, sections, windows
 
 
@@ -77,22 +79,28 @@ def test_windows(spark, n, count):
     assert all(w == " ".join(said.split()[k * 680 : k * 680 + 800]) for k, w in enumerate(found))
 
 
+def spans_of(text, name):
+    width = lambda s: len((lead := s[: len(s) - len(s.lstrip(" \t"))]).replace("\t", "    "))
+    opening = next((m[0] for q in ('"""', "\'\'\'") for m in [re.match(f"(?s){q}.*?{q}", text.lstrip())] if m), "")
+    return extract.python_spans(text.splitlines(), [width(s) for s in text.splitlines()], opening, name)
+
+
 def test_python_spans():
     body = "    " + "x = 1  # " + "y" * 60 + "\n"
     long, short = "def f(a):\n" + body * 6, "def g(a):\n    return 1\n"
-    (one,) = extract.python_spans(long + short, "m.py")
+    (one,) = spans_of(long + short, "m.py")
     assert (one["kind"], one["name"], one["line_start"], one["line_end"]) == ("function_definition", "f", 1, 7)
-    assert extract.python_spans("async " + long, "m.py") == []
+    assert spans_of("async " + long, "m.py") == []
     cls = "class C(B):\n" + "".join(f"    def m{i}(self):\n    {body}{body}{body}" for i in range(3))
-    assert [s["name"] for s in extract.python_spans(cls, "m.py")] == ["C"]
-    assert extract.python_spans('"""Doc."""\n' + long, "m.py")[0]["content"].startswith('# File: m.py\n# Context: """Doc."""\n\ndef f')
-    assert extract.python_spans("def f(\n    a,\n):\n" + body * 9, "m.py") == []  # the bracket at the margin ends the block
+    assert [s["name"] for s in spans_of(cls, "m.py")] == ["C"]
+    assert spans_of('"""Doc."""\n' + long, "m.py")[0]["content"].startswith('# File: m.py\n# Context: """Doc."""\n\ndef f')
+    assert spans_of("def f(\n    a,\n):\n" + body * 9, "m.py") == []  # the bracket at the margin ends the block
 
 
 @pytest.mark.parametrize("n, kept", [(399, 0), (400, 1)])
 def test_least_span(n, kept):
     head = "def f():\n    "
-    assert len(extract.python_spans(head + "x" * (n - len(head)), "m.py")) == kept
+    assert len(spans_of(head + "x" * (n - len(head)), "m.py")) == kept
 
 
 def test_markdown_spans():
@@ -101,3 +109,36 @@ def test_markdown_spans():
     assert [(s["title"], s["line_start"], s["line_end"]) for s in extract.markdown_spans("")] == [("Document", 1, 0)]
     fenced = "# A\n```\n# no\n```\nTitle\n=====\nx"
     assert [s["title"] for s in extract.markdown_spans(fenced)] == ["A", "Title"]
+
+
+@pytest.mark.parametrize(
+    "said, found",
+    [
+        ("# a\n####### b\n#c\n  ## d ##\n    # code", [(0, 1), (3, 2)]), ("a\nb\n===\nc\n---", [(0, 1), (3, 2)]), ("---\n- ---\n***", []),
+        ("> # quoted\n> a\n> ===\nb\n===", [(0, 1), (1, 1), (3, 1)]), ("- # in list\n  ## deeper\n\n  a\n  -\n1) # n", [(0, 1), (1, 2), (3, 2), (5, 1)]), ("> a\n===", []),
+        ("<div>\n# html\n</div>\n\n# yes", [(4, 1)]), ("<!-- a\n# no\n-->\n# yes", [(3, 1)]), ("a\n<b>\n# yes", [(2, 1)]), ("<b>\n# no\n\n# yes", [(3, 1)]),
+        ("```\n# no\n~~~\n```\n# yes", [(4, 1)]), ("> ```\n# yes", [(1, 1)]), ("- a\n\n      # code\n\n  # yes", [(4, 1)]), ("[a]: /b\n===\nx\n---", [(1, 2)]),
+        ("-\n\n  # out", [(2, 1)]), ("a\n2. # text\n1. # item", [(2, 1)]), ("a\n    # text\n# yes", [(2, 1)]), ("\t# code\n-\t# tab", [(1, 1)]), ("", []),
+    ],
+)
+def test_headings(said, found):
+    assert headings(said) == found
+
+
+def test_long_expressions_lose_no_items():
+    code = "x = " + " + ".join(["1"] * 1500) + "\ntry:\n    def a(): pass\nexcept E:\n    class B:\n        def c(self): pass\n"
+    assert [i["name"] for i in extract.python_items(code)] == ["a", "B", "c"]
+
+
+def test_block_ends_are_those_of_each_line():
+    rnd = random.Random(4)
+    for _ in range(300):
+        widths = [rnd.choice([None, 0, 1, 2, 3]) for _ in range(rnd.randrange(12))]
+        for i, w in enumerate(widths):
+            if w is not None:
+                inside = []
+                for j in range(i + 1, len(widths)):
+                    if widths[j] is not None and widths[j] <= w:
+                        break
+                    inside += [j] * (widths[j] is not None)
+                assert extract.block_ends(widths)[i] == max([i, *inside])
