@@ -28,8 +28,12 @@ BLOCK_ROWS = 4096
 MOST_POINTS = 20_000_000
 
 
+#: Blocks up to which each pair's own spanning tree is found in one round.
+FEW_BLOCKS = 8
+
+
 def _matrix(rows: pa.Table, column: str) -> np.ndarray:
-    return np.array(rows.column(column).to_pylist(), np.float64).reshape(rows.num_rows, -1)
+    return rows.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,6 +77,8 @@ def spanning_tree(points: DataFrame, min_samples: int = 3) -> list[tuple[int, in
         return []
     blocks = -(-n // BLOCK_ROWS)
     cored = durable(points.join(_core(points, blocks, min_samples), "pos"))
+    if blocks <= FEW_BLOCKS:
+        return _joined_trees(cored, blocks, n)
     spark = points.sparkSession
     root = np.arange(n)
     tree: list[tuple[int, int, float]] = []
@@ -119,6 +125,55 @@ def spanning_tree(points: DataFrame, min_samples: int = 3) -> list[tuple[int, in
     return tree
 
 
+def _local_tree(pos: np.ndarray, core: np.ndarray, x: np.ndarray) -> list[tuple[int, int, float]]:
+    """The spanning tree of some points that is least by (weight, ends), by Prim's algorithm."""
+    n, squares = len(pos), (x * x).sum(1)
+    weight, other = np.full(n, np.inf), np.zeros(n, np.int64)
+    inside, at, out = np.zeros(n, bool), 0, []
+    for _ in range(n - 1):
+        inside[at] = True
+        d = np.maximum(np.sqrt(np.maximum(squares + squares[at] - 2 * (x @ x[at]), 0)), np.maximum(core, core[at]))
+        low, high = np.minimum(pos, pos[at]), np.maximum(pos, pos[at])
+        was_low, was_high = np.minimum(pos, pos[other]), np.maximum(pos, pos[other])
+        closer = ~inside & ((d < weight) | (d == weight) & ((low < was_low) | (low == was_low) & (high < was_high)))
+        weight[closer], other[closer] = d[closer], at
+        w = np.where(inside, np.inf, weight)
+        ties = np.flatnonzero(w == w.min())
+        at = int(min(ties, key=lambda i: (min(pos[i], pos[other[i]]), max(pos[i], pos[other[i]]))))
+        p, q = int(pos[at]), int(pos[other[at]])
+        out.append((min(p, q), max(p, q), float(weight[at])))
+    return out
+
+
+def _joined_trees(cored: DataFrame, blocks: int, n: int) -> list[tuple[int, int, float]]:
+    """The tree of all from those of each pair of blocks: an edge that is in none of these is in no least tree."""
+    left, right = _paired(cored, blocks)
+
+    def both(a: pa.Table, b: pa.Table) -> pa.Table:
+        one = a.column("i")[0].as_py() == a.column("j")[0].as_py() if len(a) else True
+        rows = a if one else pa.concat_tables([a.select(["pos", "v", "core"]), b.select(["pos", "v", "core"])])
+        tree = _local_tree(rows.column("pos").to_numpy(), rows.column("core").to_numpy(), _matrix(rows, "v")) if len(rows) else []
+        return pa.table({"p": pa.array([e[0] for e in tree], pa.int64()), "q": pa.array([e[1] for e in tree], pa.int64()), "w": pa.array([e[2] for e in tree], pa.float64())})
+
+    below = (F.col("i") < F.col("j")) if blocks > 1 else F.lit(True)
+    found = left.filter(below).groupBy("i", "j").cogroup(right.filter(below).groupBy("i", "j")).applyInArrow(both, "p long, q long, w double")
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    tree = []
+    for w, p, q in sorted({(e["w"], e["p"], e["q"]) for e in found.collect()}):  # a row of edges for each pair of a few blocks
+        a, b = find(p), find(q)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            tree.append((p, q, w))
+    return tree
+
+
 def tree_labels(n: int, tree: list[tuple[int, int, float]], min_cluster_size: int) -> list[int]:
     """Cluster of each point by excess of mass, -1 for noise; never all points as one cluster. Numbered by smallest point."""
     if n < 2:
@@ -209,25 +264,48 @@ def hdbscan(rows: DataFrame, vector: str, order: list, config: ClusterConfig | N
     return placed.join(said, "pos")
 
 
-def assemble(labelled: DataFrame, span_columns: list[str]) -> DataFrame:
-    """Clusters of rows (pos, label, unit, tags, source_path): id, spans in order, tags, files, centroid.
+def tag_union(rows: DataFrame, by: str, tags: str = "tags", name: str = "ontology_tags") -> DataFrame:
+    """(by, name): the different tags of each group, sorted; a task's rows of a tag are one before they are shuffled."""
+    each = rows.select(by, F.explode(tags).alias("t")).distinct()
+    return each.groupBy(by).agg(F.array_sort(F.collect_list("t")).alias(name))
 
-    Rows of label -1 are clusters of their own, numbered in their order, with their own tags as they stand.
+
+def _named(labelled: DataFrame) -> DataFrame:
+    """The rows with `cluster_id` and their place in the cluster, `seq`."""
+    noise = numbered(labelled.filter("label < 0"), ["pos"], "__k").withColumn("cluster_id", F.concat(F.lit("singleton-"), (F.col("__k") + 1).cast("string"))).drop("__k")
+    group = labelled.filter("label >= 0").withColumn("cluster_id", F.concat(F.lit("cluster-"), F.col("label").cast("string")))
+    return group.unionByName(noise)
+
+
+def members(labelled: DataFrame, span_columns: list[str]) -> DataFrame:
+    """(cluster_id, pos, spans' columns): a row for each span, however many a cluster has."""
+    return _named(labelled).select("cluster_id", "pos", *span_columns)
+
+
+def assemble(labelled: DataFrame, span_columns: list[str] | None = None) -> DataFrame:
+    """Clusters of rows (pos, label, unit, tags, source_path): id, size, tags, files, centroid; with span_columns, also the spans themselves in order.
+
+    Rows of label -1 are clusters of their own, numbered in their order, with their own tags as they stand. Spans in one row are for
+    clusters that go to a model whole; members() has them as rows.
     """
-    span = F.struct("pos", *span_columns)
-    group = labelled.filter("label >= 0")
-    parts = group.groupBy("label").agg(
-        F.array_sort(F.collect_list(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("ontology_tags"),
-        F.array_sort(F.collect_set("source_path")).alias("source_files"),
+    named = _named(labelled)
+    group, alone = named.filter("label >= 0"), named.filter("label < 0")
+    files = group.select("cluster_id", "source_path").distinct().groupBy("cluster_id").agg(F.array_sort(F.collect_list("source_path")).alias("source_files"))
+    none = F.array().cast("array<string>")
+    parts = (
+        group.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).join(centroids(group, "cluster_id", "unit"), "cluster_id").join(files, "cluster_id")
+        .join(tag_union(group, "cluster_id"), "cluster_id", "left").withColumn("ontology_tags", F.coalesce("ontology_tags", none))
     )
-    clusters = parts.join(centroids(group, "label", "unit"), "label").select(F.concat(F.lit("cluster-"), F.col("label").cast("string")).alias("cluster_id"), "spans", "ontology_tags", "source_files", "centroid")
-    noise = numbered(labelled.filter("label < 0"), ["pos"], "k")
-    alone = noise.select(F.concat(F.lit("singleton-"), (F.col("k") + 1).cast("string")).alias("cluster_id"), F.array(span).alias("spans"), F.col("tags").alias("ontology_tags"), F.array("source_path").alias("source_files"), F.col("unit").alias("centroid"))
-    return clusters.unionByName(alone)
+    single = alone.select("cluster_id", F.lit(1).cast("long").alias("n"), F.col("tags").alias("ontology_tags"), F.array("source_path").alias("source_files"), F.col("unit").alias("centroid"))
+    if span_columns is not None:
+        span = F.struct("pos", *span_columns)
+        parts = parts.join(group.groupBy("cluster_id").agg(F.array_sort(F.collect_list(span)).alias("spans")), "cluster_id")
+        single = alone.select("cluster_id", F.lit(1).cast("long").alias("n"), F.col("tags").alias("ontology_tags"), F.array("source_path").alias("source_files"), F.col("unit").alias("centroid"), F.array(span).alias("spans"))
+    return parts.unionByName(single)
 
 
 def spans_by_file(spans: DataFrame, order: list[str]) -> DataFrame:
-    """(source_path, spans): every file's spans in order."""
-    return spans.groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct(*order, "kind", "content"))).alias("spans"))
-
-
+    """The spans with `seq`, their place within their file, from 0; a row each, so a file may have any number."""
+    placed = numbered(spans, ["source_path", *order], "__at")
+    first = placed.groupBy("source_path").agg(F.min("__at").alias("__first")).withColumnRenamed("source_path", "__path")
+    return placed.join(first, F.col("source_path").eqNullSafe(F.col("__path"))).withColumn("seq", F.col("__at") - F.col("__first")).drop("__at", "__first", "__path")

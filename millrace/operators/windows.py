@@ -32,15 +32,33 @@ def blank_line_chunks(code: Column, min_lines: int, max_chunks: int) -> Column:
     """Chunks of code that a blank line ends once they have `min_lines` lines; shorter ones go.
 
     A blank line before that is part of the chunk. Chunks are stripped, cut to `max_chunks`, and then empty ones left out.
+    A chunk ends at the first blank line that is `min_lines` or more after its start, so chunks are found by going through the
+    numbers of blank lines, once for each chunk that is kept.
     """
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("now"))
+    none = F.array().cast("array<string>")
+    if max_chunks <= 0:
+        return F.when(code.isNotNull(), none)
 
-    def step(a: Column, line: Column) -> Column:
-        full = is_blank(line) & (F.size(a["now"]) >= min_lines)
-        closed = F.when(F.size(a["now"]) > 0, F.array_append(a["done"], a["now"])).otherwise(a["done"])
-        return F.when(full, F.struct(closed.alias("done"), empty.alias("now"))).otherwise(F.struct(a["done"].alias("done"), F.array_append(a["now"], line).alias("now")))
+    def of(every: Column) -> Column:
+        blank = F.filter(F.transform(every, lambda line, i: F.when(is_blank(line), i)), lambda i: i.isNotNull())
+        return let(blank, lambda marks: bounded(every, marks))
 
-    every = F.aggregate(lines(code), start, step, lambda a: F.array_append(a["done"], a["now"]))
-    kept = F.transform(F.filter(every, lambda c: F.size(c) >= min_lines), lambda c: strip(F.array_join(c, "\n")))
-    return F.filter(F.slice(kept, 1, max_chunks), lambda c: c != "")
+    def bounded(every: Column, marks: Column) -> Column:
+        n = F.size(every)
+        start = F.struct(F.lit(0).alias("s"), F.array().cast("array<struct<s:int,e:int>>").alias("done"))
+        most = F.least(F.lit(max_chunks), F.floor(n / max(1, min_lines)).cast("int") + 1)
+
+        def step(a: Column, _: Column) -> Column:
+            first = a["s"]
+            if min_lines <= 0:  # blank lines that a chunk would start with end nothing
+                first = F.coalesce(F.get(F.filter(F.sequence(first, F.greatest(first, n - 1)), lambda i: ~F.array_contains(marks, i)), F.lit(0)), n)
+            end = F.coalesce(F.get(F.filter(marks, lambda b: b >= first + min_lines), F.lit(0)), n)
+            chunk = F.struct(first.cast("int").alias("s"), end.cast("int").alias("e"))
+            done = F.when((end - first >= min_lines) & (first < n), F.array_append(a["done"], chunk)).otherwise(a["done"])
+            return F.struct((end + 1).cast("int").alias("s"), done.alias("done"))
+
+        found = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["done"])
+        said = F.transform(found, lambda c: strip(F.array_join(F.slice(every, c["s"] + 1, c["e"] - c["s"]), "\n")))
+        return F.filter(said, lambda c: c != "")
+
+    return let(lines(code), of)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import ChatConfig
 from .functions import arithmetic, paths, text, tolerant_json, vectors
 from .operators import builders, cluster, dedupe, extract, filters, formats, sections, split, tags, windows
 from .plans import chat, spans
+from .sources import sinks
 from .sources.cache import key as cache_key
 from .sources.cache import split as cache_split
+from .storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,14 +96,13 @@ def t3_md_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t4_blank_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = windows.blank_line_chunks(F.replace("text", F.lit(". "), F.lit("\n\n")), 1, 1_000_000)
+    found = windows.blank_line_chunks(F.replace("text", F.lit(". "), F.lit("\n\n")), ChatConfig.py_chunk_min_lines, ChatConfig.py_chunk_max)
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(found).alias("k", "chunk")).select("doc_id", "k", F.md5("chunk").alias("chunk_md5"))
 
 
 def p0_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))  # a dialogue's turns
-    said = F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n")
-    return turns.select("conv_id", F.size("t").alias("n_messages"), F.md5(said).alias("messages_md5"))
+    said = builders.chat(F.col("question"), F.col("answer"), "Be brief.")
+    return _exchanges(spark, sf_dir).select("conv_id", "turn", F.md5(F.array_join(F.transform(said, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")).alias("messages_md5"))
 
 
 def p3_section_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,8 +199,7 @@ def v1_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a7_tag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _tagged(spark, sf_dir).select("source", F.explode("tags").alias("tag")).distinct()
-    return each.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("tags"))
+    return cluster.tag_union(_tagged(spark, sf_dir), "source").select("source", F.array_join("ontology_tags", ",").alias("tags"))
 
 
 def u3_tag_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,13 +220,13 @@ def v4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("vec_id")).alias("pos"), F.when(F.col("label") == 0, -1).otherwise(F.col("label")).cast("long").alias("label"), vectors.normalised(F.col("embedding")).alias("unit"),
         F.array(F.concat(F.lit("t"), (F.col("vec_id") % 3).cast("string"))).alias("tags"), F.concat(F.lit("f"), (F.col("vec_id") % 7).cast("string")).alias("source_path"),
     )
-    found = cluster.assemble(rows, ["tags"])
-    return found.select("cluster_id", F.size("spans").alias("n"), F.array_join("ontology_tags", ",").alias("tags"), F.array_join("source_files", ",").alias("files"), F.round(F.col("centroid")[0], 6).alias("x0"))
+    found = cluster.assemble(rows)
+    return found.select("cluster_id", F.col("n").cast("int").alias("n"), F.array_join("ontology_tags", ",").alias("tags"), F.array_join("source_files", ",").alias("files"), F.round(F.col("centroid")[0], 6).alias("x0"))
 
 
 def a9_spans_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).select(F.col("source").alias("source_path"), "doc_id", F.col("lang").alias("kind"), F.col("text").alias("content"))
-    return cluster.spans_by_file(rows, ["doc_id"]).select("source_path", F.size("spans").alias("n"), F.array_join(F.transform("spans", lambda s: s["doc_id"].cast("string")), ",").alias("ids"))
+    rows = _docs(spark, sf_dir).select(F.col("source").alias("source_path"), "doc_id", F.col("lang").alias("kind"))
+    return cluster.spans_by_file(rows, ["doc_id"]).select("source_path", "seq", "doc_id")
 
 
 def o5_split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,9 +290,7 @@ def p15_grpo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def u1_union_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _docs(spark, sf_dir).select(F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), builders.message("user", F.col("text"))["content"].alias("content"))
-    b = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("kind"), F.col("conv_id").alias("id"), F.col("text").alias("content"))
-    return a.unionByName(b).select("kind", "id", F.md5("content").alias("content_md5"))
+    return chat.build_records(_sources(spark, sf_dir)).groupBy(F.col("meta.task").alias("task")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def u4_cache_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,41 +315,99 @@ def c3_number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c5_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = F.filter(F.split(F.concat(F.col("p_size").cast("string"), F.lit("+2*3~-.5="), (F.col("p_partkey") % 10).cast("string"), F.lit("/0")), ""), lambda k: k != "")
+    """Digits, points, operators, backspace, sign and reset, by turns."""
+    typed = F.element_at(F.array(*map(F.lit, ("+2*3=", "/4=", "5<~-.5=", "/0=", "C9%"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    keys = F.filter(F.split(F.concat(F.col("p_size").cast("string"), typed), ""), lambda k: k != "")
     return table(spark, sf_dir, "part").select("p_partkey", arithmetic.display(keys).alias("display"))
 
 
-#: Small files for the operators that read code, which no table holds.
-FILES = [
-    ("pkg/a.py", '"""About a."""\nimport logging\n\nMAX_ROWS = 10\n\n\ndef load(path):\n    """Load a file."""\n    assert path\n\n    try:\n        rows = open(path).read()\n    except OSError:\n        logging.error("no file")\n        raise ValueError(path)\n\n    count = len(rows)\n    logging.info("read %s", count)\n\n    return rows\n' + "\n".join(f"# note {i}" for i in range(3)) + "\n"),
-    ("pkg/b.py", "class Tool:\n" + "".join(f"    def step_{i}(self, value):\n        # step {i} of the work on a value that is passed along\n        return value + {i}\n\n" for i in range(8))),
-    ("web/c.js", "/**\n * Multiply two numbers.\n */\nexport function mul(a, b) {\n  return a * b;\n}\n"),
-    ("README.md", "\n# Title\n\nIntro\n\n## Details\n\nMore info\n\n### Deep\n\nText `code`.\n\n```\n# no heading\n```\n\n## Last\n\nEnd.\n"),
-    ("bad.py", "def broken(:\nMAX = 1\n"),
-]
+def _plain(kept: str = "A-Za-z0-9 .,") -> Column:
+    """Whole texts that may stand in any source: other characters are blanks."""
+    return F.regexp_replace("text", f"[^{kept}]", " ")
 
 
-def _files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FILES, "path string, text string").withColumn("suffix", paths.suffix(F.col("path")))
+def _python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    code = F.concat(
+        F.lit('"""'), _plain(), F.lit(' about"""\n\n\ndef f'), i, F.lit('(x):\n    """'), "lang", F.lit('"""\n    return x\n\n\nclass C'), i,
+        F.lit("(Base):\n    @property\n    def m(self):\n        return 1\n"),
+    )
+    return _docs(spark, sf_dir).select("doc_id", code.alias("text"))
 
 
 def t1_py_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = extract.with_python_items(F.when(F.col("suffix") == ".py", F.col("text")))
-    return _files(spark).select("path", F.posexplode(items).alias("seq", "i")).select("path", "seq", "i.*")
+    each = _python(spark, sf_dir).select("doc_id", F.posexplode(extract.with_python_items(F.col("text"))).alias("seq", "i"))
+    return each.select("doc_id", "seq", "i.kind", "i.name", F.md5("i.docstring").alias("docstring_md5"), F.md5("i.code").alias("code_md5"))
+
+
+def _script(i: Column) -> Column:
+    return F.concat(F.lit("/**\n * "), _plain(), F.lit("\n */\nexport function f"), i, F.lit("(a, b) {\n  if (a) { return b; }\n}\nlet x = 1;\n"))
 
 
 def t2_js_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = extract.with_js_items(F.when(F.col("suffix") == ".js", F.col("text")))
-    return _files(spark).select("path", F.posexplode(items).alias("seq", "i")).select("path", "seq", "i.*")
+    items = extract.with_js_items(_script(F.col("doc_id").cast("string")))
+    each = _docs(spark, sf_dir).select("doc_id", F.posexplode(items).alias("seq", "i"))
+    return each.select("doc_id", "seq", "i.kind", "i.name", F.md5("i.jsdoc").alias("jsdoc_md5"), F.md5("i.code").alias("code_md5"))
 
 
-def t6_t10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.spans_of(_files(spark)).withColumn("tags", F.array_join("tags", ","))
+def _spans(files: DataFrame) -> DataFrame:
+    found = spans.spans_of(files).withColumn("tags", F.array_join("tags", ","))
+    return found.select("source_path", "seq", "kind", "line_start", "line_end", F.coalesce("name", "title").alias("named"), "tags", F.md5("content").alias("content_md5"))
+
+
+def t6_py_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    code = F.concat(
+        F.lit('"""'), "lang", F.lit(' notes"""\nimport os\n\ndef f'), i, F.lit('(x):\n    y = "'), _plain(), F.lit('"\n\n    return y\n\nclass K(Base):\n    def g(self):\n        return 1\n'),
+    )
+    return _spans(_docs(spark, sf_dir).select(F.concat(F.lit("d/f"), i, F.lit(".py")).alias("path"), F.lit(".py").alias("suffix"), code.alias("text")))
+
+
+def t10_md_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.replace(_plain("A-Za-z0-9 .,\n"), F.lit(".\n"), F.lit(".\n## "))
+    return _spans(_docs(spark, sf_dir).select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit(".md").alias("suffix"), said.alias("text")))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of each kind by turns, whole texts in their documentation."""
+    i = F.col("doc_id").cast("string")
+    py = F.concat(
+        F.lit("import logging\n\n\ndef f"), i, F.lit('(x):\n    """'), _plain(),
+        F.lit('"""\n    assert x\n    try:\n        logging.info(x)\n    except E:\n        b = 1\n\n    return b\n\n\nMAX_'), i, F.lit(" = 1\n"),
+    )
+    md = F.concat(F.lit("# T"), i, F.lit("\n"), _plain())
+    turn = F.col("doc_id") % 3
+    suffix = F.when(turn == 0, ".py").when(turn == 1, ".js").otherwise(".md")
+    return _docs(spark, sf_dir).select(F.concat(F.lit("d/"), i, suffix).alias("path"), suffix.alias("suffix"), F.when(turn == 0, py).when(turn == 1, _script(i)).otherwise(md).alias("text"))
 
 
 def p9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat.build_records(_files(spark))
-    return rows.select(*chat.ORDER, "meta.task", F.col("messages")[1]["content"].alias("user"), F.col("messages")[2]["content"].alias("assistant"))
+    rows = chat.build_records(_sources(spark, sf_dir))
+    return rows.select(*chat.ORDER, "meta.task", F.md5(F.col("messages")[1]["content"]).alias("user_md5"), F.md5(F.col("messages")[2]["content"]).alias("assistant_md5"))
+
+
+def v1_default_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.col("text")
+    for word, mark in ((" the ", " FACTOR "), (" and ", " solver "), (" de ", " regime "), (" of ", " chart "), (" der ", " raise "), (" die ", " info(")):
+        said = F.replace(said, F.lit(word), F.lit(mark))
+    kind = F.when(F.col("doc_id") % 3 == 0, "logging_call").when(F.col("doc_id") % 3 == 1, "module_constant").otherwise("markdown_section")
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(tags.tags(said, kind), ",").alias("tags"))
+
+
+def n15_json_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("content")), F.struct(F.lit(None).cast("string").alias("content"))).alias("turns")))
+    found = tolerant_json.turns(tolerant_json.parse(F.concat(F.lit("Sure: "), body, F.lit(" Done."))))
+    each = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(found).alias("k", "t"))
+    return each.select("conv_id", "turn", "k", "t.role", F.md5("t.content").alias("content_md5"), F.size("t.evidence").alias("n_evidence"), F.size("t.metadata").alias("n_metadata"))
+
+
+def k1_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits written as JSON lines, then read as one dataset."""
+    rows = table(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn"))
+    folder = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
+    sinks.write_splits(split.train_valid(rows, "key"), folder, "turns.", order=("rank", "key"))
+    files = [f"{folder}/turns.{name}.jsonl" for name in ("train", "valid")]
+    return sinks.read_jsonl(spark, files, "conv_id long, turn long, role string, text string, key string").select("conv_id", "turn", "role", F.md5("text").alias("text_md5"), "key")
 
 
 def q1_filtered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,12 +420,12 @@ def q1_filtered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        flagship, n1_token_count, n2_lines, n3_strip, n4_words, n6_case, n9_slices, n14_tolerant_json, n16_paths, n17_repository_name,
-        t1_py_items, t2_js_items, t3_md_sections, t4_blank_chunks, t5_word_windows, t6_t10_spans,
+        flagship, n1_token_count, n2_lines, n3_strip, n4_words, n6_case, n9_slices, n14_tolerant_json, n15_json_defaults, n16_paths, n17_repository_name,
+        t1_py_items, t2_js_items, t3_md_sections, t4_blank_chunks, t5_word_windows, t6_py_spans, t10_md_spans,
         p0_chat_messages, p3_section_qa, p5_validation_lines, p6_error_lines, p7_constant_lines, p8_logging_lines, p9_records, p13_span_context,
         p14_question_rotation, p15_sft, p15_dpo, p15_grpo, f1_token_budget, f5_meaningful, f6_boilerplate, f9_redaction, w1_file_cap,
         a1_dedupe_exact, a2_dedupe_md5, a4_answer_status, a6_centroid, a7_tag_union, a9_spans_by_file, u1_union_builders, u3_tag_merge, u4_cache_anti,
-        v1_tags, v2_normalize, v3_hdbscan, v4_clusters, v6_cache_key, o5_split_hash, o5_split_exact, o6_split_prefix, o7_split_905, k2_stats,
+        v1_tags, v1_default_tags, v2_normalize, v3_hdbscan, v4_clusters, v6_cache_key, o5_split_hash, o5_split_exact, o6_split_prefix, o7_split_905, k1_jsonl, k2_stats,
         q1_filtered_records, c1_calc, c3_number_format, c5_keys,
     )
 }

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ def test_sections(spark):
 
 
 def chunks_of(code, least, most):
-    """The rule in plain Python."""
+    """The rule in plain Python; no lines are no chunk."""
     done = [[]]
     for line in code.splitlines():
         if not line.strip() and len(done[-1]) >= least:
@@ -66,11 +67,18 @@ def test_chunks(spark):
     assert len(found) >= 2 and any("return b" in c for c in found)
     rnd = random.Random(3)
     codes = ["\n".join(rnd.choice(["", " ", "a", "  b", "c\t"]) for _ in range(rnd.randrange(12))) for _ in range(400)]
-    for least in (1, 3, 6):
+    for least in (0, 1, 3, 6):
         rows = spark.createDataFrame([(c,) for c in codes], "c string").select("c", windows.blank_line_chunks(F.col("c"), least, 3).alias("x")).collect()
         assert [r.x for r in rows] == [chunks_of(r.c, least, 3) for r in rows]
 
 
+def test_chunks_of_a_very_long_text(spark):
+    code = "\n".join(f"line {i}" if i % 9 else "" for i in range(1_000_000))
+    began = time.monotonic()
+    found = spark.createDataFrame([(code,)], "c string").select(windows.blank_line_chunks(F.col("c"), 6, 5).alias("x")).first().x
+    assert len(found) == 5 and found[1].startswith("line 10\n") and time.monotonic() - began < 60
+
+
 @pytest.mark.parametrize("n, count", [(0, 0), (1, 1), (680, 1), (681, 2), (800, 2), (30_000, 33)])
 def test_windows(spark, n, count):
     said = " ".join(f"w{i}" for i in range(n))

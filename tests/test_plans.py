@@ -14,6 +14,16 @@ from millrace.sources import cache, repository, sinks
 from millrace.streaming import records as stream
 
 
+#: A small tree of sources.
+FILES = [
+    ("pkg/a.py", '"""About a."""\nimport logging\n\nMAX_ROWS = 10\n\n\ndef load(path):\n    """Load a file."""\n    assert path\n\n    try:\n        rows = open(path).read()\n    except OSError:\n        logging.error("no file")\n        raise ValueError(path)\n\n    count = len(rows)\n    logging.info("read %s", count)\n\n    return rows\n' + "\n".join(f"# note {i}" for i in range(3)) + "\n"),
+    ("pkg/b.py", "class Tool:\n" + "".join(f"    def step_{i}(self, value):\n        # step {i} of the work on a value that is passed along\n        return value + {i}\n\n" for i in range(8))),
+    ("web/c.js", "/**\n * Multiply two numbers.\n */\nexport function mul(a, b) {\n  return a * b;\n}\n"),
+    ("README.md", "\n# Title\n\nIntro\n\n## Details\n\nMore info\n\n### Deep\n\nText `code`.\n\n```\n# no heading\n```\n\n## Last\n\nEnd.\n"),
+    ("bad.py", "def broken(:\nMAX = 1\n"),
+]
+
+
 def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'int' if isinstance(v, int) else 'string'}" for k, v in values.items())).select(column.alias("x")).first().x
 
@@ -122,8 +132,10 @@ def test_hdbscan_finds_groups(spark):
     assert [len(set(labels[k : k + 12])) for k in (0, 12, 24)] == [1, 1, 1] and len(set(labels[:36])) == 3 and labels[36:] == [-1, -1]
 
 
-def test_spanning_tree_by_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("few", [8, 0])
+def test_spanning_tree_by_blocks(spark, monkeypatch, few):
     monkeypatch.setattr(cluster, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(cluster, "FEW_BLOCKS", few)
     x = points(1)
     tree = cluster.spanning_tree(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pos long, v array<double>"), 3)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
@@ -145,8 +157,6 @@ def test_small_clusterings(spark):
 
 @pytest.fixture()
 def tree(tmp_path):
-    from millrace.queries import FILES
-
     for path, said in FILES:
         at = tmp_path / "tree" / path
         at.parent.mkdir(parents=True, exist_ok=True)
