@@ -29,7 +29,6 @@ BLANK = _byte_table({0x20, *range(0x09, 0x0E)})
 _RNG = np.random.Generator(np.random.PCG64(0x5EED))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[SPACE] = 0
-_ODD = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,9 +117,10 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    acc = h[:n] * _ODD[0]
+    odd = mix(np.arange(1, k + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    acc = h[:n] * odd[0]
     for j in range(1, k):
-        acc += h[j : j + n] * _ODD[j]
+        acc += h[j : j + n] * odd[j]
     return mix(acc + np.uint64(k))
 
 

@@ -182,7 +182,7 @@ def test_very_long_texts_take_time_in_proportion():
 def test_blocks_of_the_benchmark_change_nothing(spark):
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "b c", "x y", "p q", "q p"])], "item_id long, text string")
     rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "x p q y z"), (3, None)], "doc_id long, text string")
-    for size in (1 << 20, 120):
+    for size in (1 << 20, 500):
         got = decontaminate.report(decontaminate.find_overlaps(rows, bench, block_bytes=size)).collect()
         assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got) == [(1, 4, 3, 2), (1, 4, 3, 2), (2, 5, 2, 1), (3, 0, 0, 0)]
         cut = decontaminate.decontaminate(rows, bench, remove="spans", block_bytes=size).collect()
@@ -202,15 +202,15 @@ def brute_hits(text, items, width=10):
     return len(w), len(hit), found
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes, piece_words", [(1 << 20, 50_000), (700, 3)])
+def test_decontamination(spark, block_bytes, piece_words):
     rnd = random.Random(4)
     pool = ["aa", "B", "é1", "c2"]
     items = [(i, " ".join(rnd.choice(pool) for _ in range(n))) for i, n in enumerate([12, 10, 3, 1, 0, 14, 11])] + [(7, None), (None, "zz yy"), (5, "zz yy")]
     texts = ODD + ["ZZ-yy", "zz yy zz yy"] + ["-".join(rnd.choice(pool) for _ in range(rnd.randrange(40))) for _ in range(60)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: r for r in decontaminate.report(decontaminate.find_overlaps(documents(spark, texts), bench, block_bytes=block_bytes)).collect()}
-    left = {r.doc_id: r.text for r in decontaminate.decontaminate(documents(spark, texts), bench, block_bytes=block_bytes).collect()}
+    got = {r.doc_id: r for r in decontaminate.report(decontaminate.find_overlaps(documents(spark, texts), bench, block_bytes=block_bytes, piece_words=piece_words)).collect()}
+    left = {r.doc_id: r.text for r in decontaminate.decontaminate(documents(spark, texts), bench, block_bytes=block_bytes, piece_words=piece_words).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         n, hit, found = brute_hits(t, items)
@@ -219,6 +219,23 @@ def test_decontamination(spark, block_bytes):
         assert (i in left) == (hit == 0) and (i not in left or left[i] == t)
 
 
+def test_wide_windows_and_an_item_beyond_a_block(spark):
+    """An item of many pieces, each larger than a block; windows of 70 words; a very long text."""
+    said = [f"w{i % 5000}x{i}" for i in range(60_000)]
+    bench = spark.createDataFrame([(1, " ".join(said)), (2, "short one")], "item_id long, text string")
+    texts = ["a " * 50 + " ".join(said[39_980:40_120]) + " b" * 50, " ".join(said[100:169]), "no " * 500_000 + " ".join(said[:70]), "a short one"]
+    for size in (64 << 20, 400_000):
+        got = {r.doc_id: r for r in decontaminate.report(decontaminate.find_overlaps(documents(spark, texts), bench, width=70, block_bytes=size, piece_words=20_000)).collect()}
+        assert [(got[i].n_words, got[i].n_hit, got[i].n_items) for i in range(4)] == [(240, 140, 1), (69, 0, 0), (500_070, 70, 1), (3, 2, 1)]
+
+
+def test_what_is_sent_is_small():
+    text = " ".join(f"word{i % 977}" for i in range(150_000))
+    began = time.monotonic()
+    made = decontaminate.WindowSet(list(decontaminate._pieces("1", text, 10, 50_000)))
+    assert len(__import__("pickle").dumps(made)) < 5 * len(text) and time.monotonic() - began < 5
+
+
 def test_spans_are_cut(spark):
     bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     rows = decontaminate.decontaminate(documents(spark, ["é One, two three", "one", None]), bench, remove="spans").orderBy("doc_id").collect()
