@@ -1,24 +1,24 @@
 """Exact top-k search by inner product, with a threshold of three phases.
 
-Vectors become integers, floor(256 x) of each component. A query's list on a node is its partial
-scores over one slice of the dimensions against the vectors that the node holds.
+Vectors become integers, floor(256 x) of each component, packed as narrow as a block's fit. A node holds a shard of them,
+longest first, and meets one block of queries at a time. Scores are sums over slices of the dimensions.
 
-1. Every node gathers its local lists' first entries, scores them whole, and returns the k best.
-2. The k-th best of all gathered scores is a safe cutoff for the query. It is sent to all nodes, and
-   with m slices a vector that reaches it has a partial score of cutoff / m or more on some slice:
-   each node collects the entries that do.
-3. What the other slices add to a collected entry is resolved exactly; entries that reach the cutoff
-   are kept, the k best of a node go on, and the k best of those are the answer.
+1. Every node gathers local lists: whole scores of each query with the longest vectors of its shard, of which it
+   returns the k best.
+2. The k-th best of all gathered scores is a safe cutoff for the query, and is sent to all nodes. A node takes the first slice's
+   partial scores with all its vectors, and collects the entries that can still reach the cutoff: their other slices add no more than
+   the product of both sides' lengths there.
+3. The collected entries' remaining slices are resolved exactly, slice by slice, entries that can't reach the cutoff any more being
+   let go on the way; the k best of a node go on, and the k best of those are the answer.
 
-Queries and vectors meet in blocks, each query block with each shard of the vectors; blocks are
-packed matrices, so the shuffles carry few rows. No block is broadcast, and no score list leaves its
-node but for its first entries.
+Queries and vectors meet in blocks, each query block with each shard; blocks are packed matrices, so the shuffles carry
+few rows. No block is broadcast, and no score list leaves its node but for its first entries.
 
 Vectors that are null, or hold a null or non-finite component, take no part, nor do rows of null
 id. Vectors are compared with those of their own length. All rows with a query's id are its own and
 no candidates; query rows that agree in id and vector are one query. Of fewer than k candidates
 all are returned; ties go to the smaller id, then are arbitrary among rows of one id and score.
-Scores beyond 64 bits are held to the range of a long.
+Scores beyond 64 bits are held to the range of a long; components and sums of any size are exact. Columns other than id and vector play no part.
 """
 
 from __future__ import annotations
@@ -35,13 +35,20 @@ from pyspark.sql import functions as F
 from ._spark import scan
 from ._text import mix
 
-SHARD_ROWS, QUERY_ROWS, SLICES = 8192, 2048, 2
+SHARD_ROWS, QUERY_ROWS, SLICES = 8192, 16384, 4
+#: Of a shard's rows, one in so many is gathered from in the first phase.
+GATHERED = 16
+#: Collected entries, one in so many of all, below which they are resolved one by one and not as a matrix.
+FEW = 8
 _BATCH = 256
-_BLOCK = "part int, dim int, ids binary, vectors binary"
+_BLOCK = "part int, dim int, kind int, ids binary, vectors binary"
+#: How a block is packed: whole numbers of 2 or 4 bytes or as doubles, or, where 256 x is beyond a double, x itself.
+_KINDS = (np.int16, np.int32, np.float64, np.float64)
+_RAW = 3
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, integer vectors as doubles) for each length of vector."""
+    """(ids, components) of vectors that take part, for each length of vector."""
     ids, vectors = batch.column(0), batch.column(1)
     there = pc.and_(pc.is_valid(ids), pc.is_valid(vectors))
     ids, vectors = ids.filter(there), vectors.filter(there)
@@ -55,7 +62,15 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = np.flatnonzero(sizes == d)
         m = flat[starts[rows][:, None] + np.arange(d)] if d else np.zeros((len(rows), 0))
         good = np.isfinite(m).all(axis=1)
-        yield ids[rows[good]], np.floor(m[good] * 256.0)
+        yield ids[rows[good]], m[good]
+
+
+def _packed(m: np.ndarray) -> tuple[int, bytes]:
+    with np.errstate(over="ignore"):
+        whole = np.floor(m * 256.0)
+    most = np.abs(whole).max() if whole.size else 0
+    kind = 0 if most < 2**15 else 1 if most < 2**31 else 2 if most < np.inf else _RAW
+    return kind, (m if kind == _RAW else whole.astype(_KINDS[kind])).tobytes()
 
 
 def _blocks(frame: DataFrame, id_col: str, vector_col: str, parts: int) -> DataFrame:
@@ -66,37 +81,58 @@ def _blocks(frame: DataFrame, id_col: str, vector_col: str, parts: int) -> DataF
             part = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
             for p in np.unique(part).tolist():
                 at = part == p
-                yield pa.record_batch([
-                    pa.array([p], pa.int32()), pa.array([m.shape[1]], pa.int32()), pa.array([ids[at].tobytes()], pa.binary()), pa.array([m[at].tobytes()], pa.binary()),
-                ], names=["part", "dim", "ids", "vectors"])
+                kind, raw = _packed(m[at])
+                ints = [pa.array([x], pa.int32()) for x in (p, m.shape[1], kind)]
+                yield pa.record_batch([*ints, pa.array([ids[at].tobytes()], pa.binary()), pa.array([raw], pa.binary())], names=["part", "dim", "kind", "ids", "vectors"])
 
     return scan(frame, [id_col, vector_col], run, _BLOCK)
 
 
+def _exact(m: np.ndarray) -> np.ndarray:
+    """floor(256 x) as numbers of any size."""
+    return np.array([[int(v) * 256 if abs(v) > 2.0**60 else math.floor(v * 256) for v in r] for r in m.tolist()], object).reshape(m.shape)
+
+
 def _unpacked(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, whole numbers) by length: doubles, or objects where doubles can't hold them."""
     found: dict[int, list] = {}
-    for dim, ids, vectors in zip(*(table.column(c).to_pylist() for c in ("dim", "ids", "vectors"))):
+    for dim, kind, ids, vectors in zip(*(table.column(c).to_pylist() for c in ("dim", "kind", "ids", "vectors"))):
         i = np.frombuffer(ids, np.int64)
-        found.setdefault(dim, []).append((i, np.frombuffer(vectors, np.float64).reshape(len(i), dim)))
+        m = np.frombuffer(vectors, _KINDS[kind]).reshape(len(i), dim)
+        found.setdefault(dim, []).append((i, _exact(m) if kind == _RAW else m.astype(np.float64)))
     return {d: (np.concatenate([i for i, _ in x]), np.concatenate([m for _, m in x])) for d, x in found.items()}
 
 
+def _names(m: np.ndarray) -> np.ndarray:
+    if m.dtype == object:
+        return np.array([hash(tuple(int(v) for v in r)) for r in m.tolist()], np.int64)
+    odd = 2 * np.arange(m.shape[1], dtype=np.uint64) + np.uint64(1)
+    return mix((mix(m.view(np.uint64) + odd) * odd).sum(axis=1, dtype=np.uint64)).view(np.int64)
+
+
 def _queries(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per length: ids, a name of each vector, and vectors, each (id, vector) once."""
     out = {}
     for d, (ids, m) in _unpacked(table).items():
-        name = mix((m.astype(np.int64, casting="unsafe").view(np.uint64) * (2 * np.arange(d, dtype=np.uint64) + np.uint64(1))).sum(axis=1, dtype=np.uint64)).view(np.int64)
+        name = _names(m + 0 if m.dtype == object else np.ascontiguousarray(m + 0.0))  # no zero with a sign
         _, first = np.unique(np.stack([ids, name], 1), axis=0, return_index=True)
         out[d] = ids[first], name[first], m[first]
     return out
 
 
-def _partial(a: np.ndarray, b: np.ndarray, m: int) -> list[np.ndarray]:
-    """a b^T by slices of the dimensions, exact: in doubles while all sums fit them, else in whole numbers of any size."""
-    most = (np.abs(a).max() if a.size else 0) * (np.abs(b).max() if b.size else 0) * a.shape[1]
-    if most >= 2.0**53:
-        a, b = (np.array([[int(v) for v in r] for r in x], object).reshape(x.shape) for x in (a, b))
-    return [a[:, x] @ b[:, x].T for x in _slices(a.shape[1], m)]
+def _longest_first(ids: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if m.dtype == object:
+        return ids, m
+    order = np.lexsort((ids, -(m * m).sum(1)))
+    return ids[order], m[order]
+
+
+def _fitting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as doubles while all sums of products fit them, else as whole numbers of any size."""
+    if a.dtype != object and b.dtype != object:
+        if (np.abs(a).max() if a.size else 0) * (np.abs(b).max() if b.size else 0) * a.shape[1] < 2.0**53:
+            return a, b
+    return tuple(x if x.dtype == object else np.array([[int(v) for v in r] for r in x.tolist()], object).reshape(x.shape) for x in (a, b))
 
 
 def _slices(dim: int, m: int) -> list[slice]:
@@ -108,27 +144,49 @@ def _whole(score) -> list[int]:
     return [max(-(2**63), min(2**63 - 1, int(v))) for v in score]
 
 
-def _gather(queries: pa.Table, vectors: pa.Table, k: int, m: int) -> Iterator[tuple[int, int, list[int]]]:
-    """Phase 1: (query, name, its best whole scores among the first entries of its local lists)."""
+def _best(ids: np.ndarray, score: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(score, id) of the k best."""
+    return [(v, i) for v, i in sorted(zip(_whole(score), ids.tolist()), key=lambda x: (-x[0], x[1]))[:k]]
+
+
+def _gather(queries: pa.Table, vectors: pa.Table, k: int) -> Iterator[tuple[int, int, list[int]]]:
+    """Phase 1: (query, name, its k best whole scores among the shard's longest vectors)."""
     held = _unpacked(vectors)
     for dim, (ids, names, q) in _queries(queries).items():
         if dim not in held:
             continue
-        cid, c = held[dim]
+        cid, c = _longest_first(*held[dim])
+        n = min(len(cid), max(4 * k, -(-len(cid) // GATHERED)))
+        cid, (q, c) = cid[:n], _fitting(q, c[:n])
         for s in range(0, len(ids), _BATCH):
-            part, own = q[s : s + _BATCH], ids[s : s + _BATCH, None] == cid[None, :]
-            lists = _partial(part, c, m)
-            first = np.zeros(own.shape, bool)
-            for p in lists:
-                p = np.where(own, -math.inf, p) if p.dtype != object else p
-                n = min(k, p.shape[1])
-                top = np.argpartition(-p, n - 1, axis=1)[:, :n] if p.dtype != object else np.argsort(-p, axis=1)[:, :n]
-                np.put_along_axis(first, top, True, axis=1)
-            first &= ~own
-            for r in range(len(part)):
-                at = np.flatnonzero(first[r])
-                score = sum(p[r, at] for p in lists)
-                yield int(ids[s + r]), int(names[s + r]), sorted(_whole(score), reverse=True)[:k]
+            score = q[s : s + _BATCH] @ c.T
+            for r in range(len(score)):
+                there = np.flatnonzero(cid != ids[s + r])
+                yield int(ids[s + r]), int(names[s + r]), [v for v, _ in _best(cid[there], score[r, there], k)]
+
+
+def _reaching(q: np.ndarray, c: np.ndarray, cut: np.ndarray, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Phases 2 and 3 in doubles: (rows of q, rows of c, whole scores) of entries that reach the queries' cutoffs, and some that don't."""
+    parts = _slices(q.shape[1], m)
+    rest = [(np.sqrt((q[:, p.stop :] ** 2).sum(1)), np.sqrt((c[:, p.stop :] ** 2).sum(1))) for p in parts]
+    slack = 1 + 1e-9 * rest[0][0].max(initial=0) * rest[0][1].max(initial=0)  # lengths are rounded, products aren't
+    for s in range(0, len(q), _BATCH):
+        a, least = q[s : s + _BATCH], cut[s : s + _BATCH, None] - slack
+        partial = np.zeros((len(a), len(c)))
+        for x, p in enumerate(parts):
+            partial += a[:, p] @ c[:, p].T
+            reach = partial + rest[x][0][s : s + _BATCH, None] * rest[x][1][None, :] >= least
+            if np.count_nonzero(reach) * FEW <= reach.size:
+                break
+        row, col = np.nonzero(reach)
+        score = partial[row, col]
+        for y in range(x + 1, len(parts)):
+            p = parts[y]
+            for t in range(0, len(row), 1 << 16):
+                score[t : t + (1 << 16)] += np.einsum("ij,ij->i", a[row[t : t + (1 << 16)], p], c[col[t : t + (1 << 16)], p])
+            kept = score + rest[y][0][s + row] * rest[y][1][col] >= least[row, 0]
+            row, col, score = row[kept], col[kept], score[kept]
+        yield s + row, col, score
 
 
 def _resolve(queries: pa.Table, vectors: pa.Table, cutoffs: dict[tuple[int, int], int], k: int, m: int) -> Iterator[tuple[int, int, int, int]]:
@@ -138,21 +196,28 @@ def _resolve(queries: pa.Table, vectors: pa.Table, cutoffs: dict[tuple[int, int]
         if dim not in held:
             continue
         cid, c = held[dim]
-        for s in range(0, len(ids), _BATCH):
-            part, own = q[s : s + _BATCH], ids[s : s + _BATCH, None] == cid[None, :]
-            lists = _partial(part, c, m)
-            cut = np.array([cutoffs.get(key, -(2**63)) for key in zip(ids[s : s + _BATCH].tolist(), names[s : s + _BATCH].tolist())], object if lists[0].dtype == object else np.float64)
-            share = cut // len(lists) - 1  # whole scores; one less, as a double may stand a little above its value
-            collected = np.zeros(own.shape, bool)
-            for p in lists:
-                collected |= (p >= share[:, None]).astype(bool)
-            collected &= ~own
-            for r in range(len(part)):
-                at = np.flatnonzero(collected[r])
-                score = _whole(sum(p[r, at] for p in lists))
-                best = sorted((-v, i) for v, i in zip(score, cid[at].tolist()) if v >= cut[r])[:k]
-                for v, i in best:
-                    yield int(ids[s + r]), int(names[s + r]), i, -v
+        q, c = _fitting(q, c)
+        cuts = [cutoffs.get(key, -(2**63)) for key in zip(ids.tolist(), names.tolist())]
+        if q.dtype == object:
+            every = np.arange(len(cid))
+            found = ((np.full(len(cid), r), every, q[r] @ c.T) for r in range(len(ids)))
+        else:
+            found = _reaching(q, c, np.array(cuts, np.float64), m)
+        for row, col, score in found:
+            other = ids[row] != cid[col]
+            row, col, score = row[other], col[other], score[other]
+            order = np.argsort(row, kind="stable")
+            row, col, score = row[order], col[order], score[order]
+            for r, a, b in zip(*(x.tolist() for x in _groups(row))):
+                for v, i in _best(cid[col[a:b]], score[a:b], k):
+                    if v >= cuts[r]:
+                        yield int(ids[r]), int(names[r]), i, v
+
+
+def _groups(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each different number, and where it starts and ends in the sorted array."""
+    found, first = np.unique(row, return_index=True)
+    return found, first, np.append(first[1:], len(row))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", slices: int = SLICES) -> DataFrame:
@@ -165,7 +230,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     here = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def gather(q: pa.Table, v: pa.Table) -> pa.Table:
-        got = list(_gather(q, v, k, slices))
+        got = list(_gather(q, v, k))
         return pa.table({"query_id": pa.array([x[0] for x in got], pa.int64()), "name": pa.array([x[1] for x in got], pa.int64()), "scores": pa.array([x[2] for x in got], pa.list_(pa.int64()))})
 
     keys = ["qb", "shard"]

@@ -23,7 +23,7 @@ def frame(spark, rows):
 
 
 def best(rows, k=5):
-    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [int(x) * 256 if abs(x) > 2**60 else math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
     for i, v in {(i, tuple(v)) for i, v in ok if i % 50 == 0}:
         found = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in ok if j != i and len(w) == len(v))[:k]
@@ -40,6 +40,7 @@ def test_top_k(spark, monkeypatch, shard):
     rows += [(50, None), (None, [1.0] * 5), (51, [1.0, None, 0.0, 0.0, 0.0]), (52, [1.0, float("nan"), 0.0, 0.0, 0.0]), (53, [float("inf")] * 5), (100, [1.0, 2.0]), (7, [3.0, 4.0]), (150, [])]
     rows += [rows[5], (1000, [2.0**40, -(2.0**40), 1.0])]  # a row twice, and one without partners
     rows += [(1, [2.0**40, 3.0, 5.0])]
+    rows += [(200, [1e308, 0.5, -1.0, 2.0]), (3, [-1e308, 0.25, 1.0, 1.0]), (4, [1.0, 1.0, 1.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     for _ in range(2):
         got = topk.top_k(frame, frame.filter("vec_id % 50 = 0")).collect()
@@ -48,6 +49,21 @@ def test_top_k(spark, monkeypatch, shard):
     assert topk.top_k(empty, empty).count() == 0
 
 
+def test_cutoff_spares_products():
+    """With a cutoff, few entries are taken beyond the first slice, and none is lost."""
+    rnd = np.random.default_rng(3)
+    centre = rnd.normal(size=(40, 64))
+    x = centre[rnd.integers(0, 40, 3000)] + 0.2 * rnd.normal(size=(3000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    q, score = x[:100], x[:100] @ x.T
+    cut = np.sort(score, axis=1)[:, -6]
+    taken = np.zeros(score.shape, bool)
+    for row, col, s in topk._reaching(q, x, cut, 4):
+        taken[row, col] = True
+        assert (score[row, col] == s).all()
+    assert (taken | (score < cut[:, None])).all() and taken.mean() < 0.05
+
+
 # --- lines
 
 
