@@ -16,7 +16,9 @@ document's worst. A logistic curve over sums of the sentences' margins gives the
 The fit uses a sample of `rows_each` labelled documents of either label, drawn by a hash of the id,
 never one whose crc32(id as text) mod 5 is 0; scoring is one pass over all texts without a shuffle.
 Null and empty texts score as texts without any word that comes near a landmark. Without training
-documents of both labels every score is 0. Conflicting labels of an id count as toxic.
+documents of both labels every score is 0. Conflicting labels of an id count as toxic. Rows that share an id are scored each by its own
+text; the fit takes the first of their texts in alphabetical order. Other columns play no part. Letters of Latin script beyond ASCII are told
+apart, either case as one; of other scripts, their UTF-8 bytes are compared by five bits.
 """
 
 from __future__ import annotations
@@ -35,9 +37,9 @@ from ._spark import scan
 from ._text import BLANK, Words, chunks, strings
 
 FOLDS = 5
-ROWS_EACH = 3000
-#: Bits of the numbers that runs of characters are counted under.
-GRAM_BITS = 21
+ROWS_EACH = 4000
+#: Bits of a character.
+BITS = 6
 LANDMARKS, CONTRASTS = 72, 24
 NEAR, DECAY, MOST_GAP, LENGTH, GRAM = 0.45, 0.6, 2, 4, 5
 _DROP = 255
@@ -52,8 +54,8 @@ def _classes() -> np.ndarray:
     out = np.full(256, _DROP, np.uint8)  # punctuation between letters hides nothing
     out[ord("a") : ord("z") + 1] = np.arange(1, 27)
     out[ord("0") : ord("9") + 1] = 27
-    last = np.arange(0x80, 0xC0)  # the last bytes of other letters; of capitals as of small ones
-    out[0x80:0xC0] = 29 + np.where(last < 0x9F, last + 0x20, last) % 3
+    last = np.arange(0x80, 0xC0)  # the last bytes of other letters; of capitals as of small ones, as far as Latin has them
+    out[0x80:0xC0] = 28 + np.where(last < 0x9F, last + 0x20, last) % 32
     return out
 
 
@@ -79,12 +81,11 @@ def _grams(seq: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(seq) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    code = np.zeros(n, np.int32)
+    code = np.zeros(n, np.int64)
     for j in range(GRAM):
-        code = code << 5 | seq[j : j + n]
+        code = code << BITS | seq[j : j + n]
     same = word[:n] == word[GRAM - 1 :]
-    mixed = code[same].astype(np.uint32) * np.uint32(2654435761)
-    return word[:n][same], (mixed >> np.uint32(32 - GRAM_BITS)).astype(np.int64)
+    return word[:n][same], code[same]
 
 
 def _norms(size: np.ndarray) -> np.ndarray:
@@ -101,7 +102,7 @@ def _subsequences(seq: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarra
         code, at = seq[:n].copy(), 0
         for gap in g:
             at += gap + 1
-            code = code << 5 | seq[at : at + n]
+            code = code << BITS | seq[at : at + n]
         same = word[:n] == word[span:]
         yield word[:n][same], code[same], DECAY ** sum(g)
 
@@ -117,8 +118,9 @@ class Kernel:
         parts = [(w, c, np.full(len(c), x)) for w, c, x in _subsequences(seq, word)]
         w, c, x = (np.concatenate([p[i] for p in parts]) for i in range(3))
         codes, row = np.unique(c, return_inverse=True)
-        self.row = np.full(1 << (5 * LENGTH), -1, np.int32)
-        self.row[codes] = np.arange(len(codes))
+        self.codes = codes
+        self.known = np.zeros(1 << (BITS * LENGTH), bool)
+        self.known[codes] = True
         self.value = np.zeros((len(codes), len(landmarks)), np.float32)
         np.add.at(self.value, (row, w), (x / np.maximum(_norms(size), 1e-9)[w]).astype(np.float32))
         self.most = self.value.max(axis=1)
@@ -130,9 +132,8 @@ class Kernel:
         """Words that come near a landmark, and their kernel with each; 0 below NEAR."""
         norm, bound, parts = np.maximum(_norms(size), 1e-9), np.zeros(len(size)), []
         for w, c, x in _subsequences(seq, word):
-            row = self.row[c]
-            hit = row >= 0
-            w, row = w[hit], row[hit]
+            hit = self.known[c]
+            w, row = w[hit], np.searchsorted(self.codes, c[hit])
             bound += np.bincount(w, self.most[row] * x, len(size))
             parts.append((w, row, x))
         passing = bound / norm >= NEAR
@@ -242,31 +243,39 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def _telling(chunk_words: list[Words], toxic: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Character sequences that far more toxic than clean documents hold, and how sure that is."""
-    seen = [np.zeros(1 << GRAM_BITS, np.uint16) for _ in range(2)]
+    """Character sequences that far more toxic than clean documents hold, in order, and how sure that is."""
+    held: tuple[list, list] = ([], [])
     for w, y in zip(chunk_words, toxic):
         seq, word, _ = _sequences(w.buf, w.starts, w.ends)
         g, code = _grams(seq, word)
         doc = np.searchsorted(w.ptr, g, "right") - 1
-        key = np.unique(doc << GRAM_BITS | code)
-        doc, code = key >> GRAM_BITS, key & ((1 << GRAM_BITS) - 1)
+        key = np.unique(doc << (BITS * GRAM) | code)
+        doc, code = key >> (BITS * GRAM), (key & ((1 << (BITS * GRAM)) - 1)).astype(np.int32)
         for label in (0, 1):
-            c, k = np.unique(code[y[doc] == label], return_counts=True)
-            seen[label][c] += k.astype(np.uint16)
-    codes = np.flatnonzero(seen[1] >= max(2, min(5, n[1] // 20)))
-    pos, neg = seen[1][codes] / n[1], seen[0][codes] / n[0]
-    both = (seen[1][codes] + seen[0][codes].astype(float)) / n.sum()
+            held[label].append(code[y[doc] == label])
+    codes, bad = np.unique(np.concatenate(held[1]), return_counts=True)
+    often = bad >= max(2, min(5, n[1] // 20))
+    codes, bad = codes[often], bad[often]
+    clean = np.concatenate(held[0])
+    place = np.searchsorted(codes, clean)
+    place = place[(place < len(codes)) & (codes[np.minimum(place, len(codes) - 1)] == clean)] if len(codes) else place[:0]
+    good = np.bincount(place, minlength=len(codes))
+    pos, neg, both = bad / n[1], good / n[0], (bad + good) / n.sum()
     z = (pos - neg) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    good = (z >= 4) & (pos >= 4 * neg)
-    codes, z = codes[good], z[good]
-    top = np.argsort(-z, kind="stable")[:768]
-    return codes[top], z[top]
+    some = (z >= 4) & (pos >= 4 * neg)
+    return codes[some], z[some]
+
+
+def _sure(code: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sequences are telling, and the number of each of these."""
+    place = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+    hit = codes[place] == code if len(codes) else np.zeros(len(code), bool)
+    return hit, place[hit]
 
 
 def _picked(chunk_words: list[Words], toxic: list[np.ndarray], codes: np.ndarray, z: np.ndarray) -> list[bytes]:
     """Words of toxic documents that hold most of the telling sequences, none held by many before."""
-    sure = np.zeros(1 << GRAM_BITS, np.float32)
-    sure[codes] = z
+    sure = z.copy()
     found: dict[bytes, int] = {}
     for w, y in zip(chunk_words, toxic):
         bad = np.flatnonzero(y[np.searchsorted(w.ptr, np.arange(len(w.starts)), "right") - 1] == 1)
@@ -274,19 +283,17 @@ def _picked(chunk_words: list[Words], toxic: list[np.ndarray], codes: np.ndarray
             continue
         seq, word, _ = _sequences(w.buf, w.starts[bad], w.ends[bad])
         g, code = _grams(seq, word)
-        hit = sure[code] > 0
-        value = np.bincount(g[hit], sure[code[hit]], len(bad))
-        for i in np.flatnonzero(value).tolist():
+        for i in np.unique(g[_sure(code, codes)[0]]).tolist():
             t = w.low[w.starts[bad[i]] : w.ends[bad[i]]].translate(None, _MARKS)
             found[t] = found.get(t, 0) + 1
-    words = sorted(found, key=lambda t: (-found[t], t))[:6000]
+    words = sorted(found, key=lambda t: (-found[t], t))
     if not words:
         return []
     ends = np.cumsum([len(t) for t in words])
     seq, word, size = _sequences(np.frombuffer(b"".join(words), np.uint8), ends - [len(t) for t in words], ends)
     g, code = _grams(seq, word)
-    hit = sure[code] > 0
-    g, code = g[hit], code[hit]
+    hit, code = _sure(code, codes)
+    g = g[hit]
     often = np.log1p([found[t] for t in words])
     out: list[bytes] = []
     for _ in range(LANDMARKS):
@@ -382,7 +389,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = known.filter(F.col("y") == label).orderBy(F.xxhash64(id_col), id_col).limit(rows_each)
         drawn = part if drawn is None else drawn.unionByName(part)
     ids = drawn.withColumnRenamed(id_col, "__id")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), F.col("id") == F.col("__id")).select("id", "t", "y").dropDuplicates(["id"])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(ids), F.col("id") == F.col("__id")).groupBy("id").agg(F.min("t").alias("t"), F.max("y").alias("y"))
     share = n[1] / (n[0] + n[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -312,6 +312,47 @@ def test_kernel_is_symmetric_and_close_for_gaps():
     assert with_(b"idiot")[0] == pytest.approx(1) and with_(b"idxiot")[0] > 0.45 and with_(b"id.iot")[0] == pytest.approx(1) and not with_(b"zebra").any()
 
 
+def naive_kernel(a, b):
+    """Four characters in order, at most two skipped in all, each skip weighing DECAY; bounds count as characters."""
+
+    def parts(word):
+        c, out = "^" + word + "$", {}
+        for at in itertools.combinations(range(len(c)), 4):
+            gaps = at[3] - at[0] - 3
+            if gaps <= 2:
+                key = "".join(c[i] for i in at).replace("$", "^")
+                out.setdefault(key, []).append(0.6**gaps)
+        return out
+
+    x, y = parts(a), parts(b)
+    norm = lambda p: math.sqrt(sum(w * w for ws in p.values() for w in ws))
+    return min(1.0, sum(sum(x[u]) * sum(y[u]) for u in x.keys() & y.keys()) / (norm(x) * norm(y)))
+
+
+def test_kernel_is_that_of_all_subsequences():
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(2, 9))) for _ in range(40)]
+    words += [w[:2] + "x" + w[2:] for w in words[:20]]
+    k = toxicity.Kernel([w.encode() for w in words[:12]])
+    raw = [w.encode() for w in words]
+    ends = np.cumsum([len(w) for w in raw])
+    near, value = k.near(*toxicity._sequences(np.frombuffer(b"".join(raw), np.uint8), ends - [len(w) for w in raw], ends))
+    got = np.zeros((len(words), 12))
+    got[near] = value
+    want = np.array([[naive_kernel(a, b) for b in words[:12]] for a in words])
+    clear = np.abs(want - toxicity.NEAR) > 1e-4  # rounding may put others on either side
+    assert np.abs(got - np.where(want < toxicity.NEAR, 0, want))[clear].max() < 1e-5
+
+
+def test_repeated_ids_change_nothing_between_reruns(spark):
+    rnd = random.Random(9)
+    known = sentences(rnd, 120, False)
+    rows = [(i % 60, t, "s") for i, (t, _) in enumerate(known)]
+    labels = spark.createDataFrame([(i, 1, known[i][1]) for i in range(60)], "doc_id long, quality int, toxic int")
+    a, b = (sorted(map(tuple, toxicity.report(frame(spark, rows).repartition(n), labels).collect())) for n in (1, 4))
+    assert a == b
+
+
 def test_toxicity_queries(spark):
     rnd = random.Random(7)
     known = sentences(rnd, 200, False)
