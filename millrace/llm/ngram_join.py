@@ -12,7 +12,10 @@ since all such rank alike. The sets that share one of their first shingles make
 the smallest set of each shingle's list is enough to find cells, whatever the list's length.
 
 Search. The whole sets of a cell meet in one task, small cells several at once, and cells beyond
-`BLOCK` shingles by pairs of blocks. There each set asks an inverted index for the sets that hold
+`BLOCK` shingles by pairs of blocks. Where the numbers of links aren't asked for, such a cell's first block, a random
+sample of it, first meets all others; what this links to one group needs no more comparing within that group, so then only the sets
+outside the cell's largest group are dealt into blocks, each of which meets the whole cell. A group of near copies of any size thus costs
+one meeting with the sample, and not all pairs of blocks. In a meeting each set asks an inverted index for the sets that hold
 enough of its shingles: its longest lists are set aside, the short ones are merged by a heap, and sets that
 occur in them often enough are probed for in the long lists by binary search. A stated exact
 test follows: 100 * shared >= 100 t * union. Every link between two classes is tested and counted, each pair in one
@@ -77,8 +80,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _class(s: np.ndarray) -> tuple[int, int, int]:
     """Class key of a set: a 64-bit name and the two sums it is made of."""
     a, b = mix(s).sum(dtype=np.uint64), mix(s ^ _SALT).sum(dtype=np.uint64)
-    both = mix(np.array([a, b, len(s)], np.uint64))
-    name = both[0] ^ (both[1] * np.uint64(3)) ^ (both[2] * np.uint64(5))
+    name = np.bitwise_xor.reduce(mix(np.array([a, b, len(s)], np.uint64)) * np.array([1, 3, 5], np.uint64))
     return tuple(_signed(np.array([name, a, b], np.uint64)).tolist())
 
 
@@ -259,8 +261,8 @@ def _stars(prefixes: DataFrame, buckets: int) -> DataFrame:
 class Index:
     """Inverted lists over sets, numbered by size; finds and joins those that link."""
 
-    def __init__(self, ids: list, sets: list[np.ndarray], percent: int = PERCENT, weights: list[int] | None = None, blocks: list[int] | None = None):
-        """weights: documents of each set, by which links are counted; blocks: where given, only links between two of them are."""
+    def __init__(self, ids: list, sets: list[np.ndarray], percent: int = PERCENT, weights: list[int] | None = None, blocks: list[int] | None = None, groups: list | None = None):
+        """weights: documents of each set, by which links are counted; blocks: where given, only links between two of them are; groups: names of groups that sets are known to be in."""
         order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
         self.ids, self.sets, self.percent = [ids[i] for i in order], [sets[i] for i in order], percent
         self.size = np.array([len(s) for s in self.sets], np.int64)
@@ -277,6 +279,9 @@ class Index:
         self.weight = np.array([weights[i] for i in order], np.int64) if weights is not None else None
         self.block = np.array([blocks[i] for i in order], np.int64) if blocks is not None else None
         self.order, self.links = order, np.zeros(len(self.sets), np.int64)
+        if groups is not None:
+            first: dict[object, int] = {}
+            self.root = np.array([x if groups[i] is None else first.setdefault(groups[i], x) for x, i in enumerate(order)], np.int64)
 
     def _lists(self, numbers: np.ndarray) -> list[np.ndarray]:
         return [self.owner[s:e] for s, e in zip(self.starts[numbers].tolist(), (self.starts[numbers] + self.n[numbers]).tolist())]
@@ -340,7 +345,7 @@ class Index:
 
 
 def _search(members: DataFrame, kind: str, k: int, percent: int, links: bool) -> DataFrame:
-    """Links (a, b) among the members (grp, block, id, cid, docs, text) of each group, and where asked for (cid, links) of each class."""
+    """Links (a, b) among the members (grp, block, id, cid, docs, root, text) of each group, and where asked for (cid, links) of each class."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, cids = table.column("id").to_pylist(), table.column("cid").to_pylist()
@@ -356,7 +361,7 @@ def _search(members: DataFrame, kind: str, k: int, percent: int, links: bool) ->
                     first.setdefault(cids[row], row)
             weights = [docs[row] if first.get(cids[row]) == row else 0 for row in range(len(ids))]
         place = table.column("grp")[0].as_py().split(",")
-        index = Index(ids, sets, percent, weights, blocks if len(set(place[1:])) == 2 else None)
+        index = Index(ids, sets, percent, weights, blocks if len(set(place[1:])) == 2 else None, table.column("root").to_pylist())
         got = list(index.join())
         of = table.schema.field("id").type
         n = [(cids[row], x) for row, x in zip(index.order, index.links.tolist()) if weights is not None and weights[row] and x]
@@ -368,6 +373,36 @@ def _search(members: DataFrame, kind: str, k: int, percent: int, links: bool) ->
     return members.groupBy("grp").applyInArrow(run, f"a {kind}, b {kind}, cid bigint, links bigint")
 
 
+def _dealt(members: DataFrame, few: int, links: bool) -> DataFrame:
+    """The members of cells with the groups that they meet in, `grps`: all pairs of blocks, or, without links, the first block and each."""
+    wide = members.groupBy("cell").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    name = lambda a, b: F.concat_ws(",", "cell", a, b)
+    pairs = F.transform(every, lambda o: name(F.least(o, block), F.greatest(o, block)))
+    if not links:
+        pairs = F.when(block == 0, F.transform(every, lambda o: name(F.lit(0), o))).otherwise(F.array(name(F.lit(0), block)))
+    alone = F.array(F.pmod(F.xxhash64("cell"), F.lit(few)).cast("string"))
+    return members.join(wide, "cell").select("rep", "cid", "docs", "cell", "n", "blocks", block.alias("block"), F.when(F.col("blocks") > 1, pairs).otherwise(alone).alias("grps"))
+
+
+def _left_over(placed: DataFrame, linked: DataFrame) -> DataFrame:
+    """Of cells of several blocks, the members with `root`, the group that the first round put them in, and the groups that they meet in next.
+
+    Sets outside a cell's largest group are dealt into parts of a block's size, and each part meets all blocks of the cell.
+    """
+    rooted = placed.filter("blocks > 1").join(linked.withColumnRenamed("v", "rep"), "rep", "left")
+    rooted = durable(rooted.select("rep", "cid", "docs", "cell", "n", "blocks", "block", F.coalesce("root", "rep").alias("root")))
+    size = rooted.groupBy("cell", "root").agg(F.sum("n").alias("size"))
+    most = size.groupBy("cell").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("all"))
+    most = most.select("cell", F.col("m.root").alias("largest"), F.ceil((F.col("all") - F.col("m.size")) / BLOCK).cast("int").alias("parts")).filter("parts > 0")
+    name = lambda part, block: F.concat_ws(",", "cell", part, block, F.lit("rest"))
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
+    own = F.when(F.col("root") != F.col("largest"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: name(part, b))).otherwise(F.array().cast("array<string>"))
+    other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: name(p, F.col("block")))
+    return rooted.join(most, "cell").select("rep", "cid", "docs", "block", "root", F.array_distinct(F.concat(own, other)).alias("grps"))
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, links: bool = True) -> DataFrame:
     """One row per document: its id, n_shingles, component_id, the smallest id that links reach, and n_links, the other documents it links with.
 
@@ -385,15 +420,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = named.filter("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.count_distinct("id").alias("docs"))
     members = durable(classes.join(cells.select(F.col("v").alias("cid"), F.col("root").alias("cell")), "cid").select("rep", "n", "cid", "docs", "cell"))
     total = members.agg(F.sum("n")).first()[0] or 0
-    wide = members.groupBy("cell").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     few = max(1, 2 * total // BLOCK, min(total // 50_000, spark.sparkContext.defaultParallelism * 2))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.concat_ws(",", F.col("cell"), F.least(o, block), F.greatest(o, block)))
-    placed = members.join(wide, "cell").select("rep", "cid", "docs", block.alias("block"), F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.pmod(F.xxhash64("cell"), F.lit(few)).cast("string"))).alias("grps"))
+    placed = _dealt(members, few, links)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = durable(_search(texts.join(placed, texts["id"] == placed["rep"]).select(F.explode("grps").alias("grp"), "block", "id", "cid", "docs", "text"), kind, k, percent, links))
 
+    def met(where: DataFrame) -> DataFrame:
+        each = texts.join(where, texts["id"] == where["rep"]).select(F.explode("grps").alias("grp"), "block", "id", "cid", "docs", "root", "text")
+        return durable(_search(each, kind, k, percent, links))
+
+    found = met(placed.withColumn("root", F.lit(None).cast(kind)))
     linked = components(found.select("a", "b"))
+    if not links and not placed.filter("blocks > 1").isEmpty():
+        linked = components(found.select("a", "b").unionByName(met(_left_over(placed, linked)).select("a", "b")))
     groups = classes.join(linked.withColumnRenamed("v", "rep"), "rep", "left").select(*key, "docs", F.coalesce("root", "rep").alias("component_id"))
     if links:
         groups = groups.join(found.filter("cid is not null").groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")

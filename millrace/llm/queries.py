@@ -35,8 +35,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), wordpiece.vocabulary())
+def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = wordpiece.VOCABULARY) -> DataFrame:
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), wordpiece.vocabulary(vocabulary))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

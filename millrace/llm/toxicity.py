@@ -402,19 +402,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return pickle.loads(made[0]["model"]) if made else fit([], [])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id, score) of every document, or all its columns and `score` in place of any of that name."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
+    """(id, score) of every document, or all its columns and the score, in place of any of its name."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c != "score"] if keep else [id_col, text_col]
+    columns = [c for c in docs.columns if c != name] if keep else [id_col, text_col]
     at = columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         scores = np.concatenate([sent.value.scores(Words(raw, offs, BLANK)) for _, _, raw, offs in chunks(batch.column(at))])
         own = batch.columns if keep else [batch.column(0)]
-        yield pa.record_batch([*own, pa.array(scores)], names=[*(columns if keep else [id_col]), "score"])
+        yield pa.record_batch([*own, pa.array(scores)], names=[*(columns if keep else [id_col]), name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in (columns if keep else [id_col]))
-    return scan(docs, columns, run, f"{kinds}, score double")
+    return scan(docs, columns, run, f"{kinds}, `{name}` double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ number of those pieces, worked out when the automaton is built. So a word costs
 character, however often matches break off, and no piece is ever built.
 
 A word that can't be split into entries counts as one piece, and as unknown. Words are [^\x20\x09-\x0D]+.
-Null and empty texts have no words and no pieces.
+Null and empty texts have no words and no pieces. Each row gives one row, also where ids, null ones too, and texts are equal; other
+columns play no part. A text costs in proportion to its length, however long its words are.
 """
 
 from __future__ import annotations

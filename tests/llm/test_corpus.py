@@ -228,6 +228,8 @@ def test_join(spark, monkeypatch, block, hot, merged):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(spark, rows).withColumn("n", F.lit("clash"))).collect()}
     want = brute_join(rows)
     assert got == want | {None: (1, None)}
+    without = ngram_join.ngram_join(frame(spark, rows), links=False)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in without.collect()} == got and "n_links" not in without.columns
     assert ngram_join.ngram_join(frame(spark, [])).count() == 0
 
 
