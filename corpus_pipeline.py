@@ -16,13 +16,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; null and empty texts are scored as texts without toxic words."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=True).filter("score < 0.5").drop("score")
+    return toxicity.score(docs, model, keep=True, name="__toxicity").filter("__toxicity < 0.5").drop("__toxicity")
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of windows that stand earlier in the corpus; one that loses all its lines goes, one that had none stays."""
-    kept = lines.dedup_lines(docs).filter("n_removed = 0 or length(trim(text)) > 0")
-    size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    kept = lines.dedup_lines(docs, counts=("__lines", "__gone")).filter("__gone = 0 or length(trim(text)) > 0")
+    size = F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", size).select(*docs.columns)
 
 
