@@ -260,7 +260,9 @@ def _own(n: Node) -> str:
 def _said(members: list[Node]) -> list[str]:
     """Digests of the different texts that the elements hold themselves, in order, and of the first and the last."""
     texts = [t for t in map(_own, members) if t]
-    return [_digest("\n".join(dict.fromkeys(texts))), _digest(texts[0]), _digest(texts[-1])] if texts else ["", "", ""]
+    if len(texts) < 2:
+        return [_digest(texts[0])] * 3 if texts else ["", "", ""]
+    return [_digest("\n".join(dict.fromkeys(texts))), _digest(texts[0]), _digest(texts[-1])]
 
 
 def noted(root: Node) -> tuple[list[Part], bool]:

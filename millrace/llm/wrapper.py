@@ -79,6 +79,8 @@ def _met(a: Part, b: Part, up_b: int = 0, up_a: int = 0) -> None:
 def _folded(parts: list[Part]) -> list[Part]:
     """Repeats of one to three neighbours become repeated parts."""
     for period in (1, 2, 3):
+        if len(parts) < 2 * period and not (period > 1 and any(p.sig == GROUP for p in parts)):
+            break
         out: list[Part] = []
         names: list[str] = []
         for part in parts:
