@@ -15,7 +15,7 @@ from .plans import chat, spans
 from .sources import sinks
 from .sources.cache import key as cache_key
 from .sources.cache import split as cache_split
-from .storage import shared_dir
+from .storage import read_table, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return read_table(spark, f"{sf_dir}/documents.parquet")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

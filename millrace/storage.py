@@ -35,3 +35,15 @@ def written(rows: DataFrame) -> DataFrame:
     path = f"{shared_dir(rows.sparkSession)}/millrace-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+#: Bytes of a table of few files up to which its rows are dealt over the cores; a larger one is read by as many tasks as it has parts.
+SMALL_BYTES = 64 << 20
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; a small one of few files is dealt over the cores, as one task would read it otherwise."""
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size <= SMALL_BYTES and len(rows.inputFiles()) < cores else rows
