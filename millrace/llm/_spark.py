@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import durable, shared_dir, written
+from ..storage import durable, read_table, shared_dir, written
 
 __all__ = ["durable", "scan", "shared_dir", "table", "written"]
 
@@ -25,12 +25,5 @@ def scan(frame: DataFrame, columns: list[str], fn: Scan, schema: str) -> DataFra
     return frame.select(*columns).mapInArrow(run, schema)
 
 
-#: Bytes of a table of few files up to which its rows are dealt over the cores; a larger one is read by as many tasks as it has parts.
-SMALL_BYTES = 64 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size <= SMALL_BYTES and len(rows.inputFiles()) < cores else rows
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
