@@ -110,7 +110,12 @@ WITH RECURSIVE doc AS (
 )
 """
 
-OP9 = _LINKED + "SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, component_id FROM doc LEFT JOIN size ON doc.doc_id = size.doc_id JOIN least_of ON doc.doc_id = least_of.v"
+OP9 = _LINKED + """, partners AS (
+  SELECT x, count(*) AS n FROM pair GROUP BY x
+)
+SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, component_id, coalesce(partners.n, 0) AS n_links
+FROM doc LEFT JOIN size ON doc.doc_id = size.doc_id JOIN least_of ON doc.doc_id = least_of.v LEFT JOIN partners ON doc.doc_id = partners.x
+"""
 
 OP3 = """
 WITH v AS (
