@@ -1,0 +1,15 @@
+"""Every query that has SQL, over the given tables."""
+
+from pathlib import Path
+
+import pytest
+from held import SF_DIR, differences
+
+from millrace.queries import QUERIES
+from millrace.sql import ORACLES
+
+
+@pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no tables here")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_gives_what_its_sql_says(spark, name):
+    assert not differences(spark, QUERIES[name], ORACLES[name])
