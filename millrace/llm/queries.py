@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, licenses, lines, mixing, ngram_join, secrets, topk, toxicity, wordpiece
+from . import decontaminate, html, infill, licenses, lines, mixing, ngram_join, secrets, topk, toxicity, wordpiece
 from ._spark import table
 
 
@@ -51,9 +51,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.report(html.extract(table(spark, sf_dir, "pages")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.report(infill.infill(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_license_scan, op3_exact_top_k, op4_line_dedup, op5_source_mix, op6_toxicity, op7_token_counts,
         op8_decontamination, op9_ngram_jaccard_join, op10_html_extraction,
+        op11_fill_in_middle,
     )
 }

@@ -130,4 +130,20 @@ WITH v AS (
 SELECT * FROM ranked WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op3_exact_top_k": OP3, "op4_line_dedup": OP4, "op5_source_mix": OP5, "op8_decontamination": OP8, "op9_ngram_jaccard_join": OP9}
+OP11 = """
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM doc
+), cut AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), piece AS (
+  SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM piece
+"""
+
+ORACLES: dict[str, str] = {"op3_exact_top_k": OP3, "op4_line_dedup": OP4, "op5_source_mix": OP5, "op8_decontamination": OP8, "op9_ngram_jaccard_join": OP9, "op11_fill_in_middle": OP11}
