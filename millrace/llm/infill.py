@@ -29,7 +29,7 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 UNITS = r"(?s)."
 #: Of a hundred draws, those that are moved at all, and of these, those whose suffix comes first.
 MOVED, SUFFIX_FIRST = 90, 20
-RESULT = "n long, form string, prefix string, middle string, suffix string, output string, output_sha256 string"
+RESULT = "n long, form string, prefix_chars long, middle_chars long, output string, output_sha256 string"
 
 _END = methodcaller("end")
 
@@ -42,7 +42,7 @@ def unit_ends(text: str, pattern: regex.Pattern) -> array:
     return ends
 
 
-def draws(doc_id: int | None) -> list[int]:
+def draws(doc_id: int | str | None) -> list[int]:
     """The first four groups of eight digits of the id's digest."""
     said = hashlib.sha256(f"1:{'null' if doc_id is None else doc_id}".encode()).hexdigest()
     return [int(said[i : i + 8], 16) for i in range(0, 32, 8)]
@@ -52,18 +52,17 @@ def digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def moved(doc_id: int | None, text: str, pattern: regex.Pattern) -> tuple[int, str, str | None, str | None, str | None, str]:
-    """(units, form, prefix, middle, suffix, output); without pieces where the form is plain."""
+def moved(doc_id: int | str | None, text: str, pattern: regex.Pattern) -> tuple[int, str, int | None, int | None, str]:
+    """(units, form, code points of prefix and middle, output); no lengths where the form is plain."""
     ends = unit_ends(text, pattern)
     n, (h1, h2, h3, h4) = len(ends), draws(doc_id)
     if not text or h3 % 100 >= MOVED or any(mark in text for mark in (PREFIX, SUFFIX, MIDDLE)):
-        return n, "plain", None, None, None, text
+        return n, "plain", None, None, text
     first, second = sorted((h1 % (n + 1), h2 % (n + 1)))
     a, b = (ends[k - 1] if k else 0 for k in (first, second))
-    before, middle, after = text[:a], text[a:b], text[b:]
     if h4 % 100 < SUFFIX_FIRST:
-        return n, "spm", before, middle, after, f"{SUFFIX}{after}{PREFIX}{before}{MIDDLE}{middle}"
-    return n, "psm", before, middle, after, f"{PREFIX}{before}{SUFFIX}{after}{MIDDLE}{middle}"
+        return n, "spm", a, b - a, f"{SUFFIX}{text[b:]}{PREFIX}{text[:a]}{MIDDLE}{text[a:b]}"
+    return n, "psm", a, b - a, f"{PREFIX}{text[:a]}{SUFFIX}{text[b:]}{MIDDLE}{text[a:b]}"
 
 
 def restored(output: str, form: str) -> str:
@@ -78,22 +77,19 @@ def restored(output: str, form: str) -> str:
     return before + middle + after
 
 
-def _whole(doc_id: object) -> int | None:
-    return None if pd.isna(doc_id) else int(doc_id)
-
-
 def infill(docs: DataFrame, units: str = UNITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the documents, and: n (units), form (plain, psm or spm), prefix, middle, suffix (null if plain), output, output_sha256."""
+    """All columns of the documents, and: n (units), form (plain, psm or spm), prefix_chars, middle_chars (null if plain), output, output_sha256."""
 
     @F.pandas_udf(RESULT)
     def transform(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
         pattern = regex.compile(units)
-        rows = (moved(_whole(i), t or "", pattern) for i, t in zip(ids, texts))
-        return pd.DataFrame([(*r, digest(r[-1])) for r in rows], columns=[f.split()[0] for f in RESULT.split(", ")])
+        rows = (moved(i, t or "", pattern) for i, t in zip(ids, texts))
+        done = pd.DataFrame([(*r, digest(r[-1])) for r in rows], columns=said)
+        return done.astype({"prefix_chars": "Int64", "middle_chars": "Int64"})
 
     said = [f.split()[0] for f in RESULT.split(", ")]
     kept = [c for c in docs.columns if c not in said]
-    # Ids go as text: a batch with a null id would come as floating point otherwise.
+    # Ids go as text: a batch with a null id would turn to floating point.
     return docs.withColumn("__m", transform(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))).select(*kept, "__m.*")
 
 
@@ -120,6 +116,6 @@ def restored_sha256(output: Column, form: Column) -> Column:
 def report(done: DataFrame) -> DataFrame:
     """Lengths and digests of infill(); the restored digest is of the text rebuilt from output and form alone."""
     return done.select(
-        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
-        "output_sha256", restored_sha256(F.col("output"), F.col("form")).alias("restored_sha256"),
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256",
+        restored_sha256(F.col("output"), F.col("form")).alias("restored_sha256"),
     )
