@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, infill, licenses, lines, mixing, ngram_join, secrets, topk, toxicity, urls, wordpiece
+from . import decontaminate, html, infill, licenses, lines, mixing, ngram_join, secrets, throttle, topk, toxicity, urls, wordpiece
 from ._spark import table
 
 
@@ -55,6 +55,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.report(infill.infill(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_click_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return throttle.report(throttle.throttle(table(spark, sf_dir, "clicks")))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urls.report(urls.judge(pages.select("page_id", "url"), urls.word_counts(pages, "html")))
@@ -64,6 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_license_scan, op3_exact_top_k, op4_line_dedup, op5_source_mix, op6_toxicity, op7_token_counts,
         op8_decontamination, op9_ngram_jaccard_join, op10_html_extraction,
-        op11_fill_in_middle, op13_url_filter,
+        op11_fill_in_middle, op12_click_throttle, op13_url_filter,
     )
 }
