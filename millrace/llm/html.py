@@ -12,7 +12,9 @@ texts are no near copies of each other (by a sketch of word shingles); of a repe
 element it is all texts in a row, the first, or the last. Pages that mark no article take as their main part what matches
 the element that most such pages of the host have theirs in. A page's text is that of its main part, without
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers, and
-template texts. Headings stay, also equal ones, and so do titles in an article's header.
+template texts. Headings stay, also equal ones, and so do titles in an article's header. Within the main part an element goes
+by its tag, its role, an attribute that hides it, a whole class such as `ad`, or the wrapper; ids, and words that are only a piece
+of a class, help to find the main part and drop nothing in it.
 
 Wrappers depend on the order of alignment: pages as they stand in a task's rows, then the tasks' wrappers sorted.
 
@@ -29,6 +31,7 @@ import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -63,14 +66,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset(
     "nav footer aside form script style noscript template iframe svg math button select option textarea dialog menu head title object canvas audio video map search input datalist".split()
 )
-#: Words of class, id and role that mark what isn't main text.
+#: Words that mark what isn't main text: whole classes anywhere, pieces of class and id only outside the main part.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert"
     " alerts popup modal overlay newsletter subscribe subscription signup paywall sidebar sidebars aside widget widgets menu menus nav navbar navigation navigations breadcrumb"
     " breadcrumbs pagination pager footer foot footnav masthead topbar toolbar comment comments commentlist disqus replies reply respond share sharing social related recommended"
-    " recommendations recirculation login search searchbox skip copyright disclaimer contentinfo complementary form hidden".split()
+    " recommendations recirculation login search searchbox skip copyright disclaimer form hidden".split()
 )
 _READERS = frozenset(("comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "related", "recommended"))
+#: Roles that say the same, and whole ids that pages give to their readers' comments.
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+_COMMENT_IDS = frozenset(("comments", "commentlist", "disqus_thread", "respond"))
 _HEADER = frozenset(("header", "masthead", "pageheader", "topbar"))
 _MAIN = ("article", "main", "articlebody", "content", "post", "entry", "story")
 _CLOSED_BY = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -78,40 +84,69 @@ _PARAGRAPHS = frozenset(("p", "pre", "blockquote"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
+class Marks(NamedTuple):
+    """What tag and attributes say: bad, dropped anywhere; named, by a whole class; hinted, by pieces of its names, which only count outside the main part."""
+
+    bad: bool = False
+    named: bool = False
+    hinted: bool = False
+    readers: bool = False
+    head: bool = False
+
+
 class Node:
     """An element. Of what is below it, measured(): size, characters of text; said, those in paragraphs that are seen; holds, whether an article, a main part or a title is."""
 
-    __slots__ = ("tag", "words", "bad", "kids", "sig", "size", "said", "holds")
+    __slots__ = ("tag", "words", "is_", "kids", "sig", "size", "said", "holds")
 
-    def __init__(self, tag: str, words: frozenset[str], bad: bool):
-        self.tag, self.words, self.bad, self.kids = tag, words, bad, []
+    def __init__(self, tag: str, words: frozenset[str], is_: Marks):
+        self.tag, self.words, self.is_, self.kids = tag, words, is_, []
         self.sig = tag + ("." + ".".join(sorted(w for w in words if not w.isdigit())) if words else "")
         self.size = self.said = 0
         self.holds = False
 
     def seen(self) -> bool:
         """Not dropped: marks of an element that holds the main part, such as a layout named for its sidebar, can't mean all of it."""
-        if not self.bad and self.tag != "header":
+        if not (self.is_.bad or self.is_.hinted) and self.tag != "header":
             return True
-        return self.holds and self.tag not in DROPPED and _READERS.isdisjoint(self.words)
+        return self.holds and self.tag not in DROPPED and not self.is_.readers
 
 
 _NO_WORDS: frozenset[str] = frozenset()
 
 
-def _described(tag: str, said: str) -> tuple[frozenset[str], bool]:
-    """Words of an element's class, id, role and itemprop, and whether it isn't main text."""
+def _described(tag: str, said: str) -> tuple[frozenset[str], Marks]:
+    """Words of an element's class, id, role and itemprop, and what they say about its part in the page.
+
+    A name that was made from a heading or holds a telling word among others says nothing within the main part.
+    """
     if not said or said.isspace():
-        return _NO_WORDS, tag in DROPPED
+        return _NO_WORDS, _PLAIN.get(tag, _UNMARKED)
     words: set[str] = set()
-    bad = tag in DROPPED
+    classes: frozenset[str] = frozenset()
+    bad, own_id = tag in DROPPED, ""
     for m in _ATTRIBUTE.finditer(said):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role", "itemprop"):
             words |= {w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w}
+        if name == "class":
+            classes = frozenset(value.lower().split())
+        elif name == "id":
+            own_id = value.strip().lower()
+        elif name == "role":
+            bad |= tag not in _HEADINGS and not ROLES.isdisjoint(value.lower().split())
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             bad = True
-    return frozenset(words), bad or (tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(words)) or not _READERS.isdisjoint(words)
+    outer = tag in ("html", "body", "article", "main")
+    by_class = not _READERS.isdisjoint(classes) or own_id in _COMMENT_IDS
+    readers = by_class if outer else by_class or not _READERS.isdisjoint(words)
+    named = tag not in _HEADINGS and (by_class or not outer and not MARKS.isdisjoint(classes))
+    hinted = readers or named or not outer and not MARKS.isdisjoint(words)
+    return frozenset(words), Marks(bad, named, hinted, readers, tag == "header" or not _HEADER.isdisjoint(classes))
+
+
+_UNMARKED = Marks()
+_PLAIN = {t: Marks(bad=t in DROPPED, head=t == "header") for t in (*DROPPED, "header")}
 
 
 class _Stack:
@@ -139,7 +174,7 @@ class _Stack:
 
 def parse(page: str) -> Node:
     """The tree of blocks, dropped elements and texts, measured; tags within a line leave no node."""
-    root = Node("", _NO_WORDS, False)
+    root = Node("", _NO_WORDS, _UNMARKED)
     stack, at, end, last = _Stack(root), 0, len(page), page.rfind(">")
     while at < end:
         if at > last:  # no tag ends here
@@ -162,7 +197,7 @@ def parse(page: str) -> Node:
             if place and (tag in BLOCKS or place > stack.blocks[-1]):
                 stack.cut(place)
             elif not place and tag in BLOCKS:
-                top.kids.append(Node("hr", _NO_WORDS, False))
+                top.kids.append(Node("hr", _NO_WORDS, _UNMARKED))
             continue
         if tag == "br":
             top.kids.append(" ")
@@ -174,8 +209,8 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body") and stack.place(tag):
             continue
-        words, bad = _described(tag, m[3] or m[6] or "")
-        if tag not in BLOCKS and not bad:
+        words, marks = _described(tag, m[3] or m[6] or "")
+        if tag not in BLOCKS and not (marks.bad or marks.hinted):
             continue
         if tag in BLOCKS:
             if top.tag == "p" or (tag in _HEADINGS and top.tag in _HEADINGS):
@@ -185,7 +220,7 @@ def parse(page: str) -> Node:
                 stack.cut(stack.blocks[-1])
         if tag == "body" and stack.nodes[-1].tag == "head":
             stack.cut(len(stack.nodes) - 1)
-        node = Node(tag, words, bad)
+        node = Node(tag, words, marks)
         stack.nodes[-1].kids.append(node)
         if tag not in VOID:
             stack.push(node)
@@ -326,11 +361,11 @@ def text_of(root: Node, reader: str | None = None) -> str:
         if n is None:
             flush()
             continue
-        if n.bad and n is not main:
+        if (n.is_.bad or n.is_.named) and n is not main:
             if n.tag in BLOCKS:
                 flush()
             continue
-        header = header or (n is not main and (n.tag == "header" or not _HEADER.isdisjoint(n.words)))
+        header = header or (n is not main and n.is_.head)
         block = n.tag in BLOCKS
         if block:
             flush()

@@ -293,6 +293,23 @@ def test_page():
     assert [html.text_of(html.parse(t)) for t in ("", "plain", "<p", "</div><p>x", "<a href='>x", "<![CDATA[x]]>y")][:2] == ["", "plain"]
 
 
+@pytest.mark.parametrize("inner", [
+    '<h2 id="search-algorithms">Kept</h2>', '<h2 class="copyright">Kept</h2>', '<section id="copyright-law"><p>Kept</p></section>', '<p class="complementary">Kept</p>', '<section id="header-files"><p>Kept</p></section>',
+    '<div class="comment-syntax">Kept</div>', '<p id="related">Kept</p>', '<div><span class="ad-hoc">Kept</span></div>', '<section id="social-impact"><h3>Kept</h3></section>', '<ul class="menu-items"><li>Kept</ul>',
+])
+def test_names_drop_nothing_in_the_main_part(inner):
+    for page in (f"<nav>Go</nav><article><h1>T</h1><p>Some text.</p>{inner}</article>", f'<nav>Go</nav><article id="related-work"><h1>T</h1><p>Some text.</p>{inner}</article>'):
+        assert html.text_of(html.parse(page)) == "T\nSome text.\nKept", page
+
+
+@pytest.mark.parametrize("inner", [
+    '<div class="ad">Gone</div>', '<p class="x Sponsored">Gone</p>', '<div role="search">Gone</div>', '<div id="comments"><p>Gone</p></div>', '<article class="comment">Gone</article>', "<aside>Gone</aside>",
+    '<section class="related"><p>Gone</p></section>', "<p hidden>Gone</p>", '<div class="masthead"><p>Gone</p></div>', '<p>Some <span class="share">Gone</span>',
+])
+def test_whole_marks_drop(inner):
+    assert "Gone" not in html.text_of(html.parse(f"<article><h1>T</h1><p>Some text.</p>{inner}</article>"))
+
+
 def wrapped(pages):
     w = wrapper.Wrapper()
     for page in pages:
