@@ -33,7 +33,7 @@ def _quoted(said: str) -> str:
 
 def repository_name(url: Column) -> Column:
     """The last part of a repository's address, without .git."""
-    return F.replace(F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1), F.lit(".git"), F.lit(""))
+    return F.replace(F.element_at(F.split(F.rtrim(url, F.lit("/")), "/"), -1), F.lit(".git"), F.lit(""))
 
 
 def run_folder(url: Column, at: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space of str.strip() and str.split() as a Java character class; needs (?U).
 _WHITE = r"[\s\x1c-\x1f]"
+#: The same characters.
+WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -29,7 +31,7 @@ def lines(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """str.strip()."""
-    return F.regexp_replace(text, rf"(?U)^{_WHITE}+|{_WHITE}+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def words(text: Column) -> Column:

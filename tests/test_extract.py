@@ -5,6 +5,8 @@ import re
 import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions.markdown import headings
@@ -150,3 +152,35 @@ def test_block_ends_are_those_of_each_line():
                         break
                     inside += [j] * (widths[j] is not None)
                 assert extract.block_ends(widths)[i] == max([i, *inside])
+
+
+def _direct(text):
+    """js_items by the two patterns as they are written, each search from the start."""
+    said = re.compile(r"/\*\*([\s\S]*?)\*/\s*(?:export\s+)?(?:async\s+)?function\s+([a-zA-Z0-9_$]+)\s*\(")
+    head = re.compile(r"(?:export\s+)?(?:async\s+)?function\s+([a-zA-Z0-9_$]+)\s*\([^)]*\)\s*{")
+    for m in said.finditer(text):
+        h = head.search(text, m.start())
+        if h:
+            depth, end = 0, len(text)
+            for b in re.compile("[{}]").finditer(text, h.end() - 1):
+                depth += 1 if b[0] == "{" else -1
+                if not depth:
+                    end = b.end()
+                    break
+            yield {"kind": "Function", "name": m[2], "jsdoc": m[1].strip(), "code": text[h.start() : end]}
+
+
+_PIECES = ["/**", "*/", "/**/", "*", "/", " ", "\n", "export ", "async ", "export\n", "function ", "function", "f", "(", "a", ")", "{", "}", " {", "function f(a) {", "/** d */ function h(", "/** e */\nexport async function k(x) { }"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=25).map("".join))
+def test_js_items_are_those_of_the_patterns(text):
+    assert extract.js_items(text) == list(_direct(text))
+
+
+@pytest.mark.parametrize("text", ["/** x */\n" * 20_000, "/** x */ function f(a\n" * 20_000, "/** x */ function f(a) " * 20_000, "function f(" * 20_000 + "/** */" * 20_000, "{" * 200_000, "/**" * 50_000 + "*/ function" * 50_000])
+def test_js_items_take_time_in_proportion(text):
+    began = time.perf_counter()
+    extract.js_items(text)
+    assert time.perf_counter() - began < 2

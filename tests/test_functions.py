@@ -1,6 +1,7 @@
 """Column functions against Python's own str methods."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,16 @@ def test_as_python_does(spark, column, python):
     assert [r.got for r in rows] == [python(r.s) for r in rows]
 
 
+def test_long_runs_of_blanks(spark):
+    """Trimming takes time in proportion to a text, wherever its blanks stand."""
+    texts = ["a" + blank * 1_000_000 + "b" for blank in (" ", "\u3000")] + [" " * 1_000_000, "/" * 1_000_000 + "x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1)
+    began = time.perf_counter()
+    got = rows.select(F.length(text.strip(F.col("s"))).alias("n"), F.length(text.heading_title(F.col("s"))).alias("t"), F.length(paths.repository_name(F.col("s"))).alias("r")).collect()
+    assert time.perf_counter() - began < 5
+    assert [r.n for r in got] == [1_000_002, 1_000_002, 0, 1_000_001]
+
+
 def test_nulls_stay_null(spark):
     row = spark.createDataFrame([(None,)], "s string").select(text.lines(F.col("s")).alias("a"), text.strip(F.col("s")).alias("b"), text.approx_tokens(F.col("s")).alias("c")).first()
     assert list(row) == [None, None, None]
