@@ -22,7 +22,7 @@ from ._spark import written
 WIDTH = 3
 #: Places of a window, as a share of all places of repeated windows (one in so many) and in number, beyond which they are dealt over several tasks.
 HOT_SHARE, HOT_PLACES = 10_000, 1000
-_BLANK = r"^[\x00-\x20]+|[\x00-\x20]+$"
+_BLANKS = "".join(map(chr, range(0x21)))
 
 
 def _let(value: Column, fn) -> Column:
@@ -32,7 +32,7 @@ def _let(value: Column, fn) -> Column:
 
 def _lines(text: Column) -> Column:
     """Trimmed lines that aren't blank."""
-    trimmed = F.filter(F.transform(F.split(text, "\n", -1), lambda s: F.regexp_replace(s, _BLANK, "")), lambda s: s != "")
+    trimmed = F.filter(F.transform(F.split(text, "\n", -1), lambda s: F.btrim(s, F.lit(_BLANKS))), lambda s: s != "")
     return F.coalesce(trimmed, F.array().cast("array<string>"))
 
 
@@ -76,7 +76,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def uncovered(every: Column) -> Column:
         """The lines that no later window covers."""
-        full = F.filter(F.transform(every, lambda s, i: F.when(F.regexp_replace(s, _BLANK, "") != "", i)), lambda i: i.isNotNull())
+        full = F.filter(F.transform(every, lambda s, i: F.when(F.btrim(s, F.lit(_BLANKS)) != "", i)), lambda i: i.isNotNull())
         covered = F.array_distinct(F.flatten(F.transform("__later", lambda j: F.sequence(j, j + width - 1))))
         places = _let(full, lambda at: F.transform(covered, lambda j: F.get(at, j)))
         rest = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), places)

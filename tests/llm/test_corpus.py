@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -96,6 +97,14 @@ def test_lines(spark, monkeypatch, hot):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_long_runs_of_blanks(spark):
+    """A run of blanks within a line, at an end or on its own costs in proportion to its length."""
+    texts = ["a" + " " * 1_000_000 + "b\nc\nd", "\t" * 1_000_000 + "a\nc\nd\n" + "\x00" * 1_000_000]
+    began = time.perf_counter()
+    got = lines.dedup_lines(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).select("doc_id", "n_lines", "n_removed").collect()
+    assert time.perf_counter() - began < 20 and sorted(map(tuple, got)) == [(0, 3, 0), (1, 4, 0)]
+
+
 def test_frequent_windows_are_dealt_over_tasks(spark, monkeypatch):
     """No salt of a passage that all documents hold has more than the bound's rows, give or take chance."""
     monkeypatch.setattr(lines, "HOT_PLACES", 50)
