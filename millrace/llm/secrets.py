@@ -7,10 +7,11 @@ looks at its symbols, and each test gives two p-values: one of uniform draws fro
     runs         runs about the alphabet's middle; changes between small letters, capitals, digits and signs against one in five
     serial       lag-one correlation of symbols; that of vowels, which in text avoid each other
 
-A token is a finding if the battery doesn't reject uniform draws and does reject text. The three p-values of
-text, put together by Fisher's method, go through the step-up procedure of Benjamini and Hochberg over all of
-a document's long tokens, each divided by a weight in proportion to the token's length,
-so that short tokens, which the tests hardly tell apart, need more evidence. A token of digits alone is not told from a number.
+The three p-values of text, put together by Fisher's method (which takes them as independent), go through the step-up
+procedure of Benjamini and Hochberg over all of a document's long tokens, each divided by a weight. The weight is in proportion
+to the token's length, so that short tokens, which the tests hardly tell apart, need more evidence, and to the p-value of
+uniform draws where that is below `TELLING` times the level at which they are rejected, so that tokens need more the less their symbols look drawn from their alphabet;
+where uniform draws are rejected outright there is no finding. A token of digits alone is not told from a number.
 
 Null texts are empty and hold nothing; each row is scanned on its own, also where ids or texts are equal or ids are null; other
 columns play no part. The work is in proportion to a text's length, but for the sorting of its findings.
@@ -56,6 +57,9 @@ _CELLS = {c: k for k, chars in enumerate(("aeiou", "nrstldh", "cmgpbf", "jkqvwxy
 _CHANGES, _VOWELS = 0.2, -0.25
 
 
+#: Levels of rejection up to which the p-value of uniform draws makes a token weigh less in the step-up.
+TELLING = 50
+
 #: Text's shares of the cells.
 _SHARES = tuple(sum(n for c, n in zip(_LOWER, _LETTERS) if _CELLS[c] == k) / sum(_LETTERS) for k in range(4))
 
@@ -176,7 +180,8 @@ def random_tokens(text: str, reject: float = 0.001, fdr: float = 0.01) -> list[t
     if not found:
         return []
     mean = sum(e - s for s, e, _, _ in found) / len(found)
-    weighed = sorted((min(1.0, p * mean / (e - s)), i) for i, (s, e, p, _) in enumerate(found))
+    weights = [(e - s) / mean * (min(1.0, max(uniform, 1e-12) / (TELLING * reject)) if reject else 1.0) for s, e, _, uniform in found]
+    weighed = sorted((min(1.0, x[2] / w), i) for i, (x, w) in enumerate(zip(found, weights)))
     last = max((r for r, (p, _) in enumerate(weighed, 1) if p <= fdr * r / len(found)), default=0)
     return [(s, e, p) for i in sorted(i for _, i in weighed[:last]) for s, e, p, uniform in (found[i],) if uniform >= reject]
 
