@@ -6,6 +6,9 @@ the next tag on the line, is parsed as an expression of licences with AND, OR, W
 AND, then OR; a slash between two names is an OR) and evaluated: OR takes the side that asks least of a user, AND the side that asks
 most, WITH an exception asks one step less. A tag whose expression can't be parsed gives the
 licences that it names up to where parsing breaks off, and the class `unknown`; a tag that nothing follows on its line names none.
+A name is a licence if it is of a known family, begins with LicenseRef- or DocumentRef-, or an operator joins it to another; any other
+word after a tag, such as `see` of `see LICENSE file`, is none, and the expression's class is `unknown`. Words such as `licensed under`,
+which name no licence, raise the score and give no label.
 
 Null texts are empty: no words, no labels, score 0. Each row gives one row, also where ids, null ones too, and texts are equal; other
 columns play no part. The work is in proportion to a text's length.
@@ -52,8 +55,11 @@ NOTICES = {
     "cc0": ("cc0", 0.5),
     "creative commons": ("creative-commons", 0.4),
     "all rights reserved": ("all-rights-reserved", 0.4),
-    "licensed under": ("notice", 0.3),
+    "licensed under": (None, 0.3),
 }
+#: Families that are named in short after "licensed under", and their labels.
+SHORT = {"mit": "mit", "apache": "apache", "gpl": "gpl", "gnu gpl": "gpl", "lgpl": "lgpl", "gnu lgpl": "lgpl", "agpl": "agpl", "bsd": "bsd", "mpl": "mpl", "isc": "isc", "cc by": "cc-by", "cc0": "cc0"}
+NOTICES |= {f"licensed under {the}{name}": (label, 0.5) for name, label in SHORT.items() for the in ("", "the ", "a ", "an ")}
 _TAG = "spdx license identifier"
 _BASE_SURE = 0.6
 
@@ -62,6 +68,12 @@ ASKS = (
     ("agpl", 4), ("gpl", 3), ("cc-by-sa", 3), ("lgpl", 2), ("mpl", 2), ("epl", 2), ("cddl", 2), ("cc-by-nc", 6), ("cc-by-nd", 5),
     ("apache", 1), ("mit", 1), ("bsd", 1), ("isc", 1), ("zlib", 1), ("bsl", 1), ("cc-by", 1), ("cc0", 0), ("unlicense", 0), ("0bsd", 0),
 )
+#: Further families of identifiers.
+KNOWN = frozenset(
+    """aal afl apl apsl artistic blueoak bsd bzip2 cecill clartistic cpal cpl curl ecl efl elastic etalab eudatagrid eupl fdl ftl gfdl hpnd icu ijg ipl
+    json latex libpng lppl ms-pl ms-rl mulanpsl naumen ncsa ngpl nosl ntp oclc odbl odc-by ofl ogl oldap openssl osl pddl php postgresql psf python
+    qpl rpl rpsl ruby simpl sissl sleepycat spl sspl busl tcl unicode upl vim vsl w3c wtfpl x11 xnet zpl cc-pddc cc-by none noassertion""".split()
+)
 CLASSES = ("public-domain", "permissive", "weak-copyleft", "copyleft", "network-copyleft", "no-derivatives", "non-commercial", "unknown")
 _UNKNOWN = len(CLASSES) - 1
 
@@ -76,11 +88,25 @@ def asks(name: str) -> int:
     return next((n for start, n in ASKS if name.startswith(start)), _UNKNOWN)
 
 
+def known(name: str) -> bool:
+    """Whether a lower-cased word is an identifier by itself: a family's name, alone or before a version or variant, or a reference."""
+    if name.startswith(("licenseref-", "documentref-")):
+        return True
+    return any(name.startswith(f) and re.fullmatch(r"(?:[-+.0-9]|v[0-9]).*|", name[len(f) :]) for f in (*(start for start, _ in ASKS), *KNOWN))
+
+
 def read(expression: str) -> tuple[list[str], int | None]:
     """Licences named up to where parsing ends, sorted, and the class of the whole by shunting-yard; None if it isn't an expression.
 
-    Words that follow a complete expression, such as the end of a comment, end it.
+    Words that follow a complete expression, such as the end of a comment, end it. A single word that is no identifier names nothing.
     """
+    names, kind, joined = _read(expression)
+    told = names if joined else [n for n in names if known(n)]
+    return told, kind if told else None
+
+
+def _read(expression: str) -> tuple[list[str], int | None, bool]:
+    """As read(), with every name, and whether an operator stands between some."""
     values: list[tuple[int, str]] = []
     waiting: list[str] = []
     names: set[str] = set()
@@ -89,14 +115,14 @@ def read(expression: str) -> tuple[list[str], int | None]:
         op, (b, right), (a, left) = waiting.pop(), values.pop(), values.pop()
         values.append((min(a, b), "") if op == "or" else (max(a, b), "") if op == "and" else (max(0, a - 1), left))
 
-    at, operand = 0, True
+    at, operand, joined = 0, True, False
     while m := _PART.match(expression, at):
         part = "or" if m[2] else m[1].lower()
         if operand:
             if part == "(":
                 waiting.append(part)
             elif part == ")" or part in _BINDS:
-                return sorted(names), None
+                return sorted(names), None, joined
             else:
                 exception = bool(waiting) and waiting[-1] == "with"
                 values.append((0 if exception else asks(part), part))
@@ -105,11 +131,11 @@ def read(expression: str) -> tuple[list[str], int | None]:
                 operand = False
         elif part in _BINDS:
             if part == "with" and not values[-1][1]:
-                return sorted(names), None  # an exception goes with one licence
+                return sorted(names), None, joined  # an exception goes with one licence
             while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= _BINDS[part]:
                 apply()
             waiting.append(part)
-            operand = True
+            operand = joined = True
         elif part == ")":
             while waiting and waiting[-1] != "(":
                 apply()
@@ -121,10 +147,10 @@ def read(expression: str) -> tuple[list[str], int | None]:
             break
         at = m.end()
     if operand or "(" in waiting:
-        return sorted(names), None
+        return sorted(names), None, joined
     while waiting:
         apply()
-    return sorted(names), values[0][0]
+    return sorted(names), values[0][0], joined
 
 
 def parse(expression: str) -> tuple[list[str], int] | None:
@@ -167,7 +193,7 @@ def find(text: bytes) -> dict:
             named.append(BASE[phrase])
             doubt *= 1 - _BASE_SURE
         if phrase in NOTICES:
-            labels.add(NOTICES[phrase][0])
+            labels |= {NOTICES[phrase][0]} - {None}
             doubt *= 1 - NOTICES[phrase][1]
     expressions = []
     for part in _said(text) if tagged else ():

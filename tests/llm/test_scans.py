@@ -89,6 +89,19 @@ def test_each_test_can_veto(monkeypatch, name):
     assert not secrets.random_tokens(token)
 
 
+def test_battery_decides_rows(monkeypatch):
+    """Of random tokens, some are findings only without the uniform side of the battery, each of whose tests moves some."""
+    rnd = random.Random(11)
+    tokens = ["".join(rnd.choice(chars) for _ in range(n)) for chars in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789") for n in (20, 24, 28) for _ in range(400)]
+    found = lambda: {t for t in tokens if secrets.random_tokens(t)}
+    with_all = found()
+    for name in ("chi_squared", "runs", "serial"):
+        with monkeypatch.context() as m:
+            m.setattr(secrets, name, lambda *_: 1.0)
+            assert found() > with_all, name
+    assert 0 < len(with_all) < len(tokens)
+
+
 def test_keys_of_one_case_are_tested():
     rnd = random.Random(11)
     keys = ["".join(rnd.choice(chars) for _ in range(64)) for chars in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(50)]
@@ -163,6 +176,21 @@ def test_tags_end_with_their_line(said, names):
     assert licenses.find(said.encode())["labels"] == names
 
 
+@pytest.mark.parametrize("said, labels", [
+    ("see LICENSE file", []), ("none of these", ["none"]), ("GPLv2", ["gplv2"]), ("mitten", []), ("LicenseRef-Own", ["licenseref-own"]), ("Foo AND Bar-1", ["bar-1", "foo"]), ("(as stated)", []),
+    ("PSF-2.0 */", ["psf-2.0"]), ("DocumentRef-x:LicenseRef-y", ["documentref-x:licenseref-y"]), ("proprietary", []),
+])
+def test_prose_after_a_tag_is_no_license(said, labels):
+    found = licenses.find(f"SPDX-License-Identifier: {said}".encode())
+    assert found["labels"] == labels and (found["expressions"][0]["class"] == "unknown" or labels)
+
+
+def test_short_notices():
+    for text, label in (("Licensed under the MIT.", "mit"), ("is licensed under a GPL", "gpl"), ("licensed under the GNU LGPL", "lgpl"), ("Licensed under terms", None)):
+        assert licenses.find(text.encode())["labels"] == ([label] if label else [])
+        assert licenses.find(text.encode())["score"] > 0
+
+
 def test_no_derivatives():
     assert licenses.CLASSES[licenses.parse("CC-BY-ND-4.0")[1]] == "no-derivatives" and licenses.CLASSES[licenses.parse("CC-BY-NC-ND-4.0")[1]] == "non-commercial"
 
