@@ -4,7 +4,8 @@ Clicks come in batches. A stateful query holds them back in a calendar queue, a
 of clicks, until W, the largest time seen in earlier batches less a delay, has passed them: each tick drains
 complete hours, splits the hour in which W lies, and sorts only what it has drained. Clicks that are behind
 W as they come are late and change no credit; the last tick drains all. The queue needs no client's clicks
-together, so it is dealt by a hash of the click over as many parts as the rows ask for.
+together, so it is dealt by a hash of the click over as many parts as the rows ask for. Lists of an hour travel and are kept
+packed, as Python would otherwise spend its time on turning numbers into objects.
 
 What a tick has drained is settled client by client in order of time, id (null first) and what else tells rows
 apart. A client with more than `HOT_ROWS` clicks in a tick is not put into one task. Its credit, seen as whole
@@ -23,12 +24,15 @@ tick that is run again writes the same files again.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
@@ -40,14 +44,18 @@ DELAY = 168 * HOUR
 #: What a click costs, and how many costs a client's credit holds.
 COST, BURST = 900 * 1_000_000, 5
 #: Rows for each part of the queue; a client's clicks in a tick beyond which they are settled by cells.
-ROWS_PART, HOT_ROWS = 250_000, 10_000
+ROWS_PART, HOT_ROWS = 500_000, 2_000
 
-_LISTS = "ts array<bigint>, client array<bigint>, click array<bigint>, mark array<bigint>"
-_FED = f"part bigint, hour bigint, {_LISTS}"
-_DRAINED = "late boolean, client bigint, ts bigint, click bigint, mark bigint"
-_HEADS = "heads array<struct<ts:bigint,click:bigint,mark:bigint>>"
-_CELL = f"client bigint, kind int, first bigint, click bigint, mark bigint, last bigint, n bigint, cell bigint, {_HEADS}, credit bigint, since bigint"
-_SETTLED = _CELL + ", k bigint"
+#: A click as it is packed; `known` tells a null id from others.
+CLICK = np.dtype([("ts", "<i8"), ("client", "<i8"), ("click", "<i8"), ("mark", "<i4"), ("known", "?")])
+_FED = "part bigint, ts bigint, client bigint, click bigint, mark int"
+_PACKED = "part bigint, hour bigint, clicks binary"
+_DRAINED = "late boolean, client bigint, ts bigint, click bigint, mark int"
+_HEADS = "array<struct<ts:bigint,click:bigint,mark:int>>"
+#: What the fold reads: kind 0, what a client carries on; kind 1, a click, or a cell of some; only cells and what is carried have more.
+_CELL = f"client bigint, kind int, first bigint, click bigint, mark int, more struct<last:bigint,n:bigint,cell:bigint,heads:{_HEADS},credit:bigint,since:bigint>"
+_HOT = "client bigint, ts bigint, click bigint, mark int, cell bigint"
+_SETTLED = f"client bigint, kind int, first bigint, click bigint, k bigint, credit bigint, since bigint, cell bigint, heads {_HEADS}"
 
 
 def micros(ts: Column, kind: T.DataType) -> Column:
@@ -59,43 +67,61 @@ def micros(ts: Column, kind: T.DataType) -> Column:
     return ((day * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + seconds.cast("long")
 
 
-def distinct_clicks(clicks: DataFrame) -> DataFrame:
-    """(client, ts, click, mark, hour): each row once; ts in microseconds, hour of arrival; mark tells rows apart that agree in the others."""
-    kinds = {f.name: f.dataType for f in clicks.schema.fields}
-    rest = [c for c in clicks.columns if c not in ("click_id", "ts", "client_id")]
-    told = [x for c in rest for x in (F.col(c).isNull(), F.col(c))]
-    rows = clicks.filter("ts is not null and client_id is not null").select(
-        F.col("client_id").cast("long").alias("client"), micros(F.col("ts"), kinds["ts"]).alias("ts"), F.col("click_id").cast("long").alias("click"),
-        F.xxhash64(*told).alias("mark"), F.xxhash64(F.lit(1), *told).alias("mark2"),
-        F.floor(micros(F.col("arrived_at"), kinds["arrived_at"]) / HOUR).alias("hour"),
-    )
-    return rows.distinct().drop("mark2")
-
-
 def cut(clicks: DataFrame, folder: str, batches: int = BATCHES) -> tuple[list[int | None], int]:
-    """Write the clicks as batches, by event hour; (largest time of each batch, parts of the queue)."""
-    rows = distinct_clicks(clicks)
-    arrived = F.floor(micros(F.col("arrived_at"), clicks.schema["arrived_at"].dataType) / HOUR)
-    lo, hi, n = clicks.filter("ts is not null and client_id is not null").agg(F.min(arrived), F.max(arrived), F.count(F.lit(1))).first()
+    """Write the clicks, each once, as batches; (largest time of each batch, parts of the queue)."""
+    kinds = {f.name: f.dataType for f in clicks.schema.fields}
+    arrived = F.floor(micros(F.col("arrived_at"), kinds["arrived_at"]) / HOUR)
+    told = [x for c in clicks.columns if c not in ("click_id", "ts", "client_id") for x in (F.col(c).isNull(), F.col(c))]
+    there = clicks.filter("ts is not null and client_id is not null")
+    lo, hi, n = there.agg(F.min(arrived), F.max(arrived), F.count(F.lit(1))).first()
     if not n:
         return [], 0
-    lo = 0 if lo is None else lo
-    wide = 1 if hi is None else hi - lo + 1
+    lo, wide = (0, 1) if lo is None else (lo, hi - lo + 1)
     parts = -(-n // ROWS_PART)
-    later = F.when(F.crc32(F.col("click").cast("string")) % 7 == 0, 1).otherwise(0)
-    batch = F.least(F.floor((F.coalesce("hour", F.lit(lo)) - lo) * batches / wide) + later, F.lit(batches - 1))
-    dealt = rows.withColumn("batch", batch.cast("int")).withColumn("part", F.pmod(F.xxhash64("client", "ts", "click", "mark"), F.lit(parts)))
-    lists = dealt.groupBy("batch", "part", F.floor(F.col("ts") / HOUR).alias("hour")).agg(F.collect_list(F.struct("ts", "client", "click", "mark")).alias("c"))
-    lists = lists.select("batch", "part", "hour", "c.ts", "c.client", "c.click", "c.mark")
-    # A row without clicks for every part and batch, so that each part ticks with each batch, empty ones too.
-    none = [F.array().cast("array<bigint>").alias(c) for c in ("ts", "client", "click", "mark")]
-    ticks = clicks.sparkSession.range(batches * parts).select((F.col("id") % batches).cast("int").alias("batch"), F.floor(F.col("id") / batches).alias("part"), F.lit(None).cast("bigint").alias("hour"), *none)
-    lists.unionByName(ticks).write.partitionBy("batch").parquet(folder)
+    later = F.when(F.crc32(F.col("click_id").cast("string")) % 7 == 0, 1).otherwise(0)
+    batch = F.least(F.floor((F.coalesce(arrived, F.lit(lo)) - lo) * batches / wide) + later, F.lit(batches - 1)).cast("int")
+    rows = there.select(
+        batch.alias("batch"), micros(F.col("ts"), kinds["ts"]).alias("ts"), F.col("client_id").cast("long").alias("client"), F.col("click_id").cast("long").alias("click"), F.xxhash64(*told).alias("told")
+    ).distinct()
+    part = F.pmod(F.xxhash64("client", "ts", "click", "told"), F.lit(parts))
+    rows = rows.select("batch", part.alias("part"), "ts", "client", "click", F.shiftright("told", 32).cast("int").alias("mark"))
+    # A row without a click for every part and batch, so that each part ticks with each batch, empty ones too.
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("ts", "long"), ("client", "long"), ("click", "long"), ("mark", "int"))]
+    ticks = clicks.sparkSession.range(batches * parts, numPartitions=1).select((F.col("id") % batches).cast("int").alias("batch"), F.floor(F.col("id") / batches).alias("part"), *none)
+    rows.unionByName(ticks).sortWithinPartitions("batch", "part", "ts").write.partitionBy("batch").parquet(folder)
     fed = clicks.sparkSession.read.schema(f"{_FED}, batch int").parquet(folder)
-    most = {r.batch: r.most for r in fed.groupBy("batch").agg(F.max(F.array_max("ts")).alias("most")).collect()}
+    most = {r.batch: r.most for r in fed.groupBy("batch").agg(F.max("ts").alias("most")).collect()}
     return [most.get(b) for b in range(batches)], parts
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch by part and event hour; those without a click keep their part."""
+    for b in batches:
+        part, at = b.column(0).to_numpy(), b.column(1).fill_null(-1).to_numpy()
+        hour = np.where(b.column(1).is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, at // HOUR)
+        packed = np.empty(b.num_rows, CLICK)
+        for name, column in (("ts", at), ("client", b.column(2).fill_null(0).to_numpy()), ("click", b.column(3).fill_null(0).to_numpy()), ("mark", b.column(4).fill_null(0).to_numpy())):
+            packed[name] = column
+        packed["known"] = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+        order = np.lexsort((hour, part))
+        part, hour, packed = part[order], hour[order], packed[order]
+        starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (hour[1:] != hour[:-1])]))
+        lists = [x.tobytes() for x in np.split(packed, starts[1:])]
+        hours = pa.array(hour[starts], mask=hour[starts] == np.iinfo(np.int64).min)
+        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), hours, pa.array(lists, pa.binary())], ["part", "hour", "clicks"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists = [np.frombuffer(x, CLICK) for x in b.column(1).to_pylist()]
+        if lists:
+            c = np.concatenate(lists)
+            late = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in lists])
+            click = pa.array(np.ascontiguousarray(c["click"]), mask=~c["known"])
+            rest = [pa.array(np.ascontiguousarray(c[x])) for x in ("client", "ts", "mark")]
+            yield pa.RecordBatch.from_arrays([pa.array(late), rest[0], rest[1], click, rest[2]], ["late", "client", "ts", "click", "mark"])
+
+
 class CalendarQueue(StatefulProcessor):
     """Holds clicks by event hour until the clock has passed them."""
 
@@ -103,98 +129,97 @@ class CalendarQueue(StatefulProcessor):
         self.clock, self.last = clock, last
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hours = handle.getMapState("hours", "hour bigint", _LISTS)
+        self.hours = handle.getMapState("hours", "hour bigint", "clicks binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        came: dict[int, list[tuple]] = {}
+        came: dict[int, list[bytes]] = {}
         for r in rows:
             if r.hour is not None:
-                came.setdefault(r.hour, []).extend(zip(r.ts, r.client, r.click, r.mark))
-        edge = None if self.clock is None else self.clock // HOUR
+                came.setdefault(r.hour, []).append(bytes(r.clicks))
+        edge = -(2**63) if self.clock is None else self.clock // HOUR
         held = {hour for (hour,) in self.hours.keys()}
-        if edge is not None:
-            for hour in sorted(h for h in held if h <= edge):
-                yield self._drained(self._split(hour, held))
-            for hour in sorted(h for h in came if h <= edge):
-                late = [c for c in came[hour] if c[0] < self.clock]
-                came[hour] = [c for c in came[hour] if c[0] >= self.clock]
-                yield self._drained(late, late=True)
-        for hour, clicks in came.items():
-            before = list(zip(*self.hours.getValue((hour,)))) if hour in held else []
+        for hour in sorted(h for h in held if h <= edge):
+            passed, kept = self._split(self._list(hour))
+            yield from _drained(passed)
+            if len(kept):
+                self.hours.updateValue((hour,), (kept.tobytes(),))
+            else:
+                self.hours.removeKey((hour,))
+                held.remove(hour)
+        for hour, lists in came.items():
+            fresh = np.frombuffer(b"".join(lists), CLICK)
+            if hour <= edge:
+                late, fresh = self._split(fresh)
+                yield from _drained(late, late=True)
             if self.last:
-                yield self._drained(before + clicks)
-            elif clicks:
-                self.hours.updateValue((hour,), tuple(map(list, zip(*before, *clicks))))
+                yield from _drained(fresh)
+            elif len(fresh):
+                before = self._list(hour).tobytes() if hour in held else b""
+                self.hours.updateValue((hour,), (before + fresh.tobytes(),))
         if self.last:
-            for hour in held - came.keys():
-                yield self._drained(list(zip(*self.hours.getValue((hour,)))))
+            for hour in held:
+                yield from _drained(self._list(hour))
             self.hours.clear()
 
-    def _split(self, hour: int, held: set[int]) -> list[tuple]:
-        """The hour's clicks that the clock has passed; the others stay."""
-        clicks = list(zip(*self.hours.getValue((hour,))))
-        kept = [c for c in clicks if c[0] >= self.clock]
-        if kept:
-            self.hours.updateValue((hour,), tuple(map(list, zip(*kept))))
-        else:
-            self.hours.removeKey((hour,))
-            held.remove(hour)
-        return [c for c in clicks if c[0] < self.clock]
-
-    @staticmethod
-    def _drained(clicks: list[tuple], late: bool = False) -> Row:
-        clicks.sort(key=lambda c: (c[0], c[1], c[2] is not None, c[2] or 0, c[3]))
-        ts, client, click, mark = map(list, zip(*clicks)) if clicks else ([], [], [], [])
-        return Row(late=late, ts=ts, client=client, click=click, mark=mark)
-
-
-def _settle(cost: int, full: int):
+    def _list(self, hour: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.hours.getValue((hour,))[0]), CLICK)
+
+    def _split(self, clicks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those that the clock has passed, and the others."""
+        passed = clicks["ts"] < self.clock
+        return clicks[passed], clicks[~passed]
+
+
+def _drained(clicks: np.ndarray, late: bool = False) -> Iterator[Row]:
+    """The clicks of an hour as they leave the queue, sorted."""
+    if len(clicks):
+        order = np.lexsort([clicks[x] for x in ("mark", "click", "known", "client", "ts")])
+        yield Row(late=late, clicks=clicks[order].tobytes())
+
+
+def _settle(cost: int, full: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The fold over each client's cells, sorted, as they come; a client's rows lie in one partition."""
+    schema = to_arrow_schema(T.StructType.fromDDL(_SETTLED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([f for f in empty] + [("k", pa.int64())])
         who, credit, at, since = None, full, 0, None
         for batch in batches:
-            names = ("client", "kind", "first", "last", "n", "heads", "credit", "since")
-            cols = [batch.column(c).to_pylist() if c != "heads" or batch.column(c).null_count < batch.num_rows else [None] * batch.num_rows for c in names]
-            out: tuple[list, list, list] = ([], [], [])
+            clients, kinds, firsts = (batch.column(c).to_numpy().tolist() for c in ("client", "kind", "first"))
+            more = {int(i): batch.column("more")[int(i)].as_py() for i in np.flatnonzero(batch.column("more").is_valid().to_numpy(zero_copy_only=False))}
+            k_of, credits, sinces = [0] * len(kinds), [0] * len(kinds), [None] * len(kinds)
             carried: list[tuple] = []
-            for client, kind, first, last, n, heads, held, pause in zip(*cols):
+            for i, (client, kind, first) in enumerate(zip(clients, kinds, firsts)):
                 if client != who:
                     if who is not None:
                         carried.append((who, at, credit, since))
                     who, credit, at, since = client, full, first, None
-                if kind == 0:
-                    credit, at, since = held, first, pause
-                    for column in out:
-                        column.append(None)
+                if not kind:
+                    credit, at, since = more[i]["credit"], first, more[i]["since"]
                     continue
                 x = min(full, credit + first - at)
-                k = min(x // cost, n)
-                if k < n:
-                    since = heads[k]["ts"] if heads and k else since if since is not None and not k else first
+                if i in more:  # a cell of some clicks
+                    n, last = more[i]["n"], more[i]["last"]
+                    k = min(x // cost, n)
+                    since = None if k == n else more[i]["heads"][k]["ts"] if k else first if since is None else since
+                    credit, at = x - k * cost + last - first, last
                 else:
-                    since = None
-                for column, value in zip(out, (x, since, k)):
-                    column.append(value)
-                credit, at = x - k * cost + last - first, last
-            keep = pa.array([kind == 1 for kind in cols[1]])
-            columns = [batch.column(f.name) for f in empty]
-            columns[-2:] = [pa.array(x, pa.int64()) for x in out[:2]]
-            done = pa.RecordBatch.from_arrays([*columns, pa.array(out[2], pa.int64())], schema=schema)
-            yield done.filter(keep)
+                    k = int(x >= cost)
+                    since = None if k else first if since is None else since
+                    credit, at = x - k * cost, first
+                k_of[i], credits[i], sinces[i] = k, x, since
+            of = batch.column("more")
+            columns = [batch.column(c) for c in ("client", "kind", "first", "click")] + [pa.array(k_of), pa.array(credits), pa.array(sinces, pa.int64()), pc.struct_field(of, "cell"), pc.struct_field(of, "heads")]
+            done = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+            yield done.filter(pc.equal(batch.column("kind"), 1))
             yield _carry(carried, schema)
         if who is not None:
             yield _carry([(who, at, credit, since)], schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    empty = to_arrow_schema(T.StructType.fromDDL(_CELL))
     return run
 
 
 def _carry(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    """Clients' credit after their last click, as the next tick's fold reads it."""
+    """Clients' credit after their last click, for the next tick."""
     said = [{"client": c, "kind": 0, "first": at, "credit": credit, "since": since} for c, at, credit, since in rows]
     return pa.RecordBatch.from_pylist(said, schema=schema)
 
@@ -221,30 +246,34 @@ def _summed(cells: DataFrame, burst: int) -> DataFrame:
     heads = cells.withColumn("r", F.row_number().over(of)).filter(F.col("r") <= burst + 1).groupBy("client", "cell")
     heads = heads.agg(F.array_sort(F.collect_list(F.struct("ts", "click", "mark"))).alias("heads"))
     sums = cells.groupBy("client", "cell").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
-    return sums.join(heads, ["client", "cell"]).withColumn("click", F.col("heads")[0]["click"]).withColumn("mark", F.col("heads")[0]["mark"])
+    return sums.join(heads, ["client", "cell"])
 
 
-def _as_cells(rows: DataFrame) -> DataFrame:
-    """With all columns of the fold's input, null where the rows have none."""
-    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(_CELL).fields))
+_NO_CELL = "cast(null as struct<last:bigint,n:bigint,cell:bigint,heads:array<struct<ts:bigint,click:bigint,mark:int>>,credit:bigint,since:bigint>)"
 
 
 def settle(drained: DataFrame, carried: DataFrame, hot_folder: str, cost: int, burst: int, hot_rows: int) -> tuple[DataFrame, bool]:
-    """Cells with the credit at their first click and the number admitted, and what clients carry on; whether some clients were settled by cells of more clicks."""
+    """Clicks and cells with the credit at their first click and the number admitted, and what clients carry on; whether there are cells of some clicks."""
     spark = drained.sparkSession
-    clicks = drained.filter("not late").drop("late")
+    clicks = drained.filter("not late")
     counts = clicks.groupBy("client").agg(F.count(F.lit(1)).alias("clicks")).filter(F.col("clicks") > hot_rows)
-    some = not counts.isEmpty()
+    counts.select("client").write.mode("overwrite").parquet(f"{hot_folder}-clients")
+    hot = spark.read.schema("client bigint").parquet(f"{hot_folder}-clients")
+    some = not hot.isEmpty()
     if some:
-        counts.select("client").write.mode("overwrite").parquet(f"{hot_folder}-clients")
-        hot = spark.read.schema("client bigint").parquet(f"{hot_folder}-clients")
         _cells(clicks.join(hot, "client", "left_semi"), carried, cost).write.mode("overwrite").parquet(hot_folder)
-        cells = spark.read.schema("client bigint, ts bigint, click bigint, mark bigint, cell bigint").parquet(hot_folder)
+        cells = _summed(spark.read.schema(_HOT).parquet(hot_folder), burst)
         clicks = clicks.join(hot, "client", "left_anti")
-    each = _as_cells(clicks.withColumns({"first": F.col("ts"), "last": F.col("ts"), "n": F.lit(1), "kind": F.lit(1)}))
+    each = clicks.select("client", F.lit(1).alias("kind"), F.col("ts").alias("first"), "click", "mark", F.expr(_NO_CELL).alias("more"))
+    before = carried.select(
+        "client", "kind", "first", "click", F.lit(None).cast("int").alias("mark"),
+        F.struct(*(F.lit(None).cast("long").alias(c) for c in ("last", "n", "cell")), F.lit(None).cast(_HEADS).alias("heads"), "credit", "since").alias("more"),
+    )
+    each = each.unionByName(before)
     if some:
-        each = each.unionByName(_as_cells(_summed(cells, burst).withColumn("kind", F.lit(1))))
-    dealt = each.unionByName(carried).repartition("client").sortWithinPartitions("client", "kind", "first", "click", "mark")
+        of = F.struct("last", "n", "cell", "heads", *(F.lit(None).cast("long").alias(c) for c in ("credit", "since")))
+        each = each.unionByName(cells.select("client", F.lit(1).alias("kind"), "first", F.col("heads")[0]["click"].alias("click"), F.col("heads")[0]["mark"].alias("mark"), of.alias("more")))
+    dealt = each.repartition("client").sortWithinPartitions("client", "kind", "first", "click", "mark")
     return dealt.mapInArrow(_settle(cost, burst * cost), _SETTLED), some
 
 
@@ -263,9 +292,8 @@ def throttle(
 
         def tick(drained: DataFrame, _: int, b: int = b) -> None:
             own = drained.sparkSession
-            each = drained.select("late", F.explode(F.arrays_zip("client", "ts", "click", "mark")).alias("c")).select("late", "c.*")
-            each.write.mode("overwrite").parquet(f"{base}/drained/tick={b}")
-            before = own.read.schema(_CELL).parquet(f"{base}/settled/tick={b - 1}").filter("kind = 0") if b else own.createDataFrame([], _CELL)
+            drained.mapInArrow(_unpack, _DRAINED).write.mode("overwrite").parquet(f"{base}/drained/tick={b}")
+            before = own.read.schema(_SETTLED).parquet(f"{base}/settled/tick={b - 1}").filter("kind = 0") if b else own.createDataFrame([], _SETTLED)
             done, some = settle(own.read.schema(_DRAINED).parquet(f"{base}/drained/tick={b}"), before, f"{base}/hot/tick={b}", cost, burst, hot_rows)
             done.write.mode("overwrite").parquet(f"{base}/settled/tick={b}")
             if some:
@@ -273,7 +301,8 @@ def throttle(
 
         upto = ",".join(map(str, range(b + 1)))  # of the batches so far the checkpoint knows which files are new
         fed = session.readStream.schema(_FED).option("maxFilesPerTrigger", 2**31 - 1).parquet(f"{base}/fed/batch={{{upto}}}")
-        queue = fed.groupBy("part").transformWithState(CalendarQueue(clock, b == batches - 1), f"late boolean, {_LISTS}", "Append", "None")
+        lists = fed.mapInArrow(_pack, _PACKED).groupBy("part")
+        queue = lists.transformWithState(CalendarQueue(clock, b == batches - 1), "late boolean, clicks binary", "Append", "None")
         query = queue.writeStream.foreachBatch(tick).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     return _outcomes(spark, base, cost, bool(parts), sorted(set(hot_ticks)))
@@ -315,10 +344,10 @@ def _outcomes(spark: SparkSession, base: str, cost: int, some: bool, hot_ticks:
     none = F.lit(None)
     late = said(read("drained", _DRAINED).filter("late"), F.lit("late"), none, none, none)
     cells = read("settled", _SETTLED).filter("kind = 1")
-    alone = settled(cells.filter("cell is null").withColumn("ts", F.col("first")), F.when(F.col("k") == 1, 1))
+    alone = settled(cells.filter("cell is null").withColumn("ts", F.col("first")), F.when(F.col("k") == 1, F.lit(1)))
     done = late.unionByName(alone)
     for b in hot_ticks:
-        clicks = spark.read.schema("client bigint, ts bigint, click bigint, mark bigint, cell bigint").parquet(f"{base}/hot/tick={b}")
+        clicks = spark.read.schema(_HOT).parquet(f"{base}/hot/tick={b}")
         of = cells.filter((F.col("tick") == b) & F.col("cell").isNotNull()).select("client", "cell", "first", "credit", "since", "k", "heads", "tick")
         at = F.array_position("heads", F.struct("ts", "click", "mark"))
         done = done.unionByName(settled(clicks.join(of, ["client", "cell"]), F.when((at > 0) & (at <= F.col("k")), at)))
