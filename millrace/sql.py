@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import table_queries
+
 #: Fixed values, written out here once more so that a change of the library's own shows.
 _MD_SYSTEM = "You are a documentation assistant."
 _MD_QUESTIONS = (
@@ -371,4 +373,4 @@ UNION ALL SELECT 'singleton-' || row_number() OVER (ORDER BY vec_id), 1, 't' ||
 SELECT l_orderkey, l_linenumber, round(CASE WHEN abs({_CALC}) > 1e100 THEN NULL ELSE {_CALC} END, 4) AS value,
   CASE WHEN l_linenumber % 4 = 3 AND l_discount = 0 THEN 'Cannot divide by zero' WHEN abs({_CALC}) > 1e100 THEN 'Result too large' END AS error, round(l_tax / 100, 6) AS tax, ['+', '−', '×', '÷'][l_linenumber % 4 + 1] AS symbol
 FROM lineitem""",
-}
+} | table_queries.ORACLES
