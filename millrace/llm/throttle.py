@@ -252,17 +252,17 @@ def _summed(cells: DataFrame, burst: int) -> DataFrame:
 _NO_CELL = "cast(null as struct<last:bigint,n:bigint,cell:bigint,heads:array<struct<ts:bigint,click:bigint,mark:int>>,credit:bigint,since:bigint>)"
 
 
-def settle(drained: DataFrame, carried: DataFrame, hot_folder: str, cost: int, burst: int, hot_rows: int) -> tuple[DataFrame, bool]:
+def settle(drained: DataFrame, carried: DataFrame, folder: str, tick: int, cost: int, burst: int, hot_rows: int) -> tuple[DataFrame, bool]:
     """Clicks and cells with the credit at their first click and the number admitted, and what clients carry on; whether there are cells of some clicks."""
     spark = drained.sparkSession
     clicks = drained.filter("not late")
     counts = clicks.groupBy("client").agg(F.count(F.lit(1)).alias("clicks")).filter(F.col("clicks") > hot_rows)
-    counts.select("client").write.mode("overwrite").parquet(f"{hot_folder}-clients")
-    hot = spark.read.schema("client bigint").parquet(f"{hot_folder}-clients")
+    counts.select("client").write.mode("overwrite").parquet(f"{folder}/of-many/tick={tick}")
+    hot = spark.read.schema("client bigint").parquet(f"{folder}/of-many/tick={tick}")
     some = not hot.isEmpty()
     if some:
-        _cells(clicks.join(hot, "client", "left_semi"), carried, cost).write.mode("overwrite").parquet(hot_folder)
-        cells = _summed(spark.read.schema(_HOT).parquet(hot_folder), burst)
+        _cells(clicks.join(hot, "client", "left_semi"), carried, cost).write.mode("overwrite").parquet(f"{folder}/hot/tick={tick}")
+        cells = _summed(spark.read.schema(_HOT).parquet(f"{folder}/hot/tick={tick}"), burst)
         clicks = clicks.join(hot, "client", "left_anti")
     each = clicks.select("client", F.lit(1).alias("kind"), F.col("ts").alias("first"), "click", "mark", F.expr(_NO_CELL).alias("more"))
     before = carried.select(
@@ -285,7 +285,7 @@ def throttle(
     base = f"{shared_dir(spark)}/throttle-{uuid.uuid4().hex}"
     most, parts = cut(clicks, f"{base}/fed", batches)
     session = _streaming_session(spark, parts)
-    hot_ticks: list[int] = []
+    hot_ticks: set[int] = set()
     for b in range(batches if parts else 0):
         earlier = [m for m in most[:b] if m is not None]
         clock = max(earlier) - delay if earlier else None
@@ -294,10 +294,10 @@ def throttle(
             own = drained.sparkSession
             drained.mapInArrow(_unpack, _DRAINED).write.mode("overwrite").parquet(f"{base}/drained/tick={b}")
             before = own.read.schema(_SETTLED).parquet(f"{base}/settled/tick={b - 1}").filter("kind = 0") if b else own.createDataFrame([], _SETTLED)
-            done, some = settle(own.read.schema(_DRAINED).parquet(f"{base}/drained/tick={b}"), before, f"{base}/hot/tick={b}", cost, burst, hot_rows)
+            done, some = settle(own.read.schema(_DRAINED).parquet(f"{base}/drained/tick={b}"), before, base, b, cost, burst, hot_rows)
             done.write.mode("overwrite").parquet(f"{base}/settled/tick={b}")
             if some:
-                hot_ticks.append(b)
+                hot_ticks.add(b)
 
         upto = ",".join(map(str, range(b + 1)))  # of the batches so far the checkpoint knows which files are new
         fed = session.readStream.schema(_FED).option("maxFilesPerTrigger", 2**31 - 1).parquet(f"{base}/fed/batch={{{upto}}}")
@@ -305,7 +305,7 @@ def throttle(
         queue = lists.transformWithState(CalendarQueue(clock, b == batches - 1), "late boolean, clicks binary", "Append", "None")
         query = queue.writeStream.foreachBatch(tick).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-    return _outcomes(spark, base, cost, bool(parts), sorted(set(hot_ticks)))
+    return _outcomes(spark, base, cost, bool(parts), bool(hot_ticks))
 
 
 def _streaming_session(spark: SparkSession, parts: int) -> SparkSession:
@@ -315,6 +315,7 @@ def _streaming_session(spark: SparkSession, parts: int) -> SparkSession:
     for name, value in (
         ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"),
         ("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"),
+        ("spark.sql.streaming.stateStore.unloadOnCommit", "true"),  # each run is one batch; an open store takes 4 MB of disk even if it is empty
         ("spark.sql.streaming.noDataMicroBatches.enabled", "false"),
         ("spark.sql.shuffle.partitions", str(few)),
     ):
@@ -322,7 +323,7 @@ def _streaming_session(spark: SparkSession, parts: int) -> SparkSession:
     return session
 
 
-def _outcomes(spark: SparkSession, base: str, cost: int, some: bool, hot_ticks: list[int]) -> DataFrame:
+def _outcomes(spark: SparkSession, base: str, cost: int, some: bool, hot: bool) -> DataFrame:
     """A row for each click, from what the ticks have written."""
 
     def read(name: str, shape: str) -> DataFrame:
@@ -346,11 +347,10 @@ def _outcomes(spark: SparkSession, base: str, cost: int, some: bool, hot_ticks:
     cells = read("settled", _SETTLED).filter("kind = 1")
     alone = settled(cells.filter("cell is null").withColumn("ts", F.col("first")), F.when(F.col("k") == 1, F.lit(1)))
     done = late.unionByName(alone)
-    for b in hot_ticks:
-        clicks = spark.read.schema(_HOT).parquet(f"{base}/hot/tick={b}")
-        of = cells.filter((F.col("tick") == b) & F.col("cell").isNotNull()).select("client", "cell", "first", "credit", "since", "k", "heads", "tick")
+    if hot:
+        of = cells.filter("cell is not null").select("tick", "client", "cell", "first", "credit", "since", "k", "heads")
         at = F.array_position("heads", F.struct("ts", "click", "mark"))
-        done = done.unionByName(settled(clicks.join(of, ["client", "cell"]), F.when((at > 0) & (at <= F.col("k")), at)))
+        done = done.unionByName(settled(read("hot", _HOT).join(of, ["tick", "client", "cell"]), F.when((at > 0) & (at <= F.col("k")), at)))
     return done
 
 
