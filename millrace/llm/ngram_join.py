@@ -156,6 +156,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterato
 
 #: Buckets for each shuffle partition; more of them are worked on with less memory, and make more packed rows.
 BUCKETS = 1
+#: Shingles of a bucket on average, by which their number grows with the corpus, as a task holds a bucket whole.
+BUCKET_SHINGLES = 4_000_000
 
 
 def _gathered(pieces: DataFrame, buckets: int) -> DataFrame:
@@ -409,9 +411,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Without `links` the last column is left out and not worked out.
     """
     spark = docs.sparkSession
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
     named = written(digests(docs, id_col, text_col, k))
+    shingles = named.agg(F.sum("n")).first()[0] or 0
+    buckets = max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET_SHINGLES))
 
     counted = _counted(_postings(docs, text_col, k, percent, buckets), buckets)
     cells = components(_stars(_prefixes(counted, buckets), buckets))
