@@ -72,9 +72,9 @@ def question(position: Column, name: Column, repo: str) -> tuple[Column, Column]
     return turn["type"], F.replace(F.replace(turn["text"], F.lit("{repo}"), F.lit(repo)), F.lit("{name}"), name)
 
 
-def work_list(spans: DataFrame, order: list, repo: str, max_spans: int = 10_000) -> DataFrame:
-    """The first spans in their order, each with a question, its type, and its context."""
-    first = numbered(spans.orderBy(*order).limit(max_spans), order, "idx")
+def work_list(spans: DataFrame, order: list, repo: str, max_spans: int | None = 10_000) -> DataFrame:
+    """The first spans in their order, or all, each with a question, its type, and its context."""
+    first = numbered(spans if max_spans is None else spans.orderBy(*order).limit(max_spans), order, "idx")
     kind, asked = question(F.col("idx"), span_name(F.col("name"), F.col("source_path")), repo)
     context = span_context(*(F.col(c) for c in ("source_path", "kind", "line_start", "line_end", "tags", "content")))
     return first.withColumns({"question_type": kind, "question": asked, "context": context})

@@ -2,14 +2,18 @@
 
 The functions run on the executors, once for each row; what fails is a row with an `error`, not a lost job.
 Nothing here knows a provider: llm(system, prompt, max_tokens, temperature) returns a text or None.
+A rate is the whole job's: rows are dealt over a number of lanes, partitions of which each waits its share of the
+rate before every call, so however many of them run at a time, no more calls begin in a second than the rate says.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,20 +54,40 @@ def context(spans: Column) -> Column:
     return F.array_join(F.transform(spans, block), "\n")
 
 
-def asked(rows: DataFrame, system: str, prompt: str, answer: str, model: Model, max_tokens: int, heat: float, pause: float = 0.0) -> DataFrame:
+@dataclass(frozen=True)
+class Rate:
+    """Calls a second for a whole job, made by up to so many tasks at a time."""
+
+    per_second: float
+    lanes: int = 8
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.lanes)
+
+    def wait(self, first: bool) -> None:
+        """Before a call: a lane's turn comes once in lanes / per_second; the first turns of the lanes follow one another."""
+        lane = TaskContext.get().partitionId() % self.lanes
+        time.sleep(((lane + 1) if first else self.lanes) / self.per_second)
+
+
+def asked(rows: DataFrame, system: str, prompt: str, answer: str, model: Model, max_tokens: int, heat: float, pause: float = 0.0, rate: Rate | None = None) -> DataFrame:
     """The rows with the model's answer to the column `prompt`, and `error` where it failed; rows without a prompt aren't asked.
 
-    `pause` seconds lie between a task's calls; how many run at a time is up to the number of partitions.
+    `pause` seconds lie between a task's calls; a rate holds for all tasks together. The rows may be a stream's.
     """
     kept = [c for c in rows.columns if c not in (answer, "error")]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + f", `{answer}` string, error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = True
         for frame in frames:
             answers, errors = [], []
             for p in frame[prompt]:
                 said = failed = None
                 if p is not None:
+                    if rate:
+                        rate.wait(first)
+                        first = False
                     try:
                         said = model(system, p, max_tokens, heat)
                     except Exception as e:  # one row's failure is that row's
@@ -74,7 +98,7 @@ def asked(rows: DataFrame, system: str, prompt: str, answer: str, model: Model,
                 errors.append(failed)
             yield frame[kept].assign(**{answer: answers, "error": errors})
 
-    return rows.mapInPandas(run, schema)
+    return (rate.dealt(rows) if rate else rows).mapInPandas(run, schema)
 
 
 def conversations(clusters: DataFrame, writer: Model, critic: Model) -> DataFrame:
@@ -93,10 +117,11 @@ def conversations(clusters: DataFrame, writer: Model, critic: Model) -> DataFram
     return judged.select("conversation_id", "source_files", "ontology_tags", "turns", F.coalesce("summary", F.create_map().cast("map<string,string>")).alias("summary"), F.coalesce("critique", F.lit("")).alias("critique"))
 
 
-def answers(work: DataFrame, system: str, model: Model, pause: float = 0.0) -> DataFrame:
-    """The work list with a chosen answer, and a rejected one for those that have it."""
+def answers(work: DataFrame, system: str, model: Model, pause: float = 0.0, rate: Rate | None = None) -> DataFrame:
+    """The work list with a chosen answer, and a rejected one for those that have it. Of a rate, each kind of call gets half."""
+    half = rate and replace(rate, per_second=rate.per_second / 2)
     prompted = work.withColumn("__p", chosen_prompt(F.col("question"), F.col("context")))
-    good = asked(prompted, system, "__p", "chosen", model, CHOSEN_TOKENS, ANSWER_HEAT).drop("error")
+    good = asked(prompted, system, "__p", "chosen", model, CHOSEN_TOKENS, ANSWER_HEAT, rate=half).drop("error")
     wanted = F.coalesce(F.col("chosen"), F.lit("")) != ""
     again = good.withColumn("__p", F.when(wanted & ~is_boilerplate(F.col("chosen")), rejected_prompt(F.col("question"))))
-    return asked(again, system, "__p", "rejected", model, REJECTED_TOKENS, ANSWER_HEAT, pause).drop("error", "__p")
+    return asked(again, system, "__p", "rejected", model, REJECTED_TOKENS, ANSWER_HEAT, pause, half).drop("error", "__p")

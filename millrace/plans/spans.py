@@ -19,6 +19,7 @@ from ..sources.cache import embedded
 from ..sources.repository import span_files
 from ..sources.sinks import write_splits, write_stats
 from ..storage import durable
+from ..streaming.raw import resumable
 
 SPAN_ORDER = ["source_path", "seq"]
 SPAN_FIELDS = ["source_path", "kind", "content", "line_start", "line_end", "name", "title", "tags"]
@@ -49,13 +50,26 @@ def conversations(spark: SparkSession, root: str, out: str, embed: Callable[[lis
     return stats
 
 
-def record_formats(spark: SparkSession, root: str, out: str, model: synthesis.Model, name: str, max_spans: int = 10_000, seed: int = 17, pause: float = 0.0) -> dict:
-    """Questions about meaningful spans, answered by the model, as three formats in three splits each; returns the counts."""
+def record_formats(
+    spark: SparkSession, root: str, out: str, model: synthesis.Model, name: str, max_spans: int | None = 10_000, seed: int = 17, pause: float = 0.0,
+    rate: synthesis.Rate | None = None, resume: str | None = None,
+) -> dict:
+    """Questions about meaningful spans of a tree, answered by the model, as three formats in three splits each; returns the counts."""
     repo = root.rstrip("/").rsplit("/", 1)[-1]
-    system = formats.system_prompt(repo)
-    spans = spans_of(span_files(spark, root)).filter(is_meaningful(F.col("kind"), F.col("content")))
-    work = formats.work_list(spans, SPAN_ORDER, repo, max_spans)
-    answered = durable(formats.with_status(durable(synthesis.answers(work, system, model, pause)), ["idx"]))
+    return formats_of(spans_of(span_files(spark, root)), repo, out, model, name, max_spans, seed, pause, rate, resume)
+
+
+def formats_of(
+    spans: DataFrame, repo: str, out: str, model: synthesis.Model, name: str, max_spans: int | None = 10_000, seed: int = 17, pause: float = 0.0,
+    rate: synthesis.Rate | None = None, resume: str | None = None,
+) -> dict:
+    """record_formats() of given spans. With a folder to `resume` from, answers are kept there as they come, and none is asked for twice."""
+    spark, system = spans.sparkSession, formats.system_prompt(repo)
+    meaningful = spans.filter(is_meaningful(F.col("kind"), F.col("content")))
+    work = formats.work_list(meaningful, SPAN_ORDER, repo, max_spans)
+    ask = lambda rows: synthesis.answers(rows, system, model, pause, rate)
+    said = resumable(work, resume, ask) if resume else durable(ask(work))
+    answered = durable(formats.with_status(said, ["idx"]))
     kept = answered.filter("status = 'kept'")
     stats: dict = {}
     for i, (kind, rows) in enumerate((("sft", formats.sft(kept, system)), ("dpo", formats.dpo(kept)), ("grpo", formats.grpo(kept)))):

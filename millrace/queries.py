@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import table_queries
+from . import model_queries, table_queries
 from .config import ChatConfig
 from .functions import arithmetic, paths, text, tolerant_json, vectors
 from .operators import builders, cluster, dedupe, extract, filters, formats, sections, split, tags, windows
@@ -429,4 +429,4 @@ QUERIES: dict[str, Query] = {
         v1_tags, v1_default_tags, v2_normalize, v3_hdbscan, v4_clusters, v6_cache_key, o5_split_hash, o5_split_exact, o6_split_prefix, o7_split_905, k1_jsonl, k2_stats,
         q1_filtered_records, c1_calc, c3_number_format, c5_keys,
     )
-} | table_queries.QUERIES
+} | table_queries.QUERIES | model_queries.QUERIES

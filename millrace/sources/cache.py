@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import exists
+
 WIDTH = 3072
 SCHEMA = "key string, embedding array<float>"
 
@@ -25,10 +27,7 @@ def split(rows: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read(rows: DataFrame, path: str) -> DataFrame:
     """The cache at a path, empty if there is none yet."""
     spark = rows.sparkSession
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(SCHEMA).parquet(path) if there else spark.createDataFrame([], SCHEMA)
+    return spark.read.schema(SCHEMA).parquet(path) if exists(spark, path) else spark.createDataFrame([], SCHEMA)
 
 
 def embedded(rows: DataFrame, content: str, embed: Callable[[list[str]], np.ndarray], model: str = "default", path: str | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import table_queries
+from . import model_sql, table_queries
+from .sql_text import BOILERPLATE, NL, QUESTIONS, STRIP, quoted
 
 #: Fixed values, written out here once more so that a change of the library's own shows.
 _MD_SYSTEM = "You are a documentation assistant."
@@ -12,20 +13,11 @@ _MD_QUESTIONS = (
     ("Summarize any policies, caveats, or limitations mentioned in ", "."),
     ("Describe the workflow/steps outlined in ", "."),
 )
-_QUESTIONS = (
-    ("explain", "What does `{name}` do and why is it designed this way?"),
-    ("domain", "What is the domain-specific intuition behind the logic in `{name}`?"),
-    ("connect", "How does `{name}` fit into the broader `{repo}` system?"),
-    ("implement", "Walk through the key implementation decisions in `{name}` and what alternatives were considered."),
-    ("debug", "What are the edge cases or failure modes in `{name}` and how are they handled?"),
-    ("compare", "What are the tradeoffs in the approach taken by `{name}` compared to simpler alternatives?"),
-)
 _REPO_SYSTEM = (
     "You are an expert in the `corpus` codebase. "
     "Answer questions about its code with deep technical precision, using exact variable and function names, "
     "explaining design decisions, tradeoffs, and implementation details clearly."
 )
-_BOILERPLATE = ("this code appears to be", "handles financial data processing", "financial data processing", "code analysis", "system component")
 _VALIDATION_MARKS = ("assert ", "raise ", "ValueError", "TypeError", "KeyError")
 _LOGGING_MARKS = ("logging.", ".debug(", ".info(", ".warning(", ".error(", ".exception(")
 _KEYWORDS = {
@@ -46,11 +38,6 @@ _ASK = {
 }
 
 _WORDS = r"[w FOR w IN regexp_split_to_array(text, '\s+') IF w <> '']"
-_STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
-
-
-def _quoted(said: str) -> str:
-    return "'" + said.replace("'", "''") + "'"
 
 
 def _parts(window: int, overlap: int) -> str:
@@ -60,7 +47,7 @@ def _parts(window: int, overlap: int) -> str:
 
 _QA = f"""
 WITH d AS (
-  SELECT doc_id, source, {_STRIP.format('text')} AS t FROM documents
+  SELECT doc_id, source, {STRIP.format('text')} AS t FROM documents
 ), words AS (
   SELECT *, [w FOR w IN regexp_split_to_array(t, '\\s+') IF w <> ''] AS w FROM d WHERE t <> ''
 ), cut AS (
@@ -68,7 +55,7 @@ WITH d AS (
 ), part AS (
   SELECT doc_id, source, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS p FROM cut
 ), question AS (
-  SELECT * FROM (VALUES {', '.join(f'({i}, {_quoted(a)}, {_quoted(b)})' for i, (a, b) in enumerate(_MD_QUESTIONS))}) q(q, a, b)
+  SELECT * FROM (VALUES {', '.join(f'({i}, {quoted(a)}, {quoted(b)})' for i, (a, b) in enumerate(_MD_QUESTIONS))}) q(q, a, b)
 ), qa AS (
   SELECT doc_id, source, (p * 4 + q)::INT AS k, a || 'doc ' || doc_id || b || chr(10) || chr(10) || part AS said, part FROM part, question
 )
@@ -76,7 +63,7 @@ WITH d AS (
 
 _FLAGSHIP = _QA + f"""
 , told AS (
-  SELECT *, (greatest(1, length({_quoted(_MD_SYSTEM)}) // 4) + greatest(1, length(said) // 4) + greatest(1, length(part) // 4))::INT AS tokens FROM qa
+  SELECT *, (greatest(1, length({quoted(_MD_SYSTEM)}) // 4) + greatest(1, length(said) // 4) + greatest(1, length(part) // 4))::INT AS tokens FROM qa
 ), capped AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, k) AS n FROM told WHERE tokens BETWEEN 48 AND 4096
 ), kept AS (
@@ -85,13 +72,13 @@ _FLAGSHIP = _QA + f"""
   SELECT *, row_number() OVER (ORDER BY md5('17|' || doc_id || '-' || k), doc_id || '-' || k) - 1 AS position, count(*) OVER () AS c FROM kept WHERE m = 1
 )
 SELECT doc_id, k AS seq, 'md_section_qa' AS task, CASE WHEN position < greatest(1, floor(c * 0.1)) THEN 'valid' ELSE 'train' END AS split, tokens,
-  md5('[{{"role":"system","content":' || to_json({_quoted(_MD_SYSTEM)}) || '}},{{"role":"user","content":' || to_json(said) || '}},{{"role":"assistant","content":' || to_json(part) || '}}]') AS messages_md5
+  md5('[{{"role":"system","content":' || to_json({quoted(_MD_SYSTEM)}) || '}},{{"role":"user","content":' || to_json(said) || '}},{{"role":"assistant","content":' || to_json(part) || '}}]') AS messages_md5
 FROM placed
 """
 
 _CODE = "text"
 for _word, _mark in ((" the ", " raise "), (" and ", " logging."), (" de ", " ValueError "), (" of ", " .info("), (" der ", " assert ")):
-    _CODE = f"replace({_CODE}, {_quoted(_word)}, {_quoted(_mark)})"
+    _CODE = f"replace({_CODE}, {quoted(_word)}, {quoted(_mark)})"
 
 
 def _found(code: str, test: str, shown: str = "x") -> str:
@@ -102,7 +89,7 @@ SELECT doc_id, len(f)::INT AS n, md5(array_to_string(f, chr(10))) AS lines_md5 F
 
 
 def _any(marks: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains(x, {_quoted(m)})" for m in marks) + ")"
+    return "(" + " OR ".join(f"contains(x, {quoted(m)})" for m in marks) + ")"
 
 
 _PLACED = "SELECT doc_id, source, row_number() OVER (ORDER BY md5('17|' || doc_id), doc_id) - 1 AS position, count(*) OVER () AS n FROM documents"
@@ -122,7 +109,7 @@ WITH e AS (
 """
 _STATUS = _EXCHANGE + f"""
 , j AS (
-  SELECT *, CASE WHEN answer = '' THEN 'empty' WHEN {' OR '.join(f"contains(lower(answer), {_quoted(p)})" for p in _BOILERPLATE)} OR length({_STRIP.format('answer')}) < 150 THEN 'boilerplate' ELSE 'kept' END AS s FROM i
+  SELECT *, CASE WHEN answer = '' THEN 'empty' WHEN {' OR '.join(f"contains(lower(answer), {quoted(p)})" for p in BOILERPLATE)} OR length({STRIP.format('answer')}) < 150 THEN 'boilerplate' ELSE 'kept' END AS s FROM i
 ), st AS (
   SELECT *, CASE WHEN s = 'kept' AND row_number() OVER (PARTITION BY s, md5(question || '|||' || answer) ORDER BY idx) > 1 THEN 'duplicate' ELSE s END AS status FROM j
 )
@@ -148,11 +135,11 @@ _ITEMS = _MD_LINES + f"""
 ), part AS (
   SELECT path, item_seq, title, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS p FROM cut
 ), question AS (
-  SELECT * FROM (VALUES {', '.join(f'({i}, {_quoted(a)}, {_quoted(b)})' for i, (a, b) in enumerate(_MD_QUESTIONS))}) q(q, a, b)
+  SELECT * FROM (VALUES {', '.join(f'({i}, {quoted(a)}, {quoted(b)})' for i, (a, b) in enumerate(_MD_QUESTIONS))}) q(q, a, b)
 ), qa AS (
   SELECT path, item_seq, (p * 4 + q)::INT AS sub_seq, title, a || title || b || chr(10) || chr(10) || part AS said, part FROM part, question
 ), told AS (
-  SELECT *, (greatest(1, length({_quoted(_MD_SYSTEM)}) // 4) + greatest(1, length(said) // 4) + greatest(1, length(part) // 4))::INT AS tokens FROM qa
+  SELECT *, (greatest(1, length({quoted(_MD_SYSTEM)}) // 4) + greatest(1, length(said) // 4) + greatest(1, length(part) // 4))::INT AS tokens FROM qa
 ), capped AS (
   SELECT *, row_number() OVER (PARTITION BY path ORDER BY item_seq, sub_seq) AS n FROM told WHERE tokens BETWEEN 48 AND 4096
 ), kept AS (
@@ -162,23 +149,22 @@ SELECT path, item_seq::INT AS item_seq, sub_seq, title, tokens FROM kept WHERE m
 """
 def _tags_of(said: str, kind: str) -> str:
     """Tags of a text and a kind of span, sorted and joined."""
-    tests = {tag: "(" + " OR ".join(f"contains(lower({said}), {_quoted(w)})" for w in words) + ")" for tag, words in _KEYWORDS.items()}
+    tests = {tag: "(" + " OR ".join(f"contains(lower({said}), {quoted(w)})" for w in words) + ")" for tag, words in _KEYWORDS.items()}
     tests["logging"] = f"({tests['logging']} OR {kind} = 'logging_call')"
     tests["config"] = f"({kind} = 'module_constant')"
     return "array_to_string(list_sort([x.t FOR x IN [" + ", ".join(f"{{'t': '{tag}', 'k': {test}}}" for tag, test in sorted(tests.items())) + "] IF x.k]), ',')"
 
 
 _PLAIN = "regexp_replace(text, '[^A-Za-z0-9 .,]', ' ', 'g')"
-_NL = "chr(10)"
 
 
 def _code_of(*lines: str) -> str:
     """An expression for lines; {i} and {s} stand for the document's id and its plain text, {l} for its language."""
     out = []
     for line in lines:
-        said = _quoted(line).replace("{i}", "' || doc_id || '").replace("{s}", "' || s || '").replace("{l}", "' || lang || '")
+        said = quoted(line).replace("{i}", "' || doc_id || '").replace("{s}", "' || s || '").replace("{l}", "' || lang || '")
         out.append(said)
-    return f" || {_NL} || ".join(out)
+    return f" || {NL} || ".join(out)
 
 
 _QUOTES = '"' * 3
@@ -206,13 +192,13 @@ _T6_TAGS = _tags_of("content", "'function_definition'")
 _T6 = f"""
 WITH c AS (SELECT doc_id, lang, {_PLAIN} AS s FROM documents WHERE text IS NOT NULL),
 b AS (SELECT doc_id, lang, {_T6_BODY} AS body FROM c WHERE length({_T6_BODY}) >= 400),
-e AS (SELECT doc_id, '# File: f' || doc_id || '.py' || {_NL} || '# Context: {_QUOTES}' || lang || ' notes{_QUOTES}' || {_NL} || {_NL} || body AS content FROM b)
+e AS (SELECT doc_id, '# File: f' || doc_id || '.py' || {NL} || '# Context: {_QUOTES}' || lang || ' notes{_QUOTES}' || {NL} || {NL} || body AS content FROM b)
 SELECT 'd/f' || doc_id || '.py' AS source_path, 0 AS seq, 'function_definition' AS kind, 4 AS line_start, 7 AS line_end, 'f' || doc_id AS named, {_T6_TAGS} AS tags, md5(content) AS content_md5 FROM e
 """
 _T10_TAGS = _tags_of("content", "'markdown_section'")
 _T10 = f"""
 WITH t AS (
-  SELECT doc_id, string_split(replace(regexp_replace(text, '[^A-Za-z0-9 .,' || {_NL} || ']', ' ', 'g'), '.' || {_NL}, '.' || {_NL} || '## '), {_NL}) AS a FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, string_split(replace(regexp_replace(text, '[^A-Za-z0-9 .,' || {NL} || ']', ' ', 'g'), '.' || {NL}, '.' || {NL} || '## '), {NL}) AS a FROM documents WHERE text IS NOT NULL
 ), cut AS (
   SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM t
 ), l AS (
@@ -220,7 +206,7 @@ WITH t AS (
 ), g AS (
   SELECT *, sum(starts_with(s, '## ')::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM l
 ), sec AS (
-  SELECT doc_id, k, min(p) AS line_start, max(p) AS line_end, trim(string_agg(s, {_NL} ORDER BY p), ' ' || {_NL}) AS content, arg_min(s, p) AS head FROM g GROUP BY doc_id, k
+  SELECT doc_id, k, min(p) AS line_start, max(p) AS line_end, trim(string_agg(s, {NL} ORDER BY p), ' ' || {NL}) AS content, arg_min(s, p) AS head FROM g GROUP BY doc_id, k
 ), kept AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS seq FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS m FROM sec) WHERE k >= 2 OR k = m
 )
@@ -233,11 +219,11 @@ _CHUNK = _code_of("def f{i}(x):", '    """{s}"""', "    assert x", "    try:", "
 
 
 def _lines_of(test: str, shown: str = "x") -> str:
-    return f"array_to_string([{shown} FOR x IN string_split(code, {_NL}) IF {test}], {_NL})"
+    return f"array_to_string([{shown} FOR x IN string_split(code, {NL}) IF {test}], {NL})"
 
 
 def _ask(name: str) -> str:
-    return f"{_quoted(_ASK[name])} || {_NL} || {_NL} || "
+    return f"{quoted(_ASK[name])} || {NL} || {NL} || "
 
 
 _RECORDS = f"""
@@ -256,21 +242,21 @@ WITH c AS (
 ), part AS (
   SELECT doc_id, path, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS p FROM cut
 ), question AS (
-  SELECT * FROM (VALUES {', '.join(f'({i}, {_quoted(a)}, {_quoted(b)})' for i, (a, b) in enumerate(_MD_QUESTIONS))}) q(q, a, b)
+  SELECT * FROM (VALUES {', '.join(f'({i}, {quoted(a)}, {quoted(b)})' for i, (a, b) in enumerate(_MD_QUESTIONS))}) q(q, a, b)
 ), r AS (
   SELECT path, 0 AS item_seq, 0 AS builder_seq, 0 AS sub_seq, 'py_docstring_from_code' AS task, {_ask("docstring")} code AS said, trim(s, ' ') AS told FROM py WHERE trim(s, ' ') <> ''
-  UNION ALL SELECT path, 0, 1, 0, 'py_chunk_explain', 'Explain the following Python code chunk from f' || doc_id || '. Focus on what it does and why.' || {_NL} || {_NL} || chunk, chunk FROM py
+  UNION ALL SELECT path, 0, 1, 0, 'py_chunk_explain', 'Explain the following Python code chunk from f' || doc_id || '. Focus on what it does and why.' || {NL} || {NL} || chunk, chunk FROM py
   UNION ALL SELECT path, 0, 2, 0, 'py_validation_summary', {_ask("validation")} code, {_lines_of(_any(_VALIDATION_MARKS))} FROM py
   UNION ALL SELECT path, 0, 3, 0, 'py_error_handling_summary', {_ask("errors")} code, {_lines_of("starts_with(trim(x, ' '), 'except ') OR starts_with(trim(x, ' '), 'try:')")} FROM py
   UNION ALL SELECT path, 0, 4, 0, 'py_logging_flow_summary', {_ask("logging")} {_lines_of(_any(_LOGGING_MARKS), "trim(x, ' ')")}, {_lines_of(_any(_LOGGING_MARKS), "trim(x, ' ')")} FROM py
   UNION ALL SELECT path, 1, 5, 0, 'py_config_constants_summary', {_ask("config")} 'MAX_' || doc_id || ' = 1', 'MAX_' || doc_id || ' = 1' FROM py
   UNION ALL SELECT path, 0, 0, 0, 'js_jsdoc_from_code', {_ask("jsdoc")} code, rtrim('* ' || s, ' ') FROM js
-  UNION ALL SELECT path, 0, 0, p * 4 + q, 'md_section_qa', a || 'T' || doc_id || b || {_NL} || {_NL} || part, part FROM part, question
+  UNION ALL SELECT path, 0, 0, p * 4 + q, 'md_section_qa', a || 'T' || doc_id || b || {NL} || {NL} || part, part FROM part, question
 )
 """
 _T4 = f"""
 WITH RECURSIVE l AS (
-  SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM (SELECT doc_id, string_split(replace(text, '. ', {_NL} || {_NL}), {_NL}) AS a FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM (SELECT doc_id, string_split(replace(text, '. ', {NL} || {NL}), {NL}) AS a FROM documents WHERE text IS NOT NULL)
 ), b AS (
   SELECT doc_id, a, [i FOR i IN range(1, len(a) + 1) IF trim(a[i], ' ') = ''] AS blank FROM l
 ), step AS (
@@ -278,13 +264,13 @@ WITH RECURSIVE l AS (
   UNION ALL
   SELECT doc_id, a, blank, e + 1, coalesce([i FOR i IN blank IF i >= e + 1 + 6][1], len(a) + 1), k + 1 FROM step WHERE k < 5 AND e <= len(a)
 ), chunk AS (
-  SELECT doc_id, k, trim(array_to_string(a[s:e - 1], {_NL}), ' ' || {_NL}) AS said FROM step WHERE e - s >= 6
+  SELECT doc_id, k, trim(array_to_string(a[s:e - 1], {NL}), ' ' || {NL}) AS said FROM step WHERE e - s >= 6
 )
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS k, md5(said) AS chunk_md5 FROM chunk WHERE said <> ''
 """
 _MARKED = "text"
 for _word, _mark in ((" the ", " FACTOR "), (" and ", " solver "), (" de ", " regime "), (" of ", " chart "), (" der ", " raise "), (" die ", " info(")):
-    _MARKED = f"replace({_MARKED}, {_quoted(_word)}, {_quoted(_mark)})"
+    _MARKED = f"replace({_MARKED}, {quoted(_word)}, {quoted(_mark)})"
 _V1 = f"""
 WITH t AS (SELECT doc_id, {_MARKED} AS said, ['logging_call', 'module_constant', 'markdown_section'][doc_id % 3 + 1] AS kind FROM documents)
 SELECT doc_id, {_tags_of("said", "kind")} AS tags FROM t
@@ -294,7 +280,7 @@ _C5 = f"""
 WITH v AS (SELECT p_partkey, p_partkey % 5 AS k, [(p_size + 2) * 3.0, p_size / 4.0, -p_size - 0.5, NULL, 0.09][p_partkey % 5 + 1]::DOUBLE AS x FROM part)
 SELECT p_partkey, CASE WHEN k = 3 THEN 'Cannot divide by zero' ELSE {_SHOWN.format('x')} END AS display FROM v
 """
-_TURNS = ", ".join(f"({i}, {_quoted(t)}, {_quoted(q)})" for i, (t, q) in enumerate(_QUESTIONS))
+_TURNS = ", ".join(f"({i}, {quoted(t)}, {quoted(q)})" for i, (t, q) in enumerate(QUESTIONS))
 _URL_PATH = "regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)"
 _CALC = "CASE l_linenumber % 4 WHEN 0 THEN l_extendedprice + l_discount WHEN 1 THEN l_extendedprice - l_discount WHEN 2 THEN l_extendedprice * l_discount ELSE CASE WHEN l_discount = 0 THEN NULL ELSE l_extendedprice / l_discount END END"
 
@@ -304,7 +290,7 @@ ORACLES: dict[str, str] = {
     "n2_lines": """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), m AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM l)
 SELECT doc_id, len(a)::INT AS n_lines, a[-1] AS last_line FROM m""",
-    "n3_strip": rf"SELECT doc_id, length({_STRIP.format('text')})::INT AS n FROM documents",
+    "n3_strip": rf"SELECT doc_id, length({STRIP.format('text')})::INT AS n FROM documents",
     "n4_words": f"SELECT doc_id, len({_WORDS})::INT AS n_words, md5(array_to_string({_WORDS}, ' ')) AS words_md5 FROM documents",
     "n6_case": "WITH f AS (SELECT doc_id, string_split(text, ' ')[1] AS f FROM documents) SELECT doc_id, upper(f) = f AND lower(f) <> f AS upper, regexp_matches(f, '^\\p{L}') AS alpha FROM f",
     "n9_slices": "SELECT doc_id, substr(text, 1, 300) AS head, md5(substr(text, 1, 3500)) AS context_md5 FROM documents",
@@ -341,12 +327,12 @@ SELECT doc_id, (generate_subscripts(a, 1) - 1)::INT AS k, md5(unnest(a)) AS part
     "p14_question_rotation": f"""
 WITH i AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents)
 SELECT doc_id, t AS question_type, replace(replace(x, '{{repo}}', 'corpus'), '{{name}}', source || '.f') AS question FROM i JOIN (VALUES {_TURNS}) q(k, t, x) ON k = idx % 6""",
-    "p15_sft": _STATUS + f"SELECT idx, md5('system=' || {_quoted(_REPO_SYSTEM)} || '|user=' || question || '|assistant=' || answer) AS messages_md5, conv_id || '.py' AS source_file, '1-2' AS lines FROM st WHERE status = 'kept'",
+    "p15_sft": _STATUS + f"SELECT idx, md5('system=' || {quoted(_REPO_SYSTEM)} || '|user=' || question || '|assistant=' || answer) AS messages_md5, conv_id || '.py' AS source_file, '1-2' AS lines FROM st WHERE status = 'kept'",
     "p15_dpo": _STATUS + "SELECT idx, question AS prompt, answer AS chosen, CASE WHEN idx % 2 = 0 THEN 'This code handles various operations related to function definition.' ELSE 'no' END AS rejected FROM st WHERE status = 'kept'",
     "p15_grpo": _STATUS + "SELECT idx, question AS prompt, substr(question, 1, 3000) AS reference FROM st WHERE status = 'kept'",
     "f1_token_budget": "WITH t AS (SELECT conv_id, sum(greatest(1, length(text) // 4))::INT AS tokens FROM conversations GROUP BY conv_id) SELECT conv_id, tokens, tokens BETWEEN 48 AND 4096 AS kept, tokens <= 400 AS within FROM t",
-    "f5_meaningful": rf"SELECT doc_id, doc_id % 2 = 0 AND length({_STRIP.format('text')}) >= 400 AS kept FROM documents",
-    "f6_boilerplate": rf"SELECT doc_id, length({_STRIP.format('text')}) < 150 OR {' OR '.join(f'contains(lower(text), {_quoted(p)})' for p in _BOILERPLATE)} AS boilerplate FROM documents",
+    "f5_meaningful": rf"SELECT doc_id, doc_id % 2 = 0 AND length({STRIP.format('text')}) >= 400 AS kept FROM documents",
+    "f6_boilerplate": rf"SELECT doc_id, length({STRIP.format('text')}) < 150 OR {' OR '.join(f'contains(lower(text), {quoted(p)})' for p in BOILERPLATE)} AS boilerplate FROM documents",
     "f9_redaction": "SELECT doc_id, md5(regexp_replace(text, '[0-9]{3,}', '#', 'g')) AS clean_md5 FROM documents",
     "w1_file_cap": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE greatest(1, length(text) // 4) BETWEEN 48 AND 4096) WHERE n <= 15",
     "a1_dedupe_exact": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
@@ -373,4 +359,4 @@ UNION ALL SELECT 'singleton-' || row_number() OVER (ORDER BY vec_id), 1, 't' ||
 SELECT l_orderkey, l_linenumber, round(CASE WHEN abs({_CALC}) > 1e100 THEN NULL ELSE {_CALC} END, 4) AS value,
   CASE WHEN l_linenumber % 4 = 3 AND l_discount = 0 THEN 'Cannot divide by zero' WHEN abs({_CALC}) > 1e100 THEN 'Result too large' END AS error, round(l_tax / 100, 6) AS tax, ['+', '−', '×', '÷'][l_linenumber % 4 + 1] AS symbol
 FROM lineitem""",
-} | table_queries.ORACLES
+} | table_queries.ORACLES | model_sql.ORACLES

@@ -24,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in the file system that the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def durable(rows: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there."""
     shared_dir(rows.sparkSession)
