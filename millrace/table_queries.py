@@ -8,8 +8,9 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import rollups
 from .operators.joins import asof_join, overlap_join
-from .storage import read_table
+from .storage import read_table, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +46,19 @@ def j4_clicks_before_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("right_sale_id").alias("sale_id")).agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("click_id").alias("n_clicks"), F.max("ts").alias("last_click"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (j1_asof_changes, j2_asof_events, j3_overlapping_orders, j4_clicks_before_sales)}
+def r1_rollup_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks by day and kind, by kind and in all, from states of days and kinds that were written first; distinct values as sketches say."""
+    measures = rollups.Measures(sums=["cents"], distinct=["client_id"], quantiles=["value"])
+    clicks = _table(spark, sf_dir, "clicks").select("ts", "kind", "client_id", "value", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    stored = written(rollups.states(clicks, F.col("ts").cast("date"), ["kind"], measures))
+    found = rollups.read(rollups.rolled(stored, [["period", "kind"], ["kind"], []], measures, ["period", "kind"]), measures, [0.5])
+    exact = clicks.groupBy("kind").agg(F.count_distinct("client_id").alias("clients")).withColumn("level", F.lit(1))
+    close = F.abs(F.col("distinct_client_id") - F.col("clients")) <= 2 * measures.distinct_error() * F.col("clients") + 1
+    both = found.alias("f").join(exact.alias("e"), (F.col("f.level") == F.col("e.level")) & F.col("f.kind").eqNullSafe(F.col("e.kind")), "left")
+    return both.select("f.level", "f.period", "f.kind", "n", "sum_cents", F.when(F.col("f.level") == 1, close).alias("distinct_within"), F.col("quantile_value").isNotNull().alias("has_median"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (j1_asof_changes, j2_asof_events, j3_overlapping_orders, j4_clicks_before_sales, r1_rollup_states)}
 
 ORACLES: dict[str, str] = {
     "j1_asof_changes": """
@@ -72,5 +85,15 @@ FROM opened x JOIN opened y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_
     "j4_clicks_before_sales": """
 SELECT s.sale_id, count(*) AS n_pairs, count(DISTINCT c.click_id) AS n_clicks, max(c.ts) AS last_click
 FROM sales s JOIN clicks c ON s.client_id = c.client_id AND c.ts BETWEEN s.sold_at - INTERVAL 1 HOUR AND s.sold_at GROUP BY s.sale_id
+""",
+    "r1_rollup_states": """
+WITH click AS (
+  SELECT ts::DATE AS period, kind, round(value * 100)::BIGINT AS cents, value FROM clicks
+), level AS (
+  SELECT 0 AS level, period, kind, count(*) AS n, sum(cents)::BIGINT AS sum_cents, count(value) > 0 AS has_median FROM click GROUP BY period, kind
+  UNION ALL SELECT 1, NULL, kind, count(*), sum(cents)::BIGINT, count(value) > 0 FROM click GROUP BY kind
+  UNION ALL SELECT 2, NULL, NULL, count(*), sum(cents)::BIGINT, count(value) > 0 FROM click
+)
+SELECT *, CASE WHEN level = 1 THEN true END AS distinct_within FROM level
 """,
 }
