@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import html
 import json
-import os
 import re
 import subprocess
 import sys
@@ -20,7 +19,7 @@ from wsgiref.simple_server import WSGIServer, make_server
 
 from pyspark.sql import SparkSession
 
-from ..config import ChatConfig
+from ..config import ChatConfig, environment
 from .chat import Progress, generate_from_url
 from .jobs import Job, Jobs, is_inside
 
@@ -222,11 +221,12 @@ def serve(service: Service, host: str = "127.0.0.1", port: int = 5001) -> WSGISe
 
 
 def main(args: list[str] | None = None) -> None:
+    env = environment()
     p = argparse.ArgumentParser(description="Chat records of source trees, over HTTP")
     p.add_argument("--host", default="127.0.0.1")
     p.add_argument("--port", type=int, default=5001)
-    p.add_argument("--output-root", default=os.environ.get("MILLRACE_OUTPUT_ROOT", "./outputs"))
-    p.add_argument("--shared", default=os.environ.get("MILLRACE_SHARED"), help="where all executors see clones; a cluster needs it")
+    p.add_argument("--output-root", default=env.get("MILLRACE_OUTPUT_ROOT", "./outputs"))
+    p.add_argument("--shared", default=env.get("MILLRACE_SHARED"), help="where all executors see clones; a cluster needs it")
     said = p.parse_args(args)
     Path(said.output_root).mkdir(parents=True, exist_ok=True)
     server = serve(Service(SparkSession.builder.getOrCreate(), said.output_root, said.shared), said.host, said.port)

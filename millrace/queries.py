@@ -387,6 +387,12 @@ def p9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*chat.ORDER, "meta.task", F.md5(F.col("messages")[1]["content"]).alias("user_md5"), F.md5(F.col("messages")[2]["content"]).alias("assistant_md5"))
 
 
+def p10_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a record says of where it comes from."""
+    rows = chat.build_records(_sources(spark, sf_dir), repo_path="/src", sha="c0ffee")
+    return rows.select("path", "item_seq", "builder_seq", "sub_seq", F.col("meta.repo_path"), F.col("meta.path").alias("meta_path"), "meta.sha", "meta.task", "meta.source_type", "meta.title", "meta.name")
+
+
 def v1_default_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.col("text")
     for word, mark in ((" the ", " FACTOR "), (" and ", " solver "), (" de ", " regime "), (" of ", " chart "), (" der ", " raise "), (" die ", " info(")):
@@ -423,7 +429,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         flagship, n1_token_count, n2_lines, n3_strip, n4_words, n6_case, n9_slices, n14_tolerant_json, n15_json_defaults, n16_paths, n17_repository_name,
         t1_py_items, t2_js_items, t3_md_sections, t4_blank_chunks, t5_word_windows, t6_py_spans, t10_md_spans,
-        p0_chat_messages, p3_section_qa, p5_validation_lines, p6_error_lines, p7_constant_lines, p8_logging_lines, p9_records, p13_span_context,
+        p0_chat_messages, p3_section_qa, p5_validation_lines, p6_error_lines, p7_constant_lines, p8_logging_lines, p9_records, p10_meta, p13_span_context,
         p14_question_rotation, p15_sft, p15_dpo, p15_grpo, f1_token_budget, f5_meaningful, f6_boilerplate, f9_redaction, w1_file_cap,
         a1_dedupe_exact, a2_dedupe_md5, a4_answer_status, a6_centroid, a7_tag_union, a9_spans_by_file, u1_union_builders, u3_tag_merge, u4_cache_anti,
         v1_tags, v1_default_tags, v2_normalize, v3_hdbscan, v4_clusters, v6_cache_key, o5_split_hash, o5_split_exact, o6_split_prefix, o7_split_905, k1_jsonl, k2_stats,

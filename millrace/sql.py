@@ -306,6 +306,10 @@ SELECT page_id, n AS name, x AS suffix, substr(n, 1, length(n) - length(x)) AS s
     "t6_py_spans": _T6,
     "t10_md_spans": _T10,
     "p9_records": _RECORDS + "SELECT path, item_seq::INT AS item_seq, builder_seq::INT AS builder_seq, sub_seq::INT AS sub_seq, task, md5(said) AS user_md5, md5(told) AS assistant_md5 FROM r",
+    "p10_meta": _RECORDS + r"""
+SELECT path, item_seq::INT AS item_seq, builder_seq::INT AS builder_seq, sub_seq::INT AS sub_seq, '/src' AS repo_path, path AS meta_path, 'c0ffee' AS sha, task,
+  CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.js' THEN 'javascript' ELSE 'markdown' END AS source_type,
+  CASE WHEN path LIKE '%.md' THEN 'T' || regexp_extract(path, '[0-9]+') END AS title, CASE WHEN task = 'py_chunk_explain' THEN 'f' || regexp_extract(path, '[0-9]+') END AS name FROM r""",
     "u1_union_builders": _RECORDS + "SELECT task, count(*) AS n FROM r GROUP BY task",
     "v1_default_tags": _V1,
     "n15_json_defaults": """

@@ -191,6 +191,29 @@ def test_chat_plan(spark, tree, tmp_path):
     assert any(r["meta"]["path"] == "bad.py" for r in train + valid)  # it doesn't parse, but has constants
 
 
+def test_command_line(spark, tree, tmp_path, monkeypatch, capsys):
+    """Options as they are given, else as the environment or a file sets them; one of a tree and an address has to be named."""
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / ".env").write_text("# own\nexport MILLRACE_MIN_TOKENS='1'\nMILLRACE_PY_CHUNKING=no\nMILLRACE_FILE_CAP=9\n")
+    monkeypatch.setenv("MILLRACE_FILE_CAP", "50")
+    chat.main(["--root", tree, "--out", str(tmp_path / "out"), "--no-include-errors", "--valid-ratio", "0.5"])
+    said = json.loads(capsys.readouterr().out.splitlines()[-1])
+    train, valid = lines(tmp_path / "out" / "dataset.train.jsonl"), lines(tmp_path / "out" / "dataset.valid.jsonl")
+    assert said["counts"] == {"total": len(train) + len(valid), "train": len(train), "valid": len(valid)} and len(valid) == (len(train) + len(valid)) // 2
+    config = ChatConfig(min_tokens=1, py_chunking=False, file_cap=50, include_errors=False)
+    assert said["counts"]["total"] == chat.filtered_records(repository.chat_files(spark, tree), config).count()
+    for wrong in (["--out", "x"], ["--root", "a", "--repo", "b", "--out", "x"]):
+        with pytest.raises(SystemExit):
+            chat.main(wrong)
+
+
+def test_settings():
+    assert ChatConfig.from_environment({}) == ChatConfig()
+    assert ChatConfig.from_environment({"MILLRACE_VALID_RATIO": "0.2", "MILLRACE_SEED": "", "MILLRACE_ALLOW_LLM": "On"}) == ChatConfig(valid_ratio=0.2, allow_llm=True)
+    with pytest.raises(ValueError):
+        ChatConfig.from_environment({"MILLRACE_ALLOW_LLM": "perhaps"})
+
+
 def test_flags_leave_builders_out(spark, tree):
     config = ChatConfig(min_tokens=1, py_chunking=False, include_validation=False, include_errors=False, include_config=False, include_logging=False)
     tasks = {r.task for r in chat.build_records(repository.chat_files(spark, tree), config).select("meta.task").distinct().collect()}
