@@ -11,7 +11,8 @@ What a tick has drained is settled client by client in order of time, id (null f
 apart. A client with more than `HOT_ROWS` clicks in a tick is not put into one task. Its credit, seen as whole
 coins and a rest, gains a coin at instants `cost` apart; these shift only after a pause of at least `cost`, to the
 click that ends it. So the first click after each pause gives a possible shift, and between the instants of all
-shifts, clicks are alike: their number and the first six are all that the fold needs. Cells of that
+shifts, clicks are alike: their number and the first six are all that the fold needs. A pause that fills the credit whatever
+it was starts a segment, which is folded by itself and has only its own shifts. Cells of that
 kind number no more than time and pauses allow, however many clicks they hold; each click then gets its
 outcome from its cell. The fold carries each client's credit, last time and penalty from tick to tick in a table.
 
@@ -53,9 +54,9 @@ _PACKED = "part bigint, hour bigint, clicks binary"
 _DRAINED = "late boolean, client bigint, ts bigint, click bigint, mark int"
 _HEADS = "array<struct<ts:bigint,click:bigint,mark:int>>"
 #: What the fold reads: kind 0, what a client carries on; kind 1, a click, or a cell of some; only cells and what is carried have more.
-_CELL = f"client bigint, kind int, first bigint, click bigint, mark int, more struct<last:bigint,n:bigint,cell:bigint,heads:{_HEADS},credit:bigint,since:bigint>"
-_HOT = "client bigint, ts bigint, click bigint, mark int, cell bigint"
-_SETTLED = f"client bigint, kind int, first bigint, click bigint, k bigint, credit bigint, since bigint, cell bigint, heads {_HEADS}"
+_CELL = f"client bigint, seg bigint, kind int, first bigint, click bigint, mark int, more struct<last:bigint,n:bigint,cell:bigint,heads:{_HEADS},credit:bigint,since:bigint>"
+_HOT = "client bigint, ts bigint, click bigint, mark int, cell bigint, seg bigint"
+_SETTLED = "client bigint, kind int, first bigint, click bigint, k bigint, credit bigint, since bigint, cell bigint"
 
 
 def micros(ts: Column, kind: T.DataType) -> Column:
@@ -178,21 +179,21 @@ def _drained(clicks: np.ndarray, late: bool = False) -> Iterator[Row]:
 
 
 def _settle(cost: int, full: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The fold over each client's cells, sorted, as they come; a client's rows lie in one partition."""
+    """The fold over the cells of each client, or of each of its segments, sorted, as they come; they lie in one partition."""
     schema = to_arrow_schema(T.StructType.fromDDL(_SETTLED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who, credit, at, since = None, full, 0, None
         for batch in batches:
-            clients, kinds, firsts = (batch.column(c).to_numpy().tolist() for c in ("client", "kind", "first"))
+            clients, segments, kinds, firsts = (batch.column(c).to_numpy().tolist() for c in ("client", "seg", "kind", "first"))
             more = {int(i): batch.column("more")[int(i)].as_py() for i in np.flatnonzero(batch.column("more").is_valid().to_numpy(zero_copy_only=False))}
             k_of, credits, sinces = [0] * len(kinds), [0] * len(kinds), [None] * len(kinds)
             carried: list[tuple] = []
-            for i, (client, kind, first) in enumerate(zip(clients, kinds, firsts)):
-                if client != who:
+            for i, (client, segment, kind, first) in enumerate(zip(clients, segments, kinds, firsts)):
+                if (client, segment) != who:
                     if who is not None:
-                        carried.append((who, at, credit, since))
-                    who, credit, at, since = client, full, first, None
+                        carried.append((who[0], at, credit, since))
+                    who, credit, at, since = (client, segment), full, first, None
                 if not kind:
                     credit, at, since = more[i]["credit"], first, more[i]["since"]
                     continue
@@ -208,36 +209,38 @@ def _settle(cost: int, full: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     credit, at = x - k * cost, first
                 k_of[i], credits[i], sinces[i] = k, x, since
             of = batch.column("more")
-            columns = [batch.column(c) for c in ("client", "kind", "first", "click")] + [pa.array(k_of), pa.array(credits), pa.array(sinces, pa.int64()), pc.struct_field(of, "cell"), pc.struct_field(of, "heads")]
+            columns = [batch.column(c) for c in ("client", "kind", "first", "click")] + [pa.array(k_of), pa.array(credits), pa.array(sinces, pa.int64()), pc.struct_field(of, "cell")]
             done = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
             yield done.filter(pc.equal(batch.column("kind"), 1))
             yield _carry(carried, schema)
         if who is not None:
-            yield _carry([(who, at, credit, since)], schema)
+            yield _carry([(who[0], at, credit, since)], schema)
 
     return run
 
 
 def _carry(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    """Clients' credit after their last click, for the next tick."""
+    """Credit after the last click of clients or segments, for the next tick."""
     said = [{"client": c, "kind": 0, "first": at, "credit": credit, "since": since} for c, at, credit, since in rows]
     return pa.RecordBatch.from_pylist(said, schema=schema)
 
 
-def _cells(hot: DataFrame, carried: DataFrame, cost: int) -> DataFrame:
-    """The clicks with the start of their cell: the latest instant, of any possible shift, at which a coin may come."""
+def _cells(hot: DataFrame, carried: DataFrame, cost: int, burst: int) -> DataFrame:
+    """The clicks with their segment and the start of their cell: the latest instant, of any possible shift, at which a coin may come."""
     slots = hot.groupBy("client", F.floor(F.col("ts") / cost).alias("slot")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     before = carried.select("client", F.col("first").alias("at"), F.pmod(F.col("first") - F.col("credit"), F.lit(cost)).alias("shift"))
     slots = slots.join(before, "client", "left")
-    ordered, whole = Window.partitionBy("client").orderBy("slot"), Window.partitionBy("client")
+    ordered = Window.partitionBy("client").orderBy("slot")
     gap = F.col("first") - F.coalesce(F.lag("last").over(ordered), "at")
-    shift = F.when(gap.isNull() | (gap >= cost), F.pmod("first", F.lit(cost)))
-    slots = slots.select("client", "slot", "shift", shift.alias("own"))
+    slots = slots.withColumn("gap", gap).withColumn("seg", F.sum((F.coalesce("gap", F.lit(0)) >= burst * cost).cast("long")).over(ordered))
+    own = F.when(F.col("gap").isNull() | (F.col("gap") >= cost), F.pmod("first", F.lit(cost)))
+    slots = slots.select("client", "slot", "seg", F.when(F.col("seg") == 0, F.col("shift")).alias("shift"), own.alias("own"))
+    whole = Window.partitionBy("client", "seg")
     shifts = F.array_compact(F.array_distinct(F.array_append(F.collect_set("own").over(whole), F.max("shift").over(whole))))
-    slots = slots.select("client", "slot", shifts.alias("shifts"))
+    slots = slots.select("client", "slot", "seg", shifts.alias("shifts"))
     both = hot.withColumn("slot", F.floor(F.col("ts") / cost)).join(slots, ["client", "slot"])
     back = F.array_min(F.transform("shifts", lambda s: F.pmod(F.col("ts") - s, F.lit(cost))))
-    return both.select("client", "ts", "click", "mark", (F.col("ts") - back).alias("cell"))
+    return both.select("client", "ts", "click", "mark", (F.col("ts") - back).alias("cell"), "seg")
 
 
 def _summed(cells: DataFrame, burst: int) -> DataFrame:
@@ -245,7 +248,7 @@ def _summed(cells: DataFrame, burst: int) -> DataFrame:
     of = Window.partitionBy("client", "cell").orderBy("ts", "click", "mark")
     heads = cells.withColumn("r", F.row_number().over(of)).filter(F.col("r") <= burst + 1).groupBy("client", "cell")
     heads = heads.agg(F.array_sort(F.collect_list(F.struct("ts", "click", "mark"))).alias("heads"))
-    sums = cells.groupBy("client", "cell").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
+    sums = cells.groupBy("client", "cell").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"), F.min("seg").alias("seg"))
     return sums.join(heads, ["client", "cell"])
 
 
@@ -255,25 +258,27 @@ _NO_CELL = "cast(null as struct<last:bigint,n:bigint,cell:bigint,heads:array<str
 def settle(drained: DataFrame, carried: DataFrame, folder: str, tick: int, cost: int, burst: int, hot_rows: int) -> tuple[DataFrame, bool]:
     """Clicks and cells with the credit at their first click and the number admitted, and what clients carry on; whether there are cells of some clicks."""
     spark = drained.sparkSession
+    latest = carried.filter("kind = 0").groupBy("client").agg(F.max_by(F.struct("first", "credit", "since"), "first").alias("c"))  # of a client's segments
+    carried = latest.select("client", F.lit(0).alias("kind"), "c.first", F.lit(None).cast("long").alias("click"), "c.credit", "c.since")
     clicks = drained.filter("not late")
     counts = clicks.groupBy("client").agg(F.count(F.lit(1)).alias("clicks")).filter(F.col("clicks") > hot_rows)
     counts.select("client").write.mode("overwrite").parquet(f"{folder}/of-many/tick={tick}")
     hot = spark.read.schema("client bigint").parquet(f"{folder}/of-many/tick={tick}")
     some = not hot.isEmpty()
     if some:
-        _cells(clicks.join(hot, "client", "left_semi"), carried, cost).write.mode("overwrite").parquet(f"{folder}/hot/tick={tick}")
+        _cells(clicks.join(hot, "client", "left_semi"), carried, cost, burst).write.mode("overwrite").parquet(f"{folder}/hot/tick={tick}")
         cells = _summed(spark.read.schema(_HOT).parquet(f"{folder}/hot/tick={tick}"), burst)
         clicks = clicks.join(hot, "client", "left_anti")
-    each = clicks.select("client", F.lit(1).alias("kind"), F.col("ts").alias("first"), "click", "mark", F.expr(_NO_CELL).alias("more"))
+    each = clicks.select("client", F.lit(0).cast("long").alias("seg"), F.lit(1).alias("kind"), F.col("ts").alias("first"), "click", "mark", F.expr(_NO_CELL).alias("more"))
     before = carried.select(
-        "client", "kind", "first", "click", F.lit(None).cast("int").alias("mark"),
+        "client", F.lit(0).cast("long").alias("seg"), "kind", "first", "click", F.lit(None).cast("int").alias("mark"),
         F.struct(*(F.lit(None).cast("long").alias(c) for c in ("last", "n", "cell")), F.lit(None).cast(_HEADS).alias("heads"), "credit", "since").alias("more"),
     )
     each = each.unionByName(before)
     if some:
         of = F.struct("last", "n", "cell", "heads", *(F.lit(None).cast("long").alias(c) for c in ("credit", "since")))
-        each = each.unionByName(cells.select("client", F.lit(1).alias("kind"), "first", F.col("heads")[0]["click"].alias("click"), F.col("heads")[0]["mark"].alias("mark"), of.alias("more")))
-    dealt = each.repartition("client").sortWithinPartitions("client", "kind", "first", "click", "mark")
+        each = each.unionByName(cells.select("client", "seg", F.lit(1).alias("kind"), "first", F.col("heads")[0]["click"].alias("click"), F.col("heads")[0]["mark"].alias("mark"), of.alias("more")))
+    dealt = each.repartition("client", "seg").sortWithinPartitions("client", "seg", "kind", "first", "click", "mark")
     return dealt.mapInArrow(_settle(cost, burst * cost), _SETTLED), some
 
 
@@ -293,7 +298,7 @@ def throttle(
         def tick(drained: DataFrame, _: int, b: int = b) -> None:
             own = drained.sparkSession
             drained.mapInArrow(_unpack, _DRAINED).write.mode("overwrite").parquet(f"{base}/drained/tick={b}")
-            before = own.read.schema(_SETTLED).parquet(f"{base}/settled/tick={b - 1}").filter("kind = 0") if b else own.createDataFrame([], _SETTLED)
+            before = own.read.schema(_SETTLED).parquet(f"{base}/settled/tick={b - 1}") if b else own.createDataFrame([], _SETTLED)
             done, some = settle(own.read.schema(_DRAINED).parquet(f"{base}/drained/tick={b}"), before, base, b, cost, burst, hot_rows)
             done.write.mode("overwrite").parquet(f"{base}/settled/tick={b}")
             if some:
@@ -347,10 +352,13 @@ def _outcomes(spark: SparkSession, base: str, cost: int, some: bool, hot: bool)
     cells = read("settled", _SETTLED).filter("kind = 1")
     alone = settled(cells.filter("cell is null").withColumn("ts", F.col("first")), F.when(F.col("k") == 1, F.lit(1)))
     done = late.unionByName(alone)
-    if hot:
-        of = cells.filter("cell is not null").select("tick", "client", "cell", "first", "credit", "since", "k", "heads")
-        at = F.array_position("heads", F.struct("ts", "click", "mark"))
-        done = done.unionByName(settled(read("hot", _HOT).join(of, ["tick", "client", "cell"]), F.when((at > 0) & (at <= F.col("k")), at)))
+    if hot:  # a cell's row, then its clicks, each of which takes what the cell says and its place in it
+        of = cells.filter("cell is not null").select("tick", "client", "cell", F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("ts", "click")), F.lit(None).cast("int").alias("mark"), F.struct("first", "credit", "since", "k").alias("said"))
+        clicks = read("hot", _HOT).select("tick", "client", "cell", F.lit(1).alias("kind"), "ts", "click", "mark", F.lit(None).cast("struct<first:bigint,credit:bigint,since:bigint,k:bigint>").alias("said"))
+        upto = Window.partitionBy("tick", "client", "cell").orderBy("kind", "ts", "click", "mark")
+        told = of.unionByName(clicks).withColumns({"said": F.first("said").over(upto), "r": F.row_number().over(upto) - 1}).filter("kind = 1")
+        told = told.select("tick", "client", "ts", "click", "r", "said.*")
+        done = done.unionByName(settled(told, F.when(F.col("r") <= F.col("k"), F.col("r"))))
     return done
 
 
