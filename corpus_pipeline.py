@@ -22,8 +22,9 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of windows that stand earlier in the corpus; one that loses all its lines goes, one that had none stays."""
     kept = lines.dedup_lines(docs, counts=("__lines", "__gone")).filter("__gone = 0 or length(trim(text)) > 0")
-    size = F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", size).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("__gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,10 @@ def unseen_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def weighed_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their text and how often they are taken."""
+    """The documents that the mix takes, with their text and how often they are taken; a table without sources or languages is an error that says so."""
+    absent = {"doc_id", "text", "lang", "source"} - {*docs.columns}
+    if absent:
+        raise ValueError(f"the mix needs {', '.join(sorted(absent))}")
     return mixing.mix(docs, keep=("text", "lang", "source")).filter("copies > 0").select("doc_id", "text", "lang", "source", "size", "target", "copies", "taken")
 
 
