@@ -2,9 +2,12 @@
 
 The hierarchy needs, of all pairs, only a minimum spanning tree under mutual reachability, the largest of
 both points' core distances and their distance. It is built by rounds in which each component takes its
-shortest edge out: vectors are packed into blocks, every pair of blocks meets in one task, which returns
-one edge for each component that it holds. So no task holds more than two blocks, nothing is broadcast,
-and pairs are never rows. What the tree says is worked out from its n - 1 edges on the driver.
+shortest edge out. Points go to the nearest of some pivots, and each pivot's are packed into blocks, a row each, so
+that a block is a ball with a centre and a radius; a pair of blocks meets in one task, which returns one edge
+for each component that it holds. Blocks first meet themselves and the nearest; what that
+finds bounds what others can find, and pairs of blocks that lie further apart than the bound never meet. So no task
+holds more than two blocks and pairs of points are never rows. On the driver are the balls, the components, and the tree's
+n - 1 edges, from which the labels are worked out.
 
 A point's core distance is that to its `min_samples`-th nearest point, itself counted as the first.
 """
@@ -12,9 +15,11 @@ A point's core distance is that to its `min_samples`-th nearest point, itself co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +47,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _paired(points: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """The points for each pair of blocks, on either side."""
+    """The points for each pair of a few blocks, on either side."""
     every, block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.floor(F.col("pos") / BLOCK_ROWS).cast("int")
     columns = [F.col(c).alias(c) for c in points.columns]  # named anew, so that either side is its own
     return points.select(*columns, block.alias("i"), every.alias("j")), points.select(*columns, block.alias("j"), every.alias("i"))
@@ -68,46 +73,153 @@ def _core(points: DataFrame, blocks: int, k: int) -> DataFrame:
     return found.groupBy("pos").agg(F.element_at(least, F.least(F.lit(k), F.size(least))).alias("core"))
 
 
-def spanning_tree(points: DataFrame, min_samples: int = 3) -> list[tuple[int, int, float]]:
-    """Edges (a, b, weight) of the minimum spanning tree of points (pos, v), pos from 0."""
+@dataclass
+class Balls:
+    """Packed blocks, each a ball: rows (block, pos, v), centres, radii, and the block of each point."""
+
+    packed: DataFrame
+    centre: np.ndarray
+    radius: np.ndarray
+    of: np.ndarray
+    counts: list[int] = field(default_factory=list)  # of pairs of blocks that have met, time after time
+
+    def apart(self) -> np.ndarray:
+        """Distances that no two points of two blocks lie closer than."""
+        return np.maximum(_distances(self.centre, self.centre) - self.radius[:, None] - self.radius[None, :], 0)
+
+    def met(self, pairs: np.ndarray) -> tuple[DataFrame, DataFrame]:
+        """The blocks of the pairs (i, j), on either side."""
+        self.counts.append(len(pairs))
+        table = pa.table({"i": pa.array(pairs[:, 0], pa.int32()), "j": pa.array(pairs[:, 1], pa.int32())})
+        asked = self.packed.sparkSession.createDataFrame(table)
+        left, right = (self.packed.select(F.col("block").alias(side), F.col("pos").alias("pos"), F.col("v").alias("v")) for side in ("i", "j"))
+        return left.join(asked, "i"), right.join(asked, "j")
+
+
+#: Further blocks that each meets before its bounds are known.
+NEAREST = 2
+
+
+def _balls(points: DataFrame, blocks: int) -> Balls:
+    """Points (pos, v) in the order of the nearest of as many pivots as there are full blocks, and of the distance to it; no block holds points of two."""
+    pivots = np.array([r.v for r in points.orderBy(F.xxhash64("pos"), "pos").limit(blocks).select("v").collect()], np.float64)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(pa.Table.from_batches([b]), "v")
+            at, least = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for s in range(0, len(x), 512):
+                d = _distances(x[s : s + 512], pivots)
+                at[s : s + 512], least[s : s + 512] = d.argmin(axis=1), d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(least)], ["pos", "v", "pivot", "d"])
+
+    kind = points.schema["v"].dataType.simpleString()
+    dealt = points.select("pos", "v").mapInArrow(near, f"pos long, v {kind}, pivot long, d double")
+    placed = durable(numbered(dealt, ["pivot", "d", "pos"], "slot"))
+    cells = sorted(tuple(r) for r in placed.groupBy("pivot").agg(F.min("slot"), F.count(F.lit(1))).collect())  # a row for each pivot
+    starts = np.cumsum([0, *(-(-n // BLOCK_ROWS) for *_, n in cells)])
+    named = points.sparkSession.createDataFrame([(p, int(first), int(at)) for (p, first, _), at in zip(cells, starts)], "pivot long, first long, at long")
+    placed = placed.join(F.broadcast(named), "pivot").withColumn("block", (F.col("at") + F.floor((F.col("slot") - F.col("first")) / BLOCK_ROWS)).cast("int"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        x = _matrix(rows, "v")
+        centre = x.mean(axis=0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
+        return pa.table({"block": rows.column("block").combine_chunks()[:1], "pos": [rows.column("pos").to_numpy().tobytes()], "v": [x.tobytes()], "centre": [centre.tolist()], "radius": [radius]})
+
+    packed = durable(placed.select("block", "pos", "v").groupBy("block").applyInArrow(pack, "block int, pos binary, v binary, centre array<double>, radius double"))
+    found = sorted(packed.select("block", "pos", "centre", "radius").collect())
+    of = np.zeros(sum(len(r.pos) // 8 for r in found), np.int64)
+    for r in found:
+        of[np.frombuffer(bytes(r.pos), np.int64)] = r.block
+    return Balls(packed.select("block", "pos", "v"), np.array([r.centre for r in found]), np.array([r.radius for r in found]), of)
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    pos = np.frombuffer(rows.column("pos")[0].as_py(), np.int64)
+    return pos, np.frombuffer(rows.column("v")[0].as_py(), np.float64).reshape(len(pos), -1)
+
+
+def _first_pairs(apart: np.ndarray) -> np.ndarray:
+    """Each block with itself and its nearest."""
+    n = len(apart)
+    order = np.argsort(apart + np.where(np.eye(n, dtype=bool), -1.0, 0.0), axis=1, kind="stable")[:, : NEAREST + 1]
+    return np.stack([np.repeat(np.arange(n), order.shape[1]), order.ravel()], axis=1)
+
+
+def _rest(apart: np.ndarray, bound: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """Pairs that haven't met and whose distance leaves room below the first block's bound."""
+    room = apart <= bound[:, None] * (1 + 1e-9) + 1e-9
+    room[met[:, 0], met[:, 1]] = False
+    return np.argwhere(room)
+
+
+def _cores(balls: Balls, k: int) -> np.ndarray:
+    """Each point's distance to its k-th nearest, itself the first."""
+    n, apart = len(balls.of), balls.apart()
+    least = np.full((n, k), np.inf)
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        (pos, x), (_, y) = _unpacked(a), _unpacked(b)
+        out = np.full((len(x), k), np.inf)
+        for s in range(0, len(x), 512):
+            d = _distances(x[s : s + 512], y)
+            m = min(k, d.shape[1])
+            out[s : s + 512, :m] = np.partition(d, m - 1, axis=1)[:, :m]
+        return pa.table({"pos": [pos.tobytes()], "d": [out.tobytes()]})
+
+    def meet(pairs: np.ndarray) -> None:
+        left, right = balls.met(pairs)
+        found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(near, "pos binary, d binary")
+        for r in found.toLocalIterator():  # a few numbers for each point of a block, block by block
+            pos = np.frombuffer(bytes(r.pos), np.int64)
+            both = np.concatenate([least[pos], np.frombuffer(bytes(r.d), np.float64).reshape(len(pos), k)], axis=1)
+            least[pos] = np.sort(both, axis=1)[:, :k]
+
+    first = _first_pairs(apart)
+    meet(first)
+    bound = np.zeros(len(apart))
+    np.maximum.at(bound, balls.of, least[:, k - 1])
+    rest = _rest(apart, bound, first)
+    if len(rest):
+        meet(rest)
+    least[np.isinf(least)] = -1.0  # fewer points than k
+    return np.where(least[:, k - 1] < 0, least.max(axis=1), least[:, k - 1])
+
+
+def spanning_tree(points: DataFrame, min_samples: int = 3, counts: list[int] | None = None) -> list[tuple[int, int, float]]:
+    """Edges (a, b, weight) of the minimum spanning tree of points (pos, v), pos from 0; `counts` takes how many pairs of blocks met each time."""
     n = points.count()
     if n > MOST_POINTS:
         raise ValueError(f"{n} points; the hierarchy of at most {MOST_POINTS} fits the driver")
     if n < 2:
         return []
     blocks = -(-n // BLOCK_ROWS)
-    cored = durable(points.join(_core(points, blocks, min_samples), "pos"))
     if blocks <= FEW_BLOCKS:
-        return _joined_trees(cored, blocks, n)
-    spark = points.sparkSession
+        return _joined_trees(durable(points.join(_core(points, blocks, min_samples), "pos")), blocks, n)
+    balls = _balls(points, blocks)
+    balls.counts = balls.counts if counts is None else counts
+    apart, of = balls.apart(), balls.of
+    core = _cores(balls, min_samples)
+    quiet = np.full(len(apart), np.inf)  # the least core distance of a block, which no edge of it is shorter than
+    np.minimum.at(quiet, of, core)
+    apart = np.maximum(apart, np.maximum(quiet[:, None], quiet[None, :]))
+    cores = points.sparkSession.sparkContext.broadcast(core)
     root = np.arange(n)
     tree: list[tuple[int, int, float]] = []
     while len(tree) < n - 1:
-        packed = spark.createDataFrame(pa.table({"pos": pa.array(np.arange(n)), "c": pa.array(root)})) if tree else None
-        labelled = cored.join(packed, "pos") if packed is not None else cored.withColumn("c", F.col("pos"))
-        left, right = _paired(labelled, blocks)
-
-        def shortest(a: pa.Table, b: pa.Table) -> pa.Table:
-            pa_, pb = a.column("pos").to_numpy(), b.column("pos").to_numpy()
-            ca, cb = a.column("c").to_numpy(), b.column("c").to_numpy()
-            ka, kb, x, y = a.column("core").to_numpy(), b.column("core").to_numpy(), _matrix(a, "v"), _matrix(b, "v")
-            best: dict[int, tuple[float, int, int]] = {}
-            for s in range(0, len(x) if len(y) else 0, 512):
-                d = np.maximum(_distances(x[s : s + 512], y), np.maximum(ka[s : s + 512, None], kb[None, :]))
-                d[ca[s : s + 512, None] == cb[None, :]] = np.inf
-                at = d.argmin(axis=1)
-                for r, j in enumerate(at.tolist()):
-                    w = float(d[r, j])
-                    if w < np.inf:
-                        p, q = int(pa_[s + r]), int(pb[j])
-                        edge = (w, min(p, q), max(p, q))
-                        c = int(ca[s + r])
-                        if c not in best or edge < best[c]:
-                            best[c] = edge
-            return pa.table({"c": pa.array(list(best), pa.int64()), "w": pa.array([e[0] for e in best.values()], pa.float64()), "p": pa.array([e[1] for e in best.values()], pa.int64()), "q": pa.array([e[2] for e in best.values()], pa.int64())})
-
-        found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(shortest, "c long, w double, p long, q long")
-        least = found.groupBy("c").agg(F.min(F.struct("w", "p", "q")).alias("e")).select("e.*").distinct().orderBy("w", "p", "q").collect()
+        best: dict[int, tuple[float, int, int]] = {}
+        whole = _only_component(root, of, len(apart))
+        open_ = (whole[:, None] < 0) | (whole[:, None] != whole[None, :])  # blocks that lie in one component, both in the same, have no edge between them
+        first = _first_pairs(np.where(open_, apart, np.inf))
+        first = first[open_[first[:, 0], first[:, 1]]]
+        _shortest(balls, cores, root, first, best)
+        bound = np.zeros(len(apart))
+        np.maximum.at(bound, of, np.array([best[c][0] if c in best else np.inf for c in root.tolist()]))
+        rest = _rest(np.where(open_, apart, np.inf), bound, first)
+        rest = rest[open_[rest[:, 0], rest[:, 1]]]
+        if len(rest):
+            _shortest(balls, cores, root, rest, best)
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -115,16 +227,55 @@ def spanning_tree(points: DataFrame, min_samples: int = 3) -> list[tuple[int, in
                 x = int(root[x])
             return x
 
-        for e in least:
-            p, q = find(e["p"]), find(e["q"])
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                tree.append((e["p"], e["q"], e["w"]))
+        for w, p, q in sorted(set(best.values())):
+            a, b = find(p), find(q)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                tree.append((p, q, w))
         while not np.array_equal(up := root[root], root):
             root = up
     return tree
 
 
+def _only_component(root: np.ndarray, of: np.ndarray, blocks: int) -> np.ndarray:
+    """The component that all of a block's points lie in, -1 where there are several."""
+    low, high = np.full(blocks, len(root)), np.full(blocks, -1)
+    np.minimum.at(low, of, root)
+    np.maximum.at(high, of, root)
+    return np.where(low == high, low, -1)
+
+
+def _shortest(balls: Balls, cores: Broadcast, root: np.ndarray, pairs: np.ndarray, best: dict[int, tuple[float, int, int]]) -> None:
+    """Put each component's shortest edge out of it, of those between the pairs of blocks, into `best`, least by weight, then ends."""
+    roots = balls.packed.sparkSession.sparkContext.broadcast(root)
+
+    def shortest(a: pa.Table, b: pa.Table) -> pa.Table:
+        (pa_, x), (pb, y) = _unpacked(a), _unpacked(b)
+        ca, cb, ka, kb = roots.value[pa_], roots.value[pb], cores.value[pa_], cores.value[pb]
+        own: dict[int, tuple[float, int, int]] = {}
+        for s in range(0, len(x), 512):
+            d = np.maximum(_distances(x[s : s + 512], y), np.maximum(ka[s : s + 512, None], kb[None, :]))
+            d[ca[s : s + 512, None] == cb[None, :]] = np.inf
+            w = d.min(axis=1)
+            for r in np.flatnonzero(w < np.inf).tolist():
+                p, c = int(pa_[s + r]), int(ca[s + r])
+                if c in own and w[r] > own[c][0]:
+                    continue
+                q = pb[np.flatnonzero(d[r] == w[r])]
+                edge = min((float(w[r]), min(p, o), max(p, o)) for o in q.tolist())
+                if c not in own or edge < own[c]:
+                    own[c] = edge
+        return pa.table({"c": pa.array(list(own), pa.int64()), "w": pa.array([e[0] for e in own.values()], pa.float64()), "p": pa.array([e[1] for e in own.values()], pa.int64()), "q": pa.array([e[2] for e in own.values()], pa.int64())})
+
+    left, right = balls.met(pairs)
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(shortest, "c long, w double, p long, q long")
+    for r in found.groupBy("c").agg(F.min(F.struct("w", "p", "q")).alias("e")).toLocalIterator():
+        edge = (r.e.w, r.e.p, r.e.q)
+        if r.c not in best or edge < best[r.c]:
+            best[r.c] = edge
+    roots.unpersist()
+
+
 def _local_tree(pos: np.ndarray, core: np.ndarray, x: np.ndarray) -> list[tuple[int, int, float]]:
     """The spanning tree of some points that is least by (weight, ends), by Prim's algorithm."""
     n, squares = len(pos), (x * x).sum(1)

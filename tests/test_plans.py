@@ -149,6 +149,22 @@ def test_spanning_tree_by_blocks(spark, monkeypatch, few):
     assert len(tree) == len(x) - 1 and sum(w for _, _, w in tree) == pytest.approx(total)
 
 
+def test_far_blocks_never_meet(spark, monkeypatch):
+    """The tree and the clusters are those of all pairs, though most pairs of blocks don't meet; many points coincide."""
+    rnd = np.random.default_rng(3)
+    x = np.concatenate([rnd.normal(0, 0.05, (40, 6)) + rnd.normal(0, 3, 6) for _ in range(12)] + [np.zeros((9, 6))])
+    x = x[rnd.permutation(len(x))]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pos long, v array<double>")
+    whole = cluster.spanning_tree(rows, 3)
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 20)
+    counts = []
+    tree = cluster.spanning_tree(rows, 3, counts)
+    blocks = -(-len(x) // 20)  # at least, as no block holds points of two pivots
+    assert sorted(round(w, 6) for *_, w in tree) == sorted(round(w, 6) for *_, w in whole)
+    assert cluster.tree_labels(len(x), tree, 5) == cluster.tree_labels(len(x), whole, 5)
+    assert max(counts) < blocks**2 / 2 and sum(counts) < len(counts) * blocks**2 / 4
+
+
 def test_small_clusterings(spark):
     empty = spark.createDataFrame([], "id long, v array<double>")
     assert cluster.hdbscan(empty, "v", ["id"]).count() == 0
