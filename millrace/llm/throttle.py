@@ -37,6 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from ..functions.times import micros
 from ._spark import shared_dir
 
 BATCHES = 8
@@ -44,8 +45,10 @@ HOUR = 3600 * 1_000_000
 DELAY = 168 * HOUR
 #: What a click costs, and how many costs a client's credit holds.
 COST, BURST = 900 * 1_000_000, 5
-#: Rows for each part of the queue; a client's clicks in a tick beyond which they are settled by cells.
-ROWS_PART, HOT_ROWS = 500_000, 2_000
+#: Rows for each part of the queue.
+ROWS_PART = 500_000
+#: A client's clicks in a tick, in number and as a share of them all (one in so many), beyond which they are settled by cells.
+HOT_ROWS, HOT_SHARE = 2_000, 10_000
 
 #: A click as it is packed; `known` tells a null id from others.
 CLICK = np.dtype([("ts", "<i8"), ("client", "<i8"), ("click", "<i8"), ("mark", "<i4"), ("known", "?")])
@@ -59,15 +62,6 @@ _HOT = "client bigint, ts bigint, click bigint, mark int, cell bigint, seg bigin
 _SETTLED = "client bigint, kind int, first bigint, click bigint, k bigint, credit bigint, since bigint, cell bigint"
 
 
-def micros(ts: Column, kind: T.DataType) -> Column:
-    """Microseconds since the epoch; times without a zone are taken as UTC, whatever the session's zone."""
-    if not isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(ts)
-    day = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-    seconds = F.extract(F.lit("SECONDS"), ts) * 1_000_000
-    return ((day * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + seconds.cast("long")
-
-
 def cut(clicks: DataFrame, folder: str, batches: int = BATCHES) -> tuple[list[int | None], int]:
     """Write the clicks, each once, as batches; (largest time of each batch, parts of the queue)."""
     kinds = {f.name: f.dataType for f in clicks.schema.fields}
@@ -237,19 +231,25 @@ def _cells(hot: DataFrame, carried: DataFrame, cost: int, burst: int) -> DataFra
     slots = slots.select("client", "slot", "seg", F.when(F.col("seg") == 0, F.col("shift")).alias("shift"), own.alias("own"))
     whole = Window.partitionBy("client", "seg")
     shifts = F.array_compact(F.array_distinct(F.array_append(F.collect_set("own").over(whole), F.max("shift").over(whole))))
-    slots = slots.select("client", "slot", "seg", shifts.alias("shifts"))
-    both = hot.withColumn("slot", F.floor(F.col("ts") / cost)).join(slots, ["client", "slot"])
-    back = F.array_min(F.transform("shifts", lambda s: F.pmod(F.col("ts") - s, F.lit(cost))))
-    return both.select("client", "ts", "click", "mark", (F.col("ts") - back).alias("cell"), "seg")
+    # A slot's row, then its clicks, each of which takes what the slot says.
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("ts", "long"), ("click", "long"), ("mark", "int"))]
+    said = slots.select("client", "slot", *none, F.struct("seg", shifts.alias("shifts")).alias("said"))
+    clicks = hot.select("client", F.floor(F.col("ts") / cost).alias("slot"), "ts", "click", "mark", F.lit(None).cast("struct<seg:bigint,shifts:array<bigint>>").alias("said"))
+    both = said.unionByName(clicks).withColumn("said", F.first("said").over(Window.partitionBy("client", "slot").orderBy("ts"))).filter("ts is not null")
+    back = F.array_min(F.transform("said.shifts", lambda s: F.pmod(F.col("ts") - s, F.lit(cost))))
+    return both.select("client", "ts", "click", "mark", (F.col("ts") - back).alias("cell"), "said.seg")
 
 
 def _summed(cells: DataFrame, burst: int) -> DataFrame:
     """A row for each cell: its ends, its number of clicks and the first of them."""
     of = Window.partitionBy("client", "cell").orderBy("ts", "click", "mark")
-    heads = cells.withColumn("r", F.row_number().over(of)).filter(F.col("r") <= burst + 1).groupBy("client", "cell")
-    heads = heads.agg(F.array_sort(F.collect_list(F.struct("ts", "click", "mark"))).alias("heads"))
+    heads = cells.withColumn("r", F.row_number().over(of)).filter(F.col("r") <= burst + 1)
+    head = F.struct("ts", "click", "mark")
     sums = cells.groupBy("client", "cell").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"), F.min("seg").alias("seg"))
-    return sums.join(heads, ["client", "cell"])
+    parts = ("first", "last", "n", "seg")
+    each = sums.withColumn("head", F.lit(None).cast("struct<ts:bigint,click:bigint,mark:int>"))
+    each = each.unionByName(heads.select("client", "cell", *(F.lit(None).cast("long").alias(c) for c in parts), head.alias("head")))
+    return each.groupBy("client", "cell").agg(*(F.max(c).alias(c) for c in parts), F.array_sort(F.collect_list("head")).alias("heads"))
 
 
 _NO_CELL = "cast(null as struct<last:bigint,n:bigint,cell:bigint,heads:array<struct<ts:bigint,click:bigint,mark:int>>,credit:bigint,since:bigint>)"
@@ -261,14 +261,14 @@ def settle(drained: DataFrame, carried: DataFrame, folder: str, tick: int, cost:
     latest = carried.filter("kind = 0").groupBy("client").agg(F.max_by(F.struct("first", "credit", "since"), "first").alias("c"))  # of a client's segments
     carried = latest.select("client", F.lit(0).alias("kind"), "c.first", F.lit(None).cast("long").alias("click"), "c.credit", "c.since")
     clicks = drained.filter("not late")
-    counts = clicks.groupBy("client").agg(F.count(F.lit(1)).alias("clicks")).filter(F.col("clicks") > hot_rows)
-    counts.select("client").write.mode("overwrite").parquet(f"{folder}/of-many/tick={tick}")
-    hot = spark.read.schema("client bigint").parquet(f"{folder}/of-many/tick={tick}")
-    some = not hot.isEmpty()
+    bound = max(hot_rows, clicks.count() // HOT_SHARE)
+    many = [r.client for r in clicks.groupBy("client").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound).select("client").collect()]  # fewer than HOT_SHARE
+    some = bool(many)
     if some:
-        _cells(clicks.join(hot, "client", "left_semi"), carried, cost, burst).write.mode("overwrite").parquet(f"{folder}/hot/tick={tick}")
+        hot = F.col("client").isin(many)
+        _cells(clicks.filter(hot), carried, cost, burst).write.mode("overwrite").parquet(f"{folder}/hot/tick={tick}")
         cells = _summed(spark.read.schema(_HOT).parquet(f"{folder}/hot/tick={tick}"), burst)
-        clicks = clicks.join(hot, "client", "left_anti")
+        clicks = clicks.filter(~hot)
     each = clicks.select("client", F.lit(0).cast("long").alias("seg"), F.lit(1).alias("kind"), F.col("ts").alias("first"), "click", "mark", F.expr(_NO_CELL).alias("more"))
     before = carried.select(
         "client", F.lit(0).cast("long").alias("seg"), "kind", "first", "click", F.lit(None).cast("int").alias("mark"),
