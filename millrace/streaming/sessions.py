@@ -102,7 +102,7 @@ def state_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def replay_sessions(events: DataFrame, batch: str, batches: int, key: str, ts: str, gap: timedelta, delay: str, lanes: int = 1) -> tuple[DataFrame, int]:
+def replay_sessions(events: DataFrame, batch: str, key: str, ts: str, gap: timedelta, delay: str, lanes: int = 1) -> tuple[DataFrame, int]:
     """Sessions of a table whose rows come in batches numbered from 0, and how many rows were late.
 
     Each batch is a run of the query on one checkpoint, as after a stop; at last the clock is moved on until all sessions have closed.

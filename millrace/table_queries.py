@@ -8,9 +8,11 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.times import micros
 from .operators import rollups
 from .operators.joins import asof_join, overlap_join
 from .storage import read_table, written
+from .streaming.sessions import replay_sessions
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +60,17 @@ def r1_rollup_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("f.level", "f.period", "f.kind", "n", "sum_cents", F.when(F.col("f.level") == 1, close).alias("distinct_within"), F.col("quantile_value").isNotNull().alias("has_median"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (j1_asof_changes, j2_asof_events, j3_overlapping_orders, j4_clicks_before_sales, r1_rollup_states)}
+def s1_click_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients' sessions of clicks no more than half an hour apart, from a stream of clicks in the order of their arrival, up to three days late."""
+    clicks = _table(spark, sf_dir, "clicks").select("click_id", "client_id", "ts", "arrived_at")
+    hour = F.floor(micros(F.col("arrived_at"), clicks.schema["arrived_at"].dataType) / 3_600_000_000)
+    lo, hi = clicks.agg(F.min(hour), F.max(hour)).first()
+    batch = F.coalesce(F.floor((hour - lo) * 4 / (hi - lo + 1)), F.lit(0)) if lo is not None else F.lit(0)
+    found, late = replay_sessions(clicks.withColumn("batch", batch), "batch", "client_id", "ts", timedelta(minutes=30), "80 hours", lanes=4)
+    return found.select(F.col("key").alias("client_id"), F.col("start").alias("start_us"), F.col("end").alias("end_us"), "n", F.lit(late).cast("long").alias("n_late"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (j1_asof_changes, j2_asof_events, j3_overlapping_orders, j4_clicks_before_sales, r1_rollup_states, s1_click_sessions)}
 
 ORACLES: dict[str, str] = {
     "j1_asof_changes": """
@@ -95,5 +107,15 @@ WITH click AS (
   UNION ALL SELECT 2, NULL, NULL, count(*), sum(cents)::BIGINT, count(value) > 0 FROM click
 )
 SELECT *, CASE WHEN level = 1 THEN true END AS distinct_within FROM level
+""",
+    "s1_click_sessions": """
+WITH click AS (
+  SELECT client_id, epoch_us(ts) AS t FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL
+), marked AS (
+  SELECT *, coalesce(t - lag(t) OVER (PARTITION BY client_id ORDER BY t) > 1800000000, true)::INT AS new FROM click
+), numbered AS (
+  SELECT *, sum(new) OVER (PARTITION BY client_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM marked
+)
+SELECT client_id, min(t) AS start_us, max(t) AS end_us, count(*) AS n, 0 AS n_late FROM numbered GROUP BY client_id, g
 """,
 }

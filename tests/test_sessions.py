@@ -38,7 +38,7 @@ def made(n=300, seed=1, jitter=3600):
 def test_any_order_within_the_watermark(spark, lanes):
     rows = made()
     frame = spark.createDataFrame([(*r, n * 4 // len(rows)) for n, r in enumerate(rows)], "id long, k long, t timestamp_ntz, batch int")
-    got, late = sessions.replay_sessions(frame, "batch", 4, "k", "t", GAP, "2 hours", lanes)
+    got, late = sessions.replay_sessions(frame, "batch", "k", "t", GAP, "2 hours", lanes)
     assert late == 0 and Counter(map(tuple, got.select("key", "start", "end", "n").collect())) == whole(rows)
 
 
@@ -47,12 +47,12 @@ def test_late_rows_are_counted_and_left_out(spark):
     late = [(1000 + i, 1, DAY + datetime.timedelta(minutes=i, seconds=30)) for i in (1, 7, 200)]
     fresh = [(2000, 1, DAY + datetime.timedelta(minutes=596)), (2001, 2, DAY + datetime.timedelta(minutes=580))]
     frame = spark.createDataFrame([(*r, 0) for r in first] + [(*r, 3) for r in late + fresh], "id long, k long, t timestamp_ntz, batch int")
-    got, n = sessions.replay_sessions(frame, "batch", 4, "k", "t", GAP, "1 hour")
+    got, n = sessions.replay_sessions(frame, "batch", "k", "t", GAP, "1 hour")
     assert n == 3 and Counter(map(tuple, got.select("key", "start", "end", "n").collect())) == whole(first + fresh)
 
 
 def test_no_events(spark):
-    got, late = sessions.replay_sessions(spark.createDataFrame([], "id long, k long, t timestamp_ntz, batch int"), "batch", 2, "k", "t", GAP, "1 hour")
+    got, late = sessions.replay_sessions(spark.createDataFrame([], "id long, k long, t timestamp_ntz, batch int"), "batch", "k", "t", GAP, "1 hour")
     assert got.collect() == [] and late == 0
 
 
