@@ -48,7 +48,7 @@ COST, BURST = 900 * 1_000_000, 5
 #: Rows for each part of the queue.
 ROWS_PART = 500_000
 #: A client's clicks in a tick, in number and as a share of them all (one in so many), beyond which they are settled by cells.
-HOT_ROWS, HOT_SHARE = 2_000, 10_000
+HOT_ROWS, HOT_SHARE = 10_000, 10_000
 
 #: A click as it is packed; `known` tells a null id from others.
 CLICK = np.dtype([("ts", "<i8"), ("client", "<i8"), ("click", "<i8"), ("mark", "<i4"), ("known", "?")])
