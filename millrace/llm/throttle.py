@@ -261,8 +261,7 @@ def settle(drained: DataFrame, carried: DataFrame, folder: str, tick: int, cost:
     latest = carried.filter("kind = 0").groupBy("client").agg(F.max_by(F.struct("first", "credit", "since"), "first").alias("c"))  # of a client's segments
     carried = latest.select("client", F.lit(0).alias("kind"), "c.first", F.lit(None).cast("long").alias("click"), "c.credit", "c.since")
     clicks = drained.filter("not late")
-    bound = max(hot_rows, clicks.count() // HOT_SHARE)
-    many = [r.client for r in clicks.groupBy("client").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound).select("client").collect()]  # fewer than HOT_SHARE
+    many = [r.client for r in clicks.groupBy("client").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select("client").collect()]  # fewer than HOT_SHARE
     some = bool(many)
     if some:
         hot = F.col("client").isin(many)
@@ -290,6 +289,7 @@ def throttle(
     base = f"{shared_dir(spark)}/throttle-{uuid.uuid4().hex}"
     most, parts = cut(clicks, f"{base}/fed", batches)
     session = _streaming_session(spark, parts)
+    hot_rows = max(hot_rows, parts * ROWS_PART // HOT_SHARE)  # fewer than HOT_SHARE clients have more
     hot_ticks: set[int] = set()
     for b in range(batches if parts else 0):
         earlier = [m for m in most[:b] if m is not None]
