@@ -9,10 +9,9 @@ rate before every call, so however many of them run at a time, no more calls beg
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,29 +75,27 @@ def asked(rows: DataFrame, system: str, prompt: str, answer: str, model: Model,
     `pause` seconds lie between a task's calls; a rate holds for all tasks together. The rows may be a stream's.
     """
     kept = [c for c in rows.columns if c not in (answer, "error")]
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + f", `{answer}` string, error string"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
-        for frame in frames:
-            answers, errors = [], []
-            for p in frame[prompt]:
-                said = failed = None
-                if p is not None:
-                    if rate:
-                        rate.wait(first)
-                        first = False
-                    try:
-                        said = model(system, p, max_tokens, heat)
-                    except Exception as e:  # one row's failure is that row's
-                        failed = f"{type(e).__name__}: {e}"
-                    if pause:
-                        time.sleep(pause)
-                answers.append(said)
-                errors.append(failed)
-            yield frame[kept].assign(**{answer: answers, "error": errors})
-
-    return (rate.dealt(rows) if rate else rows).mapInPandas(run, schema)
+    waited: list[bool] = []  # a task's own, as each task gets its own copy of the function
+
+    def call(p: str | None) -> tuple[str | None, str | None]:
+        if p is None:
+            return None, None
+        if rate:
+            rate.wait(not waited)
+            waited[:] = [True]
+        said = failed = None
+        try:
+            said = model(system, p, max_tokens, heat)
+        except Exception as e:  # one row's failure is that row's
+            failed = f"{type(e).__name__}: {e}"
+        if pause:
+            time.sleep(pause)
+        return said, failed
+
+    # Only prompts go to Python, a hundred at a time, however long the other columns; each is asked once, as the optimizer copies no call that may differ.
+    said = F.udf(call, "said string, failed string", useArrow=False).asNondeterministic()
+    dealt = (rate.dealt(rows) if rate else rows).withColumn("__said", said(prompt))
+    return dealt.select(*(F.col(f"`{c}`") for c in kept), F.col("__said.said").alias(answer), F.col("__said.failed").alias("error"))
 
 
 def conversations(clusters: DataFrame, writer: Model, critic: Model) -> DataFrame:

@@ -329,3 +329,14 @@ def test_random_module_is_the_standard():
     order = list(range(10))
     random.Random(17).shuffle(order)
     assert order[0] == 7
+
+
+def resident(*_):
+    return str(int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20)
+
+
+def test_models_see_prompts_alone(spark):
+    rows = spark.range(4000, numPartitions=1).select(F.lit("p").alias("prompt"), F.repeat(F.lit("x"), 100_000).alias("content"))
+    said = synthesis.asked(rows, "", "prompt", "said", resident, 1, 0.0)
+    found = said.agg(F.max(F.col("said").cast("int")).alias("mb"), F.sum(F.length("content")).alias("n")).first()
+    assert found.n == 400_000_000 and found.mb < 250
