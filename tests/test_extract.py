@@ -184,3 +184,15 @@ def test_js_items_take_time_in_proportion(text):
     began = time.perf_counter()
     extract.js_items(text)
     assert time.perf_counter() - began < 2
+
+
+def test_few_texts_at_a_time(spark):
+    """A worker holds a hundred texts, however many a task has."""
+
+    def resident(text):
+        return [{"kind": str(int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20), "name": str(len(text)), "jsdoc": None, "code": None}]
+
+    rows = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    item = extract._called(resident, extract.JS_ITEM)(F.col("text"))[0]
+    found = rows.select(item.alias("i")).agg(F.max(F.col("i.kind").cast("int")).alias("mb"), F.sum(F.col("i.name").cast("long")).alias("n")).first()
+    assert found.n == 400_000_000 and found.mb < 250
