@@ -60,13 +60,23 @@ def r1_rollup_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("f.level", "f.period", "f.kind", "n", "sum_cents", F.when(F.col("f.level") == 1, close).alias("distinct_within"), F.col("quantile_value").isNotNull().alias("has_median"))
 
 
+#: Seconds that late clicks are waited for at least.
+LEAST_DELAY_S = 80 * 3600
+
+
 def s1_click_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clients' sessions of clicks no more than half an hour apart, from a stream of clicks in the order of their arrival, up to three days late."""
+    """Clients' sessions of clicks no more than half an hour apart, from a stream of clicks in the order of their arrival, waited for as long as the latest of them needs."""
     clicks = _table(spark, sf_dir, "clicks").select("click_id", "client_id", "ts", "arrived_at")
     hour = F.floor(micros(F.col("arrived_at"), clicks.schema["arrived_at"].dataType) / 3_600_000_000)
     lo, hi = clicks.agg(F.min(hour), F.max(hour)).first()
     batch = F.coalesce(F.floor((hour - lo) * 4 / (hi - lo + 1)), F.lit(0)) if lo is not None else F.lit(0)
-    found, late = replay_sessions(clicks.withColumn("batch", batch), "batch", "client_id", "ts", timedelta(minutes=30), "80 hours", lanes=4)
+    clicks, at = clicks.withColumn("batch", batch), micros(F.col("ts"), clicks.schema["ts"].dataType)
+    upto, behind = None, 0  # the latest ts of earlier batches, and how far one of a later batch lies behind it at most
+    for _, first, last in clicks.filter("ts is not null").groupBy("batch").agg(F.min(at), F.max(at)).orderBy("batch").collect():  # a row for each of four batches
+        behind = behind if upto is None else max(behind, upto - first)
+        upto = last if upto is None else max(upto, last)
+    delay = f"{max(LEAST_DELAY_S, behind // 1_000_000 + 1)} seconds"
+    found, late = replay_sessions(clicks, "batch", "client_id", "ts", timedelta(minutes=30), delay, lanes=4)
     return found.select(F.col("key").alias("client_id"), F.col("start").alias("start_us"), F.col("end").alias("end_us"), "n", F.lit(late).cast("long").alias("n_late"))
 
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from millrace import table_queries
 from millrace.streaming import sessions
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -60,3 +61,14 @@ def test_lanes_are_merged(spark):
     rows = [("a", 0, 5, 2), ("a", 9, 9, 1), ("a", 3, 12, 4), ("a", 40, 41, 1), ("b", 0, 0, 1)]
     got = sessions.merge_sessions(spark.createDataFrame(rows, "key string, start long, end long, n long"), 5 * US).collect()
     assert sorted((r.key, r.start, r.end, r.n) for r in got) == [("a", 0, 12, 7), ("a", 40, 41, 1), ("b", 0, 0, 1)]
+
+
+def test_clicks_later_than_days_count(spark, tmp_path):
+    hour = datetime.timedelta(hours=1)
+    rows = [(i, 1, DAY + i * hour, DAY + i * hour) for i in range(200)]
+    rows += [(500, 1, DAY + hour / 2, DAY + 199 * hour), (501, 2, DAY, DAY + 199 * hour), (502, 1, None, DAY + 120 * hour)]
+    spark.createDataFrame(rows, "click_id long, client_id long, ts timestamp_ntz, arrived_at timestamp_ntz").write.parquet(f"{tmp_path}/clicks.parquet")
+    got = table_queries.s1_click_sessions(spark, str(tmp_path)).collect()
+    assert {r.n_late for r in got} == {0} and sum(r.n for r in got) == 202
+    us = lambda t: (t - datetime.datetime(1970, 1, 1)) // US
+    assert sorted((r.client_id, r.start_us, r.end_us, r.n) for r in got if r.n > 1 or r.client_id == 2) == [(1, us(DAY), us(DAY + hour), 3), (2, us(DAY), us(DAY), 1)]
