@@ -3,17 +3,20 @@
 The hierarchy needs, of all pairs, only a minimum spanning tree under mutual reachability, the largest of
 both points' core distances and their distance. It is built by rounds in which each component takes its
 shortest edge out. Points go to the nearest of some pivots, and each pivot's are packed into blocks, a row each, so
-that a block is a ball with a centre and a radius; a pair of blocks meets in one task, which returns one edge
-for each component that it holds. Blocks first meet themselves and the nearest; what that
-finds bounds what others can find, and pairs of blocks that lie further apart than the bound never meet. So no task
-holds more than two blocks and pairs of points are never rows. On the driver are the balls, the components, and the tree's
-n - 1 edges, from which the labels are worked out.
+that a block is a ball with a centre and a radius; a pair of blocks meets in one task, once for both. Blocks first meet
+themselves and the nearest; what that finds bounds what others can find, and pairs of blocks that lie further apart than
+the bound never meet. What is kept of it are the nearest few of each point, from which the rounds take their edges: an edge
+that is in no list is as long as its ends' lists reach, so a component whose shortest listed edge is below that has its own for
+sure. When no component is sure any more, only the points whose lists end below their component's shortest edge meet the
+blocks again. So no task holds more than two blocks, or the lists of one, and pairs of points are never rows. On the driver are the balls, the
+components, and the tree's n - 1 edges, from which the labels are worked out.
 
 A point's core distance is that to its `min_samples`-th nearest point, itself counted as the first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -87,17 +90,21 @@ class Balls:
         """Distances that no two points of two blocks lie closer than."""
         return np.maximum(_distances(self.centre, self.centre) - self.radius[:, None] - self.radius[None, :], 0)
 
-    def met(self, pairs: np.ndarray) -> tuple[DataFrame, DataFrame]:
-        """The blocks of the pairs (i, j), on either side."""
+    def met(self, pairs: np.ndarray, asking: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The blocks of the pairs (i, j), on either side, those asked for on the left; pairs may also say whether j tells i of its points (there), and i j (back)."""
         self.counts.append(len(pairs))
-        table = pa.table({"i": pa.array(pairs[:, 0], pa.int32()), "j": pa.array(pairs[:, 1], pa.int32())})
-        asked = self.packed.sparkSession.createDataFrame(table)
-        left, right = (self.packed.select(F.col("block").alias(side), F.col("pos").alias("pos"), F.col("v").alias("v")) for side in ("i", "j"))
-        return left.join(asked, "i"), right.join(asked, "j")
+        names = ["i", "j", "there", "back"][: pairs.shape[1]]
+        asked = self.packed.sparkSession.createDataFrame(pa.table({c: pa.array(pairs[:, k], pa.int32()) for k, c in enumerate(names)}))
+        blocks = ((asking or self.packed, "i"), (self.packed, "j"))
+        left, right = (rows.select(F.col("block").alias(side), F.col("pos").alias("pos"), F.col("v").alias("v")) for rows, side in blocks)
+        return left.join(asked, "i"), right.join(asked.select(*(F.col(c).alias(c) for c in ("i", "j"))), "j")
 
 
 #: Further blocks that each meets before its bounds are known.
 NEAREST = 2
+#: Nearest points that are kept of each, itself among them. Most of the tree's edges are between these; the more there are, the fewer points have to look further.
+NEIGHBOURS = 16
+_LIST, _EDGE = "block int, lane int, p binary, q binary, d binary", "c long, w double, p long, q long"
 
 
 def _balls(points: DataFrame, blocks: int) -> Balls:
@@ -148,43 +155,135 @@ def _first_pairs(apart: np.ndarray) -> np.ndarray:
 
 
 def _rest(apart: np.ndarray, bound: np.ndarray, met: np.ndarray) -> np.ndarray:
-    """Pairs that haven't met and whose distance leaves room below the first block's bound."""
+    """Pairs i < j that have not met either way round and whose distance leaves room below one block's bound; and whether i and j have it."""
     room = apart <= bound[:, None] * (1 + 1e-9) + 1e-9
     room[met[:, 0], met[:, 1]] = False
-    return np.argwhere(room)
+    pairs = np.argwhere(np.triu(room | room.T, 1))
+    return np.column_stack([pairs, room[pairs[:, 0], pairs[:, 1]], room[pairs[:, 1], pairs[:, 0]]])
 
 
-def _cores(balls: Balls, k: int) -> np.ndarray:
-    """Each point's distance to its k-th nearest, itself the first."""
+def _nearest(p: np.ndarray, q: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each point p, of pairs with their distance, sorted."""
+    order = np.lexsort((q, d, p))
+    p, q, d = p[order], q[order], d[order]
+    starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    kept = np.arange(len(p)) - np.repeat(starts, np.diff(np.append(starts, len(p)))) < k
+    return p[kept], q[kept], d[kept]
+
+
+def _list_rows(rows: list[tuple]) -> pa.Table:
+    block, lane, *packed = zip(*rows) if rows else ([],) * 5
+    return pa.table([pa.array(block, pa.int32()), pa.array(lane, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in packed)], ["block", "lane", "p", "q", "d"])
+
+
+def _list_arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.frombuffer(x, kind) for x in rows.column(c).to_pylist()]) for c, kind in (("p", np.int64), ("q", np.int64), ("d", np.float64)))
+
+
+def _merged(lists: DataFrame, by: list[str], k: int) -> DataFrame:
+    def merge(rows: pa.Table) -> pa.Table:
+        return _list_rows([(rows.column("block")[0].as_py(), rows.column("lane")[0].as_py(), *_nearest(*_list_arrays(rows), k))])
+
+    return lists.groupBy(*by).applyInArrow(merge, _LIST)
+
+
+def _reach(lists: DataFrame, n: int, k: int) -> np.ndarray:
+    """Each point's distance to its k-th nearest in the lists; infinite if there are fewer."""
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, _, d = _list_arrays(pa.Table.from_batches([b]))
+            at = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            full = np.diff(np.append(at, len(p))) >= k
+            far = np.where(full, d[np.minimum(at + k - 1, len(d) - 1)], np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array([p[at].tobytes()], pa.binary()), pa.array([far.tobytes()], pa.binary())], ["p", "d"])
+
+    out = np.full(n, np.inf)
+    for r in lists.mapInArrow(last, "p binary, d binary").toLocalIterator():  # two numbers for each point
+        out[np.frombuffer(bytes(r.p), np.int64)] = np.frombuffer(bytes(r.d), np.float64)
+    return out
+
+
+def _lists(balls: Balls, k: int) -> tuple[DataFrame, np.ndarray]:
+    """The k nearest of each point, itself among them, a packed row for each block; and how far each list reaches."""
     n, apart = len(balls.of), balls.apart()
-    least = np.full((n, k), np.inf)
+    lanes = math.isqrt(len(apart)) + 1
 
     def near(a: pa.Table, b: pa.Table) -> pa.Table:
-        (pos, x), (_, y) = _unpacked(a), _unpacked(b)
-        out = np.full((len(x), k), np.inf)
+        (pos, x), (at, y), found = _unpacked(a), _unpacked(b), []
         for s in range(0, len(x), 512):
             d = _distances(x[s : s + 512], y)
             m = min(k, d.shape[1])
-            out[s : s + 512, :m] = np.partition(d, m - 1, axis=1)[:, :m]
-        return pa.table({"pos": [pos.tobytes()], "d": [out.tobytes()]})
-
-    def meet(pairs: np.ndarray) -> None:
-        left, right = balls.met(pairs)
-        found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(near, "pos binary, d binary")
-        for r in found.toLocalIterator():  # a few numbers for each point of a block, block by block
-            pos = np.frombuffer(bytes(r.pos), np.int64)
-            both = np.concatenate([least[pos], np.frombuffer(bytes(r.d), np.float64).reshape(len(pos), k)], axis=1)
-            least[pos] = np.sort(both, axis=1)[:, :k]
+            c = np.argpartition(d, m - 1, axis=1)[:, :m]
+            found.append((np.repeat(pos[s : s + 512], m), at[c].ravel(), np.take_along_axis(d, c, 1).ravel()))
+        return _list_rows([(a.column("i")[0].as_py(), 0, *(np.concatenate(c) for c in zip(*found)))])
 
     first = _first_pairs(apart)
-    meet(first)
+    left, right = balls.met(first)
+    lists = durable(_merged(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(near, _LIST), ["block"], k))
+    reach = _reach(lists, n, k)
     bound = np.zeros(len(apart))
-    np.maximum.at(bound, balls.of, least[:, k - 1])
+    np.maximum.at(bound, balls.of, reach)
     rest = _rest(apart, bound, first)
-    if len(rest):
-        meet(rest)
-    least[np.isinf(least)] = -1.0  # fewer points than k
-    return np.where(least[:, k - 1] < 0, least.max(axis=1), least[:, k - 1])
+    if not len(rest):
+        return lists, reach
+    reached = balls.packed.sparkSession.sparkContext.broadcast(reach)
+
+    def nearer(a: pa.Table, b: pa.Table) -> pa.Table:
+        (pos, x), (at, y) = _unpacked(a), _unpacked(b)
+        i, j, there, back = (a.column(c)[0].as_py() for c in ("i", "j", "there", "back"))
+        of_x, of_y = reached.value[pos], reached.value[at]
+        ways: list[list[tuple]] = [[], []]
+        for s in range(0, len(x), 512):
+            d, own = _distances(x[s : s + 512], y), pos[s : s + 512]
+            if there:
+                r, c = np.nonzero(d < of_x[s : s + 512, None])
+                ways[0].append((own[r], at[c], d[r, c]))
+            if back:
+                r, c = np.nonzero(d < of_y[None, :])
+                ways[1].append((at[c], own[r], d[r, c]))
+        named = [(block, lane % lanes, *_nearest(*(np.concatenate(c) for c in zip(*found)), k)) for block, lane, found in ((i, j, ways[0]), (j, i, ways[1])) if found]
+        return _list_rows([row for row in named if len(row[2])])
+
+    left, right = balls.met(rest)
+    more = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(nearer, _LIST)
+    lists = durable(_merged(_merged(lists.unionByName(more), ["block", "lane"], k), ["block"], k))
+    reached.unpersist()
+    return lists, _reach(lists, n, k)
+
+
+def _cores(lists: DataFrame, n: int, k: int) -> np.ndarray:
+    """Each point's distance to its k-th nearest, itself the first; to its farthest, if there are fewer points."""
+    return _reach(lists, n, min(k, n))
+
+
+def _least(root: np.ndarray, core: np.ndarray, p: np.ndarray, q: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    """The shortest edge out of each component, by weight, then ends, of pairs with their distance."""
+    w, a, b = np.maximum(d, np.maximum(core[p], core[q])), root[p], root[q]
+    out = np.flatnonzero(a != b)
+    low, high, c, e = np.minimum(p, q), np.maximum(p, q), np.concatenate([a[out], b[out]]), np.concatenate([out, out])
+    order = np.lexsort((high[e], low[e], w[e], c))
+    c, e = c[order], e[order]
+    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))[: len(c)]
+    c, e = c[first], e[first]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(w[e]), pa.array(low[e]), pa.array(high[e])], ["c", "w", "p", "q"])
+
+
+@dataclass
+class _Best:
+    """Each component's shortest edge so far."""
+
+    w: np.ndarray
+    p: np.ndarray
+    q: np.ndarray
+
+    def take(self, found: DataFrame) -> None:
+        """found: some edges (c, w, p, q) of each component."""
+        t = found.groupBy("c").agg(F.min(F.struct("w", "p", "q")).alias("e")).select("c", "e.*").toArrow()  # one of each component
+        c, w, p, q = (t.column(x).to_numpy() for x in ("c", "w", "p", "q"))
+        less = (w < self.w[c]) | (w == self.w[c]) & ((p < self.p[c]) | (p == self.p[c]) & (q < self.q[c]))
+        c = c[less]
+        self.w[c], self.p[c], self.q[c] = w[less], p[less], q[less]
 
 
 def spanning_tree(points: DataFrame, min_samples: int = 3, counts: list[int] | None = None) -> list[tuple[int, int, float]]:
@@ -199,27 +298,31 @@ def spanning_tree(points: DataFrame, min_samples: int = 3, counts: list[int] | N
         return _joined_trees(durable(points.join(_core(points, blocks, min_samples), "pos")), blocks, n)
     balls = _balls(points, blocks)
     balls.counts = balls.counts if counts is None else counts
-    apart, of = balls.apart(), balls.of
-    core = _cores(balls, min_samples)
+    apart, of, context = balls.apart(), balls.of, points.sparkSession.sparkContext
+    lists, reach = _lists(balls, max(NEIGHBOURS, min_samples))
+    core = _cores(lists, n, min_samples)
     quiet = np.full(len(apart), np.inf)  # the least core distance of a block, which no edge of it is shorter than
     np.minimum.at(quiet, of, core)
     apart = np.maximum(apart, np.maximum(quiet[:, None], quiet[None, :]))
-    cores = points.sparkSession.sparkContext.broadcast(core)
+    cores = context.broadcast(core)
     root = np.arange(n)
     tree: list[tuple[int, int, float]] = []
     while len(tree) < n - 1:
-        best: dict[int, tuple[float, int, int]] = {}
-        whole = _only_component(root, of, len(apart))
-        open_ = (whole[:, None] < 0) | (whole[:, None] != whole[None, :])  # blocks that lie in one component, both in the same, have no edge between them
-        first = _first_pairs(np.where(open_, apart, np.inf))
-        first = first[open_[first[:, 0], first[:, 1]]]
-        _shortest(balls, cores, root, first, best)
-        bound = np.zeros(len(apart))
-        np.maximum.at(bound, of, np.array([best[c][0] if c in best else np.inf for c in root.tolist()]))
-        rest = _rest(np.where(open_, apart, np.inf), bound, first)
-        rest = rest[open_[rest[:, 0], rest[:, 1]]]
-        if len(rest):
-            _shortest(balls, cores, root, rest, best)
+        best, roots = _Best(np.full(n, np.inf), np.full(n, n), np.full(n, n)), context.broadcast(root)
+
+        def listed(batches: Iterator[pa.RecordBatch], roots: Broadcast = roots) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield _least(roots.value, cores.value, *_list_arrays(pa.Table.from_batches([b])))
+
+        best.take(lists.mapInArrow(listed, _EDGE))
+        # An edge that is in no list is as long as the lists of both its ends reach, at least.
+        unseen = np.full(n, np.inf)
+        np.minimum.at(unseen, root, reach)
+        sure = np.flatnonzero(best.w < unseen)
+        if not len(sure):
+            _scan(balls, apart, cores, roots, root, reach, best)
+            sure = np.flatnonzero(best.w < np.inf)
+        roots.unpersist()
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -227,7 +330,7 @@ def spanning_tree(points: DataFrame, min_samples: int = 3, counts: list[int] | N
                 x = int(root[x])
             return x
 
-        for w, p, q in sorted(set(best.values())):
+        for w, p, q in sorted(set(zip(best.w[sure].tolist(), best.p[sure].tolist(), best.q[sure].tolist()))):
             a, b = find(p), find(q)
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -245,35 +348,66 @@ def _only_component(root: np.ndarray, of: np.ndarray, blocks: int) -> np.ndarray
     return np.where(low == high, low, -1)
 
 
-def _shortest(balls: Balls, cores: Broadcast, root: np.ndarray, pairs: np.ndarray, best: dict[int, tuple[float, int, int]]) -> None:
-    """Put each component's shortest edge out of it, of those between the pairs of blocks, into `best`, least by weight, then ends."""
-    roots = balls.packed.sparkSession.sparkContext.broadcast(root)
+def _scan(balls: Balls, apart: np.ndarray, cores: Broadcast, roots: Broadcast, root: np.ndarray, reach: np.ndarray, best: _Best) -> None:
+    """Put into `best` the shorter edges of points whose lists end too early: they meet the nearest blocks, and then every other that may hold one."""
+    asked = np.flatnonzero(reach <= best.w[root])
+    asked = asked[np.lexsort((balls.of[asked], root[asked]))]
+    chunk = np.arange(len(asked)) // BLOCK_ROWS
+    chunks = int(chunk[-1]) + 1
+    of = np.full(len(root), -1, np.int32)
+    of[asked] = chunk
+    chunk_of = balls.packed.sparkSession.sparkContext.broadcast(of)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                pos, x = _unpacked(pa.Table.from_batches([b.slice(i, 1)]))
+                own = chunk_of.value[pos]
+                to = np.unique(own[own >= 0])
+                columns = [pa.array([part[own == c].tobytes() for c in to], pa.binary()) for part in (pos, x)]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *columns], ["block", "pos", "v"])
+
+    def gather(rows: pa.Table) -> pa.Table:
+        return pa.table([rows.column("block").combine_chunks()[:1], *(pa.array([b"".join(rows.column(c).to_pylist())], pa.binary()) for c in ("pos", "v"))], ["block", "pos", "v"])
+
+    kind = "block int, pos binary, v binary"
+    gathered = durable(balls.packed.mapInArrow(pick, kind).groupBy("block").applyInArrow(gather, kind))
+    near = np.full((chunks, len(apart)), np.inf)
+    for c, b in np.unique(np.stack([chunk, balls.of[asked]], axis=1), axis=0).tolist():
+        near[c] = np.minimum(near[c], apart[b])
+    whole, one = _only_component(root, balls.of, len(apart)), _only_component(root[asked], chunk, chunks)
+    near[(whole[None, :] >= 0) & (whole[None, :] == one[:, None])] = np.inf  # within one component there is no edge
 
     def shortest(a: pa.Table, b: pa.Table) -> pa.Table:
-        (pa_, x), (pb, y) = _unpacked(a), _unpacked(b)
+        (pa_, x), (pb, y), out = _unpacked(a), _unpacked(b), []
         ca, cb, ka, kb = roots.value[pa_], roots.value[pb], cores.value[pa_], cores.value[pb]
-        own: dict[int, tuple[float, int, int]] = {}
         for s in range(0, len(x), 512):
-            d = np.maximum(_distances(x[s : s + 512], y), np.maximum(ka[s : s + 512, None], kb[None, :]))
-            d[ca[s : s + 512, None] == cb[None, :]] = np.inf
-            w = d.min(axis=1)
-            for r in np.flatnonzero(w < np.inf).tolist():
-                p, c = int(pa_[s + r]), int(ca[s + r])
-                if c in own and w[r] > own[c][0]:
-                    continue
-                q = pb[np.flatnonzero(d[r] == w[r])]
-                edge = min((float(w[r]), min(p, o), max(p, o)) for o in q.tolist())
-                if c not in own or edge < own[c]:
-                    own[c] = edge
-        return pa.table({"c": pa.array(list(own), pa.int64()), "w": pa.array([e[0] for e in own.values()], pa.float64()), "p": pa.array([e[1] for e in own.values()], pa.int64()), "q": pa.array([e[2] for e in own.values()], pa.int64())})
-
-    left, right = balls.met(pairs)
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(shortest, "c long, w double, p long, q long")
-    for r in found.groupBy("c").agg(F.min(F.struct("w", "p", "q")).alias("e")).toLocalIterator():
-        edge = (r.e.w, r.e.p, r.e.q)
-        if r.c not in best or edge < best[r.c]:
-            best[r.c] = edge
-    roots.unpersist()
+            d = _distances(x[s : s + 512], y)
+            w = np.maximum(d, np.maximum(ka[s : s + 512, None], kb[None, :]))
+            w[ca[s : s + 512, None] == cb[None, :]] = np.inf
+            least = w.min(axis=1)
+            component = np.full(len(least), np.inf)  # the least of the row's component
+            _, at = np.unique(ca[s : s + 512], return_inverse=True)
+            np.minimum.at(component, at, least)
+            r = np.flatnonzero((least == component[at]) & (least < np.inf))
+            i, c = np.nonzero(w[r] == least[r, None])
+            out.append(_least(roots.value, cores.value, pa_[s + r[i]], pb[c], d[r[i], c]))
+        return pa.Table.from_batches(out)
+
+    def meet(room: np.ndarray) -> None:
+        left, right = balls.met(np.argwhere(room), gathered)
+        best.take(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(shortest, _EDGE))
+
+    first = np.zeros(near.shape, bool)
+    np.put_along_axis(first, np.argsort(near, axis=1, kind="stable")[:, : NEAREST + 1], True, axis=1)
+    meet(first & (near < np.inf))
+    bound = np.full(chunks, -1.0)
+    open_ = reach[asked] <= best.w[root[asked]]
+    np.maximum.at(bound, chunk[open_], best.w[root[asked[open_]]])
+    rest = (near <= bound[:, None] * (1 + 1e-9) + 1e-9) & (near < np.inf) & (bound[:, None] >= 0) & ~first
+    if rest.any():
+        meet(rest)
+    chunk_of.unpersist()
 
 
 def _local_tree(pos: np.ndarray, core: np.ndarray, x: np.ndarray) -> list[tuple[int, int, float]]:

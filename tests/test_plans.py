@@ -165,6 +165,21 @@ def test_far_blocks_never_meet(spark, monkeypatch):
     assert max(counts) < blocks**2 / 2 and sum(counts) < len(counts) * blocks**2 / 4
 
 
+def test_overlapping_blocks_meet_once(spark, monkeypatch):
+    """No block of one cloud can be left out, yet all pairs of blocks meet about once, not once for each round."""
+    x = np.random.default_rng(5).normal(0, 1, (400, 12))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pos long, v array<double>")
+    whole = cluster.spanning_tree(rows, 3)
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(cluster, "FEW_BLOCKS", 0)
+    counts = []
+    tree = cluster.spanning_tree(rows, 3, counts)
+    assert sorted(round(w, 6) for *_, w in tree) == sorted(round(w, 6) for *_, w in whole)
+    assert cluster.tree_labels(len(x), tree, 5) == cluster.tree_labels(len(x), whole, 5)
+    blocks = len(cluster._balls(rows, 10).radius)
+    assert sum(counts) < 2 * blocks**2
+
+
 def test_small_clusterings(spark):
     empty = spark.createDataFrame([], "id long, v array<double>")
     assert cluster.hdbscan(empty, "v", ["id"]).count() == 0
