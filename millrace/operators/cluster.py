@@ -320,6 +320,8 @@ def spanning_tree(points: DataFrame, min_samples: int = 3, counts: list[int] | N
         np.minimum.at(unseen, root, reach)
         sure = np.flatnonzero(best.w < unseen)
         if not len(sure):
+            if np.isnan(reach).any():
+                raise ValueError("vectors that hold what is no number have no distances")
             _scan(balls, apart, cores, roots, root, reach, best)
             sure = np.flatnonzero(best.w < np.inf)
         roots.unpersist()

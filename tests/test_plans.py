@@ -180,6 +180,14 @@ def test_overlapping_blocks_meet_once(spark, monkeypatch):
     assert sum(counts) < 2 * blocks**2
 
 
+def test_no_number_no_tree(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(cluster, "FEW_BLOCKS", 0)
+    rows = [(i, v.tolist()) for i, v in enumerate(points(1))] + [(38, [float("nan")] * 3)]
+    with pytest.raises(ValueError):
+        cluster.spanning_tree(spark.createDataFrame(rows, "pos long, v array<double>"), 3)
+
+
 def test_small_clusterings(spark):
     empty = spark.createDataFrame([], "id long, v array<double>")
     assert cluster.hdbscan(empty, "v", ["id"]).count() == 0
