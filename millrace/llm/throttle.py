@@ -2,13 +2,14 @@
 
 Clicks come in batches. A stateful query holds them back in a calendar queue, a map of event hours to lists
 of clicks, until W, the largest time seen in earlier batches less a delay, has passed them: each tick drains
-complete hours, splits the hour in which W lies, and sorts only what it has drained. Clicks that are behind
+complete hours, splits the hour in which W lies, and sorts only what it has drained and what came. Clicks that are behind
 W as they come are late and change no credit; the last tick drains all. The queue needs no client's clicks
 together, so it is dealt by a hash of the click over as many parts as the rows ask for. Lists of an hour travel and are kept
 packed, as Python would otherwise spend its time on turning numbers into objects.
 
-What a tick has drained is settled client by client in order of time, id (null first) and what else tells rows
-apart. A client with more than `HOT_ROWS` clicks in a tick is not put into one task. Its credit, seen as whole
+What a tick has drained is settled client by client in order of time, id (null first); rows that differ only in what
+else they say get the same, whichever comes first. A client with more than `HOT_ROWS` clicks in a tick is not put into one task; each part tells of clients that
+have more than its share of that, so nothing is shuffled to count them. Its credit, seen as whole
 coins and a rest, gains a coin at instants `cost` apart; these shift only after a pause of at least `cost`, to the
 click that ends it. So the first click after each pause gives a possible shift, and between the instants of all
 shifts, clicks are alike: their number and the first six are all that the fold needs. A pause that fills the credit whatever
@@ -16,7 +17,7 @@ it was starts a segment, which is folded by itself and has only its own shifts.
 kind number no more than time and pauses allow, however many clicks they hold; each click then gets its
 outcome from its cell. The fold carries each client's credit, last time and penalty from tick to tick in a table.
 
-Rows that are equal in all columns count once; those without time or client play no part; rows that differ
+Rows that are equal in all columns count once: they arrive in one batch and one part of the queue, which drops them; those without time or client play no part; rows that differ
 somewhere are settled each, ids equal or not. A null time of arrival counts as the first hour. Without
 clicks nothing is streamed. Everything is written below the shared folder, in a new folder at every call, and a
 tick that is run again writes the same files again.
@@ -48,22 +49,24 @@ COST, BURST = 900 * 1_000_000, 5
 #: Rows for each part of the queue.
 ROWS_PART = 500_000
 #: A client's clicks in a tick, in number and as a share of them all (one in so many), beyond which they are settled by cells.
+#: A part of the queue holds its share of both, so a client of more is told by one part at least.
 HOT_ROWS, HOT_SHARE = 10_000, 10_000
 
-#: A click as it is packed; `known` tells a null id from others.
-CLICK = np.dtype([("ts", "<i8"), ("client", "<i8"), ("click", "<i8"), ("mark", "<i4"), ("known", "?")])
-_FED = "part bigint, ts bigint, client bigint, click bigint, mark int"
-_PACKED = "part bigint, hour bigint, clicks binary"
-_DRAINED = "late boolean, client bigint, ts bigint, click bigint, mark int"
-_HEADS = "array<struct<ts:bigint,click:bigint,mark:int>>"
-#: What the fold reads: kind 0, what a client carries on; kind 1, a click, or a cell of some; only cells and what is carried have more.
-_CELL = f"client bigint, seg bigint, kind int, first bigint, click bigint, mark int, more struct<last:bigint,n:bigint,cell:bigint,heads:{_HEADS},credit:bigint,since:bigint>"
-_HOT = "client bigint, ts bigint, click bigint, mark int, cell bigint, seg bigint"
+#: Clicks that are unpacked or settled at once.
+SLICE = 50_000
+#: A click as it is packed, where `known` tells a null id from others; and as it comes, with a hash of what else the row says.
+CLICK = np.dtype([("ts", "<i8"), ("client", "<i8"), ("click", "<i8"), ("known", "?")])
+CAME = np.dtype([*CLICK.descr, ("mark", "<i8")])
+_FED = "part bigint, ts bigint, client bigint, click bigint, mark bigint"
+_PACKED = "part bigint, clicks binary"
+#: Late, settled, or (null) a client of many clicks.
+_DRAINED = "late boolean, client bigint, ts bigint, click bigint"
+_HOT = "client bigint, ts bigint, click bigint, cell bigint, seg bigint"
 _SETTLED = "client bigint, kind int, first bigint, click bigint, k bigint, credit bigint, since bigint, cell bigint"
 
 
 def cut(clicks: DataFrame, folder: str, batches: int = BATCHES) -> tuple[list[int | None], int]:
-    """Write the clicks, each once, as batches; (largest time of each batch, parts of the queue)."""
+    """Write the clicks as batches; (largest time of each batch, parts of the queue). Equal rows get one batch and one part."""
     kinds = {f.name: f.dataType for f in clicks.schema.fields}
     arrived = F.floor(micros(F.col("arrived_at"), kinds["arrived_at"]) / HOUR)
     told = [x for c in clicks.columns if c not in ("click_id", "ts", "client_id") for x in (F.col(c).isNull(), F.col(c))]
@@ -76,136 +79,172 @@ def cut(clicks: DataFrame, folder: str, batches: int = BATCHES) -> tuple[list[in
     later = F.when(F.crc32(F.col("click_id").cast("string")) % 7 == 0, 1).otherwise(0)
     batch = F.least(F.floor((F.coalesce(arrived, F.lit(lo)) - lo) * batches / wide) + later, F.lit(batches - 1)).cast("int")
     rows = there.select(
-        batch.alias("batch"), micros(F.col("ts"), kinds["ts"]).alias("ts"), F.col("client_id").cast("long").alias("client"), F.col("click_id").cast("long").alias("click"), F.xxhash64(*told).alias("told")
-    ).distinct()
-    part = F.pmod(F.xxhash64("client", "ts", "click", "told"), F.lit(parts))
-    rows = rows.select("batch", part.alias("part"), "ts", "client", "click", F.shiftright("told", 32).cast("int").alias("mark"))
+        batch.alias("batch"), micros(F.col("ts"), kinds["ts"]).alias("ts"), F.col("client_id").cast("long").alias("client"), F.col("click_id").cast("long").alias("click"), F.xxhash64(*told).alias("mark")
+    )
+    part = F.pmod(F.xxhash64("client", "ts", "click", "mark"), F.lit(parts))
+    rows = rows.select("batch", part.alias("part"), "ts", "client", "click", "mark")
     # A row without a click for every part and batch, so that each part ticks with each batch, empty ones too.
-    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("ts", "long"), ("client", "long"), ("click", "long"), ("mark", "int"))]
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("ts", "long"), ("client", "long"), ("click", "long"), ("mark", "long"))]
     ticks = clicks.sparkSession.range(batches * parts, numPartitions=1).select((F.col("id") % batches).cast("int").alias("batch"), F.floor(F.col("id") / batches).alias("part"), *none)
-    rows.unionByName(ticks).sortWithinPartitions("batch", "part", "ts").write.partitionBy("batch").parquet(folder)
+    rows.unionByName(ticks).sortWithinPartitions("batch", "part", "ts", "mark").write.partitionBy("batch").parquet(folder)
     fed = clicks.sparkSession.read.schema(f"{_FED}, batch int").parquet(folder)
     most = {r.batch: r.most for r in fed.groupBy("batch").agg(F.max("ts").alias("most")).collect()}
     return [most.get(b) for b in range(batches)], parts
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch by part and event hour; those without a click keep their part."""
+    """Rows of a batch by part, without copies that stand side by side; those without a click keep their part."""
     for b in batches:
-        part, at = b.column(0).to_numpy(), b.column(1).fill_null(-1).to_numpy()
-        hour = np.where(b.column(1).is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, at // HOUR)
-        packed = np.empty(b.num_rows, CLICK)
-        for name, column in (("ts", at), ("client", b.column(2).fill_null(0).to_numpy()), ("click", b.column(3).fill_null(0).to_numpy()), ("mark", b.column(4).fill_null(0).to_numpy())):
-            packed[name] = column
+        part, there = b.column(0).to_numpy(), b.column(1).is_valid().to_numpy(zero_copy_only=False)
+        packed = np.empty(b.num_rows, CAME)
+        for i, name in enumerate(("ts", "client", "click", "mark")):
+            packed[name] = b.column(i + 1).fill_null(0).to_numpy()
         packed["known"] = b.column(3).is_valid().to_numpy(zero_copy_only=False)
-        order = np.lexsort((hour, part))
-        part, hour, packed = part[order], hour[order], packed[order]
-        starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (hour[1:] != hour[:-1])]))
-        lists = [x.tobytes() for x in np.split(packed, starts[1:])]
-        hours = pa.array(hour[starts], mask=hour[starts] == np.iinfo(np.int64).min)
-        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), hours, pa.array(lists, pa.binary())], ["part", "hour", "clicks"])
+        order = np.argsort(part, kind="stable")
+        part, there, packed = part[order], there[order], packed[order]
+        starts = np.flatnonzero(np.diff(part, prepend=part[:1] - 1))
+        lists = [_planes(_once(x[y])) for x, y in zip(np.split(packed, starts[1:]), np.split(there, starts[1:]))] if len(part) else []
+        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(lists, pa.binary())], ["part", "clicks"])
+
+
+def _once(clicks: np.ndarray) -> np.ndarray:
+    """The clicks without those that are equal to the one before them."""
+    new = np.ones(len(clicks), bool)
+    new[1:] = np.any([clicks[c][1:] != clicks[c][:-1] for c in clicks.dtype.names], axis=0)
+    return clicks[new]
+
+
+def _planes(clicks: np.ndarray) -> bytes:
+    """First bytes first, then second ones, and so on, as alike bytes side by side are packed tight on their way."""
+    return clicks.view("u1").reshape(-1, CAME.itemsize).T.tobytes()
+
+
+def _of_planes(said: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(said, "u1").reshape(CAME.itemsize, -1).T).reshape(-1).view(CAME)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lists = [np.frombuffer(x, CLICK) for x in b.column(1).to_pylist()]
-        if lists:
-            c = np.concatenate(lists)
-            late = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in lists])
+        for late, said in zip(b.column(0), b.column(1)):
+            c = np.frombuffer(said.as_buffer(), CLICK)
             click = pa.array(np.ascontiguousarray(c["click"]), mask=~c["known"])
-            rest = [pa.array(np.ascontiguousarray(c[x])) for x in ("client", "ts", "mark")]
-            yield pa.RecordBatch.from_arrays([pa.array(late), rest[0], rest[1], click, rest[2]], ["late", "client", "ts", "click", "mark"])
+            rest = [pa.array(np.ascontiguousarray(c[x])) for x in ("client", "ts")]
+            yield pa.RecordBatch.from_arrays([pa.repeat(late, len(c)), *rest, click], ["late", "client", "ts", "click"])
 
 
 class CalendarQueue(StatefulProcessor):
-    """Holds clicks by event hour until the clock has passed them."""
+    """Holds clicks by event hour until the clock has passed them; tells of clients with more than `many` clicks among those."""
 
-    def __init__(self, clock: int | None, last: bool):
-        self.clock, self.last = clock, last
+    def __init__(self, clock: int | None, last: bool, many: int):
+        self.clock, self.last, self.many = clock, last, many
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.hours = handle.getMapState("hours", "hour bigint", "clicks binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        came: dict[int, list[bytes]] = {}
-        for r in rows:
-            if r.hour is not None:
-                came.setdefault(r.hour, []).append(bytes(r.clicks))
+        came = np.concatenate([_of_planes(r.clicks) for r in rows])
+        came = _once(came[np.lexsort([came[x] for x in ("mark", "click", "known", "client", "ts")])])
+        fresh = np.empty(len(came), CLICK)
+        for name in CLICK.names:
+            fresh[name] = came[name]
+        late, fresh = self._split(fresh)
+        yield from _said(late, True)
+        due = []
         edge = -(2**63) if self.clock is None else self.clock // HOUR
         held = {hour for (hour,) in self.hours.keys()}
-        for hour in sorted(h for h in held if h <= edge):
+        for hour in sorted(h for h in held if self.last or h <= edge):
             passed, kept = self._split(self._list(hour))
-            yield from _drained(passed)
+            due += [passed, kept] if self.last else [passed]
+            if self.last:
+                continue
             if len(kept):
                 self.hours.updateValue((hour,), (kept.tobytes(),))
             else:
                 self.hours.removeKey((hour,))
                 held.remove(hour)
-        for hour, lists in came.items():
-            fresh = np.frombuffer(b"".join(lists), CLICK)
-            if hour <= edge:
-                late, fresh = self._split(fresh)
-                yield from _drained(late, late=True)
-            if self.last:
-                yield from _drained(fresh)
-            elif len(fresh):
-                before = self._list(hour).tobytes() if hour in held else b""
-                self.hours.updateValue((hour,), (before + fresh.tobytes(),))
         if self.last:
-            for hour in held:
-                yield from _drained(self._list(hour))
+            due.append(fresh)
             self.hours.clear()
+        elif len(fresh):
+            hour = fresh["ts"] // HOUR
+            for clicks in np.split(fresh, np.flatnonzero(np.diff(hour)) + 1):
+                at = int(clicks["ts"][0] // HOUR)
+                before = self._list(at).tobytes() if at in held else b""
+                self.hours.updateValue((at,), (before + clicks.tobytes(),))
+        due = np.concatenate([np.empty(0, CLICK), *due])
+        due = due[np.lexsort([due[x] for x in ("ts", "client")])]
+        yield from _said(due, False)
+        who, n = np.unique(due["client"], return_counts=True)
+        many = np.zeros(np.count_nonzero(n > self.many), CLICK)
+        many["client"] = who[n > self.many]
+        yield from _said(many, None)
 
     def _list(self, hour: int) -> np.ndarray:
         return np.frombuffer(bytes(self.hours.getValue((hour,))[0]), CLICK)
 
     def _split(self, clicks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those that the clock has passed, and the others."""
-        passed = clicks["ts"] < self.clock
+        passed = np.zeros(len(clicks), bool) if self.clock is None else clicks["ts"] < self.clock
         return clicks[passed], clicks[~passed]
 
 
-def _drained(clicks: np.ndarray, late: bool = False) -> Iterator[Row]:
-    """The clicks of an hour as they leave the queue, sorted."""
-    if len(clicks):
-        order = np.lexsort([clicks[x] for x in ("mark", "click", "known", "client", "ts")])
-        yield Row(late=late, clicks=clicks[order].tobytes())
+def _said(clicks: np.ndarray, late: bool | None) -> Iterator[Row]:
+    """Clicks as they leave the queue."""
+    for i in range(0, len(clicks), SLICE):
+        yield Row(late=late, clicks=clicks[i : i + SLICE].tobytes())
 
 
 def _settle(cost: int, full: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The fold over the cells of each client, or of each of its segments, sorted, as they come; they lie in one partition."""
+    """The fold over the cells of each client, or of each of its segments; they lie in one partition, whose rows are sorted here.
+
+    `more` is empty (not null, as Spark's Arrow writer goes over all nulls of a list column again at each row) but for what a client carries on (0, 0, credit, since) and cells of some clicks (1, segment, last, number, cell, its first times).
+    """
     schema = to_arrow_schema(T.StructType.fromDDL(_SETTLED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = [b for b in batches if b.num_rows]
+        if not there:
+            return
+        rows = pa.Table.from_batches(there)
+        client, first, click = (rows[c].fill_null(0).to_numpy() for c in ("client", "first", "click"))
+        known, special = rows["click"].is_valid().to_numpy(), pc.list_value_length(rows["more"]).to_numpy() > 0
+        seg, kind = np.zeros(len(client), np.int64), np.ones(len(client), np.int8)
+        if len(at_all := np.flatnonzero(special)):
+            head = rows["more"].filter(pa.array(special))
+            kind[at_all], seg[at_all] = pc.list_element(head, 0).to_numpy(), pc.list_element(head, 1).to_numpy()
+        order = np.lexsort((click, known, first, kind, seg, client))
         who, credit, at, since = None, full, 0, None
-        for batch in batches:
-            clients, segments, kinds, firsts = (batch.column(c).to_numpy().tolist() for c in ("client", "seg", "kind", "first"))
-            more = {int(i): batch.column("more")[int(i)].as_py() for i in np.flatnonzero(batch.column("more").is_valid().to_numpy(zero_copy_only=False))}
-            k_of, credits, sinces = [0] * len(kinds), [0] * len(kinds), [None] * len(kinds)
+        for start in range(0, len(order), SLICE):
+            these = order[start : start + SLICE]
+            clients, segments, kinds, firsts = (x[these].tolist() for x in (client, seg, kind, first))
+            places = np.flatnonzero(special[these])
+            more = dict(zip(places.tolist(), rows["more"].take(pa.array(these[places])).to_pylist()))
+            k_of, credits, sinces, cells = [0] * len(kinds), [0] * len(kinds), [None] * len(kinds), [None] * len(kinds)
             carried: list[tuple] = []
-            for i, (client, segment, kind, first) in enumerate(zip(clients, segments, kinds, firsts)):
-                if (client, segment) != who:
+            for i, (c, segment, is_click, t) in enumerate(zip(clients, segments, kinds, firsts)):
+                if (c, segment) != who:
                     if who is not None:
                         carried.append((who[0], at, credit, since))
-                    who, credit, at, since = (client, segment), full, first, None
-                if not kind:
-                    credit, at, since = more[i]["credit"], first, more[i]["since"]
+                    who, credit, at, since = (c, segment), full, t, None
+                if not is_click:
+                    _, _, credit, since = more[i]
+                    at = t
                     continue
-                x = min(full, credit + first - at)
+                x = min(full, credit + t - at)
                 if i in more:  # a cell of some clicks
-                    n, last = more[i]["n"], more[i]["last"]
+                    _, _, last, n, cells[i], *heads = more[i]
                     k = min(x // cost, n)
-                    since = None if k == n else more[i]["heads"][k]["ts"] if k else first if since is None else since
-                    credit, at = x - k * cost + last - first, last
+                    since = None if k == n else heads[k] if k else t if since is None else since
+                    credit, at = x - k * cost + last - t, last
                 else:
                     k = int(x >= cost)
-                    since = None if k else first if since is None else since
-                    credit, at = x - k * cost, first
+                    since = None if k else t if since is None else since
+                    credit, at = x - k * cost, t
                 k_of[i], credits[i], sinces[i] = k, x, since
-            of = batch.column("more")
-            columns = [batch.column(c) for c in ("client", "kind", "first", "click")] + [pa.array(k_of), pa.array(credits), pa.array(sinces, pa.int64()), pc.struct_field(of, "cell")]
+            ids = pa.array(click[these], mask=~known[these])
+            columns = [pa.array(client[these]), pa.array(kind[these]), pa.array(first[these]), ids, *(pa.array(x, pa.int64()) for x in (k_of, credits, sinces, cells))]
             done = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
-            yield done.filter(pc.equal(batch.column("kind"), 1))
+            yield done.filter(pa.array(kind[these] == 1))
             yield _carry(carried, schema)
         if who is not None:
             yield _carry([(who[0], at, credit, since)], schema)
@@ -232,52 +271,43 @@ def _cells(hot: DataFrame, carried: DataFrame, cost: int, burst: int) -> DataFra
     whole = Window.partitionBy("client", "seg")
     shifts = F.array_compact(F.array_distinct(F.array_append(F.collect_set("own").over(whole), F.max("shift").over(whole))))
     # A slot's row, then its clicks, each of which takes what the slot says.
-    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("ts", "long"), ("click", "long"), ("mark", "int"))]
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("ts", "long"), ("click", "long"))]
     said = slots.select("client", "slot", *none, F.struct("seg", shifts.alias("shifts")).alias("said"))
-    clicks = hot.select("client", F.floor(F.col("ts") / cost).alias("slot"), "ts", "click", "mark", F.lit(None).cast("struct<seg:bigint,shifts:array<bigint>>").alias("said"))
+    clicks = hot.select("client", F.floor(F.col("ts") / cost).alias("slot"), "ts", "click", F.lit(None).cast("struct<seg:bigint,shifts:array<bigint>>").alias("said"))
     both = said.unionByName(clicks).withColumn("said", F.first("said").over(Window.partitionBy("client", "slot").orderBy("ts"))).filter("ts is not null")
     back = F.array_min(F.transform("said.shifts", lambda s: F.pmod(F.col("ts") - s, F.lit(cost))))
-    return both.select("client", "ts", "click", "mark", (F.col("ts") - back).alias("cell"), "said.seg")
+    return both.select("client", "ts", "click", (F.col("ts") - back).alias("cell"), "said.seg")
 
 
 def _summed(cells: DataFrame, burst: int) -> DataFrame:
     """A row for each cell: its ends, its number of clicks and the first of them."""
-    of = Window.partitionBy("client", "cell").orderBy("ts", "click", "mark")
+    of = Window.partitionBy("client", "cell").orderBy("ts", "click")
     heads = cells.withColumn("r", F.row_number().over(of)).filter(F.col("r") <= burst + 1)
-    head = F.struct("ts", "click", "mark")
+    head = F.struct("ts", "click")
     sums = cells.groupBy("client", "cell").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"), F.min("seg").alias("seg"))
     parts = ("first", "last", "n", "seg")
-    each = sums.withColumn("head", F.lit(None).cast("struct<ts:bigint,click:bigint,mark:int>"))
+    each = sums.withColumn("head", F.lit(None).cast("struct<ts:bigint,click:bigint>"))
     each = each.unionByName(heads.select("client", "cell", *(F.lit(None).cast("long").alias(c) for c in parts), head.alias("head")))
     return each.groupBy("client", "cell").agg(*(F.max(c).alias(c) for c in parts), F.array_sort(F.collect_list("head")).alias("heads"))
 
 
-_NO_CELL = "cast(null as struct<last:bigint,n:bigint,cell:bigint,heads:array<struct<ts:bigint,click:bigint,mark:int>>,credit:bigint,since:bigint>)"
-
-
-def settle(drained: DataFrame, carried: DataFrame, folder: str, tick: int, cost: int, burst: int, hot_rows: int) -> tuple[DataFrame, bool]:
+def settle(drained: DataFrame, carried: DataFrame, folder: str, tick: int, cost: int, burst: int) -> tuple[DataFrame, bool]:
     """Clicks and cells with the credit at their first click and the number admitted, and what clients carry on; whether there are cells of some clicks."""
     spark = drained.sparkSession
-    latest = carried.filter("kind = 0").groupBy("client").agg(F.max_by(F.struct("first", "credit", "since"), "first").alias("c"))  # of a client's segments
-    carried = latest.select("client", F.lit(0).alias("kind"), "c.first", F.lit(None).cast("long").alias("click"), "c.credit", "c.since")
+    carried = carried.filter("kind = 0").select("client", "first", "credit", "since")  # of each segment of a client; the fold goes on from the last
     clicks = drained.filter("not late")
-    many = [r.client for r in clicks.groupBy("client").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select("client").collect()]  # fewer than HOT_SHARE
+    many = [r.client for r in drained.filter("late is null").select("client").distinct().collect()]  # about HOT_SHARE at most
     some = bool(many)
+    each = clicks.select("client", F.col("ts").alias("first"), "click", F.array().cast("array<bigint>").alias("more"))
+    before = carried.select("client", "first", F.lit(None).cast("long").alias("click"), F.array(F.lit(0).cast("long"), F.lit(0).cast("long"), "credit", "since").alias("more"))
     if some:
         hot = F.col("client").isin(many)
-        _cells(clicks.filter(hot), carried, cost, burst).write.mode("overwrite").parquet(f"{folder}/hot/tick={tick}")
+        latest = carried.filter(hot).groupBy("client").agg(F.max_by(F.struct("first", "credit"), "first").alias("c")).select("client", "c.*")
+        _cells(clicks.filter(hot), latest, cost, burst).write.mode("overwrite").parquet(f"{folder}/hot/tick={tick}")
         cells = _summed(spark.read.schema(_HOT).parquet(f"{folder}/hot/tick={tick}"), burst)
-        clicks = clicks.filter(~hot)
-    each = clicks.select("client", F.lit(0).cast("long").alias("seg"), F.lit(1).alias("kind"), F.col("ts").alias("first"), "click", "mark", F.expr(_NO_CELL).alias("more"))
-    before = carried.select(
-        "client", F.lit(0).cast("long").alias("seg"), "kind", "first", "click", F.lit(None).cast("int").alias("mark"),
-        F.struct(*(F.lit(None).cast("long").alias(c) for c in ("last", "n", "cell")), F.lit(None).cast(_HEADS).alias("heads"), "credit", "since").alias("more"),
-    )
-    each = each.unionByName(before)
-    if some:
-        of = F.struct("last", "n", "cell", "heads", *(F.lit(None).cast("long").alias(c) for c in ("credit", "since")))
-        each = each.unionByName(cells.select("client", "seg", F.lit(1).alias("kind"), "first", F.col("heads")[0]["click"].alias("click"), F.col("heads")[0]["mark"].alias("mark"), of.alias("more")))
-    dealt = each.repartition("client", "seg").sortWithinPartitions("client", "seg", "kind", "first", "click", "mark")
+        more = F.concat(F.array(F.lit(1).cast("long"), "seg", "last", "n", "cell"), F.transform("heads", lambda h: h["ts"]))
+        each = each.filter(~hot).unionByName(cells.select("client", "first", F.col("heads")[0]["click"].alias("click"), more.alias("more")))
+    dealt = each.unionByName(before).repartition("client", F.coalesce(F.get("more", F.lit(1)), F.lit(0)))
     return dealt.mapInArrow(_settle(cost, burst * cost), _SETTLED), some
 
 
@@ -289,7 +319,8 @@ def throttle(
     base = f"{shared_dir(spark)}/throttle-{uuid.uuid4().hex}"
     most, parts = cut(clicks, f"{base}/fed", batches)
     session = _streaming_session(spark, parts)
-    hot_rows = max(hot_rows, parts * ROWS_PART // HOT_SHARE)  # fewer than HOT_SHARE clients have more
+    hot_rows = max(hot_rows, parts * ROWS_PART // HOT_SHARE)  # so few clients have more
+    many = hot_rows // parts if parts else 0
     hot_ticks: set[int] = set()
     for b in range(batches if parts else 0):
         earlier = [m for m in most[:b] if m is not None]
@@ -299,7 +330,7 @@ def throttle(
             own = drained.sparkSession
             drained.mapInArrow(_unpack, _DRAINED).write.mode("overwrite").parquet(f"{base}/drained/tick={b}")
             before = own.read.schema(_SETTLED).parquet(f"{base}/settled/tick={b - 1}") if b else own.createDataFrame([], _SETTLED)
-            done, some = settle(own.read.schema(_DRAINED).parquet(f"{base}/drained/tick={b}"), before, base, b, cost, burst, hot_rows)
+            done, some = settle(own.read.schema(_DRAINED).parquet(f"{base}/drained/tick={b}"), before, base, b, cost, burst)
             done.write.mode("overwrite").parquet(f"{base}/settled/tick={b}")
             if some:
                 hot_ticks.add(b)
@@ -307,7 +338,7 @@ def throttle(
         upto = ",".join(map(str, range(b + 1)))  # of the batches so far the checkpoint knows which files are new
         fed = session.readStream.schema(_FED).option("maxFilesPerTrigger", 2**31 - 1).parquet(f"{base}/fed/batch={{{upto}}}")
         lists = fed.mapInArrow(_pack, _PACKED).groupBy("part")
-        queue = lists.transformWithState(CalendarQueue(clock, b == batches - 1), "late boolean, clicks binary", "Append", "None")
+        queue = lists.transformWithState(CalendarQueue(clock, b == batches - 1, many), "late boolean, clicks binary", "Append", "None")
         query = queue.writeStream.foreachBatch(tick).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     return _outcomes(spark, base, cost, bool(parts), bool(hot_ticks))
@@ -353,9 +384,9 @@ def _outcomes(spark: SparkSession, base: str, cost: int, some: bool, hot: bool)
     alone = settled(cells.filter("cell is null").withColumn("ts", F.col("first")), F.when(F.col("k") == 1, F.lit(1)))
     done = late.unionByName(alone)
     if hot:  # a cell's row, then its clicks, each of which takes what the cell says and its place in it
-        of = cells.filter("cell is not null").select("tick", "client", "cell", F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("ts", "click")), F.lit(None).cast("int").alias("mark"), F.struct("first", "credit", "since", "k").alias("said"))
-        clicks = read("hot", _HOT).select("tick", "client", "cell", F.lit(1).alias("kind"), "ts", "click", "mark", F.lit(None).cast("struct<first:bigint,credit:bigint,since:bigint,k:bigint>").alias("said"))
-        upto = Window.partitionBy("tick", "client", "cell").orderBy("kind", "ts", "click", "mark")
+        of = cells.filter("cell is not null").select("tick", "client", "cell", F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("ts", "click")), F.struct("first", "credit", "since", "k").alias("said"))
+        clicks = read("hot", _HOT).select("tick", "client", "cell", F.lit(1).alias("kind"), "ts", "click", F.lit(None).cast("struct<first:bigint,credit:bigint,since:bigint,k:bigint>").alias("said"))
+        upto = Window.partitionBy("tick", "client", "cell").orderBy("kind", "ts", "click")
         told = of.unionByName(clicks).withColumns({"said": F.first("said").over(upto), "r": F.row_number().over(upto) - 1}).filter("kind = 1")
         told = told.select("tick", "client", "ts", "click", "r", "said.*")
         done = done.unionByName(settled(told, F.when(F.col("r") <= F.col("k"), F.col("r"))))

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -103,3 +104,15 @@ def test_no_clicks(spark):
 def test_given_table(spark):
     clicks = spark.read.parquet(f"{SF_DIR}/clicks.parquet")
     assert got(throttle.throttle(clicks, hot_rows=30)) == brute([tuple(r) for r in clicks.collect()])
+
+
+def test_clicks_travel_light(spark):
+    """Clicks go through two shuffles, to the queue and to the fold; neither copies nor clients are sought by more."""
+    clicks = spark.read.parquet(f"{SF_DIR}/clicks.parquet")
+    n = clicks.count()
+    sent = lambda: sum(x.totalShuffleWrite() for x in map(listed().apply, range(listed().size())))
+    listed = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    before = sent()
+    throttle.throttle(clicks)
+    time.sleep(1)
+    assert sent() - before < 50 * n
