@@ -86,7 +86,7 @@ def cut(clicks: DataFrame, folder: str, batches: int = BATCHES) -> tuple[list[in
     # A row without a click for every part and batch, so that each part ticks with each batch, empty ones too.
     none = [F.lit(None).cast(kind).alias(c) for c, kind in (("ts", "long"), ("client", "long"), ("click", "long"), ("mark", "long"))]
     ticks = clicks.sparkSession.range(batches * parts, numPartitions=1).select((F.col("id") % batches).cast("int").alias("batch"), F.floor(F.col("id") / batches).alias("part"), *none)
-    rows.unionByName(ticks).sortWithinPartitions("batch", "part", "ts", "mark").write.partitionBy("batch").parquet(folder)
+    rows.unionByName(ticks).sortWithinPartitions("batch", "part", "ts", "mark").write.option("compression", "zstd").partitionBy("batch").parquet(folder)
     fed = clicks.sparkSession.read.schema(f"{_FED}, batch int").parquet(folder)
     most = {r.batch: r.most for r in fed.groupBy("batch").agg(F.max("ts").alias("most")).collect()}
     return [most.get(b) for b in range(batches)], parts
@@ -303,7 +303,7 @@ def settle(drained: DataFrame, carried: DataFrame, folder: str, tick: int, cost:
     if some:
         hot = F.col("client").isin(many)
         latest = carried.filter(hot).groupBy("client").agg(F.max_by(F.struct("first", "credit"), "first").alias("c")).select("client", "c.*")
-        _cells(clicks.filter(hot), latest, cost, burst).write.mode("overwrite").parquet(f"{folder}/hot/tick={tick}")
+        _cells(clicks.filter(hot), latest, cost, burst).write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/hot/tick={tick}")
         cells = _summed(spark.read.schema(_HOT).parquet(f"{folder}/hot/tick={tick}"), burst)
         more = F.concat(F.array(F.lit(1).cast("long"), "seg", "last", "n", "cell"), F.transform("heads", lambda h: h["ts"]))
         each = each.filter(~hot).unionByName(cells.select("client", "first", F.col("heads")[0]["click"].alias("click"), more.alias("more")))
@@ -328,10 +328,10 @@ def throttle(
 
         def tick(drained: DataFrame, _: int, b: int = b) -> None:
             own = drained.sparkSession
-            drained.mapInArrow(_unpack, _DRAINED).write.mode("overwrite").parquet(f"{base}/drained/tick={b}")
+            drained.mapInArrow(_unpack, _DRAINED).write.option("compression", "zstd").mode("overwrite").parquet(f"{base}/drained/tick={b}")
             before = own.read.schema(_SETTLED).parquet(f"{base}/settled/tick={b - 1}") if b else own.createDataFrame([], _SETTLED)
             done, some = settle(own.read.schema(_DRAINED).parquet(f"{base}/drained/tick={b}"), before, base, b, cost, burst)
-            done.write.mode("overwrite").parquet(f"{base}/settled/tick={b}")
+            done.write.option("compression", "zstd").mode("overwrite").parquet(f"{base}/settled/tick={b}")
             if some:
                 hot_ticks.add(b)
 
