@@ -62,6 +62,7 @@ _PACKED = "part bigint, clicks binary"
 #: Late, settled, or (null) a client of many clicks.
 _DRAINED = "late boolean, client bigint, ts bigint, click bigint"
 _HOT = "client bigint, ts bigint, click bigint, cell bigint, seg bigint"
+_DEALT = "client bigint, first bigint, click bigint, more array<bigint>"
 _SETTLED = "client bigint, kind int, first bigint, click bigint, k bigint, credit bigint, since bigint, cell bigint"
 
 
@@ -194,12 +195,12 @@ def _said(clicks: np.ndarray, late: bool | None) -> Iterator[Row]:
         yield Row(late=late, clicks=clicks[i : i + SLICE].tobytes())
 
 
-def _settle(cost: int, full: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _settle(cost: int, burst: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The fold over the cells of each client, or of each of its segments; they lie in one partition, whose rows are sorted here.
 
-    `more` is empty (not null, as Spark's Arrow writer goes over all nulls of a list column again at each row) but for what a client carries on (0, 0, credit, since) and cells of some clicks (1, segment, last, number, cell, its first times).
+    `more` is empty (not null, as Spark's Arrow writer goes over all nulls of a list column again at each row) but for what a client carries on (0, 0, credit, since) and pieces of cells of some clicks (1, segment, last, number, cell, its first times).
     """
-    schema = to_arrow_schema(T.StructType.fromDDL(_SETTLED))
+    schema, full = to_arrow_schema(T.StructType.fromDDL(_SETTLED)), burst * cost
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = [b for b in batches if b.num_rows]
@@ -209,16 +210,21 @@ def _settle(cost: int, full: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         client, first, click = (rows[c].fill_null(0).to_numpy() for c in ("client", "first", "click"))
         known, special = rows["click"].is_valid().to_numpy(), pc.list_value_length(rows["more"]).to_numpy() > 0
         seg, kind = np.zeros(len(client), np.int64), np.ones(len(client), np.int8)
+        joined, other = {}, np.zeros(len(client), bool)
         if len(at_all := np.flatnonzero(special)):
             head = rows["more"].filter(pa.array(special))
             kind[at_all], seg[at_all] = pc.list_element(head, 0).to_numpy(), pc.list_element(head, 1).to_numpy()
+            if len(pieces := at_all[kind[at_all] == 1]):
+                joined, others = _joined(rows["more"], pieces, client, first, burst)
+                other[others] = True
         order = np.lexsort((click, known, first, kind, seg, client))
+        order = order[~other[order]]
         who, credit, at, since = None, full, 0, None
         for start in range(0, len(order), SLICE):
             these = order[start : start + SLICE]
             clients, segments, kinds, firsts = (x[these].tolist() for x in (client, seg, kind, first))
             places = np.flatnonzero(special[these])
-            more = dict(zip(places.tolist(), rows["more"].take(pa.array(these[places])).to_pylist()))
+            more = {i: joined.get(row, said) for i, row, said in zip(places.tolist(), these[places].tolist(), rows["more"].take(pa.array(these[places])).to_pylist())}
             k_of, credits, sinces, cells = [0] * len(kinds), [0] * len(kinds), [None] * len(kinds), [None] * len(kinds)
             carried: list[tuple] = []
             for i, (c, segment, is_click, t) in enumerate(zip(clients, segments, kinds, firsts)):
@@ -279,16 +285,45 @@ def _cells(hot: DataFrame, carried: DataFrame, cost: int, burst: int) -> DataFra
     return both.select("client", "ts", "click", (F.col("ts") - back).alias("cell"), "said.seg")
 
 
-def _summed(cells: DataFrame, burst: int) -> DataFrame:
-    """A row for each cell: its ends, its number of clicks and the first of them."""
-    of = Window.partitionBy("client", "cell").orderBy("ts", "click")
-    heads = cells.withColumn("r", F.row_number().over(of)).filter(F.col("r") <= burst + 1)
-    head = F.struct("ts", "click")
-    sums = cells.groupBy("client", "cell").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"), F.min("seg").alias("seg"))
-    parts = ("first", "last", "n", "seg")
-    each = sums.withColumn("head", F.lit(None).cast("struct<ts:bigint,click:bigint>"))
-    each = each.unionByName(heads.select("client", "cell", *(F.lit(None).cast("long").alias(c) for c in parts), head.alias("head")))
-    return each.groupBy("client", "cell").agg(*(F.max(c).alias(c) for c in parts), F.array_sort(F.collect_list("head")).alias("heads"))
+def _pieces(burst: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows for the fold from clicks with their cells: what a batch holds of each cell, so that no more than that is shuffled; the fold joins the pieces of a cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            client, ts, cell, seg = (b[c].to_numpy() for c in ("client", "ts", "cell", "seg"))
+            order = np.lexsort((ts, cell, client))
+            client, ts, cell, seg = (x[order] for x in (client, ts, cell, seg))
+            starts = np.flatnonzero(np.r_[True, (client[1:] != client[:-1]) | (cell[1:] != cell[:-1])])
+            n = np.diff(np.r_[starts, len(ts)])
+            rank = np.arange(len(ts)) - np.repeat(starts, n)
+            at = np.r_[0, np.cumsum(5 + np.minimum(n, burst + 1))]
+            more = np.empty(at[-1], np.int64)
+            for i, x in enumerate((1, seg[starts], ts[starts + n - 1], n, cell[starts])):
+                more[at[:-1] + i] = x
+            more[(np.repeat(at[:-1], n) + 5 + rank)[rank <= burst]] = ts[rank <= burst]
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(more))
+            yield pa.RecordBatch.from_arrays([pa.array(client[starts]), pa.array(ts[starts]), pa.nulls(len(starts), pa.int64()), lists], ["client", "first", "click", "more"])
+
+    return run
+
+
+def _joined(more: pa.ChunkedArray, of: np.ndarray, client: np.ndarray, first: np.ndarray, burst: int) -> tuple[dict[int, list], np.ndarray]:
+    """For the rows `of` which hold pieces of cells: what the first piece of each cell says for all of them, where there are others; and those others."""
+    said = more.take(pa.array(of))
+    seg, last, n, cell = (pc.list_element(said, i).to_numpy() for i in range(1, 5))
+    order = np.lexsort((first[of], cell, seg, client[of]))
+    key = np.stack([x[order] for x in (client[of], seg, cell)])
+    new = np.r_[True, np.any(key[:, 1:] != key[:, :-1], axis=0)]
+    starts = np.flatnonzero(new)
+    ends, joined = np.r_[starts[1:], len(of)], {}
+    for x, y in zip(starts.tolist(), ends.tolist()):
+        if y - x > 1:
+            these = order[x:y]
+            heads = sorted(t for piece in said.take(pa.array(these)).to_pylist() for t in piece[5:])
+            joined[int(of[order[x]])] = [1, int(seg[order[x]]), int(last[these].max()), int(n[these].sum()), int(cell[order[x]]), *heads[: burst + 1]]
+    return joined, of[order[~new]]
 
 
 def settle(drained: DataFrame, carried: DataFrame, folder: str, tick: int, cost: int, burst: int) -> tuple[DataFrame, bool]:
@@ -304,11 +339,10 @@ def settle(drained: DataFrame, carried: DataFrame, folder: str, tick: int, cost:
         hot = F.col("client").isin(many)
         latest = carried.filter(hot).groupBy("client").agg(F.max_by(F.struct("first", "credit"), "first").alias("c")).select("client", "c.*")
         _cells(clicks.filter(hot), latest, cost, burst).write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/hot/tick={tick}")
-        cells = _summed(spark.read.schema(_HOT).parquet(f"{folder}/hot/tick={tick}"), burst)
-        more = F.concat(F.array(F.lit(1).cast("long"), "seg", "last", "n", "cell"), F.transform("heads", lambda h: h["ts"]))
-        each = each.filter(~hot).unionByName(cells.select("client", "first", F.col("heads")[0]["click"].alias("click"), more.alias("more")))
+        cells = spark.read.schema(_HOT).parquet(f"{folder}/hot/tick={tick}").select("client", "ts", "cell", "seg")
+        each = each.filter(~hot).unionByName(cells.mapInArrow(_pieces(burst), _DEALT))
     dealt = each.unionByName(before).repartition("client", F.coalesce(F.get("more", F.lit(1)), F.lit(0)))
-    return dealt.mapInArrow(_settle(cost, burst * cost), _SETTLED), some
+    return dealt.mapInArrow(_settle(cost, burst), _SETTLED), some
 
 
 def throttle(
@@ -353,6 +387,8 @@ def _streaming_session(spark: SparkSession, parts: int) -> SparkSession:
         ("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"),
         ("spark.sql.streaming.stateStore.unloadOnCommit", "true"),  # each run is one batch; an open store takes 4 MB of disk even if it is empty
         ("spark.sql.streaming.noDataMicroBatches.enabled", "false"),
+        # Without it each small file of a part's changes is given its rights by a process of its own, where Hadoop has no native library.
+        ("spark.sql.streaming.checkpointFileManagerClass", "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"),
         ("spark.sql.shuffle.partitions", str(few)),
     ):
         session.conf.set(name, value)

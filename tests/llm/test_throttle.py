@@ -6,6 +6,8 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from held import SF_DIR
 from pyspark.sql import functions as F
@@ -116,3 +118,23 @@ def test_clicks_travel_light(spark):
     throttle.throttle(clicks)
     time.sleep(1)
     assert sent() - before < 50 * n
+
+
+def test_pieces_of_cells():
+    """The fold joins what several batches hold of a cell."""
+    rnd, hour = random.Random(4), throttle.HOUR
+    times = sorted(rnd.choices(range(0, 3 * hour, hour // 60), k=400))
+    rows = [{"client": c, "ts": t, "cell": t // throttle.COST * throttle.COST, "seg": t // (2 * hour)} for c in (1, 2) for t in times]
+    shuffled = rnd.sample(rows, len(rows))
+    batch = lambda some: pa.RecordBatch.from_pylist(some)
+    fold = lambda pieces: sorted(map(str, pa.Table.from_batches(throttle._settle(throttle.COST, 5)(iter(pieces))).to_pylist()))
+    whole = list(throttle._pieces(5)(iter([batch(rows)])))
+    pieces = list(throttle._pieces(5)(batch(shuffled[i : i + 7]) for i in range(0, len(rows), 7)))
+    assert sum(p.num_rows for p in pieces) > 3 * whole[0].num_rows == 6 * len(np.unique([t // throttle.COST for t in times])) and fold(whole) == fold(pieces)
+
+
+def test_a_tick_with_cells_takes_one_shuffle_after_they_are_written(spark, tmp_path):
+    drained = [(False, 1, t * 1_000_000, t) for t in range(50)] + [(None, 1, 0, None)]
+    done, some = throttle.settle(spark.createDataFrame(drained, throttle._DRAINED), spark.createDataFrame([], throttle._SETTLED), str(tmp_path), 0, throttle.COST, 5)
+    assert some and done._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert [(r.k, r.credit) for r in done.filter("kind = 1").collect()] == [(5, 5 * throttle.COST)]
