@@ -120,7 +120,7 @@ def test_clicks_travel_light(spark):
     assert sent() - before < 50 * n
 
 
-def test_pieces_of_cells():
+def test_pieces_of_cells(spark):
     """The fold joins what several batches hold of a cell."""
     rnd, hour = random.Random(4), throttle.HOUR
     times = sorted(rnd.choices(range(0, 3 * hour, hour // 60), k=400))
