@@ -38,6 +38,7 @@ class ChatConfig:
     md_max_questions: int = 4
     md_window_tokens: int = 800
     md_overlap_tokens: int = 120
+    md_max_windows: int = 0  # of a section; 0: all of it
     py_chunking: bool = True
     py_chunk_max: int = 5
     py_chunk_min_lines: int = 6

@@ -7,25 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions.text import approx_tokens, is_blank, let, lines, strip, words
 
-#: Windows of a text at most.
+#: Windows that the original cuts a text into at most.
 MOST_WINDOWS = 33
 
 
-def word_windows(text: Column, window: int, overlap: int = 120) -> Column:
-    """Windows of `window` words, each `window - overlap` after the last, white space as single spaces."""
+def word_windows(text: Column, window: int, overlap: int = 120, most: int | None = MOST_WINDOWS) -> Column:
+    """Windows of `window` words, each `window - overlap` after the last, white space as single spaces; the first `most`, or with None all of the text."""
     step, none = max(1, window - overlap), F.array().cast("array<string>")
 
     def cut(w: Column) -> Column:
-        last = F.least(F.ceil(F.size(w) / step).cast("int") - 1, F.lit(MOST_WINDOWS - 1))
+        last = F.ceil(F.size(w) / step).cast("int") - 1
+        last = last if most is None else F.least(last, F.lit(most - 1))
         parts = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda p: F.array_join(F.slice(w, p * step + 1, window), " "))
         return F.when(F.size(w) > 0, parts).otherwise(none)
 
     return let(words(text), cut) if window > 0 else none
 
 
-def windowed(content: Column, window: int, overlap: int = 120) -> Column:
+def windowed(content: Column, window: int, overlap: int = 120, most: int | None = MOST_WINDOWS) -> Column:
     """The content as it is while its approximate tokens fit, else its windows."""
-    return F.when(approx_tokens(content) > window, word_windows(content, window, overlap)).otherwise(F.array(content))
+    return F.when(approx_tokens(content) > window, word_windows(content, window, overlap, most)).otherwise(F.array(content))
 
 
 def blank_line_chunks(code: Column, min_lines: int, max_chunks: int) -> Column:

@@ -420,7 +420,7 @@ def k1_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q1_filtered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Markdown files of one plan, from text to deduplicated records."""
     files = _docs(spark, sf_dir).select(F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md")).alias("path"), F.lit(".md").alias("suffix"), _markdown().alias("text"))
-    rows = chat.filtered_records(files)
+    rows = chat.filtered_records(files, ChatConfig(md_max_windows=windows.MOST_WINDOWS))
     return rows.select("path", "item_seq", "sub_seq", "meta.title", filters.message_tokens(F.col("messages")).alias("tokens"))
 
 

@@ -238,7 +238,7 @@ WITH c AS (
 ), words AS (
   SELECT *, [w FOR w IN string_split(t, ' ') IF w <> ''] AS w FROM md
 ), cut AS (
-  SELECT doc_id, path, CASE WHEN greatest(1, length(t) // 4) > 800 THEN [array_to_string(w[p * 680 + 1:p * 680 + 800], ' ') FOR p IN range(0, least(ceil(len(w) / 680.0)::INT, 33))] ELSE [t] END AS parts FROM words
+  SELECT doc_id, path, CASE WHEN greatest(1, length(t) // 4) > 800 THEN [array_to_string(w[p * 680 + 1:p * 680 + 800], ' ') FOR p IN range(0, ceil(len(w) / 680.0)::INT)] ELSE [t] END AS parts FROM words
 ), part AS (
   SELECT doc_id, path, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS p FROM cut
 ), question AS (

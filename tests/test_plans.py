@@ -3,10 +3,12 @@
 import json
 import random
 
+import held
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import queries, sql
 from millrace.config import ChatConfig, ClusterConfig
 from millrace.operators import builders, cluster, dedupe, filters, formats, split, synthesis, tags
 from millrace.plans import chat, extractors, jobs, spans
@@ -372,3 +374,15 @@ def test_records_are_worked_out_once(spark):
     assert rows._jdf.queryExecution().executedPlan().toString().count("EvalPython [") == 1
     assert rows.filter("messages is null").count() == 0 < rows.filter("path = 'pkg/a.py'").count()
     assert rows.filter("path = 'bad.py'").select("meta.task").collect() == [("py_config_constants_summary",)]
+
+
+@pytest.mark.parametrize("name", ["p9_records", "p10_meta", "u1_union_builders"])
+def test_windows_of_a_whole_text_have_records(spark, tmp_path, monkeypatch, name):
+    words = 30_000
+    rows = [(2, " ".join(f"w{i}" for i in range(words)), "en"), (5, "short", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    monkeypatch.setattr(held, "SF_DIR", str(tmp_path))
+    assert not held.differences(spark, queries.QUERIES[name], sql.ORACLES[name])
+    found = queries.QUERIES[name](spark, str(tmp_path))
+    windows = found.filter("task = 'md_section_qa'").first().n if name == "u1_union_builders" else found.filter("path = 'd/2.md'").count() + 4
+    assert windows == 4 * (-(-words // 680) + 1)
