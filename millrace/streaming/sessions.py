@@ -1,22 +1,20 @@
 """Sessions of a stream of events that come late and in any order.
 
 A key's events belong to one session while no pause between them is longer than the gap. Open sessions are
-state, as start, end and number; a timer closes one when the watermark has passed its end by more than the gap,
-as no event that still counts could reach it. Events behind the watermark are dropped by Spark, which counts
-them (`late_rows`). With more than one lane a key's events are dealt over as many states, so that a key of many
+Spark's own state of session windows, as start, end and number, and nothing of it goes through Python; one is closed when the
+watermark has passed its end by the gap, as no event that still counts could reach it. Events whose own window ends behind the
+watermark are dropped by Spark. With more than one lane a key's events are dealt over as many states, so that a key of many
 events isn't one task's; each lane closes sessions of its own and merge_sessions() puts them together.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.window import Window
 
 from ..functions.times import micros
@@ -36,47 +34,16 @@ def merged(spans: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int,
     return out
 
 
-class Sessions(StatefulProcessor):
-    """A key's open sessions, each closed by a timer."""
-
-    def __init__(self, gap: int):
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "start bigint, end bigint, n bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        self._keep(merged([*self.open.get(), *((r.at, r.at, 1) for r in rows)], self.gap))
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
-        upto = timerValues.getCurrentWatermarkInMs() * 1000 - self.gap
-        spans = [*self.open.get()]
-        for start, end, n in spans:
-            if end < upto:
-                yield Row(key=key[0], start=start, end=end, n=n)
-        self._keep([s for s in spans if s[1] >= upto])
-
-    def _keep(self, spans: list[tuple[int, int, int]]) -> None:
-        for due in [*self.handle.listTimers()]:
-            self.handle.deleteTimer(due)
-        if spans:
-            self.open.put(spans)
-            self.handle.registerTimer((min(s[1] for s in spans) + self.gap) // 1000 + 1)
-        else:
-            self.open.clear()
-
-
 def sessions(events: DataFrame, key: str, ts: str, gap: timedelta, delay: str, lanes: int = 1) -> DataFrame:
     """(key, start, end, n) of closed sessions of a stream, times in microseconds; null keys and times are in none."""
     kinds = {f.name: f.dataType for f in events.schema.fields}
     stamped = events.withColumn("__ts", F.timestamp_micros(micros(F.col(ts), kinds[ts]))).withWatermark("__ts", delay)
     lane = F.pmod(F.xxhash64(*events.columns), F.lit(lanes)).alias("lane")
     # One condition on both, as one on the key alone would be moved before the watermark, which rows without a key move on too.
-    rows = stamped.filter(F.when(F.col(key).isNotNull(), F.col("__ts")).isNotNull()).select(F.col(key).alias("key"), lane, F.unix_micros("__ts").alias("at"), "__ts")
-    shape = T.StructType([T.StructField("key", kinds[key]), *(T.StructField(c, T.LongType()) for c in ("start", "end", "n"))])
-    return rows.groupBy("key", "lane").transformWithState(Sessions(gap // _MICRO), shape, "Append", "EventTime")
+    rows = stamped.filter(F.when(F.col(key).isNotNull(), F.col("__ts")).isNotNull()).select(F.col(key).alias("key"), lane, "__ts")
+    pause = gap // _MICRO
+    found = rows.groupBy("key", "lane", F.session_window("__ts", f"{pause} microseconds").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return found.select("key", F.unix_micros("w.start").alias("start"), (F.unix_micros("w.end") - pause).alias("end"), "n")
 
 
 def merge_sessions(parts: DataFrame, gap: timedelta) -> DataFrame:
@@ -87,11 +54,6 @@ def merge_sessions(parts: DataFrame, gap: timedelta) -> DataFrame:
     return numbered.groupBy("key", "session").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("session")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Events that a finished query's batches have dropped, as they came behind the watermark."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
-
-
 def state_session(spark: SparkSession) -> SparkSession:
     """A session with the store that keyed state and timers need; the caller's settings stay as they are."""
     session = spark.newSession()
@@ -112,10 +74,10 @@ def replay_sessions(events: DataFrame, batch: str, key: str, ts: str, gap: timed
     base = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
     kept = [c for c in events.columns if c != batch]
     events.select(*kept, F.col(batch).cast("int").alias("__batch")).write.partitionBy("__batch").parquet(f"{base}/fed")
-    session, late = state_session(spark), 0
+    session = state_session(spark)
     shape = events.select(*kept).schema
 
-    def run(folders: str) -> int:
+    def run(folders: str) -> None:
         fed = session.readStream.schema(shape).option("maxFilesPerTrigger", 2**31 - 1).parquet(folders)
 
         def write(rows: DataFrame, number: int) -> None:
@@ -123,18 +85,19 @@ def replay_sessions(events: DataFrame, batch: str, key: str, ts: str, gap: timed
 
         query = sessions(fed, key, ts, gap, delay, lanes).writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-        return late_rows(query)
 
     there = sorted(r[0] for r in spark.read.schema("__batch int").parquet(f"{base}/fed").distinct().collect() if r[0] is not None) if not events.isEmpty() else []
     for n in range(len(there)):
-        late += run(f"{base}/fed/__batch={{{','.join(map(str, there[: n + 1]))}}}")
+        run(f"{base}/fed/__batch={{{','.join(map(str, there[: n + 1]))}}}")
     if there:
         most = spark.read.schema(shape).parquet(f"{base}/fed").agg(F.max(ts).alias("m"))
         end = most.select((F.col("m") + F.expr(f"interval {delay}") + F.lit(gap) + F.expr("interval 1 second")).alias(ts))
         last = end.select(*(F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in shape))
         for n in (1, 2):  # the clock moves with the first, and the second finds it moved
             last.write.parquet(f"{base}/fed/__batch={there[-1] + n}")
-            late += run(f"{base}/fed/__batch={{{','.join(map(str, [*there, *range(there[-1] + 1, there[-1] + n + 1)]))}}}")
+            run(f"{base}/fed/__batch={{{','.join(map(str, [*there, *range(there[-1] + 1, there[-1] + n + 1)]))}}}")
     out = T.StructType([T.StructField("key", events.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "end", "n"))])
     found = spark.read.schema(out).parquet(f"{base}/sessions") if there else spark.createDataFrame([], out)
+    # All sessions are closed, so what is in none of them came too late.
+    late = spark.read.schema(shape).parquet(f"{base}/fed").filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).count() - (found.agg(F.sum("n")).first()[0] or 0) if there else 0
     return (merge_sessions(found, gap) if lanes > 1 else found), late

@@ -52,6 +52,20 @@ def test_late_rows_are_counted_and_left_out(spark):
     assert n == 3 and Counter(map(tuple, got.select("key", "start", "end", "n").collect())) == whole(first + fresh)
 
 
+def test_sessions_need_no_python(spark):
+    fed = spark.readStream.format("rate").load()
+    plan = sessions.sessions(fed, "value", "timestamp", GAP, "1 hour", 3)._jdf.queryExecution().analyzed().toString()
+    assert "session_window" in plan and "TransformWithState" not in plan and "Python" not in plan
+
+
+def test_pairs_that_open_a_session_are_in_it(spark):
+    """Two events of one time, the first of a session, both count to it, however they are ordered; one as late as the gap still joins."""
+    rows = [(1, 1, DAY), (2, 1, DAY + 2 * GAP), (3, 1, DAY + 2 * GAP), (4, 1, DAY + 3 * GAP), (5, 1, DAY + 4 * GAP + US)]
+    frame = spark.createDataFrame([(*r, n % 2) for n, r in enumerate(rows)], "id long, k long, t timestamp_ntz, batch int")
+    got, late = sessions.replay_sessions(frame, "batch", "k", "t", GAP, "2 hours", lanes=2)
+    assert late == 0 and Counter(map(tuple, got.select("key", "start", "end", "n").collect())) == whole(rows) and sorted(r.n for r in got.collect()) == [1, 1, 3]
+
+
 def test_no_events(spark):
     got, late = sessions.replay_sessions(spark.createDataFrame([], "id long, k long, t timestamp_ntz, batch int"), "batch", "k", "t", GAP, "1 hour")
     assert got.collect() == [] and late == 0
