@@ -76,8 +76,11 @@ def work_list(spans: DataFrame, order: list, repo: str, max_spans: int | None =
     """The first spans in their order, or all, each with a question, its type, and its context."""
     first = numbered(spans if max_spans is None else spans.orderBy(*order).limit(max_spans), order, "idx")
     kind, asked = question(F.col("idx"), span_name(F.col("name"), F.col("source_path")), repo)
-    context = span_context(*(F.col(c) for c in ("source_path", "kind", "line_start", "line_end", "tags", "content")))
-    return first.withColumns({"question_type": kind, "question": asked, "context": context})
+    return with_context(first.withColumns({"question_type": kind, "question": asked}))
+
+
+def with_context(spans: DataFrame) -> DataFrame:
+    return spans.withColumn("context", span_context(*(F.col(c) for c in ("source_path", "kind", "line_start", "line_end", "tags", "content"))))
 
 
 def chosen_prompt(asked: Column, context: Column) -> Column:

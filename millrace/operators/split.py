@@ -14,7 +14,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import durable, written
+from ..storage import forget, fresh_path, written
 
 #: Rows up to which the exact permutation is worked out on the driver.
 EXACT_ROWS = 1_000_000
@@ -25,17 +25,23 @@ _FEW = 1000
 def numbered(rows: DataFrame, order: list, name: str = "position", once: bool = False) -> DataFrame:
     """The rows with their place in the order, from 0.
 
-    Rows are dealt by range and numbered within their range; only the ranges' sizes meet in one place. Both the rows (unless
-    `once` says that reading them again costs nothing) and the dealt rows are written, as ranges are drawn anew each time.
+    Rows are dealt by range, sorted and numbered within their range as they are written, so they are shuffled once; only the ranges'
+    sizes meet in one place. Both the rows (unless `once` says that reading them again costs nothing) and the dealt rows are
+    written, as ranges are drawn anew each time; the first go when the second are there.
     """
-    held = rows if once else written(rows)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = durable(held.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))
+    spark, path = rows.sparkSession, fresh_path(rows.sparkSession)
+    held = rows if once else written(rows, path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The number's upper bits are the range's, the lower ones the place of a row in it.
+    dealt = written(held.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    if not once:
+        forget(spark, path)
+    dealt = dealt.withColumn("__p", F.shiftright("__id", 33))
     sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__p", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return dealt.withColumn("__n", within).join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__o") + F.col("__n")).cast("long")).drop("__p", "__o", "__n")
+    within = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__o") + within).cast("long")).drop("__p", "__o", "__id")
 
 
 def share(n: int, ratio: float) -> int:

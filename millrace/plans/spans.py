@@ -18,11 +18,13 @@ from ..operators.tags import tags
 from ..sources.cache import embedded
 from ..sources.repository import span_files
 from ..sources.sinks import write_splits, write_stats
-from ..storage import durable
-from ..streaming.raw import resumable
+from ..storage import durable, written
+from ..streaming.raw import listed, resumable
 
 SPAN_ORDER = ["source_path", "seq"]
 SPAN_FIELDS = ["source_path", "kind", "content", "line_start", "line_end", "name", "title", "tags"]
+#: What questions about spans, and their records, are made of.
+ASKED_FIELDS = ["source_path", "kind", "content", "line_start", "line_end", "name", "tags"]
 
 
 def spans_of(files: DataFrame, keywords: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -63,16 +65,22 @@ def formats_of(
     spans: DataFrame, repo: str, out: str, model: synthesis.Model, name: str, max_spans: int | None = 10_000, seed: int = 17, pause: float = 0.0,
     rate: synthesis.Rate | None = None, resume: str | None = None,
 ) -> dict:
-    """record_formats() of given spans. With a folder to `resume` from, answers are kept there as they come, and none is asked for twice."""
+    """record_formats() of given spans. With a folder to `resume` from, answers are kept there as they come, and none is asked for twice.
+
+    Contents are in the work list alone: prompts are made of it as they are asked, and answers and their status are kept without; the
+    one format that shows contents takes them from the list again.
+    """
     spark, system = spans.sparkSession, formats.system_prompt(repo)
-    meaningful = spans.filter(is_meaningful(F.col("kind"), F.col("content")))
-    work = formats.work_list(meaningful, SPAN_ORDER, repo, max_spans)
-    ask = lambda rows: synthesis.answers(rows, system, model, pause, rate)
-    said = resumable(work, resume, ask) if resume else durable(ask(work))
-    answered = durable(formats.with_status(said, ["idx"]))
+    meaningful = spans.filter(is_meaningful(F.col("kind"), F.col("content"))).select(*SPAN_ORDER, *(c for c in ASKED_FIELDS if c not in SPAN_ORDER))
+    work = formats.work_list(meaningful, SPAN_ORDER, repo, max_spans).drop("context")
+    ask = lambda rows: synthesis.answers(formats.with_context(rows), system, model, pause, rate).drop("context", "content")
+    said = resumable(work, resume, ask) if resume else written(ask(work))
+    work = listed(spark, resume, work.schema) if resume else work
+    answered = written(formats.with_status(said, ["idx"]))
     kept = answered.filter("status = 'kept'")
+    shown = kept.join(work.select("idx", F.substring("content", 1, formats.REFERENCE_CHARS).alias("content")), "idx")
     stats: dict = {}
-    for i, (kind, rows) in enumerate((("sft", formats.sft(kept, system)), ("dpo", formats.dpo(kept)), ("grpo", formats.grpo(kept)))):
+    for i, (kind, rows) in enumerate((("sft", formats.sft(kept, system)), ("dpo", formats.dpo(kept)), ("grpo", formats.grpo(shown)))):
         parted = train_valid_test(rows, "idx", seed + i)
         row = counts(parted).first()
         stats[kind] = {"total": row["total"], "train": row["train"], "valid": row["valid"], "test": row["test"]}

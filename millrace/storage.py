@@ -36,13 +36,24 @@ def durable(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
-def written(rows: DataFrame) -> DataFrame:
+def written(rows: DataFrame, path: str | None = None) -> DataFrame:
     """As durable(), as compressed Parquet, of which later steps read the columns that they need."""
-    path = f"{shared_dir(rows.sparkSession)}/millrace-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    path = path or fresh_path(rows.sparkSession)
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A place in the shared folder that nothing is at."""
+    return f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table that written() made at the path, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Bytes of a table of few files up to which its rows are dealt over the cores; a larger one is read by as many tasks as it has parts.
 SMALL_BYTES = 64 << 20
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..storage import exists
 
@@ -21,9 +22,15 @@ def resumable(work: DataFrame, folder: str, ask: Callable[[DataFrame], DataFrame
     """
     spark = work.sparkSession
     if not exists(spark, f"{folder}/work/_SUCCESS"):
-        work.repartition(parts).write.mode("overwrite").parquet(f"{folder}/work")
+        enough = work.rdd.getNumPartitions() >= parts
+        (work.coalesce(parts) if enough else work.repartition(parts)).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/work")
     rows = spark.readStream.schema(work.schema).option("maxFilesPerTrigger", parts_a_batch).parquet(f"{folder}/work")
     answered = ask(rows)
-    query = answered.writeStream.format("parquet").option("path", f"{folder}/answers").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    query = answered.writeStream.format("parquet").option("compression", "zstd").option("path", f"{folder}/answers").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(answered.schema).parquet(f"{folder}/answers")
+
+
+def listed(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The work list that a folder of resumable() holds."""
+    return spark.read.schema(schema).parquet(f"{folder}/work")

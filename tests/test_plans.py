@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import held
 import numpy as np
@@ -13,6 +14,7 @@ from millrace.config import ChatConfig, ClusterConfig
 from millrace.operators import builders, cluster, dedupe, filters, formats, split, synthesis, tags
 from millrace.plans import chat, extractors, jobs, spans
 from millrace.sources import cache, repository, sinks
+from millrace.storage import shared_dir
 from millrace.streaming import records as stream
 
 
@@ -386,3 +388,25 @@ def test_windows_of_a_whole_text_have_records(spark, tmp_path, monkeypatch, name
     found = queries.QUERIES[name](spark, str(tmp_path))
     windows = found.filter("task = 'md_section_qa'").first().n if name == "u1_union_builders" else found.filter("path = 'd/2.md'").count() + 4
     assert windows == 4 * (-(-words // 680) + 1)
+
+
+def test_contents_of_spans_are_kept_once(spark, tmp_path):
+    """Answers are kept without contents, numbered rows are shuffled and kept once, and the records are those of a run without a folder to resume from."""
+    from millrace.model_queries import answerer
+
+    rows = [(f"d/{i:03}.md", 0, "markdown_section", f"text {i} " * 60, 1, 2, f"n{i}", None, ["doc"], "x" * 50) for i in range(60)]
+    given = spark.createDataFrame(rows, "source_path string, seq int, kind string, content string, line_start int, line_end int, name string, title string, tags array<string>, other string")
+    stats = [spans.formats_of(given, "r", f"{tmp_path}/{out}", answerer, "n", None, resume=folder) for out, folder in (("a", f"{tmp_path}/raw"), ("b", None))]
+    assert stats[0] == stats[1] and stats[0]["grpo"]["total"] > 30
+    assert not {"content", "context"} & set(spark.read.parquet(f"{tmp_path}/raw/answers").columns)
+    assert "content" in (kept := spark.read.parquet(f"{tmp_path}/raw/work").columns) and not {"context", "other"} & set(kept)
+    for kind in ("sft", "dpo", "grpo"):
+        a, b = (sorted(map(str, spark.read.json([f"{tmp_path}/{out}/n_{kind}_{part}.jsonl" for part in ("train", "valid", "test")]).collect())) for out in ("a", "b"))
+        assert a == b
+    found = {r.reference for r in spark.read.json(f"{tmp_path}/a/n_grpo_train.jsonl").collect()}
+    assert found <= {r[3] for r in rows} and len(found) > 20
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("millrace-*"))
+    placed = split.numbered(given.repartition(3), ["source_path"], "at")
+    assert len(set(folder.glob("millrace-*")) - before) == 1 and "Window [row_number" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.source_path for r in placed.orderBy("at").collect()] == [r[0] for r in rows] and [r.at for r in placed.orderBy("at").collect()] == list(range(60))
