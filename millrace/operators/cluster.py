@@ -8,7 +8,7 @@ themselves and the nearest; what that finds bounds what others can find, and pai
 the bound never meet. What is kept of it are the nearest few of each point, from which the rounds take their edges: an edge
 that is in no list is as long as its ends' lists reach, so a component whose shortest listed edge is below that has its own for
 sure. When no component is sure any more, only the points whose lists end below their component's shortest edge meet the
-blocks again. So no task holds more than two blocks, or the lists of one, and pairs of points are never rows. On the driver are the balls, the
+blocks again. So no task holds more than two groups of blocks and their lists, of bounded size, and pairs of points are never rows. On the driver are the balls, the
 components, and the tree's n - 1 edges, from which the labels are worked out.
 
 A point's core distance is that to its `min_samples`-th nearest point, itself counted as the first.
@@ -17,7 +17,7 @@ A point's core distance is that to its `min_samples`-th nearest point, itself co
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +32,8 @@ from ..storage import durable
 from .split import numbered
 
 BLOCK_ROWS = 4096
+#: Bytes of vectors that a task holds of either of two groups of blocks that meet in it, at most.
+SIDE_BYTES = 64 << 20
 #: Points whose tree fits the driver.
 MOST_POINTS = 20_000_000
 
@@ -76,6 +78,10 @@ def _core(points: DataFrame, blocks: int, k: int) -> DataFrame:
     return found.groupBy("pos").agg(F.element_at(least, F.least(F.lit(k), F.size(least))).alias("core"))
 
 
+#: What a cell's pairs of blocks give, of the cell, the pairs, and the blocks on either side as positions and vectors.
+Meeting = Callable[[int, np.ndarray, dict, dict], pa.Table]
+
+
 @dataclass
 class Balls:
     """Packed blocks, each a ball: rows (block, pos, v), centres, radii, and the block of each point."""
@@ -90,21 +96,49 @@ class Balls:
         """Distances that no two points of two blocks lie closer than."""
         return np.maximum(_distances(self.centre, self.centre) - self.radius[:, None] - self.radius[None, :], 0)
 
-    def met(self, pairs: np.ndarray, asking: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """The blocks of the pairs (i, j), on either side, those asked for on the left; pairs may also say whether j tells i of its points (there), and i j (back)."""
+    def width(self, blocks: int) -> int:
+        """Blocks of a group, so that pairs of groups keep every core busy and a group's vectors fit a task."""
+        cores = self.packed.sparkSession.sparkContext.defaultParallelism
+        groups = max(math.isqrt(6 * cores) + 1, -(-blocks * BLOCK_ROWS * self.centre.shape[1] * 8 // SIDE_BYTES))
+        return -(-blocks // groups)
+
+    def met(self, pairs: np.ndarray, meet: Meeting, schema: str, asking: DataFrame | None = None, asked: int = 0) -> DataFrame:
+        """What meet() gives for the pairs (i, j, ...) of blocks, those asked for (as many as `asked`) as i.
+
+        Blocks are dealt to groups, and a pair of groups is a cell, a task's: a block is sent once to each cell in which it meets any,
+        so what is shuffled grows with blocks times groups, not with the pairs.
+        """
         self.counts.append(len(pairs))
-        names = ["i", "j", "there", "back"][: pairs.shape[1]]
-        asked = self.packed.sparkSession.createDataFrame(pa.table({c: pa.array(pairs[:, k], pa.int32()) for k, c in enumerate(names)}))
-        blocks = ((asking or self.packed, "i"), (self.packed, "j"))
-        left, right = (rows.select(F.col("block").alias(side), F.col("pos").alias("pos"), F.col("v").alias("v")) for rows, side in blocks)
-        return left.join(asked, "i"), right.join(asked.select(*(F.col(c).alias(c) for c in ("i", "j"))), "j")
+        spark, one = self.packed.sparkSession, asking is None
+        wide = len(self.centre) // self.width(len(self.centre)) + 1
+        cell = pairs[:, 0] // self.width(len(self.centre) if one else asked) * wide + pairs[:, 1] // self.width(len(self.centre))
+        order = np.argsort(cell, kind="stable")
+        cells, starts = np.unique(cell[order], return_index=True)
+        pairs_of = spark.sparkContext.broadcast(dict(zip(cells.tolist(), np.split(pairs[order].astype(np.int32), starts[1:]))))
+
+        def sent(blocks: DataFrame, columns: list[int], side: int) -> DataFrame:
+            to = np.unique(np.concatenate([np.stack([pairs[:, c], cell], axis=1) for c in columns]), axis=0)
+            told = spark.createDataFrame(pa.table({"block": pa.array(to[:, 0], pa.int32()), "cell": pa.array(to[:, 1], pa.int64())}))
+            return blocks.join(F.broadcast(told), "block").select("cell", F.lit(side).alias("side"), "block", "pos", "v")
+
+        rows = sent(self.packed, [0, 1], 1) if one else sent(asking, [0], 0).unionByName(sent(self.packed, [1], 1))
+
+        def each(rows: pa.Table) -> pa.Table:
+            held: list[dict] = [{}, {}]
+            for side, block, pos, v in zip(*(rows.column(c) for c in ("side", "block", "pos", "v"))):
+                pos = np.frombuffer(pos.as_buffer(), np.int64)
+                held[side.as_py()][block.as_py()] = pos, np.frombuffer(v.as_buffer(), np.float64).reshape(len(pos), -1)
+            key = rows.column("cell")[0].as_py()
+            return meet(key, pairs_of.value[key], held[1 if one else 0], held[1])
+
+        return rows.groupBy("cell").applyInArrow(each, schema)
 
 
 #: Further blocks that each meets before its bounds are known.
 NEAREST = 2
 #: Nearest points that are kept of each, itself among them. Most of the tree's edges are between these; the more there are, the fewer points have to look further.
 NEIGHBOURS = 16
-_LIST, _EDGE = "block int, lane int, p binary, q binary, d binary", "c long, w double, p long, q long"
+_LIST, _EDGE = "block int, p binary, q binary, d binary", "c long, w double, p long, q long"
 
 
 def _balls(points: DataFrame, blocks: int) -> Balls:
@@ -122,7 +156,7 @@ def _balls(points: DataFrame, blocks: int) -> Balls:
 
     kind = points.schema["v"].dataType.simpleString()
     dealt = points.select("pos", "v").mapInArrow(near, f"pos long, v {kind}, pivot long, d double")
-    placed = durable(numbered(dealt, ["pivot", "d", "pos"], "slot"))
+    placed = numbered(dealt, ["pivot", "d", "pos"], "slot")
     cells = sorted(tuple(r) for r in placed.groupBy("pivot").agg(F.min("slot"), F.count(F.lit(1))).collect())  # a row for each pivot
     starts = np.cumsum([0, *(-(-n // BLOCK_ROWS) for *_, n in cells)])
     named = points.sparkSession.createDataFrame([(p, int(first), int(at)) for (p, first, _), at in zip(cells, starts)], "pivot long, first long, at long")
@@ -172,19 +206,21 @@ def _nearest(p: np.ndarray, q: np.ndarray, d: np.ndarray, k: int) -> tuple[np.nd
 
 
 def _list_rows(rows: list[tuple]) -> pa.Table:
-    block, lane, *packed = zip(*rows) if rows else ([],) * 5
-    return pa.table([pa.array(block, pa.int32()), pa.array(lane, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in packed)], ["block", "lane", "p", "q", "d"])
+    block, *packed = zip(*rows) if rows else ([],) * 4
+    return pa.table([pa.array(block, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in packed)], ["block", "p", "q", "d"])
 
 
 def _list_arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate([np.frombuffer(x, kind) for x in rows.column(c).to_pylist()]) for c, kind in (("p", np.int64), ("q", np.int64), ("d", np.float64)))
 
 
-def _merged(lists: DataFrame, by: list[str], k: int) -> DataFrame:
+def _merged(lists: DataFrame, k: int) -> DataFrame:
+    """One row for each block, of a row for each cell that it was in."""
+
     def merge(rows: pa.Table) -> pa.Table:
-        return _list_rows([(rows.column("block")[0].as_py(), rows.column("lane")[0].as_py(), *_nearest(*_list_arrays(rows), k))])
+        return _list_rows([(rows.column("block")[0].as_py(), *_nearest(*_list_arrays(rows), k))])
 
-    return lists.groupBy(*by).applyInArrow(merge, _LIST)
+    return lists.groupBy("block").applyInArrow(merge, _LIST)
 
 
 def _reach(lists: DataFrame, n: int, k: int) -> np.ndarray:
@@ -207,20 +243,21 @@ def _reach(lists: DataFrame, n: int, k: int) -> np.ndarray:
 def _lists(balls: Balls, k: int) -> tuple[DataFrame, np.ndarray]:
     """The k nearest of each point, itself among them, a packed row for each block; and how far each list reaches."""
     n, apart = len(balls.of), balls.apart()
-    lanes = math.isqrt(len(apart)) + 1
 
-    def near(a: pa.Table, b: pa.Table) -> pa.Table:
-        (pos, x), (at, y), found = _unpacked(a), _unpacked(b), []
-        for s in range(0, len(x), 512):
-            d = _distances(x[s : s + 512], y)
-            m = min(k, d.shape[1])
-            c = np.argpartition(d, m - 1, axis=1)[:, :m]
-            found.append((np.repeat(pos[s : s + 512], m), at[c].ravel(), np.take_along_axis(d, c, 1).ravel()))
-        return _list_rows([(a.column("i")[0].as_py(), 0, *(np.concatenate(c) for c in zip(*found)))])
+    def near(cell: int, pairs: np.ndarray, left: dict, right: dict) -> pa.Table:
+        lists = {}
+        for i, j in pairs.tolist():
+            (pos, x), (at, y), found = left[i], right[j], [lists[i]] if i in lists else []
+            for s in range(0, len(x), 512):
+                d = _distances(x[s : s + 512], y)
+                m = min(k, d.shape[1])
+                c = np.argpartition(d, m - 1, axis=1)[:, :m]
+                found.append((np.repeat(pos[s : s + 512], m), at[c].ravel(), np.take_along_axis(d, c, 1).ravel()))
+            lists[i] = _nearest(*(np.concatenate(c) for c in zip(*found)), k)
+        return _list_rows([(i, *of) for i, of in lists.items()])
 
     first = _first_pairs(apart)
-    left, right = balls.met(first)
-    lists = durable(_merged(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(near, _LIST), ["block"], k))
+    lists = durable(_merged(balls.met(first, near, _LIST), k))
     reach = _reach(lists, n, k)
     bound = np.zeros(len(apart))
     np.maximum.at(bound, balls.of, reach)
@@ -229,25 +266,36 @@ def _lists(balls: Balls, k: int) -> tuple[DataFrame, np.ndarray]:
         return lists, reach
     reached = balls.packed.sparkSession.sparkContext.broadcast(reach)
 
-    def nearer(a: pa.Table, b: pa.Table) -> pa.Table:
-        (pos, x), (at, y) = _unpacked(a), _unpacked(b)
-        i, j, there, back = (a.column(c)[0].as_py() for c in ("i", "j", "there", "back"))
-        of_x, of_y = reached.value[pos], reached.value[at]
-        ways: list[list[tuple]] = [[], []]
-        for s in range(0, len(x), 512):
-            d, own = _distances(x[s : s + 512], y), pos[s : s + 512]
-            if there:
-                r, c = np.nonzero(d < of_x[s : s + 512, None])
-                ways[0].append((own[r], at[c], d[r, c]))
-            if back:
-                r, c = np.nonzero(d < of_y[None, :])
-                ways[1].append((at[c], own[r], d[r, c]))
-        named = [(block, lane % lanes, *_nearest(*(np.concatenate(c) for c in zip(*found)), k)) for block, lane, found in ((i, j, ways[0]), (j, i, ways[1])) if found]
-        return _list_rows([row for row in named if len(row[2])])
-
-    left, right = balls.met(rest)
-    more = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(nearer, _LIST)
-    lists = durable(_merged(_merged(lists.unionByName(more), ["block", "lane"], k), ["block"], k))
+    def nearer(cell: int, pairs: np.ndarray, left: dict, right: dict) -> pa.Table:
+        lists: dict = {}
+        far = {b: reached.value[pos] for b, (pos, _) in (left | right).items()}  # how far each point's list reaches, less and less
+
+        def take(block: int, pos: np.ndarray, found: list[tuple]) -> None:
+            found = [f for f in found if len(f[0])]
+            if not found:
+                return
+            p, q, d = lists[block] = _nearest(*(np.concatenate(c) for c in zip(*found, *([lists[block]] if block in lists else []))), k)
+            at = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            full = at[np.diff(np.append(at, len(p))) >= k]
+            order = np.argsort(pos)
+            far[block][order[np.searchsorted(pos, p[full], sorter=order)]] = d[full + k - 1]
+
+        for i, j, there, back in pairs.tolist():
+            (pos, x), (at, y) = left[i], right[j]
+            ways: list[list[tuple]] = [[], []]
+            for s in range(0, len(x), 512):
+                d, own = _distances(x[s : s + 512], y), pos[s : s + 512]
+                if there:
+                    r, c = np.nonzero(d < far[i][s : s + 512, None])
+                    ways[0].append((own[r], at[c], d[r, c]))
+                if back:
+                    r, c = np.nonzero(d < far[j][None, :])
+                    ways[1].append((at[c], own[r], d[r, c]))
+            take(i, pos, ways[0])
+            take(j, at, ways[1])
+        return _list_rows([(block, *of) for block, of in lists.items()])
+
+    lists = durable(_merged(lists.unionByName(balls.met(rest, nearer, _LIST)), k))
     reached.unpersist()
     return lists, _reach(lists, n, k)
 
@@ -380,25 +428,26 @@ def _scan(balls: Balls, apart: np.ndarray, cores: Broadcast, roots: Broadcast, r
     whole, one = _only_component(root, balls.of, len(apart)), _only_component(root[asked], chunk, chunks)
     near[(whole[None, :] >= 0) & (whole[None, :] == one[:, None])] = np.inf  # within one component there is no edge
 
-    def shortest(a: pa.Table, b: pa.Table) -> pa.Table:
-        (pa_, x), (pb, y), out = _unpacked(a), _unpacked(b), []
-        ca, cb, ka, kb = roots.value[pa_], roots.value[pb], cores.value[pa_], cores.value[pb]
-        for s in range(0, len(x), 512):
-            d = _distances(x[s : s + 512], y)
-            w = np.maximum(d, np.maximum(ka[s : s + 512, None], kb[None, :]))
-            w[ca[s : s + 512, None] == cb[None, :]] = np.inf
-            least = w.min(axis=1)
-            component = np.full(len(least), np.inf)  # the least of the row's component
-            _, at = np.unique(ca[s : s + 512], return_inverse=True)
-            np.minimum.at(component, at, least)
-            r = np.flatnonzero((least == component[at]) & (least < np.inf))
-            i, c = np.nonzero(w[r] == least[r, None])
-            out.append(_least(roots.value, cores.value, pa_[s + r[i]], pb[c], d[r[i], c]))
+    def shortest(cell: int, pairs: np.ndarray, left: dict, right: dict) -> pa.Table:
+        out = []
+        for i, j in pairs.tolist():
+            (pa_, x), (pb, y) = left[i], right[j]
+            ca, cb, ka, kb = roots.value[pa_], roots.value[pb], cores.value[pa_], cores.value[pb]
+            for s in range(0, len(x), 512):
+                d = _distances(x[s : s + 512], y)
+                w = np.maximum(d, np.maximum(ka[s : s + 512, None], kb[None, :]))
+                w[ca[s : s + 512, None] == cb[None, :]] = np.inf
+                least = w.min(axis=1)
+                component = np.full(len(least), np.inf)  # the least of the row's component
+                _, at = np.unique(ca[s : s + 512], return_inverse=True)
+                np.minimum.at(component, at, least)
+                r = np.flatnonzero((least == component[at]) & (least < np.inf))
+                e, c = np.nonzero(w[r] == least[r, None])
+                out.append(_least(roots.value, cores.value, pa_[s + r[e]], pb[c], d[r[e], c]))
         return pa.Table.from_batches(out)
 
     def meet(room: np.ndarray) -> None:
-        left, right = balls.met(np.argwhere(room), gathered)
-        best.take(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(shortest, _EDGE))
+        best.take(balls.met(np.argwhere(room), shortest, _EDGE, gathered, chunks))
 
     first = np.zeros(near.shape, bool)
     np.put_along_axis(first, np.argsort(near, axis=1, kind="stable")[:, : NEAREST + 1], True, axis=1)
@@ -542,7 +591,7 @@ def _excess(density: float, birth: float) -> float:
 def hdbscan(rows: DataFrame, vector: str, order: list, config: ClusterConfig | None = None) -> DataFrame:
     """The rows with `pos`, their place in the order, `unit`, the vector at length one, and `label`, -1 for noise."""
     config = config or ClusterConfig()
-    placed = durable(numbered(rows.withColumn("unit", normalised(F.col(vector))), order, "pos"))
+    placed = numbered(rows, order, "pos").withColumn("unit", normalised(F.col(vector)))
     n = placed.count()
     tree = spanning_tree(placed.select("pos", F.col("unit").alias("v")), config.min_samples)
     labels = tree_labels(n, tree, config.min_cluster_size)

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import held
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -410,3 +411,22 @@ def test_contents_of_spans_are_kept_once(spark, tmp_path):
     placed = split.numbered(given.repartition(3), ["source_path"], "at")
     assert len(set(folder.glob("millrace-*")) - before) == 1 and "Window [row_number" not in placed._jdf.queryExecution().optimizedPlan().toString()
     assert [r.source_path for r in placed.orderBy("at").collect()] == [r[0] for r in rows] and [r.at for r in placed.orderBy("at").collect()] == list(range(60))
+
+
+def test_blocks_are_sent_once_for_each_group(spark, monkeypatch):
+    """Every pair of blocks meets with its own vectors, though a block is not sent for each pair."""
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 8)
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(800, 4))
+    balls = cluster._balls(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pos long, v array<double>"), 100)
+    n = len(balls.radius)
+    pairs = np.argwhere(np.triu(np.ones((n, n), bool)))
+
+    def seen(cell, mine, left, right):
+        ok = all(np.array_equal(x[pos], v) for pos, v in (left | right).values()) and all(i in left and j in right for i, j in mine.tolist())
+        return pa.table({"i": mine[:, 0], "j": mine[:, 1], "held": pa.array([len(left)] * len(mine), pa.int32()), "cell": pa.array([cell] * len(mine), pa.int64()), "ok": [ok] * len(mine)})
+
+    found = balls.met(pairs, seen, "i int, j int, held int, cell long, ok boolean").collect()
+    assert sorted((r.i, r.j) for r in found) == sorted(map(tuple, pairs.tolist())) and all(r.ok for r in found)
+    groups = -(-n // balls.width(n))
+    assert 1 < groups and sum({r.cell: r.held for r in found}.values()) <= n * groups < len(pairs) / 3
